@@ -1,0 +1,6 @@
+"""Registry of the engine's own queries and of their SQL twins."""
+
+from __future__ import annotations
+
+QUERIES: dict = {}
+ORACLES: dict = {}
