@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from . import quality_rules
+from . import decontaminate, license_scan, quality_rules
 
 QUERIES = {
+    "op5_license_scan": license_scan.op5_license_scan,
     "op9_quality_rules": quality_rules.op9_quality_rules,
+    "op10_decontaminate": decontaminate.op10_decontaminate,
 }
 
 ORACLES = {
+    "op5_license_scan": license_scan.sql(),
     "op9_quality_rules": quality_rules.SQL,
+    "op10_decontaminate": decontaminate.SQL,
 }
