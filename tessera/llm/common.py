@@ -29,6 +29,17 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def open_shared(path: str, mode: str):
+    """A file in a shared folder, by its URI or plain path, as a pyarrow stream to read or write."""
+    from pyarrow import fs
+
+    files, inner = fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
+    if mode == "r":
+        return files.open_input_file(inner)
+    files.create_dir(inner.rpartition("/")[0], recursive=True)
+    return files.open_output_stream(inner)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

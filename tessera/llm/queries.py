@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontaminate, license_scan, quality_rules
+from . import decontaminate, license_scan, packing, quality_rules, token_files
 
 QUERIES = {
+    "op2_pack": packing.op2_pack,
+    "op4_token_files": token_files.op4_token_files,
     "op5_license_scan": license_scan.op5_license_scan,
     "op9_quality_rules": quality_rules.op9_quality_rules,
     "op10_decontaminate": decontaminate.op10_decontaminate,
