@@ -44,6 +44,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Up to so many thin rows are sent to all executors; more are joined by shuffle.
+MAX_BROADCAST_ROWS = 1_000_000
+
+
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """df, to be broadcast if its rows are counted and few."""
+    return F.broadcast(df) if rows <= MAX_BROADCAST_ROWS else df
+
+
 def words(text):
     """Words of a text column, split at SPACE; null has none."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")

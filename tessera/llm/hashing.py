@@ -8,6 +8,7 @@ import numpy as np
 P = np.uint64(0x9E3779B97F4A7C15)
 P_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 BYTE = np.random.default_rng(20240607).integers(1, 2**63, 256, dtype=np.uint64)
+MARK = np.isin(np.arange(256), np.frombuffer(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~", np.uint8))
 MIX1, MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
@@ -37,16 +38,21 @@ class Words:
     bytes: all texts after one another, a space behind each; start, end: each
     word's place in bytes; hash: its 64-bit hash; doc: the number of its text;
     first: for each text, the number of its first word, and at the end the
-    number of words.
+    number of words. bare: without up to four ASCII punctuation marks on either
+    side of a word, as long as something stays.
     """
 
-    def __init__(self, texts: list[str | None]):
+    def __init__(self, texts: list[str | None], bare: bool = False):
         raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
         b = np.frombuffer(b" ".join(raw) + b" ", np.uint8)
         b = b + ((b >= 65) & (b <= 90)).astype(np.uint8) * np.uint8(32)
         space = (b == 32) | ((b >= 9) & (b <= 13))
         edge = np.flatnonzero(np.diff(space, prepend=True))  # each word's start, then its end
         self.bytes, self.start, self.end = b, edge[0::2], edge[1::2]
+        for _ in range(4 if bare else 0):
+            long = self.end - self.start > 1
+            self.end = self.end - (MARK[b[self.end - 1]] & long)
+            self.start = self.start + (MARK[b[self.start]] & (self.end - self.start > 1))
         up, down = powers(len(b) + 1)
         total = np.zeros(len(b) + 1, np.uint64)
         np.cumsum(BYTE[b] * up[:-1], out=total[1:])

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate, license_scan, packing, quality_rules, token_files
+from . import decontaminate, license_scan, ngram_join, packing, quality_rules, token_files, toxicity
 
 QUERIES = {
+    "op1_toxicity": toxicity.op1_toxicity,
     "op2_pack": packing.op2_pack,
+    "op3_ngram_join": ngram_join.op3_ngram_join,
     "op4_token_files": token_files.op4_token_files,
     "op5_license_scan": license_scan.op5_license_scan,
     "op9_quality_rules": quality_rules.op9_quality_rules,

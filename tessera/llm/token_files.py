@@ -227,7 +227,8 @@ def read(manifest: DataFrame) -> DataFrame:
                     kinds = (pa.int64(),) * 4
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    files = manifest.select("path", "start").repartition(F.col("path"))
+    files = manifest.select("path", "start")
+    files = files.repartition(max(1, files.count()), "path")  # files are bounded, so a task for each
     return files.mapInArrow(part, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
