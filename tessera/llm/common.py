@@ -58,5 +58,6 @@ def words(text):
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")
 
 
-def ceil_div(n: int, by: int) -> int:
-    return max(1, -(-n // by))
+def run_hash(w, i, n: int):
+    """Hash of the n words of the array w from place i on. (slice() would copy the whole array each time.)"""
+    return F.xxhash64(*[F.get(w, i + k) for k in range(n)])

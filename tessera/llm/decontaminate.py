@@ -27,14 +27,12 @@ from itertools import combinations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, run_hash, small
 
 SHINGLE = 5
 MIN_SIMILARITY = 0.8
 RADIUS = 23
 BLOCKS, BLOCK_BITS, NEAR_BITS = 8, 8, 2
-#: Up to so many rows made from the benchmark are sent to all executors; more are joined by shuffle.
-MAX_BROADCAST_ROWS = 1_000_000
 
 
 def item_words(text):
@@ -43,14 +41,10 @@ def item_words(text):
 
 def shingle_hashes(w):
     """Hash of every word 5-gram of w, in order; of the whole of a shorter w."""
-    full = F.transform(F.sequence(F.lit(1), F.size(w) - (SHINGLE - 1)), lambda i: F.xxhash64(F.slice(w, i, SHINGLE)))
+    full = F.transform(F.sequence(F.lit(0), F.size(w) - SHINGLE), lambda i: run_hash(w, i, SHINGLE))
     return F.when(F.size(w) >= SHINGLE, full).when(F.size(w) > 0, F.array(F.xxhash64(w))).otherwise(F.array().cast("array<bigint>"))
 
 
-def small(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= MAX_BROADCAST_ROWS else df
-
-
 def simhash(weighted):
     """64-bit SimHash of an array of (h, weight)."""
 
@@ -84,7 +78,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, min_similarity: float = MIN_SIM
 
     def weighted(df, keys):
         """Distinct shingles of g with multiplicity and weight, as an array of (h, weight)."""
-        each = df.select(*keys, F.explode("g").alias("h")).groupBy(*keys, "h").count()
+        each = df.select(*keys, F.explode_outer("g").alias("h")).where("h is not null").groupBy(*keys, "h").count()
         each = each.join(small(weights, n_places), "h", "left").withColumn("weight", F.coalesce("weight", rare) * F.col("count"))
         return each.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("h", "weight"))).alias("s"))
 
@@ -94,13 +88,16 @@ def leaks(docs: DataFrame, benchmark: DataFrame, min_similarity: float = MIN_SIM
     # windows: where a document holds an item's shingle, the window that puts it in the item's place
     d = docs.select("doc_id", item_words(F.col("text")).alias("w"))
     d = d.select("doc_id", F.size("w").alias("doc_words"), shingle_hashes(F.col("w")).alias("g"))
-    hits = d.select("doc_id", "doc_words", F.posexplode("g").alias("p", "h")).join(small(places, n_places), "h")
+    # the outer form, or a filter on the array's size would compute all hashes once more below
+    hits = d.select("doc_id", "doc_words", F.posexplode_outer("g").alias("p", "h")).where("h is not null").join(small(places, n_places), "h")
     hits = hits.withColumn("start", F.col("p") - F.col("at")).where((F.col("start") >= 0) & (F.col("start") + F.col("n_words") <= F.col("doc_words")) & ((F.col("n_words") >= SHINGLE) | (F.col("doc_words") == F.col("n_words"))))
     windows = cut(hits.select("doc_id", "start", "n_words").distinct(), "windows")
     # once more over the texts that have windows, for the windows' own shingles
     spans = windows.groupBy("doc_id").agg(F.collect_set(F.struct("start", "n_words")).alias("spans"))
-    own = docs.select("doc_id", "text").join(spans, "doc_id").select("doc_id", "spans", shingle_hashes(item_words(F.col("text"))).alias("g"))
-    own = own.select("doc_id", F.col("g"), F.explode("spans").alias("x")).select("doc_id", "x.start", "x.n_words", F.slice("g", F.col("x.start") + 1, F.greatest(F.col("x.n_words") - (SHINGLE - 1), F.lit(1))).alias("g"))
+    spans = cut(spans, "spans")
+    own = docs.select("doc_id", "text").join(small(spans, spans.count()), "doc_id").select("doc_id", "spans", item_words(F.col("text")).alias("w"))
+    own = own.select("doc_id", "spans", shingle_hashes(F.col("w")).alias("g"))
+    own = own.select("doc_id", F.col("g"), F.explode_outer("spans").alias("x")).select("doc_id", "x.start", "x.n_words", F.slice("g", F.col("x.start") + 1, F.greatest(F.col("x.n_words") - (SHINGLE - 1), F.lit(1))).alias("g"))
     own = weighted(own.dropDuplicates(["doc_id", "start", "n_words"]), ["doc_id", "start", "n_words"])
     own = cut(own.withColumn("f", simhash(F.col("s"))), "fingerprints")
 
@@ -118,7 +115,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, min_similarity: float = MIN_SIM
     # exact: the sum of the smaller over the sum of the larger weights of each shingle
     total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x["weight"])
     mine = F.map_from_entries("item_s")
-    both = F.aggregate("s", F.lit(0.0), lambda a, x: a + F.coalesce(F.least(x["weight"], F.element_at(mine, x["h"])), F.lit(0.0)))
+    both = F.aggregate("s", F.lit(0.0), lambda a, x: a + F.least(x["weight"], F.coalesce(F.element_at(mine, x["h"]), F.lit(0.0))))
     found = found.withColumn("_b", both).withColumn("similarity", F.col("_b") / (total("s") + total("item_s") - F.col("_b"))).where(F.col("similarity") >= min_similarity - 1e-9)
     best = F.max_by(F.struct("start", "n_words", "hamming", "similarity"), F.struct(F.round("similarity", 9), -F.col("start")))
     found = found.groupBy("doc_id", "item_id").agg(best.alias("b"))

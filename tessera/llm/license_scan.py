@@ -73,7 +73,8 @@ def scan(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, min_dice:
     # a unit of w words has at most w - 1 bigrams, a block counts only if it has a line feed within
     lines = units(F.split(text, "\\n"), "line", lambda x: F.length(x["u"]) > 2 * low)
     several = units(blocks, "block", lambda x: F.trim(x["u"]).contains("\n"))
-    d = docs.select("doc_id", F.explode(F.concat(lines, several)).alias("x")).select("doc_id", "x.unit", "x.unit_no", F.array_remove(F.split("x.u", "[ \\n]+"), "").alias("w"))
+    # the outer forms, or filters on the arrays' sizes would compute them once more below
+    d = docs.select("doc_id", F.explode_outer(F.concat(lines, several)).alias("x")).select("doc_id", "x.unit", "x.unit_no", F.array_remove(F.split("x.u", "[ \\n]+"), "").alias("w"))
     d = d.where(F.size("w") > low)
     pairs = F.zip_with(F.slice("w", 1, F.size("w") - 1), F.slice("w", 2, F.size("w") - 1), lambda a, b: F.concat_ws(" ", a, b))
     # only units whose words can give a fitting size are worth the bigrams; repeats can make any long unit fit, so those are counted as distinct first
@@ -85,7 +86,7 @@ def scan(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, min_dice:
         fits = (F.size("b") * reach >= len(grams)) & (F.size("b") <= len(grams) * reach)
         return F.when(fits, F.struct(F.lit(name).alias("license"), F.lit(no).alias("template_no"), (2.0 * F.size(F.array_intersect("b", own)) / (F.size("b") + len(grams))).alias("dice")))
 
-    d = d.select("doc_id", "unit", "unit_no", F.explode(F.array(*[found(*x) for x in known])).alias("m"))
+    d = d.select("doc_id", "unit", "unit_no", F.explode_outer(F.array(*[found(*x) for x in known])).alias("m"))
     return d.where(F.col("m.dice") >= min_dice).select("doc_id", "unit", "unit_no", "m.license", "m.template_no", "m.dice")
 
 

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, words
+from .common import cut, run_hash, words
 
 WINDOW = 8
 MIN_WORDS = 20
@@ -38,7 +38,7 @@ def measure(docs: DataFrame) -> DataFrame:
         F.length(F.array_join("_w", "")).cast("long").alias("word_chars"),
         F.regexp_count("_t", F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
         lines.alias("_l"),
-        F.when(F.col("n_words") > WINDOW, F.transform(F.sequence(F.lit(1), F.size("_w") - (WINDOW - 1)), lambda i: F.xxhash64(F.slice("_w", i, WINDOW)))).alias("_h"),
+        F.when(F.col("n_words") > WINDOW, F.transform(F.sequence(F.lit(0), F.size("_w") - WINDOW), lambda i: run_hash(F.col("_w"), i, WINDOW))).alias("_h"),
     )
     # hashes with their places, sorted, only where some window occurs twice
     placed = F.sort_array(F.transform("_h", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))

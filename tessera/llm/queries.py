@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, license_scan, ngram_join, packing, quality_rules, token_files, toxicity
+from . import decontaminate, html_text, license_scan, ngram_join, packing, perplexity, quality_rules, token_files, toxicity, url_filter
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -10,6 +10,9 @@ QUERIES = {
     "op3_ngram_join": ngram_join.op3_ngram_join,
     "op4_token_files": token_files.op4_token_files,
     "op5_license_scan": license_scan.op5_license_scan,
+    "op6_url_filter": url_filter.op6_url_filter,
+    "op7_perplexity": perplexity.op7_perplexity,
+    "op8_html_text": html_text.op8_html_text,
     "op9_quality_rules": quality_rules.op9_quality_rules,
     "op10_decontaminate": decontaminate.op10_decontaminate,
 }
