@@ -1,6 +1,397 @@
-"""Registry of the engine's own queries and of their SQL twins."""
+"""Registry of the engine's own queries and of their SQL twins. Each query runs over its whole tables."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from tessera.functions import scores, text
+from tessera.operators import graph, pairs, recall, sinks, usage
+from tessera.sources.records import AS_OF, CALLS_SQL, EDGES_SQL, MEMORIES_SQL, TYPES, calls, edges, memories, references, vectors
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+M, E, C = f"WITH {MEMORIES_SQL} ", f"WITH {MEMORIES_SQL}, {EDGES_SQL} ", f"WITH {CALLS_SQL} "
+ME = f"WITH {MEMORIES_SQL}, "
+#: A query's words, and its vector's rule.
+WORDS = "the thation erer en"
+VECTOR = [((k * 7) % 11 - 5) / 5 for k in range(64)]
+
+AGE = "date_diff('day', updated_on, DATE '2025-09-01')"
+TRIGRAMS = "list_distinct(flatten(list_transform(list_filter(regexp_split_to_array(lower({}), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> ''), lambda w: list_transform(range(1, length(w) + 2), lambda i: substring('  ' || w || ' ', i, 3)))))"
+WORD_SET = "list_distinct(list_filter(regexp_split_to_array(regexp_replace(lower({}), '[^a-z0-9\\s]', '', 'g'), '\\s+'), lambda w: length(w) > 2))"
+COS = "list_dot_product(e, q) / (sqrt(list_dot_product(e, e)) * sqrt(list_dot_product(q, q)))"
+WEIGHT = "CASE evidence WHEN 'measured' THEN 1.0::DOUBLE WHEN 'declared' THEN 0.95::DOUBLE WHEN 'observed' THEN 0.9::DOUBLE WHEN 'inferred' THEN 0.75::DOUBLE WHEN 'guessed' THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END"
+
+
+def query(sql: str | None = None):
+    """Registers a function of (spark, sf_dir) under its name, with its SQL."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def on_memories(name: str, sql: str, make: Callable[[DataFrame], DataFrame]) -> None:
+    QUERIES[name] = lambda spark, sf_dir: make(memories(spark, sf_dir))
+    ORACLES[name] = sql
+
+
+def on_calls(name: str, sql: str, make: Callable[[DataFrame], DataFrame]) -> None:
+    QUERIES[name] = lambda spark, sf_dir: make(calls(spark, sf_dir))
+    ORACLES[name] = sql
+
+
+r6 = lambda c: F.round(c, 6)
+
+# --- recall ---------------------------------------------------------------------------------------------------------
+
+VECTOR_SQL = "[" + ", ".join(map(str, VECTOR)) + "]::DOUBLE[]"
+LEGS = f"""
+t AS (SELECT id, len(list_intersect(g, h))::DOUBLE / len(list_distinct(list_concat(g, h))) AS sim
+      FROM (SELECT id, {TRIGRAMS.format("key")} AS g, {TRIGRAMS.format(f"'{WORDS}'")} AS h FROM memories WHERE status = 'live') WHERE len(g) + len(h) > 0),
+v AS (SELECT vec_id AS id, {COS} AS sim FROM (SELECT vec_id, embedding::DOUBLE[] AS e, {VECTOR_SQL} AS q FROM embeddings)),
+tl AS (SELECT id, sim, rank() OVER (ORDER BY sim DESC) AS r, row_number() OVER (ORDER BY sim DESC, id) AS n FROM (SELECT * FROM t WHERE sim > 0.15 ORDER BY sim DESC, id LIMIT 50)),
+vl AS (SELECT id, sim, rank() OVER (ORDER BY sim DESC) AS r, row_number() OVER (ORDER BY sim DESC, id) AS n FROM (SELECT * FROM v WHERE sim > 0 ORDER BY sim DESC, id LIMIT 50))"""
+
+
+@query(f"""{ME}{LEGS},
+f AS (SELECT id, sum(1.0::DOUBLE / (60 + r)) AS score FROM (SELECT id, r FROM tl UNION ALL SELECT id, r FROM vl) GROUP BY id ORDER BY round(score, 12) DESC, id LIMIT 40)
+SELECT m.id, type, evidence, round(score * {WEIGHT}, 9) AS score FROM f JOIN memories m ON m.id = f.id WHERE status = 'live' ORDER BY round(score * {WEIGHT}, 12) DESC, m.id LIMIT 20""")
+def hybrid_recall(spark, sf_dir):
+    out = recall.hybrid(memories(spark, sf_dir), vectors(spark, sf_dir), WORDS, VECTOR)
+    return out.select("id", "type", "evidence", F.round("score", 9).alias("score"))
+
+
+@query(f"""{ME}{LEGS} SELECT id, round(sum(1.0::DOUBLE / (60 + n)), 9) AS score FROM (SELECT id, n FROM tl UNION ALL SELECT id, n FROM vl) GROUP BY id ORDER BY round(sum(1.0::DOUBLE / (60 + n)), 12) DESC, id LIMIT 30""")
+def positional_fusion(spark, sf_dir):
+    legs = [recall.trigram_leg(memories(spark, sf_dir), WORDS), recall.vector_leg(vectors(spark, sf_dir), VECTOR)]
+    return recall.fuse(legs, 30, ties_share=False).select("id", F.round("score", 9).alias("score"))
+
+
+@query(f"""{ME}{LEGS} SELECT id, round(sim, 6) AS sim FROM t WHERE sim > 0.15 ORDER BY sim DESC, id LIMIT 20""")
+def trigram_recall(spark, sf_dir):
+    return recall.trigram_leg(memories(spark, sf_dir), WORDS).orderBy(F.desc("sim"), "id").limit(20).select("id", r6("sim").alias("sim"))
+
+
+@query(f"""{ME}{LEGS} SELECT id, round(sim, 6) AS sim FROM v WHERE sim > 0.1 ORDER BY sim DESC, id LIMIT 20""")
+def semantic_recall(spark, sf_dir):
+    return recall.vector_leg(vectors(spark, sf_dir), VECTOR, 0.1).orderBy(F.desc("sim"), "id").limit(20).select("id", r6("sim").alias("sim"))
+
+
+IMPORTANCE = f"0.3 * confidence + 0.25 * greatest(0.0::DOUBLE, 1 - {AGE} / 90.0::DOUBLE) + 0.25 * ln(greatest(1, accesses) + 1) / ln(51.0::DOUBLE) + 0.2 * CASE WHEN {AGE} <= 7 THEN 1.0::DOUBLE WHEN {AGE} <= 30 THEN 0.5::DOUBLE ELSE 0 END"
+
+
+@query(f"""{ME}{LEGS} SELECT m.id, round(0.6 * sim + 0.4 * ({IMPORTANCE}), 6) AS score FROM t JOIN memories m ON m.id = t.id WHERE sim > 0.15 ORDER BY round(0.6 * sim + 0.4 * ({IMPORTANCE}), 9) DESC, m.id LIMIT 20""")
+def importance_recall(spark, sf_dir):
+    m = memories(spark, sf_dir)
+    own = m.select("id", scores.importance(F.col("confidence"), scores.days_since(F.col("updated_on")), F.col("accesses")).alias("importance"))
+    out = recall.trigram_leg(m, WORDS).join(own, "id").withColumn("score", 0.6 * F.col("sim") + 0.4 * F.col("importance"))
+    return out.orderBy(F.desc(F.round("score", 9)), "id").limit(20).select("id", r6("score").alias("score"))
+
+
+TERMS = ["the", "thation", "er", "er", "und"]
+
+
+@query(f"""{ME}q AS (SELECT unnest({TERMS}) AS token),
+w AS (SELECT id, list_filter(regexp_split_to_array(lower(value), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM memories),
+h AS (SELECT id, n, token, count(*) AS c FROM (SELECT id, len(w) AS n, unnest(w) AS token FROM w) WHERE token IN (SELECT token FROM q) GROUP BY ALL),
+d AS (SELECT token, count(*) AS df FROM h GROUP BY token), t AS (SELECT count(*) AS total FROM w WHERE len(w) > 0)
+SELECT id, round(sum(c::DOUBLE / n * (ln((total + 1)::DOUBLE / (df + 1)) + 1)), 6) AS score FROM q JOIN h USING (token) JOIN d USING (token), t GROUP BY id""")
+def tfidf_search(spark, sf_dir):
+    return recall.tfidf(memories(spark, sf_dir), TERMS).select("id", r6("score").alias("score"))
+
+
+on_memories(
+    "token_budget",
+    f"{M} SELECT id, type, running FROM (SELECT id, type, sum(ceil(length(value) / 4.0)::BIGINT) OVER (PARTITION BY type ORDER BY confidence DESC, id ROWS UNBOUNDED PRECEDING)::BIGINT AS running FROM memories) WHERE running <= 4000",
+    lambda m: recall.within_budget(m.withColumn("tokens", text.tokens(F.col("value"))), "type", [F.desc("confidence"), "id"], 4000).select("id", "type", "running"),
+)
+on_memories(
+    "token_budget_first_kept",
+    f"{M} SELECT id, agent, running FROM (SELECT id, agent, row_number() OVER (PARTITION BY agent ORDER BY id) AS n, sum(ceil(length(value) / 4.0)::BIGINT) OVER (PARTITION BY agent ORDER BY id ROWS UNBOUNDED PRECEDING)::BIGINT AS running FROM memories) WHERE running <= 100 OR n = 1",
+    lambda m: recall.within_budget(m.withColumn("tokens", text.tokens(F.col("value"))), "agent", ["id"], 100, keep_first=True).select("id", "agent", "running"),
+)
+on_memories(
+    "nearest_date",
+    f"{M} SELECT id, abs(date_diff('day', created_on, DATE '2024-06-15'))::BIGINT AS days, round(1.0::DOUBLE / (1 + abs(date_diff('day', created_on, DATE '2024-06-15'))), 6) AS proximity FROM memories WHERE status = 'live' ORDER BY 2, 1 LIMIT 50",
+    lambda m: m.where("status = 'live'").select("id", F.abs(F.datediff(F.col("created_on"), F.lit("2024-06-15").cast("date"))).cast("long").alias("days")).orderBy("days", "id").limit(50).select("id", "days", r6(1 / (1 + F.col("days"))).alias("proximity")),
+)
+on_memories(
+    "contextual_recall",
+    f"{M} SELECT id, type FROM memories WHERE status = 'live' AND agent IN ('agent1', 'agent2') AND contains(path, '/mod1') AND (evidence IS NULL OR evidence = 'declared') ORDER BY confidence DESC, id LIMIT 30",
+    lambda m: m.where(F.col("agent").isin("agent1", "agent2") & (F.col("status") == "live") & F.col("path").contains("/mod1") & (F.col("evidence").isNull() | (F.col("evidence") == "declared"))).orderBy(F.desc("confidence"), "id").limit(30).select("id", "type"),
+)
+on_memories(
+    "rerank_window",
+    f"{M} SELECT id, row_number() OVER (ORDER BY coalesce(judge, 1000), pos) AS place FROM (SELECT id, pos, CASE WHEN pos <= 20 AND id % 2 = 0 THEN 21 - pos WHEN pos <= 20 THEN 100 + pos END AS judge FROM (SELECT id, row_number() OVER (ORDER BY confidence DESC, id) AS pos FROM (SELECT * FROM memories ORDER BY confidence DESC, id LIMIT 50)))",
+    # the judge reverses the even ids of the first 20 and leaves out the others, which keep their order behind them
+    lambda m: m.orderBy(F.desc("confidence"), "id").limit(50).select("id", F.row_number().over(W.orderBy(F.desc("confidence"), "id")).alias("pos")).select("id", F.row_number().over(W.orderBy(F.coalesce(F.when((F.col("pos") <= 20) & (F.col("id") % 2 == 0), 21 - F.col("pos")).when(F.col("pos") <= 20, 100 + F.col("pos")), F.lit(1000)), "pos")).cast("long").alias("place")),
+)
+on_memories(
+    "listing",
+    f"{M} SELECT id, type, key FROM memories ORDER BY type, id LIMIT 200",
+    lambda m: m.select("id", "type", "key").orderBy("type", "id").limit(200),
+)
+
+# --- scans, filters, scalar functions -------------------------------------------------------------------------------
+
+on_memories(
+    "stale_records",
+    f"{M} SELECT id, status FROM memories WHERE accesses <= 2 AND {AGE} >= 60 AND created_on < DATE '2025-06-01'",
+    lambda m: m.where((F.col("accesses") <= 2) & (scores.days_since(F.col("updated_on")) >= 60) & (F.col("created_on") < "2025-06-01")).select("id", "status"),
+)
+on_memories(
+    "substring_search",
+    f"{M} SELECT id FROM memories WHERE (lower(key) LIKE '%tion%' OR lower(value) LIKE '%stupid%') AND type = 'fact'",
+    lambda m: m.where((F.lower("key").contains("tion") | F.lower("value").contains("stupid")) & (F.col("type") == "fact")).select("id"),
+)
+on_memories(
+    "quota",
+    f"{M} SELECT project_id, id FROM (SELECT project_id, id, row_number() OVER (PARTITION BY project_id ORDER BY created_on, id) AS n FROM memories) WHERE n > CASE WHEN project_id = 'src0' THEN 40 ELSE 20 END",
+    lambda m: m.withColumn("n", F.row_number().over(W.partitionBy("project_id").orderBy("created_on", "id"))).where(F.col("n") > F.when(F.col("project_id") == "src0", 40).otherwise(20)).select("project_id", "id"),
+)
+on_memories(
+    "auto_promote",
+    f"{M} SELECT id, CASE WHEN status = 'pending' AND confidence >= 0.9 THEN 'live' ELSE status END AS status FROM memories",
+    lambda m: m.select("id", F.when((F.col("status") == "pending") & (F.col("confidence") >= 0.9), "live").otherwise(F.col("status")).alias("status")),
+)
+SENSITIVE_SQL = "list_filter([" + ", ".join(f"CASE WHEN regexp_matches(value, '{p}') THEN '{n}' END" for n, p in text.SENSITIVE.items()) + "], lambda x: x IS NOT NULL)"
+on_memories(
+    "sensitive_data",
+    f"{M} SELECT id, array_to_string({SENSITIVE_SQL}, ',') AS found FROM memories WHERE len({SENSITIVE_SQL}) > 0",
+    lambda m: m.select("id", F.array_join(text.sensitive(F.col("value")), ",").alias("found")).where("found <> ''"),
+)
+REDACTED_SQL = "value"
+for _name, _p in text.SENSITIVE.items():
+    REDACTED_SQL = f"regexp_replace({REDACTED_SQL}, '{_p}', '[REDACTED:{_name}]', 'g')"
+on_memories("redacted", f"{M} SELECT id, md5({REDACTED_SQL}) AS hash FROM memories", lambda m: m.select("id", F.md5(text.redacted(F.col("value"))).alias("hash")))
+on_memories(
+    "slugs",
+    f"{M} SELECT id, substring(regexp_replace(regexp_replace(lower(key), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 50) AS slug FROM memories",
+    lambda m: m.select("id", text.slug(F.col("key")).alias("slug")),
+)
+on_memories(
+    "chunked",
+    f"{M} SELECT id, n, md5(substring(value, n * 680 + 1, 800)) AS hash FROM (SELECT id, value, unnest(range(0, greatest(1, ceil((length(value) - 120) / 680.0))::BIGINT)) AS n FROM memories)",
+    lambda m: m.select("id", F.posexplode_outer(text.chunks(F.col("value"), 800, 120)).alias("n", "chunk")).select("id", F.col("n").cast("long").alias("n"), F.md5("chunk").alias("hash")),
+)
+on_memories(
+    "polarity",
+    f"{M} SELECT id, " + "(" + " OR ".join(f"contains(lower(value), '{w}')" for w in text.POSITIVE) + ") AS positive, (" + " OR ".join("contains(lower(value), '{}')".format(w.replace("'", "''")) for w in text.NEGATIVE) + ") AS negative FROM memories",
+    lambda m: m.select("id", text.has_any(F.col("value"), text.POSITIVE).alias("positive"), text.has_any(F.col("value"), text.NEGATIVE).alias("negative")),
+)
+on_memories(
+    "importance_scores",
+    f"{M} SELECT id, round({IMPORTANCE}, 6) AS importance FROM memories",
+    lambda m: m.select("id", r6(scores.importance(F.col("confidence"), scores.days_since(F.col("updated_on")), F.col("accesses"))).alias("importance")),
+)
+RATES = "CASE type WHEN 'fact' THEN 1.0::DOUBLE WHEN 'decision' THEN 0.5::DOUBLE WHEN 'context' THEN 1.5::DOUBLE ELSE 0.8::DOUBLE END"
+on_memories(
+    "decay_scores",
+    f"{M} SELECT id, round(d, 6) AS decay, d >= 0.8 AS archive FROM (SELECT id, CASE WHEN {AGE} <= 30 THEN 0.0::DOUBLE ELSE greatest(0.0::DOUBLE, least(1.0::DOUBLE, (1 - pow(2.0::DOUBLE, -({AGE} - 30) / 90.0::DOUBLE)) * {RATES} * (1 - 0.4::DOUBLE * least(accesses / 10.0::DOUBLE, 1.0::DOUBLE)))) END AS d FROM memories)",
+    lambda m: m.select("id", scores.decay(scores.days_since(F.col("updated_on")), F.when(F.col("type") == "fact", 1.0).when(F.col("type") == "decision", 0.5).when(F.col("type") == "context", 1.5).otherwise(0.8), F.col("accesses")).alias("d")).select("id", r6("d").alias("decay"), (F.col("d") >= 0.8).alias("archive")),
+)
+on_memories(
+    "usage_scores",
+    f"{M} SELECT id, round(0.4::DOUBLE * greatest(0.0::DOUBLE, 1 - {AGE} / 90.0::DOUBLE) + 0.3::DOUBLE * accesses / max(accesses) OVER (PARTITION BY project_id) + 0.3::DOUBLE * confidence, 6) AS score FROM memories",
+    lambda m: m.join(m.groupBy("project_id").agg(F.max("accesses").alias("most")), "project_id").select("id", r6(scores.usage(scores.days_since(F.col("updated_on")), F.col("accesses"), F.col("most"), F.col("confidence"))).alias("score")),
+)
+on_memories(
+    "quality_scores",
+    f"{M} SELECT id, 5.0::DOUBLE * ((length(value) > 20)::INT + (evidence IS NOT NULL)::INT + (length(key) > 3)::INT + 1 + (accesses > 0)::INT) + floor(greatest(0.0::DOUBLE, 25 * (1 - {AGE} / 180.0::DOUBLE)) + 0.5) + floor(confidence * 15 + least(length(value) / 20.0::DOUBLE, 10.0::DOUBLE) + 0.5) AS quality FROM memories",
+    lambda m: usage.quality(m).select("id", "quality"),
+)
+
+# --- aggregates -----------------------------------------------------------------------------------------------------
+
+on_memories(
+    "stats_by_type",
+    f"{M} SELECT type, count(*) AS n, count(*) FILTER (WHERE status = 'live') AS live, count(*) FILTER (WHERE status = 'pending') AS pending, round(avg(confidence), 6) AS confidence, round(100.0::DOUBLE * count(*) FILTER (WHERE status = 'live') / 10000, 6) AS quota_percent FROM memories GROUP BY type",
+    lambda m: m.groupBy("type").agg(F.count("*").alias("n"), F.count_if(F.col("status") == "live").alias("live"), F.count_if(F.col("status") == "pending").alias("pending"), r6(F.avg("confidence")).alias("confidence")).withColumn("quota_percent", r6(100 * F.col("live") / 10000)),
+)
+on_memories(
+    "confidence_histogram",
+    f"{M} SELECT bucket, count(id) AS n FROM (VALUES (0), (1), (2), (3), (4)) b(bucket) LEFT JOIN (SELECT id, CASE WHEN confidence < 0.5 THEN 0 WHEN confidence < 0.75 THEN 1 WHEN confidence < 0.9 THEN 2 ELSE 3 END AS k FROM memories) ON k = bucket GROUP BY bucket",
+    lambda m: m.sparkSession.range(5).select(F.col("id").cast("int").alias("bucket")).join(m.groupBy(F.when(F.col("confidence") < 0.5, 0).when(F.col("confidence") < 0.75, 1).when(F.col("confidence") < 0.9, 2).otherwise(3).alias("bucket")).agg(F.count("*").alias("n")), "bucket", "left").fillna(0),
+)
+on_memories(
+    "shared_patterns",
+    f"{M} SELECT key, type, count(DISTINCT project_id) AS n_projects, array_to_string(list_sort(list_distinct(list(project_id))), ',') AS projects FROM memories GROUP BY key, type HAVING count(DISTINCT project_id) > 1 ORDER BY 3 DESC, 1, 2 LIMIT 50",
+    lambda m: m.groupBy("key", "type").agg(F.sort_array(F.collect_set("project_id")).alias("p")).where(F.size("p") > 1).select("key", "type", F.size("p").cast("long").alias("n_projects"), F.array_join("p", ",").alias("projects")).orderBy(F.desc("n_projects"), "key", "type").limit(50),
+)
+on_memories(
+    "missing_types",
+    f"{M} SELECT t AS type, count(id) AS n FROM (SELECT unnest({TYPES}) AS t) LEFT JOIN memories ON type = t AND status = 'pending' GROUP BY t HAVING count(id) < 16",
+    lambda m: m.sparkSession.createDataFrame([(t,) for t in TYPES], "type string").join(m.where("status = 'pending'").groupBy("type").agg(F.count("*").alias("n")), "type", "left").fillna(0).where("n < 16"),
+)
+on_memories(
+    "audit_by_type",
+    f"{M} SELECT project_id, round(0.6::DOUBLE * count(DISTINCT type) / 11 * 100 + 0.4::DOUBLE * 100 * avg((contains(lower(value), 'must') OR contains(lower(value), 'use'))::INT), 6) AS score FROM memories GROUP BY project_id",
+    lambda m: m.groupBy("project_id").agg(r6(0.6 * F.count_distinct("type") / 11 * 100 + 0.4 * 100 * F.avg((F.lower("value").contains("must") | F.lower("value").contains("use")).cast("int"))).alias("score")),
+)
+
+
+@query(f"{M} SELECT project_id, count(*) AS n, floor(avg(q) + 0.5) AS health, CASE WHEN avg(q) >= 60 THEN 'good' WHEN avg(q) >= 45 THEN 'fair' ELSE 'poor' END AS grade FROM (SELECT project_id, 5.0::DOUBLE * ((length(value) > 20)::INT + (evidence IS NOT NULL)::INT + (length(key) > 3)::INT + 1 + (accesses > 0)::INT) + floor(greatest(0.0::DOUBLE, 25 * (1 - {AGE} / 180.0::DOUBLE)) + 0.5) + floor(confidence * 15 + least(length(value) / 20.0::DOUBLE, 10.0::DOUBLE) + 0.5) AS q FROM memories) GROUP BY project_id")
+def project_health(spark, sf_dir):
+    mean = F.avg("quality")
+    grade = F.when(mean >= 60, "good").when(mean >= 45, "fair").otherwise("poor")
+    return usage.quality(memories(spark, sf_dir)).groupBy("project_id").agg(F.count("*").alias("n"), F.floor(mean + 0.5).cast("double").alias("health"), grade.alias("grade"))
+
+
+@query(f"""{ME}{LEGS}, s AS (SELECT max(sim) AS top, avg(sim) AS mean, stddev_pop(sim) AS sd FROM t) SELECT round(top, 6) AS top, round(mean, 6) AS mean, round(sd, 6) AS sd, round((top - mean) / sd, 6) AS z, top >= 0.3 OR (top - mean) / sd >= 2 AS relevant FROM s""")
+def relevance_verdict(spark, sf_dir):
+    s = recall.trigram_leg(memories(spark, sf_dir), WORDS, -1.0).agg(F.max("sim").alias("top"), F.avg("sim").alias("mean"), F.stddev_pop("sim").alias("sd"))
+    z = (F.col("top") - F.col("mean")) / F.col("sd")
+    return s.select(r6("top").alias("top"), r6("mean").alias("mean"), r6("sd").alias("sd"), r6(z).alias("z"), ((F.col("top") >= 0.3) | (z >= 2)).alias("relevant"))
+
+
+@query("SELECT label, count(*) AS n, round(avg(embedding[1]::DOUBLE), 6) AS first, round(avg(embedding[64]::DOUBLE), 6) AS last FROM embeddings GROUP BY label")
+def pooled_vectors(spark, sf_dir):
+    """Mean-pooled vectors, by place; the twin holds the first and last places."""
+    each = vectors(spark, sf_dir).select("vec_id", "label", F.posexplode("embedding").alias("pos", "x"))
+    mean = each.groupBy("label", "pos").agg(F.avg(F.col("x").cast("double")).alias("x"), F.count("*").alias("n"))
+    pooled = mean.groupBy("label").agg(F.max("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda s: s["x"]).alias("v"))
+    return pooled.select("label", "n", r6(F.get("v", F.lit(0))).alias("first"), r6(F.get("v", F.lit(63))).alias("last"))
+
+
+# --- calls: drift, trends, pairs ------------------------------------------------------------------------------------
+
+SPLIT = "2024-01-16"
+on_calls(
+    "behavioural_drift",
+    f"""{C}, c AS (SELECT agent, tool, count(*) FILTER (WHERE ts < TIMESTAMP '{SPLIT}') AS a, count(*) FILTER (WHERE ts >= TIMESTAMP '{SPLIT}') AS b FROM calls GROUP BY ALL),
+n AS (SELECT agent, sum(a) AS na, sum(b) AS nb FROM c GROUP BY agent HAVING sum(a) >= 5 AND sum(b) >= 5), v AS (SELECT DISTINCT tool FROM calls), k AS (SELECT count(*) AS k FROM v),
+g AS (SELECT n.agent, (coalesce(a, 0) + 1)::DOUBLE / (na + k) AS p, (coalesce(b, 0) + 1)::DOUBLE / (nb + k) AS q FROM n CROSS JOIN v CROSS JOIN k LEFT JOIN c ON c.agent = n.agent AND c.tool = v.tool)
+SELECT agent, round(sum(0.5 * p * ln(p / ((p + q) / 2)) + 0.5 * q * ln(q / ((p + q) / 2))) / ln(2.0), 6) AS drift FROM g GROUP BY agent""",
+    lambda c: usage.behavioural_drift(c, SPLIT).select("agent", r6("drift").alias("drift")),
+)
+on_calls(
+    "top_tools",
+    f"{C} SELECT agent, tool, place, round(share, 6) AS share FROM (SELECT agent, tool, row_number() OVER (PARTITION BY agent ORDER BY n DESC, tool) AS place, n::DOUBLE / sum(n) OVER (PARTITION BY agent) AS share FROM (SELECT agent, tool, count(*) AS n FROM calls GROUP BY ALL)) WHERE place <= 3",
+    lambda c: usage.top_tools(c).select("agent", "tool", F.col("place").cast("long").alias("place"), r6("share").alias("share")),
+)
+on_calls(
+    "rate_limited",
+    f"{C} SELECT event_id, recent FROM (SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 24 HOUR PRECEDING AND CURRENT ROW) AS recent FROM calls) WHERE recent > 3",
+    lambda c: usage.rate_limited(c, 3, 86_400),
+)
+on_calls(
+    "paired_calls",
+    f"{C} SELECT event_id, start_id, epoch_us(ts) - epoch_us(t0) AS us FROM (SELECT event_id, tool, ts, lag(tool) OVER w AS p, lag(ts) OVER w AS t0, lag(event_id) OVER w AS start_id FROM calls WHERE tool IN ('view', 'purchase') WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) WHERE tool = 'purchase' AND p = 'view'",
+    lambda c: usage.paired(c, "view", "purchase").select("event_id", "start_id", "us"),
+)
+on_calls(
+    "hit_rate",
+    f"{C} SELECT agent, round(count(*) FILTER (WHERE tool = 'view') / nullif(count(*) FILTER (WHERE tool IN ('view', 'click')), 0)::DOUBLE, 6) AS rate, count(*) AS n, round(sum(value), 4) AS total FROM calls GROUP BY agent",
+    lambda c: c.groupBy("agent").agg(r6(F.try_divide(F.count_if(F.col("tool") == "view"), F.count_if(F.col("tool").isin("view", "click")))).alias("rate"), F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total")),
+)
+on_calls(
+    "session_trend",
+    f"{C} SELECT user_id, last, round(mean, 6) AS mean FROM (SELECT user_id, value AS last, avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS mean, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM calls) WHERE n = 1",
+    lambda c: c.select("user_id", F.col("value").alias("last"), F.avg("value").over(W.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(-5, -1)).alias("mean"), F.row_number().over(W.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id"))).alias("n")).where("n = 1").select("user_id", "last", r6("mean").alias("mean")),
+)
+on_calls(
+    "hourly_calls",
+    f"{C} SELECT tool, date_trunc('hour', ts) AS hour, count(*) AS n FROM calls GROUP BY ALL",
+    lambda c: c.groupBy("tool", F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour")).agg(F.count("*").alias("n")),
+)
+
+# --- versions, sinks, sets ------------------------------------------------------------------------------------------
+
+on_calls(
+    "versions",
+    f"{C} SELECT user_id, event_id, tool, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS version FROM (SELECT *, lag(tool) OVER (PARTITION BY user_id ORDER BY ts, event_id) IS DISTINCT FROM tool AS changed FROM calls) WHERE changed",
+    lambda c: sinks.versions(c, "user_id", ["ts", "event_id"], ["tool"]).select("user_id", "event_id", "tool", F.col("version").cast("long").alias("version")),
+)
+on_calls(
+    "upserted",
+    f"{C} SELECT user_id, tool, first_id, event_id AS last_id FROM (SELECT user_id, tool, event_id, min(event_id) OVER (PARTITION BY user_id, tool) AS first_id, row_number() OVER (PARTITION BY user_id, tool ORDER BY event_id DESC) AS n FROM calls) WHERE n = 1",
+    lambda c: (lambda x: sinks.upsert(x.where("event_id % 2 = 0"), x.where("event_id % 2 = 1"), ["user_id", "tool"], ["first_id"], "last_id"))(c.select("user_id", "tool", F.col("event_id").alias("first_id"), F.col("event_id").alias("last_id"))),
+)
+on_calls(
+    "confidence_delta",
+    f"{C} SELECT event_id, round(value - lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id), 6) AS delta FROM calls",
+    lambda c: c.select("event_id", r6(F.col("value") - F.lag("value").over(W.partitionBy("user_id").orderBy("ts", "event_id"))).alias("delta")),
+)
+on_calls(
+    "semantic_drift",
+    f"{C} SELECT user_id AS id, count(*) AS n_changes, round(1 - 1.0::DOUBLE / count(DISTINCT trim(tool)), 6) AS instability FROM calls GROUP BY user_id",
+    lambda c: usage.semantic_drift(c.select(F.col("user_id").alias("id"), F.col("tool").alias("value"))).select("id", "n_changes", r6("instability").alias("instability")),
+)
+on_memories(
+    "exported",
+    f"{M} SELECT project_id, type, md5(string_agg('- ' || key, chr(10) ORDER BY key, id)) AS hash FROM memories GROUP BY project_id, type",
+    lambda m: sinks.export_text(m).select("project_id", "type", F.md5("body").alias("hash")),
+)
+on_memories(
+    "tiers",
+    f"{M} SELECT id, type, n <= greatest(3, ceil(0.2::DOUBLE * c)) AS top FROM (SELECT id, type, row_number() OVER (PARTITION BY type ORDER BY confidence DESC, id) AS n, count(*) OVER (PARTITION BY type) AS c FROM memories)",
+    lambda m: m.select("id", "type", F.row_number().over(W.partitionBy("type").orderBy(F.desc("confidence"), "id")).alias("n"), F.count("*").over(W.partitionBy("type")).alias("c")).select("id", "type", (F.col("n") <= F.greatest(F.lit(3), F.ceil(0.2 * F.col("c")))).alias("top")),
+)
+on_memories(
+    "context_union",
+    f"{M} SELECT id, source FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY source) AS n FROM (SELECT id, 1 AS source FROM memories WHERE type = 'convention' UNION ALL SELECT id, 2 FROM memories WHERE confidence > 0.8)) WHERE n = 1",
+    lambda m: m.where("type = 'convention'").select("id", F.lit(1).alias("source")).unionByName(m.where("confidence > 0.8").select("id", F.lit(2).alias("source"))).groupBy("id").agg(F.min("source").alias("source")),
+)
+
+# --- pairs and graphs -----------------------------------------------------------------------------------------------
+
+
+@query(f"""{ME}s AS (SELECT id, type, {WORD_SET.format("key")} AS s FROM memories), e AS (SELECT id, type, len(s) AS n, unnest(s) AS w FROM s),
+p AS (SELECT x.id AS a, y.id AS b, x.n AS na, y.n AS nb, count(*) AS k FROM e x JOIN e y ON x.w = y.w AND x.type = y.type AND x.id < y.id GROUP BY ALL)
+SELECT a, b, round(k::DOUBLE / (na + nb - k), 6) AS jaccard FROM p WHERE k::DOUBLE / (na + nb - k) >= 0.7""")
+def near_duplicate_keys(spark, sf_dir):
+    return pairs.near_duplicates(memories(spark, sf_dir)).select("a", "b", r6("jaccard").alias("jaccard"))
+
+
+@query(f"{ME}r AS (SELECT id AS src, id * 3 + 1 AS dst FROM memories WHERE id % 4 < 3 UNION ALL SELECT id, id + 7 FROM memories WHERE id % 5 = 0) SELECT src, dst FROM r WHERE dst NOT IN (SELECT id FROM memories WHERE status = 'live')")
+def stale_references(spark, sf_dir):
+    m = memories(spark, sf_dir)
+    return pairs.stale_references(references(m), m)
+
+
+@query(f"{E} SELECT src, dst FROM edges")
+def dependency_edges(spark, sf_dir):
+    return edges(memories(spark, sf_dir))
+
+
+@query(f"{M} SELECT b.id, CASE WHEN m.id IS NULL THEN 'new' WHEN m.value = b.value THEN 'same' ELSE 'conflict' END AS action FROM (SELECT id, CASE WHEN id % 3 = 0 THEN value || '!' ELSE value END AS value FROM memories) b LEFT JOIN (SELECT * FROM memories WHERE id % 5 <> 0) m ON m.id = b.id")
+def branch_merge(spark, sf_dir):
+    m = memories(spark, sf_dir)
+    branch = m.withColumn("value", F.when(F.col("id") % 3 == 0, F.concat("value", F.lit("!"))).otherwise(F.col("value")))
+    return pairs.merge_branch(m.where("id % 5 <> 0"), branch)
+
+
+@query(f"{E}, s AS (SELECT id FROM memories WHERE type = 'decision'), h1 AS (SELECT DISTINCT dst AS id FROM edges WHERE src IN (SELECT id FROM s)), h2 AS (SELECT DISTINCT dst AS id FROM edges WHERE src IN (SELECT id FROM h1)) SELECT id, min(hop) AS hop FROM (SELECT id, 0 AS hop FROM s UNION ALL SELECT id, 1 FROM h1 UNION ALL SELECT id, 2 FROM h2) GROUP BY id")
+def expanded_recall(spark, sf_dir):
+    m = memories(spark, sf_dir)
+    return graph.expand(edges(m), m.where("type = 'decision'"), 2)
+
+
+@query(f"""{E.replace("WITH ", "WITH RECURSIVE ", 1)}, c AS (SELECT src, dst, 1 AS n FROM edges UNION SELECT c.src, e.dst, n + 1 FROM c JOIN edges e ON e.src = c.dst WHERE n < 8),
+u AS (SELECT DISTINCT dst AS id, src AS via FROM c WHERE src <> dst), d AS (SELECT dst AS id, count(*) AS degree FROM edges GROUP BY dst)
+SELECT u.id, count(*) AS dependents, (max(d.degree) + sum(coalesce(v.degree, 0)))::BIGINT AS impact FROM u JOIN d ON d.id = u.id LEFT JOIN d v ON v.id = u.via GROUP BY u.id""")
+def impact_scores(spark, sf_dir):
+    return graph.impact(edges(memories(spark, sf_dir)))
+
+
+@query(f"{E} SELECT id FROM memories WHERE id NOT IN (SELECT src FROM edges) AND id NOT IN (SELECT dst FROM edges)")
+def orphans(spark, sf_dir):
+    m = memories(spark, sf_dir)
+    return graph.orphans(m, edges(m))
+
+
+@query(f"{E}, g AS (SELECT dst AS id, count(*) AS k FROM edges GROUP BY dst) SELECT m.id, round(k * (0.4::DOUBLE + 0.3::DOUBLE * (1 - confidence) + 0.3::DOUBLE * least({AGE} / 30.0::DOUBLE, 1.0::DOUBLE)), 6) AS risk FROM memories m JOIN g ON g.id = m.id")
+def risk_scores(spark, sf_dir):
+    m = memories(spark, sf_dir)
+    degree = edges(m).groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("k"))
+    return m.join(degree, "id").select("id", r6(scores.risk(F.col("k"), F.col("confidence"), scores.days_since(F.col("updated_on")))).alias("risk"))

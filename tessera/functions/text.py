@@ -1,0 +1,78 @@
+"""Text functions as columns."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+# Patterns of secrets and personal data, tried in this order.
+SENSITIVE = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}",
+    "ipv4": r"(?:[0-9]{1,3}\.){3}[0-9]{1,3}",
+    "aws_key": r"AKIA[0-9A-Z]{16}",
+    "github_token": r"gh[pousr]_[A-Za-z0-9]{36}",
+    "private_key": r"-----BEGIN [A-Z ]*PRIVATE KEY-----",
+    "ssn": r"[0-9]{3}-[0-9]{2}-[0-9]{4}",
+}
+POSITIVE, NEGATIVE = ["always", "must", "use", "prefer"], ["never", "avoid", "not", "don't"]
+
+
+def trigrams(text: Column) -> Column:
+    """Distinct 3-grams of each lower-cased word between two spaces before and one behind."""
+    words = F.filter(F.split(F.lower(text), "[^\\p{L}\\p{N}]+"), lambda w: w != "")
+    padded = F.transform(words, lambda w: F.concat(F.lit("  "), w, F.lit(" ")))
+    return F.array_distinct(F.flatten(F.transform(padded, lambda p: F.transform(F.sequence(F.lit(1), F.length(p) - 2), lambda i: F.substring(p, i, F.lit(3))))))
+
+
+def jaccard(a: Column, b: Column) -> Column:
+    """Of two sets; 1 for two empty ones."""
+    union = F.size(F.array_union(a, b))
+    return F.when(union == 0, 1.0).otherwise(F.size(F.array_intersect(a, b)) / union)
+
+
+def word_set(text: Column, more_than: int = 2) -> Column:
+    words = F.split(F.regexp_replace(F.lower(text), "[^a-z0-9\\s]", ""), "\\s+")
+    return F.array_distinct(F.filter(words, lambda w: F.length(w) > more_than))
+
+
+def tokens(text: Column) -> Column:
+    """Estimated tokens: a quarter of the characters, rounded up."""
+    return F.ceil(F.length(text) / 4)
+
+
+def slug(text: Column, size: int = 50) -> Column:
+    return F.substring(F.regexp_replace(F.regexp_replace(F.lower(text), "[^a-z0-9]+", "-"), "^-+|-+$", ""), 1, size)
+
+
+def chunks(text: Column, size: int = 4000, overlap: int = 600) -> Column:
+    """Overlapping pieces of a text; the last ends where it ends."""
+    step = size - overlap
+    n = F.greatest(F.lit(1), F.ceil((F.length(text) - overlap) / step)).cast("int")
+    return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(text, i * step + 1, F.lit(size)))
+
+
+def sensitive(text: Column) -> Column:
+    """Names of the patterns found."""
+    return F.array_compact(F.array(*[F.when(text.rlike(p), F.lit(name)) for name, p in SENSITIVE.items()]))
+
+
+def redacted(text: Column) -> Column:
+    for name, p in SENSITIVE.items():
+        text = F.regexp_replace(text, p, f"[REDACTED:{name}]")
+    return text
+
+
+def has_any(text: Column, markers: list[str]) -> Column:
+    out = F.lit(False)
+    for m in markers:
+        out = out | F.lower(text).contains(m)
+    return out
+
+
+def cosine(a: Column, b: Column) -> Column:
+    """Over the shorter's length; 0 for a zero vector."""
+    n = F.least(F.size(a), F.size(b))
+    a, b = F.slice(a, 1, n), F.slice(b, 1, n)
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
+    norm = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
+    return F.when(norm == 0, 0.0).otherwise(dot(a, b) / norm)
