@@ -76,7 +76,8 @@ def scan(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, min_dice:
     # the outer forms, or filters on the arrays' sizes would compute them once more below
     d = docs.select("doc_id", F.explode_outer(F.concat(lines, several)).alias("x")).select("doc_id", "x.unit", "x.unit_no", F.array_remove(F.split("x.u", "[ \\n]+"), "").alias("w"))
     d = d.where(F.size("w") > low)
-    pairs = F.zip_with(F.slice("w", 1, F.size("w") - 1), F.slice("w", 2, F.size("w") - 1), lambda a, b: F.concat_ws(" ", a, b))
+    n_pairs = F.greatest(F.size("w") - 1, F.lit(0))
+    pairs = F.zip_with(F.slice("w", 1, n_pairs), F.slice("w", 2, n_pairs), lambda a, b: F.concat_ws(" ", a, b))
     # only units whose words can give a fitting size are worth the bigrams; repeats can make any long unit fit, so those are counted as distinct first
     d = d.where((F.size("w") - 1 <= high) | (F.size(F.array_distinct("w")) <= high + 1))
     d = d.withColumn("b", F.array_distinct(pairs)).where((F.size("b") >= low) & (F.size("b") <= high))

@@ -100,22 +100,22 @@ def op9_quality_rules(spark, sf_dir):
 
 SQL = r"""
 WITH d AS (
-  SELECT doc_id, source, coalesce(text, '') AS t,
+  SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS t,
          list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
   FROM documents),
 win AS (
-  SELECT doc_id, source, i, array_to_string(list_slice(w, i, i + 7), ' ') AS s
-  FROM (SELECT doc_id, source, w, unnest(range(1, len(w) - 6)) AS i FROM d WHERE len(w) >= 8)),
-rep AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, s) AS n FROM win) WHERE n > 1),
-cov AS (SELECT doc_id, count(DISTINCT i + o) AS n_repeat_words FROM rep, (SELECT unnest(range(0, 8)) AS o) GROUP BY doc_id),
+  SELECT rid, i, array_to_string(list_slice(w, i, i + 7), ' ') AS s
+  FROM (SELECT rid, w, unnest(range(1, len(w) - 6)) AS i FROM d WHERE len(w) >= 8)),
+rep AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, s) AS n FROM win) WHERE n > 1),
+cov AS (SELECT rid, count(DISTINCT i + o) AS n_repeat_words FROM rep, (SELECT unnest(range(0, 8)) AS o) GROUP BY rid),
 m AS (
-  SELECT d.doc_id, source, len(w)::BIGINT AS n_words,
+  SELECT doc_id, source, len(w)::BIGINT AS n_words,
          length(array_to_string(w, ''))::BIGINT AS word_chars,
          (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
          (len(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))
           - len(list_distinct(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))))::BIGINT AS n_dup_lines,
          coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words
-  FROM d LEFT JOIN cov ON d.doc_id = cov.doc_id),
+  FROM d LEFT JOIN cov ON d.rid = cov.rid),
 b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m),
 h AS (SELECT source, count(*) AS n, sum(base_failed::INT) AS f FROM b WHERE source IS NOT NULL GROUP BY source),
 p AS (SELECT avg(f / n) AS mu, var_pop(f / n) AS v FROM h),
