@@ -25,7 +25,7 @@ from . import gru
 from .common import table
 
 FOLDS = 5
-MAX_TRAIN, TRAIN_CHARS = 2000, 50_000
+MAX_TRAIN, TRAIN_CHARS = 1500, 50_000
 LIMIT = 0.5
 
 
