@@ -8,7 +8,7 @@ undominated fillings (one is dominated if a piece, or two, of it could give way
 to a single larger piece that is left). A filling is repeated while pieces for
 it last. Best-fit decreasing gives the first incumbent; branches whose waste
 shows that they can't use fewer bins than the incumbent are pruned, and the
-search ends when the incumbent reaches the lower bound or NODES is used up (the
+search ends when the incumbent reaches the lower bound or after DECISIONS (the
 incumbent is then the answer). The plan says which numbers of each length go
 where; pieces get numbers within their length by counts over salted groups and
 are joined with the plan.
@@ -33,8 +33,8 @@ from .common import cut, table
 from .tokens import encoder
 
 SIZE = 2048
-#: Steps of the search for one filling, and decisions that are tried again.
-FILLING_STEPS, NODES = 4000, 200
+#: Steps of the search for one filling, and decisions after the first way to the end.
+FILLING_STEPS, DECISIONS = 4000, 5_000
 #: Pieces of one length in one salt, about.
 SALT_ROWS = 20_000
 
@@ -137,27 +137,48 @@ def fillings(counts: dict[int, int], lengths: list[int], room: int) -> list[dict
     return out[:4]
 
 
-def complete(counts: dict[int, int], size: int, most_waste: int, choice: dict[int, int]) -> tuple[Plan | None, int]:
-    """One way through the tree: the filling at each decision is the first, or the one that choice names. None if its waste is over most_waste."""
-    counts, lengths, plan, waste, depth = dict(counts), sorted(counts), [], 0, 0
-    while lengths:
-        n = lengths[-1]
-        counts[n] -= 1
-        options = fillings(counts, lengths, size - n)
-        counts[n] += 1
-        has = dict(options[min(choice.get(depth, 0), len(options) - 1)])
-        has[n] = has.get(n, 0) + 1
-        times = min(counts[k] // m for k, m in has.items())
-        waste += times * (size - sum(k * m for k, m in has.items()))
-        if waste > most_waste:
-            return None, depth
-        for k, m in has.items():
-            counts[k] -= times * m
-            if not counts[k]:
-                lengths.remove(k)
-        plan.append((times, sorted(has.items(), reverse=True)))
-        depth += 1
-    return plan, depth
+class Search:
+    """Fillings decided from the largest length down. Decisions can be taken back, so another choice costs only what follows it."""
+
+    def __init__(self, counts: dict[int, int], size: int):
+        self.counts, self.lengths, self.size = dict(counts), sorted(counts), size
+        self.made: list[tuple[list[dict[int, int]], dict[int, int], int]] = []  # options, the one taken, how often
+        self.waste = self.bins = self.decided = 0
+
+    def take(self, options: list[dict[int, int]], has: dict[int, int]) -> None:
+        times = min(self.counts[n] // m for n, m in has.items())
+        for n, m in has.items():
+            self.counts[n] -= times * m
+            if not self.counts[n]:
+                self.lengths.remove(n)
+        self.made.append((options, has, times))
+        self.waste += times * (self.size - sum(n * m for n, m in has.items()))
+        self.bins += times
+        self.decided += 1
+
+    def back(self) -> list[dict[int, int]]:
+        """Takes the last decision back; the fillings that it left aside."""
+        options, has, times = self.made.pop()
+        for n, m in has.items():
+            if not self.counts[n]:
+                insort(self.lengths, n)
+            self.counts[n] += times * m
+        self.waste -= times * (self.size - sum(n * m for n, m in has.items()))
+        self.bins -= times
+        return [x for x in options if x != has]
+
+    def finish(self, most_waste: int) -> bool:
+        """Goes on with the first fillings. False as soon as the waste is over most_waste."""
+        while self.waste <= most_waste and self.lengths:
+            n = self.lengths[-1]
+            self.counts[n] -= 1
+            options = [x | {n: x.get(n, 0) + 1} for x in fillings(self.counts, self.lengths, self.size - n)]
+            self.counts[n] += 1
+            self.take(options, options[0])
+        return self.waste <= most_waste
+
+    def plan(self) -> Plan:
+        return [(times, sorted(has.items(), reverse=True)) for _, has, times in self.made]
 
 
 def pack(counts: dict[int, int], size: int = SIZE) -> Plan:
@@ -168,16 +189,24 @@ def pack(counts: dict[int, int], size: int = SIZE) -> Plan:
     total, least = sum(n * c for n, c in counts.items()), lower_bound(counts, size)
     plan = best_fit(counts, size)
     bins = sum(b for b, _ in plan)
-    choice: dict[int, int] = {}
-    for node in range(NODES):
-        if bins <= least:
-            break
-        # fewer bins than the incumbent leave at most so much room unused
-        new, depth = complete(counts, size, (bins - 1) * size - total, choice)
-        if new is not None and sum(b for b, _ in new) < bins:
-            plan, bins, choice = new, sum(b for b, _ in new), {}
-        else:  # another filling at one decision, from the last ones up
-            choice = {max(0, depth - 1 - node // 3): 1 + node % 3}
+    if bins <= least:
+        return plan
+    # fewer bins than the incumbent leave at most so much room unused
+    most_waste = lambda: (bins - 1) * size - total
+    s = Search(counts, size)
+    if s.finish(most_waste()):
+        plan, bins = s.plan(), s.bins
+    s.decided = 0
+    while bins > least and s.made and s.decided < DECISIONS:  # another filling at one decision, from the last ones up
+        others = s.back()
+        depth = len(s.made)
+        for has in others:
+            s.take(others, has)
+            if s.finish(most_waste()):
+                plan, bins = s.plan(), s.bins
+                break
+            while len(s.made) > depth:
+                s.back()
     return plan
 
 
