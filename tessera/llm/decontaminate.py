@@ -2,9 +2,12 @@
 
 An item's words are its lower-cased runs of letters and digits, its shingles the
 word 5-grams (the whole sequence where it has fewer words). A window has as many
-words as an item. Windows that share no shingle with any item have a shingle
-similarity of 0 with all of them, so only windows that hold an item's shingle at
-that item's place are made. Each gets a 64-bit SimHash of its weighted shingles.
+words as an item, or is the whole of a shorter text; it may start at any word.
+Let a window hold the weight h in shingles of any item of its size, wherever they
+stand in the item, and the weight u in others: its similarity with an item of
+weight i is at most h / (u + i). h and u are running sums over a text, so only
+windows where this bound, with the lightest item of the size, reaches 0.8 are
+made; no other can match. Each gets a 64-bit SimHash of its weighted shingles.
 Fingerprints are cut into 8 blocks of 8 bits. If two of them differ in at most
 23 bits, some block differs in at most 2; an index of all items' blocks with
 their neighbours within 2 bits therefore finds every item within that radius.
@@ -24,7 +27,7 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, run_hash, small
@@ -65,61 +68,72 @@ def near_masks() -> list[int]:
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, min_similarity: float = MIN_SIMILARITY, radius: int = RADIUS) -> DataFrame:
-    """doc_id, item_id, start_word, n_words, hamming, similarity for every item that a document leaks."""
+    """doc_id, item_id, start_word, n_words (of the window), hamming, similarity for every item that a document leaks."""
     items = benchmark.select("item_id", item_words(F.col("text")).alias("w")).where(F.size("w") > 0).dropDuplicates(["item_id"])
     items = cut(items.withColumn("g", shingle_hashes(F.col("w"))).withColumn("n_words", F.size("w")).drop("w"), "items")
     n_items = items.count()
-    # a shingle's weight and its places in items
+    # a shingle's weight and the sizes of items that hold it
     holders = items.select("item_id", F.explode(F.array_distinct("g")).alias("h")).groupBy("h").count()
     weights = cut(holders.select("h", F.log1p(F.lit(float(n_items)) / F.col("count")).alias("weight")), "weights")
     rare = F.lit(_log1p(n_items))
-    places = cut(items.select("n_words", F.posexplode("g").alias("at", "h")).distinct(), "places")
-    n_places = places.count()
+    sizes = cut(items.select("n_words", F.explode("g").alias("h")).distinct().join(weights, "h"), "sizes")
+    n_sizes = sizes.count()
 
     def weighted(df, keys):
         """Distinct shingles of g with multiplicity and weight, as an array of (h, weight)."""
         each = df.select(*keys, F.explode_outer("g").alias("h")).where("h is not null").groupBy(*keys, "h").count()
-        each = each.join(small(weights, n_places), "h", "left").withColumn("weight", F.coalesce("weight", rare) * F.col("count"))
+        each = each.join(small(weights, n_sizes), "h", "left").withColumn("weight", F.coalesce("weight", rare) * F.col("count"))
         return each.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("h", "weight"))).alias("s"))
 
     item_sets = weighted(items, ["item_id", "n_words"]).withColumn("f", simhash(F.col("s"))).withColumnRenamed("s", "item_s").withColumnRenamed("f", "item_f").withColumnRenamed("n_words", "item_words")
     item_sets = cut(item_sets, "item-sets")
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x["weight"])
+    lightest = item_sets.groupBy(F.col("item_words").alias("n_words")).agg(F.min(total("item_s")).alias("lightest"))
 
-    # windows: where a document holds an item's shingle, the window that puts it in the item's place
+    # windows: each shingle that items of a size hold counts in all windows of that size over it
     d = docs.select("doc_id", item_words(F.col("text")).alias("w"))
     d = d.select("doc_id", F.size("w").alias("doc_words"), shingle_hashes(F.col("w")).alias("g"))
     # the outer form, or a filter on the array's size would compute all hashes once more below
-    hits = d.select("doc_id", "doc_words", F.posexplode_outer("g").alias("p", "h")).where("h is not null").join(small(places, n_places), "h")
-    hits = hits.withColumn("start", F.col("p") - F.col("at")).where((F.col("start") >= 0) & (F.col("start") + F.col("n_words") <= F.col("doc_words")) & ((F.col("n_words") >= SHINGLE) | (F.col("doc_words") == F.col("n_words"))))
-    windows = cut(hits.select("doc_id", "start", "n_words").distinct(), "windows")
+    hits = d.select("doc_id", "doc_words", F.posexplode_outer("g").alias("p", "h")).where("h is not null and doc_id is not null").join(small(sizes, n_sizes), "h")
+    hits = hits.where((F.col("n_words") >= SHINGLE) | (F.col("doc_words") == F.col("n_words"))).groupBy("doc_id", "doc_words", "n_words", "p").agg(F.first("weight").alias("weight"))
+    held = F.greatest(F.least("n_words", "doc_words") - (SHINGLE - 1), F.lit(1))
+    last = F.greatest(F.col("doc_words") - F.col("n_words"), F.lit(0))
+    enters = F.struct(F.greatest(F.col("p") - held + 1, F.lit(0)).alias("at"), F.col("weight"), F.lit(1).alias("n"))
+    leaves = F.struct((F.least("p", last) + 1).alias("at"), (-F.col("weight")).alias("weight"), F.lit(-1).alias("n"))
+    turns = hits.select("doc_id", "doc_words", "n_words", F.explode(F.array(enters, leaves)).alias("x"))
+    turns = turns.groupBy("doc_id", "n_words", "doc_words", "x.at").agg(F.sum("x.weight").alias("weight"), F.sum("x.n").alias("n"))
+    by_start = Window.partitionBy("doc_id", "n_words", "doc_words").orderBy("at")
+    turns = turns.select("doc_id", "n_words", "doc_words", F.col("at").alias("first"), (F.lead("at").over(by_start) - 1).alias("last"), F.sum("weight").over(by_start).alias("h"), F.sum("n").over(by_start).alias("n"))
+    turns = turns.where("n > 0").join(F.broadcast(lightest), "n_words")
+    windows = turns.where(F.col("h") >= min_similarity * ((held - F.col("n")) * rare + F.col("lightest")) - 1e-6)
     # once more over the texts that have windows, for the windows' own shingles
-    spans = windows.groupBy("doc_id").agg(F.collect_set(F.struct("start", "n_words")).alias("spans"))
+    spans = windows.groupBy("doc_id").agg(F.collect_set(F.struct("first", "last", "n_words", F.least("n_words", "doc_words").alias("words"))).alias("spans"))
     spans = cut(spans, "spans")
     own = docs.select("doc_id", "text").join(small(spans, spans.count()), "doc_id").select("doc_id", "spans", item_words(F.col("text")).alias("w"))
     own = own.select("doc_id", "spans", shingle_hashes(F.col("w")).alias("g"))
-    own = own.select("doc_id", F.col("g"), F.explode_outer("spans").alias("x")).select("doc_id", "x.start", "x.n_words", F.slice("g", F.col("x.start") + 1, F.greatest(F.col("x.n_words") - (SHINGLE - 1), F.lit(1))).alias("g"))
-    own = weighted(own.dropDuplicates(["doc_id", "start", "n_words"]), ["doc_id", "start", "n_words"])
+    own = own.select("doc_id", "g", F.explode_outer("spans").alias("x")).select("doc_id", "g", "x.n_words", "x.words", F.explode(F.sequence("x.first", "x.last")).alias("start"))
+    own = own.dropDuplicates(["doc_id", "start", "n_words"]).withColumn("g", F.slice("g", F.col("start") + 1, F.greatest(F.col("n_words") - (SHINGLE - 1), F.lit(1))))
+    own = weighted(own, ["doc_id", "start", "n_words", "words"])
     own = cut(own.withColumn("f", simhash(F.col("s"))), "fingerprints")
 
     # multi-index: items under every near value of each block
     index = item_sets.select("item_id", "item_f", "item_words", F.posexplode(F.array(*[block(F.col("item_f"), k) for k in range(BLOCKS)])).alias("k", "v"))
     index = index.select("item_id", "item_f", "item_words", "k", F.explode(F.transform(F.array(*[F.lit(m) for m in near_masks()]), lambda m: F.col("v").bitwiseXOR(m))).alias("v"))
-    keyed = own.select("doc_id", "start", "n_words", "s", "f", F.posexplode(F.array(*[block(F.col("f"), k) for k in range(BLOCKS)])).alias("k", "v"))
+    keyed = own.select("doc_id", "start", "n_words", "words", "s", "f", F.posexplode(F.array(*[block(F.col("f"), k) for k in range(BLOCKS)])).alias("k", "v"))
     far = F.bit_count(F.col("f").bitwiseXOR(F.col("item_f")))
     gap = F.col("f").bitwiseXOR(F.col("item_f"))
     first = F.coalesce(*[F.when(F.bit_count(block(gap, k)) <= NEAR_BITS, F.lit(k)) for k in range(BLOCKS)])  # the same pair in several blocks counts once
     index = small(index, n_items * BLOCKS * len(near_masks()))
     found = keyed.join(index, ["k", "v"]).where((far <= radius) & (first == F.col("k")) & (F.col("n_words") == F.col("item_words"))).withColumn("hamming", far)
-    found = found.select("doc_id", "start", "n_words", "hamming", "s", "item_id").join(small(item_sets.select("item_id", "item_s"), n_items), "item_id")
+    found = found.select("doc_id", "start", "words", "hamming", "s", "item_id").join(small(item_sets.select("item_id", "item_s"), n_items), "item_id")
 
     # exact: the sum of the smaller over the sum of the larger weights of each shingle
-    total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x["weight"])
     mine = F.map_from_entries("item_s")
     both = F.aggregate("s", F.lit(0.0), lambda a, x: a + F.least(x["weight"], F.coalesce(F.element_at(mine, x["h"]), F.lit(0.0))))
     found = found.withColumn("_b", both).withColumn("similarity", F.col("_b") / (total("s") + total("item_s") - F.col("_b"))).where(F.col("similarity") >= min_similarity - 1e-9)
-    best = F.max_by(F.struct("start", "n_words", "hamming", "similarity"), F.struct(F.round("similarity", 9), -F.col("start")))
+    best = F.max_by(F.struct("start", "words", "hamming", "similarity"), F.struct(F.round("similarity", 9), -F.col("start")))
     found = found.groupBy("doc_id", "item_id").agg(best.alias("b"))
-    return found.select("doc_id", "item_id", F.col("b.start").cast("long").alias("start_word"), F.col("b.n_words").cast("long").alias("n_words"), F.col("b.hamming").cast("int").alias("hamming"), F.col("b.similarity").alias("similarity"))
+    return found.select("doc_id", "item_id", F.col("b.start").cast("long").alias("start_word"), F.col("b.words").cast("long").alias("n_words"), F.col("b.hamming").cast("int").alias("hamming"), F.col("b.similarity").alias("similarity"))
 
 
 def _log1p(n: int) -> float:

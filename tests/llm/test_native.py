@@ -1,5 +1,10 @@
 """The operators with SQL against DuckDB, on the smallest tables and on rows of odd shape."""
 
+import math
+import random
+import re
+from collections import Counter
+
 import duckdb
 import pytest
 
@@ -72,3 +77,43 @@ def test_keeps_columns(spark, tmp_path):
     assert quality_rules.keep(docs).columns == docs.columns == decontaminate.clean(docs, items).columns
     assert {r["doc_id"] for r in decontaminate.clean(docs, items).collect()} == {1, 2, 3, 6, 7, 8, None}
     assert license_scan.scan(docs).columns == ["doc_id", "unit", "unit_no", "license", "template_no", "dice"]
+
+
+def slid(docs, items, least=0.8):
+    """doc_id, item_id of every window of every document that reaches an item, by the definition."""
+    words = lambda t: re.findall(r"[^\W_]+", (t or "").lower())
+    shingles = lambda w: Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else Counter([tuple(w)])
+    known = {k: words(t) for k, t in items if words(t)}
+    holders = Counter(g for w in known.values() for g in shingles(w))
+    weight = lambda g: math.log1p(len(known) / max(1, holders[g]))
+    out = {}
+    for d, t in docs:
+        w = words(t)
+        for k, v in known.items():
+            mine, best = shingles(v), (0, 0, 0)
+            for start in range(max(0, len(w) - len(v)) + 1) if w and (len(v) >= 5 or len(v) == len(w)) else ():
+                own = shingles(w[start : start + len(v)])
+                low = sum(min(own[g], mine[g]) * weight(g) for g in own | mine)
+                high = sum(max(own[g], mine[g]) * weight(g) for g in own | mine)
+                best = max(best, (round(low / high, 9), -start, min(len(v), len(w))))
+            if best[0] >= least:
+                out[d, k] = (-best[1], best[2], round(best[0], 6))
+    return out
+
+
+def test_leaks_slide_over_all_windows(spark):
+    r = random.Random(3)
+    fresh = lambda n: [f"w{r.randrange(10**9)}" for _ in range(n)]
+    items = [(k, fresh(50)) for k in range(6)] + [(6, fresh(7)), (7, fresh(3))]
+    docs = []
+    for _, w in items[:6]:
+        for n in range(1, 7):
+            docs += [w[n:] + fresh(30), fresh(30) + w[:-n], w[n:], w[: len(w) - n], w[n // 2 : len(w) - n + n // 2], fresh(9) + w[n:] + fresh(9)]
+        docs += [fresh(20) + w[25:] + w[:25] + fresh(20), fresh(5) + w[:20] + fresh(2) + w[20:] + fresh(5), fresh(5) + w + w, w[:20] + fresh(1) + w[22:]]
+    docs += [w for _, w in items] + [items[6][1][1:] + fresh(3), items[7][1] + fresh(1), fresh(4)]
+    docs = [(k, " ".join(w)) for k, w in enumerate(docs)]
+    items = [(k, " ".join(w)) for k, w in items]
+    got = decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    want = slid(docs, items)
+    assert {(r["doc_id"], r["item_id"]): (r["start_word"], r["n_words"], round(r["similarity"], 6)) for r in got} == want
+    assert {(k, 0) for k in range(29)} - {(k, 0) for k in (5, 11, 17, 23)} <= set(want)  # 1 to 5 words missing at an edge
