@@ -7,6 +7,7 @@ from itertools import pairwise
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tessera.llm import gru, packing, perplexity, toxicity, url_filter
@@ -112,6 +113,22 @@ def test_url_parts_and_rules(spark):
     assert url_filter.judge(pages).count() == len(rows) and url_filter.judge(pages.limit(0)).count() == 0
 
 
+def test_concatenated_hosts_split(spark):
+    urls = ["http://free.net/", "http://bets.net/", "http://news.org/fr/", "http://weather.org/fr/", *["http://freebets.com/"] * 40, *["http://newsweather.com/"] * 40]
+    page = "<title>Free bets, news</title><p>weather news and free bets at freebets.com or http://newsweather.com/"
+    pages = spark.createDataFrame([(k, u, page) for k, u in enumerate(urls)], "page_id long, url string, html string")
+    got = {r["host"]: r["verdict"] for r in url_filter.judge(pages).collect()}
+    assert got["freebets.com"] == "block" and got["newsweather.com"] == "allow"
+
+
+def test_no_word_is_too_rare_to_count(spark):
+    common = spark.range(60_000).select(F.translate(F.col("id").cast("string"), "0123456789", "abcdefghij").alias("word"), F.lit(2).cast("long").alias("count"))
+    words = common.unionByName(spark.createDataFrame([("zebra", 1), ("quilt", 1)], "word string, count long"))
+    runs = spark.createDataFrame([("zebraquilt", 1), ("quiltzebra", 5000), ("ß", 1)], "run string, n long")
+    got = {r["run"]: r["words"] for r in url_filter.splits(runs, words).collect()}
+    assert got == {"zebraquilt": ["zebra", "quilt"], "quiltzebra": ["quilt", "zebra"], "ß": ["ß"]}
+
+
 def test_viterbi_against_all_splits():
     words = {"casino": 5, "win": 9, "free": 4, "bets": 3, "bet": 6, "s": 1, "in": 8}
     s = url_filter.Segmenter(words)
