@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import cut
+
 
 def expand(edges: DataFrame, seeds: DataFrame, depth: int = 2) -> DataFrame:
     """id, hop: what seeds reach in at most `depth` steps, each at its nearest hop."""
@@ -16,19 +18,21 @@ def expand(edges: DataFrame, seeds: DataFrame, depth: int = 2) -> DataFrame:
     return seen.groupBy("id").agg(F.min("hop").alias("hop"))
 
 
-def closure(edges: DataFrame, rounds: int = 5) -> DataFrame:
-    """src, dst of all paths of at most 2^rounds edges. Paths double each round; only new pairs go on."""
-    paths = edges.select("src", "dst").distinct()
-    for _ in range(rounds):
+def closure(edges: DataFrame) -> DataFrame:
+    """src, dst of all paths, of any length and round cycles. Their length doubles each round, until a round finds no new pair."""
+    paths = cut(edges.select("src", "dst").distinct(), "paths")
+    before, n = -1, paths.count()
+    while n > before:
         onward = paths.select(F.col("src").alias("dst"), F.col("dst").alias("_to"))
-        paths = paths.unionByName(paths.join(onward, "dst").select("src", F.col("_to").alias("dst"))).distinct()
+        paths = cut(paths.unionByName(paths.join(onward, "dst").select("src", F.col("_to").alias("dst"))).distinct(), "paths")
+        before, n = n, paths.count()
     return paths
 
 
-def impact(edges: DataFrame, rounds: int = 3) -> DataFrame:
+def impact(edges: DataFrame) -> DataFrame:
     """id, dependents (different records that lead to it) and impact (the in-degrees of it and them summed)."""
     degree = edges.groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("degree"))
-    up = closure(edges, rounds).select(F.col("dst").alias("id"), F.col("src").alias("by")).where("id <> by")
+    up = closure(edges).select(F.col("dst").alias("id"), F.col("src").alias("by")).where("id <> by")
     rest = up.join(degree.select(F.col("id").alias("by"), F.col("degree").alias("more")), "by", "left").groupBy("id").agg(F.count("*").alias("dependents"), F.coalesce(F.sum("more"), F.lit(0)).alias("more"))
     return rest.join(degree, "id").select("id", "dependents", (F.col("degree") + F.col("more")).alias("impact"))
 
