@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut
+from .storage import cut
 
 
 def expand(edges: DataFrame, seeds: DataFrame, depth: int = 2) -> DataFrame:
