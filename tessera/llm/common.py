@@ -2,33 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.operators.storage import cut, shared_dir  # noqa: F401
+
 #: White space of the word contracts: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACE = "[\\x20\\x09-\\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster (spark.checkpoint.dir); where it is unset, as in tests, a folder of our own."""
-    place = spark.conf.get("spark.checkpoint.dir", None)
-    if not place:
-        place = tempfile.mkdtemp(prefix="tessera-")
-        spark.conf.set("spark.checkpoint.dir", place)
-    return place
-
-
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table into the shared folder and read it back: later steps restart from there, not from the source."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def open_shared(path: str, mode: str):
     """A file in a shared folder, by its URI or plain path, as a pyarrow stream to read or write."""
     from pyarrow import fs
@@ -44,13 +26,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Up to so many thin rows are sent to all executors; more are joined by shuffle.
-MAX_BROADCAST_ROWS = 1_000_000
+#: Tables of at most so many bytes, rows in full, are sent to all executors; larger ones are joined by shuffle.
+MAX_BROADCAST_BYTES = 32 << 20
 
 
-def small(df: DataFrame, rows: int) -> DataFrame:
-    """df, to be broadcast if its rows are counted and few."""
-    return F.broadcast(df) if rows <= MAX_BROADCAST_ROWS else df
+def small(df: DataFrame) -> DataFrame:
+    """df, to be broadcast if its measured bytes are few: of fixed columns 8 each, of texts, binaries and arrays what they hold."""
+    size = F.lit(8 * len(df.columns))
+    for f in df.schema.fields:
+        kind = f.dataType.typeName()
+        if kind in ("string", "binary"):
+            size = size + F.coalesce(F.octet_length(f.name), F.lit(0))
+        elif kind in ("array", "map"):
+            size = size + 16 * F.greatest(F.size(f.name), F.lit(0))
+    total = df.agg(F.sum(size)).first()[0] or 0
+    return F.broadcast(df) if total <= MAX_BROADCAST_BYTES else df
 
 
 def words(text):

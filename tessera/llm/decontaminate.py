@@ -77,12 +77,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, min_similarity: float = MIN_SIM
     weights = cut(holders.select("h", F.log1p(F.lit(float(n_items)) / F.col("count")).alias("weight")), "weights")
     rare = F.lit(_log1p(n_items))
     sizes = cut(items.select("n_words", F.explode("g").alias("h")).distinct().join(weights, "h"), "sizes")
-    n_sizes = sizes.count()
 
     def weighted(df, keys):
         """Distinct shingles of g with multiplicity and weight, as an array of (h, weight)."""
         each = df.select(*keys, F.explode_outer("g").alias("h")).where("h is not null").groupBy(*keys, "h").count()
-        each = each.join(small(weights, n_sizes), "h", "left").withColumn("weight", F.coalesce("weight", rare) * F.col("count"))
+        each = each.join(small(weights), "h", "left").withColumn("weight", F.coalesce("weight", rare) * F.col("count"))
         return each.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("h", "weight"))).alias("s"))
 
     item_sets = weighted(items, ["item_id", "n_words"]).withColumn("f", simhash(F.col("s"))).withColumnRenamed("s", "item_s").withColumnRenamed("f", "item_f").withColumnRenamed("n_words", "item_words")
@@ -94,7 +93,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, min_similarity: float = MIN_SIM
     d = docs.select("doc_id", item_words(F.col("text")).alias("w"))
     d = d.select("doc_id", F.size("w").alias("doc_words"), shingle_hashes(F.col("w")).alias("g"))
     # the outer form, or a filter on the array's size would compute all hashes once more below
-    hits = d.select("doc_id", "doc_words", F.posexplode_outer("g").alias("p", "h")).where("h is not null and doc_id is not null").join(small(sizes, n_sizes), "h")
+    hits = d.select("doc_id", "doc_words", F.posexplode_outer("g").alias("p", "h")).where("h is not null and doc_id is not null").join(small(sizes), "h")
     hits = hits.where((F.col("n_words") >= SHINGLE) | (F.col("doc_words") == F.col("n_words"))).groupBy("doc_id", "doc_words", "n_words", "p").agg(F.first("weight").alias("weight"))
     held = F.greatest(F.least("n_words", "doc_words") - (SHINGLE - 1), F.lit(1))
     last = F.greatest(F.col("doc_words") - F.col("n_words"), F.lit(0))
@@ -109,7 +108,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, min_similarity: float = MIN_SIM
     # once more over the texts that have windows, for the windows' own shingles
     spans = windows.groupBy("doc_id").agg(F.collect_set(F.struct("first", "last", "n_words", F.least("n_words", "doc_words").alias("words"))).alias("spans"))
     spans = cut(spans, "spans")
-    own = docs.select("doc_id", "text").join(small(spans, spans.count()), "doc_id").select("doc_id", "spans", item_words(F.col("text")).alias("w"))
+    own = docs.select("doc_id", "text").join(small(spans), "doc_id").select("doc_id", "spans", item_words(F.col("text")).alias("w"))
     own = own.select("doc_id", "spans", shingle_hashes(F.col("w")).alias("g"))
     own = own.select("doc_id", "g", F.explode_outer("spans").alias("x")).select("doc_id", "g", "x.n_words", "x.words", F.explode(F.sequence("x.first", "x.last")).alias("start"))
     own = own.dropDuplicates(["doc_id", "start", "n_words"]).withColumn("g", F.slice("g", F.col("start") + 1, F.greatest(F.col("n_words") - (SHINGLE - 1), F.lit(1))))
@@ -123,9 +122,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, min_similarity: float = MIN_SIM
     far = F.bit_count(F.col("f").bitwiseXOR(F.col("item_f")))
     gap = F.col("f").bitwiseXOR(F.col("item_f"))
     first = F.coalesce(*[F.when(F.bit_count(block(gap, k)) <= NEAR_BITS, F.lit(k)) for k in range(BLOCKS)])  # the same pair in several blocks counts once
-    index = small(index, n_items * BLOCKS * len(near_masks()))
+    index = small(index)
     found = keyed.join(index, ["k", "v"]).where((far <= radius) & (first == F.col("k")) & (F.col("n_words") == F.col("item_words"))).withColumn("hamming", far)
-    found = found.select("doc_id", "start", "words", "hamming", "s", "item_id").join(small(item_sets.select("item_id", "item_s"), n_items), "item_id")
+    found = found.select("doc_id", "start", "words", "hamming", "s", "item_id").join(small(item_sets.select("item_id", "item_s")), "item_id")
 
     # exact: the sum of the smaller over the sum of the larger weights of each shingle
     mine = F.map_from_entries("item_s")

@@ -162,7 +162,7 @@ def score(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> Dat
     """doc_id, lang, trusted, perplexity, threshold and kept of every row of docs."""
     spark = docs.sparkSession
     ids = cut(trusted_ids(labels), "trusted")
-    ids = small(ids, ids.count())
+    ids = small(ids)
     texts = docs.where(F.col("text").isNotNull()).join(ids, "doc_id", "left_semi").select("text")
     alphabet = Alphabet(letters(texts))
     grams, contexts = kneser_ney(gram_counts(texts, alphabet))

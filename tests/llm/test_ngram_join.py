@@ -60,9 +60,33 @@ def test_keep_and_empty(spark):
 
 
 @pytest.mark.parametrize("seed", range(20))
-def test_trie_against_sets(seed):
+@pytest.mark.parametrize("cells", [1, 1 << 22])
+def test_trie_against_sets(seed, cells, monkeypatch):
+    monkeypatch.setattr(ngram_join, "CELLS", cells)
     r = np.random.default_rng(seed)
     base = np.unique(r.integers(0, 300, 60).astype(np.uint64))
-    partners = [np.unique(np.concatenate([r.choice(base, int(r.integers(1, len(base)))), r.integers(0, 300, int(r.integers(0, 9))).astype(np.uint64)])) for _ in range(50)] + [base]
-    want = [100 * len(np.intersect1d(base, p)) >= 60 * len(np.union1d(base, p)) for p in partners]
-    assert ngram_join.walk(base, partners, 60).tolist() == want
+    sets = [np.unique(np.concatenate([r.choice(base, int(r.integers(1, len(base)))), r.integers(0, 300, int(r.integers(0, 9))).astype(np.uint64)])) for _ in range(50)] + [base, base[:0]]
+    probes = [sets[k] for k in r.permutation(len(sets))[:20]]
+    want = {(i, j) for i, p in enumerate(probes) for j, s in enumerate(sets) if len(p) and len(s) and 100 * len(np.intersect1d(p, s)) >= 60 * len(np.union1d(p, s))}
+    got = {(i, j) for who, j in ngram_join.Trie(sets).walk(probes, 60) for i in who.tolist() if len(probes[i])}
+    assert got == want
+
+
+def test_passages_in_every_text(spark, monkeypatch):
+    """Texts made of a few lines that all share: every n-gram is frequent, in blocks of a few sets."""
+    monkeypatch.setattr(ngram_join, "BLOCK_BYTES", 2000)
+    r = random.Random(3)
+    lines = [" ".join(f"w{k}x{i}" for i in range(12)) for k in range(10)]
+    rows = [(k + 1, "\n".join(sorted(r.sample(lines, r.choice([3, 7, 8, 9])))), "x") for k in range(150)]
+    rows += [(1000 + k, f"{lines[0]} {k} {lines[1]}", "x") for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, label string")
+    got = sorted((tuple(x) for x in ngram_join.components(docs, 4, 85).collect()), key=str)
+    assert got == brute(rows, 4, 85)
+
+
+def test_keep_judges_rows(spark):
+    a, b = "one two three four five six", "seven eight nine ten eleven twelve"
+    rows = [(1, a, "x"), (1, b, "x"), (2, b + " ", "y"), (1, a, "z"), (3, "", "p"), (3, "", "p")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, node string")
+    got = sorted(tuple(x) for x in ngram_join.keep(docs).collect())
+    assert got == sorted([(1, a, "x"), (1, b, "x"), (3, "", "p"), (3, "", "p")])
