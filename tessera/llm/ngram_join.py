@@ -331,7 +331,7 @@ def verified(tries: DataFrame, docs: DataFrame, reps: DataFrame, size: int, perc
     def group(df: pd.DataFrame) -> pd.DataFrame:
         links = []
         for _, d in df.groupby("trie", sort=False):
-            d = d.drop_duplicates("node")
+            d = d.sort_values("probe", ascending=False).drop_duplicates("node")
             links += joined(d["node"].to_numpy(), [np.frombuffer(k, "<u8") for k in d["keys"]], d["probe"].to_numpy(bool), percent)
         return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
 
@@ -340,13 +340,14 @@ def verified(tries: DataFrame, docs: DataFrame, reps: DataFrame, size: int, perc
     total = tries.join(wanted.select("node", "n_shingles"), "node").agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
     n_groups = max(64, -(-8 * total // DEAL_BYTES))
     dealt_to = tries.withColumn("g", F.pmod(F.xxhash64("trie"), F.lit(n_groups)))
-    full = dealt_to.join(sets_of(docs, wanted.select("doc_id", "mark"), size), "node")
+    full = sets_of(docs, wanted.select("doc_id", "mark"), size).join(small(dealt_to), "node")
     return full.groupBy("g").applyInPandas(group, "a long, b long").distinct()
 
 
-def stars(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Pairs (a, b) as tries: a is the probe, its partners are dealt into tries of BLOCK_BYTES at most."""
-    sized = pairs.join(sizes.withColumnRenamed("node", "b"), "b")
+def stars(pairs: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of sizes that can link as tries: a is the probe, its partners are dealt into tries of BLOCK_BYTES at most."""
+    sized = pairs.join(sizes.withColumnRenamed("node", "b"), "b").join(sizes.select(F.col("node").alias("a"), F.col("n_shingles").alias("n_a")), "a")
+    sized = sized.where(F.least("n_a", "n_shingles") * (100 + percent) >= percent * (F.col("n_a") + F.col("n_shingles")))
     tries = sized.groupBy("a").agg(F.ceil(F.sum("n_shingles") * 8 / BLOCK_BYTES).alias("tries"))
     members = sized.join(tries, "a").select("a", F.pmod(F.xxhash64("b"), F.col("tries")).alias("k"), F.col("b").alias("node"), F.lit(False).alias("probe"))
     heads = tries.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tries") - 1)).alias("k"), F.col("a").alias("node"), F.lit(True).alias("probe"))
@@ -354,12 +355,14 @@ def stars(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
 
 
 def blocks(places: DataFrame) -> DataFrame:
-    """Rows (key, node, n) as tries: the nodes of a key in blocks of BLOCK_BYTES, and a trie for every two blocks."""
-    per_key = places.groupBy("key").agg(F.ceil(F.sum("n") * 8 / BLOCK_BYTES).alias("blocks"))
-    own = places.join(per_key, "key").withColumn("i", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    each = own.select("key", "node", "i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("j"))
-    # of two blocks one holds the probes; a block by itself is both
-    return each.select(F.xxhash64("key", F.least("i", "j"), F.greatest("i", "j")).alias("trie"), "node", (F.col("i") <= F.col("j")).alias("probe"))
+    """Rows (main, node, n, stray) as tries: the nodes of each main component and the strays in blocks of BLOCK_BYTES, and a trie for every two."""
+    n_bytes = lambda rows: F.greatest(F.lit(1), F.ceil(F.sum(rows) * 8 / BLOCK_BYTES))
+    per = places.groupBy("main").agg(n_bytes(F.col("n")).alias("all"), n_bytes(F.when(F.col("stray"), F.col("n")).otherwise(0)).alias("probes"))
+    own = places.join(per, "main")
+    other = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    members = own.select("main", "node", F.pmod(F.xxhash64("node"), F.col("all")).alias("i"), other("probes").alias("j"), F.lit(False).alias("probe"))
+    probes = own.where("stray").select("main", "node", other("all").alias("i"), F.pmod(F.xxhash64("node"), F.col("probes")).alias("j"), F.lit(True).alias("probe"))
+    return members.unionByName(probes).select(F.xxhash64("main", "i", "j").alias("trie"), "node", "probe")
 
 
 def merge(links: DataFrame) -> DataFrame:
@@ -396,7 +399,7 @@ def labelled(docs: DataFrame, size: int, percent: int, one_document: bool) -> Da
     heavy = cut(heavy.join(alike, "key"), "heavy-once")
     to_hub = heavy.where("hub <> node").select(F.col("hub").alias("a"), F.col("node").alias("b"))
     pairs = cut(light.unionByName(to_hub).distinct(), "pairs")
-    links = verified(stars(pairs, sizes), docs, reps, size, percent)
+    links = verified(stars(pairs, sizes, percent), docs, reps, size, percent)
     if one_document:
         same = whole.groupBy("doc_id").agg(F.collect_set("node").alias("nodes")).where(F.size("nodes") > 1)
         same = same.select(F.col("nodes")[0].alias("a"), F.explode("nodes").alias("b")).where("a <> b")
@@ -406,8 +409,10 @@ def labelled(docs: DataFrame, size: int, percent: int, one_document: bool) -> Da
 
     # n-grams that still stand between components
     of = heavy.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    mixed_keys = of.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
-    left = cut(of.join(mixed_keys, "key").select("key", "node", "n"), "mixed")
+    main = F.min(F.struct("rare", "label"))["label"]
+    mixed_keys = of.groupBy("key").agg(main.alias("main"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key", "main")
+    left = of.join(mixed_keys, "key").select("main", "node", "n", (F.col("label") != F.col("main")).alias("stray"))
+    left = cut(left.groupBy("main", "node").agg(F.first("n").alias("n"), F.first("stray").alias("stray")), "mixed")
     if not left.isEmpty():
         labels = merge(links.unionByName(verified(blocks(left), docs, reps, size, percent)))
     return rows.join(labels, "node", "left").select("doc_id", "mark", "n_shingles", F.coalesce("label", "node").alias("label"))
