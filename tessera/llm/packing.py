@@ -229,11 +229,11 @@ def pieces(docs: DataFrame, size: int = SIZE, tokenizer: str | None = None) -> D
     """doc_id, piece, start, length, ids_crc32 of every document's pieces; all but the first have `size` ids."""
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer).encode
+        encode = encoder(tokenizer).encode_all
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = memoryview(encode(text.as_py()))
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1).to_pylist()), strict=True):
+                ids = memoryview(ids.tobytes())
                 n = len(ids) // 4
                 start, end = 0, (n - 1) % size + 1
                 for piece in range(-(-n // size)):

@@ -196,11 +196,11 @@ def write(docs: DataFrame, folder: str, tokenizer: str | None = None) -> DataFra
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode, task, rows, out = encoder(tokenizer).encode, TaskContext.get().partitionId(), [], None
+        encode, task, rows, out = encoder(tokenizer).encode_all, TaskContext.get().partitionId(), [], None
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1).to_pylist()), strict=True):
                 out = out or FileWriter(f"{folder}/{task:06d}-{len(rows):04d}-{uuid.uuid4().hex}.ids")
-                out.add(doc_id, np.frombuffer(encode(text.as_py()), "<u4"))
+                out.add(doc_id, ids)
                 if out.n_ids >= FILE_IDS:
                     rows.append((task, len(rows), out.path, *out.close()))
                     out = None

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import regex
 
+from .hashing import BYTE, mixed, powers
+
 #: The tokenizer of the contracts; its file is named by public_tokenizers.path().
 TOKENIZER = "byte_bpe_50k.json"
 END = 0
-#: Entries that a worker's memo holds before it starts afresh.
-MEMO = 600_000
+#: Entries that a worker's memo holds before it starts afresh, and characters of texts encoded at once.
+MEMO, CHUNK = 1_200_000, 1 << 21
 TAIL = ".,;:!?"
 
 
@@ -20,54 +24,119 @@ def byte_letters() -> dict[str, str]:
     return {chr(b): chr(b) for b in plain} | {chr(b): chr(256 + k) for k, b in enumerate(rest)}
 
 
-class Encoder(dict):
-    """Ids of whole texts as bytes of little-endian unsigned 32-bit numbers.
+class Encoder:
+    """Ids of whole texts as arrays of unsigned 32-bit numbers.
 
     A byte-level pattern never joins what stands before a single space to what
-    follows it, so a text is encoded word by word, each with the space before
-    it, and each word once (this dict keeps its ids). The tokenizer's model
-    does the work; texts with runs of spaces go to the tokenizer whole.
+    follows it, so a text is the ids of its words, each with the space before
+    it. The distinct words of a batch of texts (told apart by 64-bit hashes of
+    their bytes) are looked up or encoded once, and the ids of all texts are
+    gathered from them. The tokenizer's model does the work; texts with runs of
+    spaces or with a special token go to the tokenizer whole.
     """
 
     def __init__(self, file: str):
         import public_tokenizers
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.tokenizer = Tokenizer.from_file(file)
-        self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.letters = str.maketrans(byte_letters())
         self.pieces = regex.compile(public_tokenizers.PATTERN)
+        self.clear()
+
+    def clear(self) -> None:
+        self.tails: dict[str, list[int]] = {}
+        self.slots: dict[int, int] = {}
+        self.flat, self.used = np.zeros(1 << 16, "<u4"), 0
+        self.at, self.size = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
 
-    def piece(self, piece: str) -> bytes:
-        seen = self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))
-        return np.array([t.id for t in seen], "<u4").tobytes()
+    def piece(self, piece: str) -> list[int]:
+        if not (piece.isascii() and piece.isalpha()):
+            piece = piece.encode().decode("latin-1").translate(self.letters)
+        return [t.id for t in self.model.tokenize(piece)]
 
-    def __missing__(self, word: str) -> bytes:
+    def word(self, word: str) -> list[int]:
         """Ids of a space and word."""
         core = word.rstrip(TAIL)
-        if core.isalpha():
-            ids = self[core] + self.piece(word[len(core) :]) if len(core) < len(word) else self.piece(" " + word)
-        else:
-            ids = b"".join(map(self.piece, self.pieces.findall(" " + word)))
-        self[word] = ids
-        return ids
-
-    def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        if not core.isalpha():
+            return [k for p in self.pieces.findall(" " + word) for k in self.piece(p)]
+        ids = [t.id for t in self.model.tokenize(self.letters[32] + core)] if core.isascii() else self.piece(" " + core)
+        if len(core) == len(word):
+            return ids
+        tail = word[len(core) :]
+        if tail not in self.tails:
+            self.tails[tail] = self.piece(tail)
+        return ids + self.tails[tail]
+
+    def add(self, keys: list[int], words: list[list[int]]) -> None:
+        """Gives slots to words of these keys and ids."""
+        size = np.array([len(w) for w in words])
+        ids = np.array([k for w in words for k in w], "<u4")
+        n, m = len(self.slots), len(self.slots) + len(words)
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, self.flat])
+        while m > len(self.at):
+            self.at, self.size = np.concatenate([self.at, self.at]), np.concatenate([self.size, self.size])
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.at[n:m], self.size[n:m] = self.used + np.cumsum(size) - size, size
+        self.used += len(ids)
+        self.slots.update(zip(keys, range(n, m), strict=True))
+
+    def whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+
+    def by_words(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of texts without runs of spaces or special tokens; a space stands before each."""
+        raw = " ".join(texts).encode()
+        b = np.frombuffer(raw, np.uint8)
+        space = np.flatnonzero(b == 32)
+        start, end = np.concatenate([[0], space + 1]), np.concatenate([space, [len(b)]])
+        up, down = powers(len(b) + 1)
+        total = np.zeros(len(b) + 1, np.uint64)
+        np.cumsum(BYTE[b] * up[:-1], out=total[1:])
+        hashes = mixed((total[end] - total[start]) * down[start])
+        distinct, first, back = np.unique(hashes, return_index=True, return_inverse=True)
+        if len(self.slots) + len(distinct) > MEMO:
+            self.clear()
+        keys = distinct.tolist()
+        new = [k for k, h in enumerate(keys) if h not in self.slots]
+        if new:
+            self.add([keys[k] for k in new], [self.word(raw[i:j].decode()) for i, j in zip(start[first[new]].tolist(), end[first[new]].tolist(), strict=True)])
+        slot = np.array(list(map(self.slots.__getitem__, keys)))[back]
+        size, at = self.size[slot], self.at[slot]
+        ends = np.cumsum(size)
+        ids = self.flat[np.repeat(at - ends + size, size) + np.arange(int(ends[-1]))]
+        of_text = np.cumsum([t.count(" ") + 1 for t in texts])
+        return np.split(ids, ends[of_text[:-1] - 1])
+
+    def encode_all(self, texts: list[str | None]) -> Iterator[np.ndarray]:
+        """The ids of each text and, after them, the end id; a null or empty text has the end id only. About CHUNK characters at a time."""
+        done, held = 0, 0
+        for k, t in enumerate(texts):
+            held += len(t or "")
+            if held >= CHUNK or k == len(texts) - 1:
+                yield from self._encode_all(texts[done : k + 1])
+                done, held = k + 1, 0
+
+    def _encode_all(self, texts):
+        end = np.array([END], "<u4")
+        plain = [bool(t) and "  " not in t and not any(s in t for s in self.special) for t in texts]
+        # a text's first word has no space before it
+        heads = [t.partition(" ") for t, p in zip(texts, plain, strict=True) if p]
+        tails = [tail for _, space, tail in heads if space]
+        rest = iter(self.by_words(tails) if tails else [])
+        heads = iter(heads)
+        for t, p in zip(texts, plain, strict=True):
+            if p:
+                head, space, _ = next(heads)
+                yield np.concatenate([*([self.whole(head)] if head else []), *([next(rest)] if space else []), end])
+            else:
+                yield np.concatenate([self.whole(t), end]) if t else end
 
     def encode(self, text: str | None) -> bytes:
-        """The ids of text and, after them, the end id; a null text has the end id only."""
-        if not text:
-            return END.to_bytes(4, "little")
-        if "  " in text:
-            return self.whole(text) + END.to_bytes(4, "little")
-        if len(self) > MEMO:
-            self.clear()
-        words = text.split(" ")
-        first = self.whole(words[0]) if words[0] else b""
-        return first + b"".join(map(self.__getitem__, words[1:])) + END.to_bytes(4, "little")
+        return next(self.encode_all([text])).tobytes()
 
 
 _encoders: dict[str, Encoder] = {}

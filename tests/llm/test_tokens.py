@@ -9,16 +9,15 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from tessera.llm import packing, token_files
+from tessera.llm import packing, token_files, tokens
 from tessera.llm.tokens import TOKENIZER, encoder
 
-TEXTS = ["", None, "Hello world", "a  b   c", " x", "x ", "tab\there \nnew\n\n line", "don't we'll", "<|endoftext|> é ß 漢字 🙂", "...", "1,234.5 abc, def.", "a b", "word " * 5000]
+TEXTS = ["", None, "Hello world", "a  b   c", " x", "x ", "tab\there \nnew\n\n line", "don't we'll", "<|endoftext|> é ß 漢字 🙂", "...", "1,234.5 abc, def.", "a b", "word " * 5000, "<|endoftext|>", "x <|endoftext|> y", "a<|endoftext|>b c"]
 ROWS = [(k, t, "clash") for k, t in enumerate(TEXTS)] + [(3, "a  b   c", "clash"), (None, "no id", "clash")]
 
 
 def ids(text):
     t = Tokenizer.from_file(public_tokenizers.path(TOKENIZER))
-    t.encode_special_tokens = True
     return np.array(t.encode(text or "", add_special_tokens=False).ids + [0], "<u4")
 
 
@@ -33,6 +32,15 @@ def test_memo_equals_the_tokenizer_for_any_text(text):
     assert encoder().encode(text) == ids(text).tobytes()
 
 
+@pytest.mark.parametrize("chunk", [1, 20, 1 << 21])
+def test_batches_equal_the_tokenizer(chunk, monkeypatch):
+    monkeypatch.setattr(tokens, "CHUNK", chunk)
+    monkeypatch.setattr(tokens, "MEMO", 3)
+    texts = TEXTS + ["Ab, ab. Ab", " ab", "ab\ncd ef"] + TEXTS
+    assert [x.tolist() for x in encoder().encode_all(texts)] == [ids(t).tolist() for t in texts]
+    assert list(encoder().encode_all([])) == []
+
+
 @pytest.mark.parametrize("high", [1, 2, 300, 50257, 2**32 - 1])
 def test_blocks_come_back(high):
     r = np.random.default_rng(high)
