@@ -33,7 +33,7 @@ from .common import cut, table
 from .tokens import encoder
 
 SIZE = 2048
-#: Steps of the search for one filling, and decisions after the first way to the end.
+#: Steps of one enumeration of fillings, and decisions after the first way down.
 FILLING_STEPS, DECISIONS = 4000, 5_000
 #: Pieces of one length in one salt, about.
 SALT_ROWS = 20_000
@@ -87,14 +87,17 @@ def best_fit(counts: dict[int, int], size: int) -> Plan:
     return [(bins, sorted(has.items(), reverse=True)) for groups in open_.values() for bins, has in groups]
 
 
-def fillings(counts: dict[int, int], lengths: list[int], room: int) -> list[dict[int, int]]:
-    """Undominated fillings of room by pieces that are left, the fullest first. lengths: those left, ascending."""
+def fillings(counts: dict[int, int], lengths: list[int], room: int, slack: int, first: bool) -> list[dict[int, int]]:
+    """Undominated fillings of room by pieces that are left, the fullest first. lengths: those left, ascending.
+
+    slack: the room that a filling may leave. first: stop at a perfect filling.
+    """
     found: list[tuple[int, dict[int, int]]] = []
-    steps, best = 0, room + 1
+    steps = 0
 
     def go(room: int, most: int, has: dict[int, int]) -> bool:
-        """True to stop: a perfect filling, or no steps left."""
-        nonlocal steps, best
+        """True to stop: a perfect filling and first, or no steps left."""
+        nonlocal steps
         steps += 1
         at = bisect_left(lengths, min(most, room) + 1) - 1
         fits = False
@@ -105,10 +108,9 @@ def fillings(counts: dict[int, int], lengths: list[int], room: int) -> list[dict
                 if go(room - n, n, has | {n: has.get(n, 0) + 1}) or steps > FILLING_STEPS:
                     return True
             at -= 1
-        if not fits and room <= best:  # nothing more fits below `most`
-            best = min(best, room)
+        if not fits and room <= slack:  # nothing more fits below `most`
             found.append((room, has))
-        return room == 0
+        return first and room == 0
 
     go(room, room, {})
     # the best fit, piece after piece, is a filling too
@@ -134,51 +136,71 @@ def fillings(counts: dict[int, int], lengths: list[int], room: int) -> list[dict
     for waste, has in sorted(found, key=lambda x: (x[0], sum(x[1].values()))):
         if has not in out and (not out or not dominated(waste, has)):
             out.append(has)
-    return out[:4]
+    return out
 
 
 class Search:
-    """Fillings decided from the largest length down. Decisions can be taken back, so another choice costs only what follows it."""
+    """Depth-first branch-and-bound over fillings, decided from the largest length down.
+
+    A node's branches are its undominated fillings, each repeated while pieces
+    last; when those are spent, all fillings that the waste left allows, and each
+    of several repeats once alone, so that any mix of fillings can be reached. A
+    node is left as soon as its waste shows that it can't use fewer bins than the
+    incumbent.
+    """
 
     def __init__(self, counts: dict[int, int], size: int):
         self.counts, self.lengths, self.size = dict(counts), sorted(counts), size
-        self.made: list[tuple[list[dict[int, int]], dict[int, int], int]] = []  # options, the one taken, how often
+        #: Per decision: the length decided, branches left, branches tried, whether all were listed, the one taken, how often.
+        self.made: list[tuple[int, list, list, bool, dict[int, int], int]] = []
         self.waste = self.bins = self.decided = 0
 
-    def take(self, options: list[dict[int, int]], has: dict[int, int]) -> None:
-        times = min(self.counts[n] // m for n, m in has.items())
-        for n, m in has.items():
-            self.counts[n] -= times * m
-            if not self.counts[n]:
-                self.lengths.remove(n)
-        self.made.append((options, has, times))
-        self.waste += times * (self.size - sum(n * m for n, m in has.items()))
+    def take(self, n: int, left: list, tried: list, all_: bool) -> None:
+        has, times = left.pop(0)
+        tried.append((has, times))
+        for k, m in has.items():
+            self.counts[k] -= times * m
+            if not self.counts[k]:
+                self.lengths.remove(k)
+        self.made.append((n, left, tried, all_, has, times))
+        self.waste += times * (self.size - sum(k * m for k, m in has.items()))
         self.bins += times
         self.decided += 1
 
-    def back(self) -> list[dict[int, int]]:
-        """Takes the last decision back; the fillings that it left aside."""
-        options, has, times = self.made.pop()
-        for n, m in has.items():
-            if not self.counts[n]:
-                insort(self.lengths, n)
-            self.counts[n] += times * m
-        self.waste -= times * (self.size - sum(n * m for n, m in has.items()))
-        self.bins -= times
-        return [x for x in options if x != has]
-
-    def finish(self, most_waste: int) -> bool:
-        """Goes on with the first fillings. False as soon as the waste is over most_waste."""
+    def branches(self, n: int, most_waste: int, first: bool) -> list[tuple[dict[int, int], int]]:
+        """The fillings around a piece of the largest length n, and how often each is taken."""
+        self.counts[n] -= 1
+        found = [x | {n: x.get(n, 0) + 1} for x in fillings(self.counts, self.lengths, self.size - n, most_waste - self.waste, first)]
+        self.counts[n] += 1
+        often = [(x, min(self.counts[k] // m for k, m in x.items())) for x in found]
+        return often if first else often + [(x, 1) for x, times in often if times > 1]
+
+    def forward(self, most_waste: int) -> bool:
+        """Goes on with first branches to the end. False as soon as the waste is over most_waste."""
         while self.waste <= most_waste and self.lengths:
             n = self.lengths[-1]
-            self.counts[n] -= 1
-            options = [x | {n: x.get(n, 0) + 1} for x in fillings(self.counts, self.lengths, self.size - n)]
-            self.counts[n] += 1
-            self.take(options, options[0])
+            self.take(n, self.branches(n, most_waste, True), [], False)
         return self.waste <= most_waste
 
+    def back(self, most_waste: int) -> bool:
+        """Goes back to the nearest decision with another branch and takes it. False if there is none."""
+        while self.made:
+            n, left, tried, all_, has, times = self.made.pop()
+            for k, m in has.items():
+                if not self.counts[k]:
+                    insort(self.lengths, k)
+                self.counts[k] += times * m
+            self.waste -= times * (self.size - sum(k * m for k, m in has.items()))
+            self.bins -= times
+            if not left and not all_:
+                left, all_ = [x for x in self.branches(n, most_waste, False) if x not in tried], True
+            if left:
+                self.take(n, left, tried, all_)
+                return True
+        return False
+
     def plan(self) -> Plan:
-        return [(times, sorted(has.items(), reverse=True)) for _, has, times in self.made]
+        return [(times, sorted(has.items(), reverse=True)) for *_, has, times in self.made]
 
 
 def pack(counts: dict[int, int], size: int = SIZE) -> Plan:
@@ -189,24 +211,19 @@ def pack(counts: dict[int, int], size: int = SIZE) -> Plan:
     total, least = sum(n * c for n, c in counts.items()), lower_bound(counts, size)
     plan = best_fit(counts, size)
     bins = sum(b for b, _ in plan)
-    if bins <= least:
-        return plan
-    # fewer bins than the incumbent leave at most so much room unused
-    most_waste = lambda: (bins - 1) * size - total
     s = Search(counts, size)
-    if s.finish(most_waste()):
-        plan, bins = s.plan(), s.bins
-    s.decided = 0
-    while bins > least and s.made and s.decided < DECISIONS:  # another filling at one decision, from the last ones up
-        others = s.back()
-        depth = len(s.made)
-        for has in others:
-            s.take(others, has)
-            if s.finish(most_waste()):
-                plan, bins = s.plan(), s.bins
-                break
-            while len(s.made) > depth:
-                s.back()
+    limit = None
+    # fewer bins than the incumbent leave at most so much room unused
+    while bins > least:
+        most_waste = (bins - 1) * size - total
+        if s.forward(most_waste):
+            plan, bins = s.plan(), s.bins
+            more = bins > least and s.back((bins - 1) * size - total)
+        else:
+            more = s.back(most_waste)
+        limit = s.decided + DECISIONS if limit is None else limit  # decisions after the first way down
+        if not more or s.decided > limit:
+            break
     return plan
 
 
