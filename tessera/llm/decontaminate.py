@@ -164,14 +164,15 @@ isum AS (SELECT item_id, sum(weight) AS total FROM iset GROUP BY item_id),
 d AS (SELECT DISTINCT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents),
 ds AS (SELECT doc_id, len(w) AS doc_words, p, array_to_string(list_slice(w, p + 1, CASE WHEN len(w) < 5 THEN len(w) ELSE p + 5 END), ' ') AS h
        FROM (SELECT doc_id, w, unnest(range(0, greatest(len(w) - 4, 1))) AS p FROM d WHERE len(w) > 0)),
-win AS (SELECT DISTINCT ds.doc_id, p - o AS start, n_words FROM ds JOIN ish ON ds.h = ish.h
-        WHERE p - o >= 0 AND p - o + n_words <= doc_words AND (n_words >= 5 OR doc_words = n_words)),
-wset AS (SELECT win.doc_id, win.start, win.n_words, ds.h, count(*) AS c FROM win JOIN ds ON ds.doc_id = win.doc_id AND ds.p >= win.start AND ds.p < win.start + greatest(win.n_words - 4, 1) GROUP BY ALL),
+sz AS (SELECT DISTINCT h, n_words FROM ish),
+win AS (SELECT DISTINCT doc_id, n_words, unnest(range(greatest(0, p - greatest(least(n_words, doc_words) - 4, 1) + 1), least(p, greatest(doc_words - n_words, 0)) + 1)) AS start
+        FROM ds JOIN sz ON ds.h = sz.h WHERE n_words >= 5 OR doc_words = n_words),
+wset AS (SELECT win.doc_id, win.start, win.n_words, ds.h, count(*) AS c FROM win JOIN ds ON ds.doc_id = win.doc_id AND ds.p >= win.start AND ds.p < win.start + greatest(win.n_words - 4, 1) GROUP BY win.doc_id, win.start, win.n_words, ds.h),
 ww AS (SELECT doc_id, start, n_words, wset.h, c * coalesce(weight, ln(1 + n::DOUBLE)) AS weight FROM wset LEFT JOIN wt ON wset.h = wt.h, nn),
 wsum AS (SELECT doc_id, start, n_words, sum(weight) AS total FROM ww GROUP BY ALL),
 pr AS (SELECT ww.doc_id, start, ww.n_words, item_id, sum(least(ww.weight, iset.weight)) AS shared FROM ww JOIN iset ON ww.h = iset.h AND ww.n_words = iset.n_words GROUP BY ALL),
 sim AS (SELECT pr.doc_id, pr.start, pr.n_words, pr.item_id, shared / (wsum.total + isum.total - shared) AS similarity
         FROM pr JOIN wsum ON pr.doc_id = wsum.doc_id AND pr.start = wsum.start AND pr.n_words = wsum.n_words JOIN isum ON pr.item_id = isum.item_id)
-SELECT doc_id, item_id, start AS start_word, n_words, similarity
-FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY round(similarity, 9) DESC, start) AS r FROM sim WHERE similarity >= 0.8 - 1e-9) WHERE r = 1
+SELECT doc_id, item_id, start AS start_word, least(n_words, doc_words) AS n_words, similarity
+FROM (SELECT sim.*, doc_words, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY round(similarity, 9) DESC, start) AS r FROM sim JOIN (SELECT doc_id, max(doc_words) AS doc_words FROM ds GROUP BY doc_id) USING (doc_id) WHERE similarity >= 0.8 - 1e-9) WHERE r = 1
 """

@@ -12,12 +12,14 @@ import numpy as np
 
 from .hashing import Words
 
-WINDOW, STRIDE = 24, 16
+WINDOW, STRIDE = 24, 8
 WORD_DIM, CHAR_DIM, HIDDEN, ATTENTION = 8, 8, 8, 8
 TRIGRAMS = 4096
 #: Windows that run at once, and bytes of texts.
 BATCH, CHUNK = 2048, 1 << 21
-EPOCHS, RATE, STEP = 6, 0.01, 64
+EPOCHS, RATE, STEP = 4, 0.01, 64
+#: Epochs before which the model picks each text's highest window anew, and last epochs whose steps' parameters are averaged.
+RESCORED, AVERAGED = (1, 2, 3), 2
 
 f32 = np.float32
 
@@ -195,6 +197,12 @@ def scores(m, texts: list[str | None]) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0)
 
 
+def value_of(value: np.ndarray, x: Inputs, k: int) -> np.ndarray:
+    """The highest value of a word in each of BATCH windows from k on."""
+    places = x.start[k : k + BATCH, None] + np.arange(WINDOW)
+    return np.where(np.arange(WINDOW) < x.size[k : k + BATCH, None], value[np.minimum(places, len(value) - 1)], -9).max(axis=1)
+
+
 def fit(texts: list[str], labels: np.ndarray, max_words: int = 100_000, epochs: int = EPOCHS, seed: int = 7) -> dict[str, np.ndarray]:
     """A model from labelled texts (0 or 1, both present). In each epoch a text is its highest window by the model so far, a clean text another window besides."""
     r = np.random.default_rng(seed)
@@ -211,12 +219,12 @@ def fit(texts: list[str], labels: np.ndarray, max_words: int = 100_000, epochs:
     x = Inputs(m, w)
     docs = np.flatnonzero(x.n_windows)
     value = np.concatenate([prior, [0.0]])[x.own][x.word]  # by word of the texts
-    places = x.start[:, None] + np.arange(WINDOW)
-    logits = np.where(np.arange(WINDOW) < x.size[:, None], value[np.minimum(places, len(value) - 1)], -9).max(axis=1)
+    logits = np.concatenate([value_of(value, x, k) for k in range(0, len(x.doc), BATCH)] or [np.zeros(0)])
     names = [k for k in m if k != "vocabulary"]
+    total, n_averaged = {k: np.zeros(m[k].shape) for k in names}, 0
     mean, square, step = {k: np.zeros_like(m[k]) for k in names}, {k: np.zeros_like(m[k]) for k in names}, 0
     for epoch in range(epochs):
-        if epoch:
+        if epoch in RESCORED:
             logits = window_logits(m, x)
         order = np.lexsort((-logits, x.doc))
         top = order[x.first[docs]]
@@ -243,7 +251,10 @@ def fit(texts: list[str], labels: np.ndarray, max_words: int = 100_000, epochs:
                 mean[name] += 0.1 * (g[name] - mean[name])
                 square[name] += 0.001 * (g[name] ** 2 - square[name])
                 m[name] -= (RATE * (mean[name] / (1 - 0.9**step)) / (np.sqrt(square[name] / (1 - 0.999**step)) + 1e-7)).astype(f32)
-    return m
+                if epoch >= epochs - AVERAGED:
+                    total[name] += m[name]
+            n_averaged += epoch >= epochs - AVERAGED
+    return m | {name: (t / n_averaged).astype(f32) for name, t in total.items()} if n_averaged else m
 
 
 class Part(Inputs):

@@ -11,6 +11,9 @@ BYTE = np.random.default_rng(20240607).integers(1, 2**63, 256, dtype=np.uint64)
 MARK = np.isin(np.arange(256), np.frombuffer(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~", np.uint8))
 MIX1, MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
+#: Bytes hashed at once.
+SLAB = 1 << 20
+
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
@@ -32,6 +35,21 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def run_hashes(b: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of the runs b[start:end], which ascend; about SLAB bytes at a time (a hash doesn't depend on where its run stands)."""
+    out, k = np.empty(len(start), np.uint64), 0
+    while k < len(start):
+        to = max(k + 1, int(np.searchsorted(end, start[k] + SLAB, "right")))
+        low, high = start[k], end[to - 1]
+        up, down = powers(int(high - low) + 1)
+        total = np.zeros(high - low + 1, np.uint64)
+        np.cumsum(BYTE[b[low:high]] * up[:-1], out=total[1:])
+        i, j = start[k:to] - low, end[k:to] - low
+        out[k:to] = mixed((total[j] - total[i]) * down[i])
+        k = to
+    return out
+
+
 class Words:
     """The words `[^\\x20\\x09-\\x0D]+` of a batch of texts after lower-casing A-Z.
 
@@ -53,10 +71,7 @@ class Words:
             long = self.end - self.start > 1
             self.end = self.end - (MARK[b[self.end - 1]] & long)
             self.start = self.start + (MARK[b[self.start]] & (self.end - self.start > 1))
-        up, down = powers(len(b) + 1)
-        total = np.zeros(len(b) + 1, np.uint64)
-        np.cumsum(BYTE[b] * up[:-1], out=total[1:])
-        self.hash = mixed((total[self.end] - total[self.start]) * down[self.start])
+        self.hash = run_hashes(b, self.start, self.end)
         ends = np.cumsum([len(r) + 1 for r in raw]) if raw else np.zeros(0, np.int64)
         self.first = np.concatenate([[0], np.searchsorted(self.start, ends)]).astype(np.int64)
         self.doc = np.repeat(np.arange(len(raw)), np.diff(self.first))

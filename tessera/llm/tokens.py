@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import regex
 
-from .hashing import BYTE, mixed, powers
+from .hashing import run_hashes
 
 #: The tokenizer of the contracts; its file is named by public_tokenizers.path().
 TOKENIZER = "byte_bpe_50k.json"
@@ -93,10 +93,7 @@ class Encoder:
         b = np.frombuffer(raw, np.uint8)
         space = np.flatnonzero(b == 32)
         start, end = np.concatenate([[0], space + 1]), np.concatenate([space, [len(b)]])
-        up, down = powers(len(b) + 1)
-        total = np.zeros(len(b) + 1, np.uint64)
-        np.cumsum(BYTE[b] * up[:-1], out=total[1:])
-        hashes = mixed((total[end] - total[start]) * down[start])
+        hashes = run_hashes(b, start, end)
         distinct, first, back = np.unique(hashes, return_index=True, return_inverse=True)
         if len(self.slots) + len(distinct) > MEMO:
             self.clear()

@@ -1,8 +1,10 @@
 """Toxicity of whole documents by the recurrent network of gru.py.
 
 It is fitted on the driver to a bounded sample: of each label, the MAX_TRAIN
-training rows first in the order of a hash of their doc_id, with texts of at
-most TRAIN_CHARS characters. Then it is sent to all tasks (its size is bounded
+training rows first in the order of a hash of their doc_id. Of texts of more
+than TRAIN_CHARS characters the toxic ones are left out (which part is toxic
+isn't known), the others train by a part of that size at a place drawn by hash.
+Then it is sent to all tasks (its size is bounded
 too) and scores every overlapping window of every whole text.
 
 Defined results: a text without words, null or empty scores 0; a null doc_id
@@ -25,7 +27,7 @@ from . import gru
 from .common import table
 
 FOLDS = 5
-MAX_TRAIN, TRAIN_CHARS = 1500, 50_000
+MAX_TRAIN, TRAIN_CHARS = 2000, 50_000
 LIMIT = 0.5
 
 
@@ -37,14 +39,18 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> dic
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     first = [known.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train) for k in (0, 1)]
-    ids = {r["doc_id"]: r["toxic"] for f in first for r in f.collect()}  # at most 2 * max_train
-    some = docs.select("doc_id", "text").where(F.col("doc_id").isin(list(ids)) & F.col("text").isNotNull() & (F.length("text") <= TRAIN_CHARS))
-    some = some.groupBy("doc_id").agg(F.min("text").alias("text"))
-    texts = sorted((r["doc_id"], r["text"]) for r in some.collect())
-    y = np.array([ids[k] for k, _ in texts])
+    chosen = F.broadcast(first[0].unionByName(first[1]))  # at most 2 * max_train rows
+    text, more = F.col("text"), F.length("text") - TRAIN_CHARS
+    cut = F.when(more > 0, F.substring(text, (1 + F.pmod(F.xxhash64("doc_id"), more)).cast("int"), F.lit(TRAIN_CHARS))).otherwise(text)
+    some = docs.select("doc_id", "text").where(text.isNotNull()).join(chosen, "doc_id").where((more <= 0) | (F.col("toxic") == 0))
+    some = some.groupBy("doc_id").agg(F.min(cut).alias("text"), F.max("toxic").alias("toxic"))
+    rows = sorted(map(tuple, some.collect()))
+    y = np.array([r[2] for r in rows])
     if not len(y) or y.min() == y.max():
         return None
-    return gru.fit([t for _, t in texts], y)
+    texts = [r[1] for r in rows]
+    del rows
+    return gru.fit(texts, y)
 
 
 def score(docs: DataFrame, model: dict[str, np.ndarray] | None) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tessera.llm import gru, packing, perplexity, toxicity, url_filter
+from tessera.llm.hashing import Words
 from tessera.llm.html_text import extract, visible_text
 from tessera.llm.queries import QUERIES
 
@@ -61,6 +62,38 @@ def test_gradients_of_the_network():
             assert grad[at] == pytest.approx((up - down) / 2e-3, abs=2e-3), name
 
 
+def plain_score(m, words):
+    """The probability of the highest of all windows, a window and a word at a time."""
+    sig, h = lambda x: 1 / (1 + np.exp(-x)), gru.HIDDEN
+    starts = [0] if len(words) <= gru.WINDOW else sorted({*range(0, len(words) - gru.WINDOW + 1, gru.STRIDE), len(words) - gru.WINDOW})
+    best = -math.inf
+    for s in starts if words else []:
+        vectors = [gru.Inputs(m, Words([w], bare=True)).vectors(m)[0] for w in words[s : s + gru.WINDOW]]
+        states = []
+        for way, order in enumerate((vectors, vectors[::-1])):
+            state, seen = np.zeros(h), []
+            for v in order:
+                x, g = v @ m["w"][way] + m["b"][way], state @ m["u"][way]
+                z, r = sig(x[:h] + g[:h]), sig(x[h : 2 * h] + g[h : 2 * h])
+                state = z * state + (1 - z) * np.tanh(x[2 * h :] + r * g[2 * h :])
+                seen.append(state)
+            states.append(seen if way == 0 else seen[::-1])
+        both = [np.concatenate(p) for p in zip(*states, strict=True)]
+        e = np.exp([np.tanh(b @ m["wa"] + m["ba"]) @ m["va"] for b in both])
+        best = max(best, float(sum(w * b for w, b in zip(e / e.sum(), both, strict=True)) @ m["wo"] + m["bo"][0]))
+    return sig(best) if words else 0.0
+
+
+def test_scores_against_a_plain_loop(monkeypatch):
+    r = random.Random(2)
+    rows = labelled(60, 9)
+    m = gru.fit([t for _, t, _ in rows], np.array([y for *_, y in rows]), epochs=2)
+    texts = [" ".join(r.choice(rows)[1].split(",")[0].split()[:n]) for n in (1, 5, 23, 24, 25, 31, 32, 33, 60)] + [" ".join(f"w{k}" for k in range(200)), "", None, " "]
+    for chunk in (10, 1 << 21):
+        monkeypatch.setattr(gru, "CHUNK", chunk)
+        assert gru.scores(m, texts) == pytest.approx([plain_score(m, (t or "").split()) for t in texts], abs=1e-4)
+
+
 def kneser_ney(texts, alphabet, order):
     """Interpolated modified Kneser-Ney by its definition."""
     grams = Counter()

@@ -117,3 +117,16 @@ def test_leaks_slide_over_all_windows(spark):
     want = slid(docs, items)
     assert {(r["doc_id"], r["item_id"]): (r["start_word"], r["n_words"], round(r["similarity"], 6)) for r in got} == want
     assert {(k, 0) for k in range(29)} - {(k, 0) for k in (5, 11, 17, 23)} <= set(want)  # 1 to 5 words missing at an edge
+
+
+def test_notices_within_lines(spark, tmp_path):
+    docs = [
+        (1, "Copyright 2020 Foo. Licensed under the MIT License. More text follows here", "a", "x"), (2, "x\u0001y\nReleased under the mit LICENSE", "a", "x"),
+        (3, "Permission to use, copy, modify and/or distribute this software for any purpose\nwith or without fee is hereby granted, provided that the above copyright notice\nand this permission notice appear in all copies.", "a", "x"),
+        (4, "about licences. nothing", "a", "x"), (5, "commits under the submit license", "a", "x"), (6, "the mit license " * 3, "a", "x"),
+    ]
+    sf = tables(spark, tmp_path, docs=docs)
+    got, want = both(spark, "op5_license_scan", sf, "/*.parquet")
+    assert got == want
+    got = {(r["doc_id"], r["unit"], r["license"]) for r in QUERIES["op5_license_scan"](spark, sf).collect()}
+    assert got == {(1, "sentence", "mit"), (2, "line", "mit"), (3, "block", "isc")}
