@@ -25,7 +25,7 @@ AGE = "date_diff('day', updated_on, DATE '2025-09-01')"
 TRIGRAMS = "list_distinct(flatten(list_transform(list_filter(regexp_split_to_array(lower({}), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> ''), lambda w: list_transform(range(1, length(w) + 2), lambda i: substring('  ' || w || ' ', i, 3)))))"
 WORD_SET = "list_distinct(list_filter(regexp_split_to_array(regexp_replace(lower({}), '[^a-z0-9\\s]', '', 'g'), '\\s+'), lambda w: length(w) > 2))"
 COS = "list_dot_product(e, q) / (sqrt(list_dot_product(e, e)) * sqrt(list_dot_product(q, q)))"
-WEIGHT = "CASE evidence WHEN 'measured' THEN 1.0::DOUBLE WHEN 'declared' THEN 0.95::DOUBLE WHEN 'observed' THEN 0.9::DOUBLE WHEN 'inferred' THEN 0.75::DOUBLE WHEN 'guessed' THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END"
+WEIGHT = "CASE evidence WHEN 'verified' THEN 1.0::DOUBLE WHEN 'declared' THEN 0.95::DOUBLE WHEN 'observed' THEN 0.9::DOUBLE WHEN 'inferred' THEN 0.75::DOUBLE WHEN 'disputed' THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END"
 
 
 def query(sql: str | None = None):
@@ -55,12 +55,14 @@ r6 = lambda c: F.round(c, 6)
 # --- recall ---------------------------------------------------------------------------------------------------------
 
 VECTOR_SQL = "[" + ", ".join(map(str, VECTOR)) + "]::DOUBLE[]"
+SIM_SQL = "len(list_intersect({g}, h))::DOUBLE / len(list_distinct(list_concat({g}, h)))"
+#: t: all live records; tl, vl: both legs with their thresholds.
 LEGS = f"""
-t AS (SELECT id, len(list_intersect(g, h))::DOUBLE / len(list_distinct(list_concat(g, h))) AS sim
-      FROM (SELECT id, {TRIGRAMS.format("key")} AS g, {TRIGRAMS.format(f"'{WORDS}'")} AS h FROM memories WHERE status = 'live') WHERE len(g) + len(h) > 0),
+t AS (SELECT id, greatest({SIM_SQL.format(g="g")}, CASE WHEN {SIM_SQL.format(g="k")} > 0.15 THEN {SIM_SQL.format(g="k")} ELSE 0 END) AS sim
+      FROM (SELECT id, {TRIGRAMS.format("key")} AS g, {TRIGRAMS.format("value")} AS k, {TRIGRAMS.format(f"'{WORDS}'")} AS h FROM memories WHERE status = 'live')),
 v AS (SELECT vec_id AS id, {COS} AS sim FROM (SELECT vec_id, embedding::DOUBLE[] AS e, {VECTOR_SQL} AS q FROM embeddings)),
-tl AS (SELECT id, sim, rank() OVER (ORDER BY sim DESC) AS r, row_number() OVER (ORDER BY sim DESC, id) AS n FROM (SELECT * FROM t WHERE sim > 0.15 ORDER BY sim DESC, id LIMIT 50)),
-vl AS (SELECT id, sim, rank() OVER (ORDER BY sim DESC) AS r, row_number() OVER (ORDER BY sim DESC, id) AS n FROM (SELECT * FROM v WHERE sim > 0 ORDER BY sim DESC, id LIMIT 50))"""
+tl AS (SELECT id, sim, rank() OVER (ORDER BY sim DESC) AS r, row_number() OVER (ORDER BY sim DESC, id) AS n FROM t WHERE sim > 0.15),
+vl AS (SELECT id, sim, rank() OVER (ORDER BY sim DESC) AS r, row_number() OVER (ORDER BY sim DESC, id) AS n FROM v WHERE sim > 0.3 AND id IN (SELECT id FROM memories WHERE status = 'live'))"""
 
 
 @query(f"""{ME}{LEGS},
@@ -73,7 +75,7 @@ def hybrid_recall(spark, sf_dir):
 
 @query(f"""{ME}{LEGS} SELECT id, round(sum(1.0::DOUBLE / (60 + n)), 9) AS score FROM (SELECT id, n FROM tl UNION ALL SELECT id, n FROM vl) GROUP BY id ORDER BY round(sum(1.0::DOUBLE / (60 + n)), 12) DESC, id LIMIT 30""")
 def positional_fusion(spark, sf_dir):
-    legs = [recall.trigram_leg(memories(spark, sf_dir), WORDS), recall.vector_leg(vectors(spark, sf_dir), VECTOR)]
+    legs = [recall.trigram_leg(memories(spark, sf_dir), WORDS), recall.vector_leg(vectors(spark, sf_dir), VECTOR, records=memories(spark, sf_dir))]
     return recall.fuse(legs, 30, ties_share=False).select("id", F.round("score", 9).alias("score"))
 
 
@@ -151,8 +153,8 @@ on_memories(
 )
 on_memories(
     "substring_search",
-    f"{M} SELECT id FROM memories WHERE (lower(key) LIKE '%tion%' OR lower(value) LIKE '%stupid%') AND type = 'fact'",
-    lambda m: m.where((F.lower("key").contains("tion") | F.lower("value").contains("stupid")) & (F.col("type") == "fact")).select("id"),
+    f"{M} SELECT id FROM memories WHERE (lower(key) LIKE '%tion%' OR lower(value) LIKE '%stupid%') AND type = 'entity'",
+    lambda m: m.where((F.lower("key").contains("tion") | F.lower("value").contains("stupid")) & (F.col("type") == "entity")).select("id"),
 )
 on_memories(
     "quota",
@@ -194,23 +196,17 @@ on_memories(
     f"{M} SELECT id, round({IMPORTANCE}, 6) AS importance FROM memories",
     lambda m: m.select("id", r6(scores.importance(F.col("confidence"), scores.days_since(F.col("updated_on")), F.col("accesses"))).alias("importance")),
 )
-RATES = "CASE type WHEN 'fact' THEN 1.0::DOUBLE WHEN 'decision' THEN 0.5::DOUBLE WHEN 'context' THEN 1.5::DOUBLE ELSE 0.8::DOUBLE END"
+RATES = "CASE type " + " ".join(f"WHEN '{t}' THEN {r}::DOUBLE" for t, r in scores.DECAY_RATES.items()) + " ELSE 1.0::DOUBLE END"
 on_memories(
     "decay_scores",
     f"{M} SELECT id, round(d, 6) AS decay, d >= 0.8 AS archive FROM (SELECT id, CASE WHEN {AGE} <= 30 THEN 0.0::DOUBLE ELSE greatest(0.0::DOUBLE, least(1.0::DOUBLE, (1 - pow(2.0::DOUBLE, -({AGE} - 30) / 90.0::DOUBLE)) * {RATES} * (1 - 0.4::DOUBLE * least(accesses / 10.0::DOUBLE, 1.0::DOUBLE)))) END AS d FROM memories)",
-    lambda m: m.select("id", scores.decay(scores.days_since(F.col("updated_on")), F.when(F.col("type") == "fact", 1.0).when(F.col("type") == "decision", 0.5).when(F.col("type") == "context", 1.5).otherwise(0.8), F.col("accesses")).alias("d")).select("id", r6("d").alias("decay"), (F.col("d") >= 0.8).alias("archive")),
+    lambda m: m.select("id", scores.decay(scores.days_since(F.col("updated_on")), scores.decay_rate(F.col("type")), F.col("accesses")).alias("d")).select("id", r6("d").alias("decay"), (F.col("d") >= 0.8).alias("archive")),
 )
 on_memories(
     "usage_scores",
     f"{M} SELECT id, round(0.4::DOUBLE * greatest(0.0::DOUBLE, 1 - {AGE} / 90.0::DOUBLE) + 0.3::DOUBLE * accesses / max(accesses) OVER (PARTITION BY project_id) + 0.3::DOUBLE * confidence, 6) AS score FROM memories",
     lambda m: m.join(m.groupBy("project_id").agg(F.max("accesses").alias("most")), "project_id").select("id", r6(scores.usage(scores.days_since(F.col("updated_on")), F.col("accesses"), F.col("most"), F.col("confidence"))).alias("score")),
 )
-on_memories(
-    "quality_scores",
-    f"{M} SELECT id, 5.0::DOUBLE * ((length(value) > 20)::INT + (evidence IS NOT NULL)::INT + (length(key) > 3)::INT + 1 + (accesses > 0)::INT) + floor(greatest(0.0::DOUBLE, 25 * (1 - {AGE} / 180.0::DOUBLE)) + 0.5) + floor(confidence * 15 + least(length(value) / 20.0::DOUBLE, 10.0::DOUBLE) + 0.5) AS quality FROM memories",
-    lambda m: usage.quality(m).select("id", "quality"),
-)
-
 # --- aggregates -----------------------------------------------------------------------------------------------------
 
 on_memories(
@@ -233,25 +229,13 @@ on_memories(
     f"{M} SELECT t AS type, count(id) AS n FROM (SELECT unnest({TYPES}) AS t) LEFT JOIN memories ON type = t AND status = 'pending' GROUP BY t HAVING count(id) < 16",
     lambda m: m.sparkSession.createDataFrame([(t,) for t in TYPES], "type string").join(m.where("status = 'pending'").groupBy("type").agg(F.count("*").alias("n")), "type", "left").fillna(0).where("n < 16"),
 )
-on_memories(
-    "audit_by_type",
-    f"{M} SELECT project_id, round(0.6::DOUBLE * count(DISTINCT type) / 11 * 100 + 0.4::DOUBLE * 100 * avg((contains(lower(value), 'must') OR contains(lower(value), 'use'))::INT), 6) AS score FROM memories GROUP BY project_id",
-    lambda m: m.groupBy("project_id").agg(r6(0.6 * F.count_distinct("type") / 11 * 100 + 0.4 * 100 * F.avg((F.lower("value").contains("must") | F.lower("value").contains("use")).cast("int"))).alias("score")),
-)
-
-
-@query(f"{M} SELECT project_id, count(*) AS n, floor(avg(q) + 0.5) AS health, CASE WHEN avg(q) >= 60 THEN 'good' WHEN avg(q) >= 45 THEN 'fair' ELSE 'poor' END AS grade FROM (SELECT project_id, 5.0::DOUBLE * ((length(value) > 20)::INT + (evidence IS NOT NULL)::INT + (length(key) > 3)::INT + 1 + (accesses > 0)::INT) + floor(greatest(0.0::DOUBLE, 25 * (1 - {AGE} / 180.0::DOUBLE)) + 0.5) + floor(confidence * 15 + least(length(value) / 20.0::DOUBLE, 10.0::DOUBLE) + 0.5) AS q FROM memories) GROUP BY project_id")
-def project_health(spark, sf_dir):
-    mean = F.avg("quality")
-    grade = F.when(mean >= 60, "good").when(mean >= 45, "fair").otherwise("poor")
-    return usage.quality(memories(spark, sf_dir)).groupBy("project_id").agg(F.count("*").alias("n"), F.floor(mean + 0.5).cast("double").alias("health"), grade.alias("grade"))
-
-
-@query(f"""{ME}{LEGS}, s AS (SELECT max(sim) AS top, avg(sim) AS mean, stddev_pop(sim) AS sd FROM t) SELECT round(top, 6) AS top, round(mean, 6) AS mean, round(sd, 6) AS sd, round((top - mean) / sd, 6) AS z, top >= 0.3 OR (top - mean) / sd >= 2 AS relevant FROM s""")
+@query(f"""{ME}{LEGS}, s AS (SELECT count(*) AS n, max(sim) AS top, avg(sim) AS mean, stddev_pop(sim) AS sd FROM tl),
+z AS (SELECT *, CASE WHEN sd > 1e-9 THEN (top - mean) / sd ELSE 0 END AS z FROM s)
+SELECT n, round(coalesce(top, 0), 6) AS top, round(coalesce(mean, 0), 6) AS mean, round(coalesce(z, 0), 6) AS z,
+CASE WHEN top >= 0.8 THEN 'strong-top-score' WHEN n >= 5 AND z >= 2.1 THEN 'stands-out' WHEN n BETWEEN 1 AND 4 THEN 'too-few-candidates' ELSE 'flat-and-low' END AS reason FROM z""")
 def relevance_verdict(spark, sf_dir):
-    s = recall.trigram_leg(memories(spark, sf_dir), WORDS, -1.0).agg(F.max("sim").alias("top"), F.avg("sim").alias("mean"), F.stddev_pop("sim").alias("sd"))
-    z = (F.col("top") - F.col("mean")) / F.col("sd")
-    return s.select(r6("top").alias("top"), r6("mean").alias("mean"), r6("sd").alias("sd"), r6(z).alias("z"), ((F.col("top") >= 0.3) | (z >= 2)).alias("relevant"))
+    s = recall.relevance(recall.trigram_leg(memories(spark, sf_dir), WORDS))
+    return s.select("n", r6("top").alias("top"), r6("mean").alias("mean"), r6("z").alias("z"), "reason")
 
 
 @query("SELECT label, count(*) AS n, round(avg(embedding[1]::DOUBLE), 6) AS first, round(avg(embedding[64]::DOUBLE), 6) AS last FROM embeddings GROUP BY label")
@@ -346,13 +330,6 @@ on_memories(
 # --- pairs and graphs -----------------------------------------------------------------------------------------------
 
 
-@query(f"""{ME}s AS (SELECT id, type, {WORD_SET.format("key")} AS s FROM memories), e AS (SELECT id, type, len(s) AS n, unnest(s) AS w FROM s),
-p AS (SELECT x.id AS a, y.id AS b, x.n AS na, y.n AS nb, count(*) AS k FROM e x JOIN e y ON x.w = y.w AND x.type = y.type AND x.id < y.id GROUP BY ALL)
-SELECT a, b, round(k::DOUBLE / (na + nb - k), 6) AS jaccard FROM p WHERE k::DOUBLE / (na + nb - k) >= 0.7""")
-def near_duplicate_keys(spark, sf_dir):
-    return pairs.near_duplicates(memories(spark, sf_dir)).select("a", "b", r6("jaccard").alias("jaccard"))
-
-
 @query(f"{ME}r AS (SELECT id AS src, id * 3 + 1 AS dst FROM memories WHERE id % 4 < 3 UNION ALL SELECT id, id + 7 FROM memories WHERE id % 5 = 0) SELECT src, dst FROM r WHERE dst NOT IN (SELECT id FROM memories WHERE status = 'live')")
 def stale_references(spark, sf_dir):
     m = memories(spark, sf_dir)
@@ -377,7 +354,7 @@ def expanded_recall(spark, sf_dir):
     return graph.expand(edges(m), m.where("type = 'decision'"), 2)
 
 
-@query(f"""{E.replace("WITH ", "WITH RECURSIVE ", 1)}, c AS (SELECT src, dst, 1 AS n FROM edges UNION SELECT c.src, e.dst, n + 1 FROM c JOIN edges e ON e.src = c.dst WHERE n < 8),
+@query(f"""{E.replace("WITH ", "WITH RECURSIVE ", 1)}, c AS (SELECT src, dst FROM edges UNION SELECT c.src, e.dst FROM c JOIN edges e ON e.src = c.dst),
 u AS (SELECT DISTINCT dst AS id, src AS via FROM c WHERE src <> dst), d AS (SELECT dst AS id, count(*) AS degree FROM edges GROUP BY dst)
 SELECT u.id, count(*) AS dependents, (max(d.degree) + sum(coalesce(v.degree, 0)))::BIGINT AS impact FROM u JOIN d ON d.id = u.id LEFT JOIN d v ON v.id = u.via GROUP BY u.id""")
 def impact_scores(spark, sf_dir):
@@ -388,10 +365,3 @@ def impact_scores(spark, sf_dir):
 def orphans(spark, sf_dir):
     m = memories(spark, sf_dir)
     return graph.orphans(m, edges(m))
-
-
-@query(f"{E}, g AS (SELECT dst AS id, count(*) AS k FROM edges GROUP BY dst) SELECT m.id, round(k * (0.4::DOUBLE + 0.3::DOUBLE * (1 - confidence) + 0.3::DOUBLE * least({AGE} / 30.0::DOUBLE, 1.0::DOUBLE)), 6) AS risk FROM memories m JOIN g ON g.id = m.id")
-def risk_scores(spark, sf_dir):
-    m = memories(spark, sf_dir)
-    degree = edges(m).groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("k"))
-    return m.join(degree, "id").select("id", r6(scores.risk(F.col("k"), F.col("confidence"), scores.days_since(F.col("updated_on")))).alias("risk"))

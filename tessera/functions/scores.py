@@ -38,6 +38,19 @@ def decay(age: Column, rate: Column, accesses: Column) -> Column:
     return F.when(age <= 30, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), raw)))
 
 
+# How fast records of a type decay; other types at 1.
+DECAY_RATES = {"convention": 0.7, "decision": 0.8, "architecture": 0.6, "entity": 1.0, "lesson": 0.9, "preference": 1.2, "pattern": 0.8, "execution": 1.1}
+
+
+def decay_rate(kind: Column) -> Column:
+    known = F.create_map(*[F.lit(x) for pair in DECAY_RATES.items() for x in pair])
+    return F.coalesce(F.element_at(known, kind), F.lit(1.0))
+
+
+def quality_grade(score: Column) -> Column:
+    return F.when(score >= 80, "excellent").when(score >= 60, "good").when(score >= 40, "fair").otherwise("poor")
+
+
 def risk(impact: Column, confidence: Column, age: Column) -> Column:
     return impact * (0.4 + 0.3 * (1 - confidence) + 0.3 * F.least(age / 30, F.lit(1.0)))
 

@@ -14,7 +14,9 @@ SENSITIVE = {
     "private_key": r"-----BEGIN [A-Z ]*PRIVATE KEY-----",
     "ssn": r"[0-9]{3}-[0-9]{2}-[0-9]{4}",
 }
-POSITIVE, NEGATIVE = ["always", "must", "use", "prefer"], ["never", "avoid", "not", "don't"]
+# Markers of guidance for and against, looked for as substrings.
+POSITIVE = ["always", "must", "should", "required", "use", "prefer"]
+NEGATIVE = ["never", "avoid", "must not", "do not", "dont", "prohibited"]
 
 
 def trigrams(text: Column) -> Column:
@@ -24,6 +26,20 @@ def trigrams(text: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(padded, lambda p: F.transform(F.sequence(F.lit(1), F.length(p) - 2), lambda i: F.substring(p, i, F.lit(3))))))
 
 
+def trigrams_of(text: str) -> list[str]:
+    """The same of a Python string."""
+    words = "".join(c if c.isalnum() else " " for c in text.lower()).split()
+    return sorted({f"  {w} "[k : k + 3] for w in words for k in range(len(w) + 1)})
+
+
+def resemblance(text: Column, query: str, least: float) -> Column:
+    """Trigram similarity with the query; 0 at once where so many words begin differently that it can't be over `least`."""
+    wanted = trigrams_of(query)
+    words = F.filter(F.split(F.lower(text), "[^\\p{L}\\p{N}]+"), lambda w: w != "")
+    begins = F.size(F.array_distinct(F.transform(words, lambda w: F.substring(w, 1, 2))))  # each is a trigram of its own
+    return F.when(begins * least > len(wanted), 0.0).otherwise(jaccard(trigrams(text), F.array(*[F.lit(g) for g in wanted])))
+
+
 def jaccard(a: Column, b: Column) -> Column:
     """Of two sets; 1 for two empty ones."""
     union = F.size(F.array_union(a, b))

@@ -10,31 +10,59 @@ from pyspark.sql import functions as F
 
 from tessera.functions import scores, text
 
+from .storage import cut
+
 K = 60
 
 
 def trigram_leg(records: DataFrame, query: str, least: float = 0.15) -> DataFrame:
-    """id, sim of live records whose key resembles the query. The live filter stands below the rank."""
-    sim = text.jaccard(text.trigrams(F.col("key")), text.trigrams(F.lit(query)))
+    """id, sim of live records whose key or value resembles the query. The live filter stands below the rank."""
+    sim = F.greatest(*[text.resemblance(F.col(c), query, least) for c in ("key", "value")])
     return records.where("status = 'live'").select("id", sim.alias("sim")).where(F.col("sim") > least)
 
 
-def vector_leg(vectors: DataFrame, query: list[float], least: float = 0.0) -> DataFrame:
+def vector_leg(vectors: DataFrame, query: list[float], least: float = 0.3, records: DataFrame | None = None) -> DataFrame:
+    """vec_id, sim of vectors closer to the query than `least`; with records, of live ones only."""
+    if records is not None:
+        vectors = vectors.join(records.where("status = 'live'").select(F.col("id").alias("vec_id")), "vec_id", "left_semi")
     q = F.array(*[F.lit(float(x)) for x in query])
     return vectors.select(F.col("vec_id").alias("id"), text.cosine(F.col("embedding"), q).alias("sim")).where(F.col("sim") > least)
 
 
-def fuse(legs: list[DataFrame], limit: int, ties_share: bool = True, pool: int = 50) -> DataFrame:
-    """Reciprocal-rank fusion of (id, sim) legs: one shuffle over their union. A leg brings its best `pool` ids (a top-k before the rank)."""
-    best = [leg.orderBy(F.desc("sim"), "id").limit(pool) for leg in legs]
-    place = (F.rank if ties_share else F.row_number)().over(W.orderBy(F.desc("sim")) if ties_share else W.orderBy(F.desc("sim"), "id"))
-    ranked = reduce(DataFrame.unionByName, [b.withColumn("part", 1 / (K + place)) for b in best])
-    return ranked.groupBy("id").agg(F.sum("part").alias("score")).orderBy(F.desc(F.round("score", 12)), "id").limit(limit)
+def ranks(leg: DataFrame, candidates: DataFrame, ties_share: bool) -> DataFrame:
+    """id, place of the candidates (few) in a leg, counted over all of it without a sort of it."""
+    key = F.struct("sim") if ties_share else F.struct("sim", (-F.col("id")).alias("n"))
+    leg = leg.withColumn("_k", key)
+    own = leg.join(F.broadcast(candidates), "id", "left_semi")
+    marks = F.broadcast(own.agg(F.sort_array(F.collect_set("_k")).alias("_marks")))  # one row, of few candidates
+    before = leg.crossJoin(marks).select(F.size(F.filter("_marks", lambda m: m < F.col("_k"))).alias("_below")).groupBy("_below").agg(F.count("*").alias("_n"))
+    nth = own.crossJoin(marks).select("id", (F.array_position("_marks", F.col("_k")) - 1).alias("_nth"))
+    return nth.join(F.broadcast(before), F.col("_below") > F.col("_nth"), "left").groupBy("id").agg((1 + F.coalesce(F.sum("_n"), F.lit(0))).alias("place"))
+
+
+def fuse(legs: list[DataFrame], limit: int, ties_share: bool = True) -> DataFrame:
+    """Reciprocal-rank fusion of (id, sim) legs: the `limit` best ids by the sum of 1 / (K + rank).
+
+    The first `limit` rows of a leg have at least 1 / (K + limit) each, and n legs
+    give at most n / (K + rank) to a row of that best rank. So only rows that some
+    leg has within n * limit + (n - 1) * K are candidates; their exact ranks in all
+    legs follow by counting.
+    """
+    most = len(legs) * limit + (len(legs) - 1) * K
+    legs = [cut(leg.select("id", "sim"), "leg") for leg in legs]
+    best = []
+    for leg in legs:
+        last = leg.orderBy(F.desc("sim")).limit(most).agg(F.min("sim").alias("_last"))
+        first = leg.join(F.broadcast(last), F.col("sim") >= F.col("_last")).select("id")
+        best.append(first if ties_share else leg.orderBy(F.desc("sim"), "id").limit(most).select("id"))
+    candidates = cut(reduce(DataFrame.unionByName, best).distinct(), "candidates")
+    placed = reduce(DataFrame.unionByName, [ranks(leg, candidates, ties_share) for leg in legs])
+    return placed.groupBy("id").agg(F.sum(1 / (K + F.col("place"))).alias("score")).orderBy(F.desc(F.round("score", 12)), "id").limit(limit)
 
 
 def hybrid(records: DataFrame, vectors: DataFrame, query: str, embedding: list[float], limit: int = 20) -> DataFrame:
     """Both legs fused, then weighed by evidence."""
-    top = F.broadcast(fuse([trigram_leg(records, query), vector_leg(vectors, embedding)], limit * 2))  # at most 2 * limit rows
+    top = F.broadcast(fuse([trigram_leg(records, query), vector_leg(vectors, embedding, records=records)], limit * 2))  # at most 2 * limit rows
     live = records.where("status = 'live'").select("id", "type", "evidence")
     out = live.join(top, "id").withColumn("score", F.col("score") * scores.evidence_weight(F.col("evidence")))
     return out.orderBy(F.desc(F.round("score", 12)), "id").limit(limit)
@@ -50,13 +78,32 @@ def within_budget(ranked: DataFrame, by: str, order: list, budget: int, keep_fir
 
 def tfidf(records: DataFrame, query: list[str]) -> DataFrame:
     """id, score: tf * idf summed over the query's tokens, repeated ones too."""
-    words = records.select("id", F.filter(F.split(F.lower("value"), "[^a-z0-9]+"), lambda w: w != "").alias("w")).withColumn("n", F.size("w"))
-    spark = records.sparkSession
+    spark, known = records.sparkSession, F.array(*[F.lit(t) for t in sorted(set(query))])
+    words = records.select("id", F.filter(F.split(F.lower("value"), "[^a-z0-9]+"), lambda w: w != "").alias("w"))
+    # texts are split once; only the query's tokens stay
+    words = cut(words.select("id", F.size("w").alias("n"), F.filter("w", lambda w: F.array_contains(known, w)).alias("w")).where("n > 0"), "tokens")
     wanted = F.broadcast(spark.createDataFrame([(t, query.count(t)) for t in sorted(set(query))], "token string, times long"))
-    total = words.where("n > 0").agg(F.count("*").alias("total"))
-    # only the query's tokens are shuffled
-    hit = words.select("id", "n", F.explode("w").alias("token")).join(wanted, "token").groupBy("id", "n", "token", "times").count()
-    df = hit.groupBy("token").agg(F.count("*").alias("df"))
+    total = words.agg(F.count("*").alias("total"))
+    hit = words.select("id", "n", F.explode("w").alias("token")).groupBy("id", "n", "token").count().join(wanted, "token")
+    df = hit.groupBy("token").agg(F.count("*").alias("df"))  # a row for each token of the query
     out = hit.join(F.broadcast(df), "token").crossJoin(F.broadcast(total))  # one row
     score = F.col("times") * F.col("count") / F.col("n") * (F.log((F.col("total") + 1) / (F.col("df") + 1)) + 1)
     return out.groupBy("id").agg(F.sum(score).alias("score"))
+
+
+# The verdict's thresholds.
+MIN_TOP, MIN_Z, MIN_CANDIDATES = 0.80, 2.1, 5
+
+
+def relevance(leg: DataFrame) -> DataFrame:
+    """One row: n, top, mean, z (by the population's deviation) of a leg's scores, and the reason to keep or drop the leg."""
+    s = leg.agg(F.count("sim").alias("n"), F.max("sim").alias("top"), F.avg("sim").alias("mean"), F.stddev_pop("sim").alias("sd"))
+    s = s.withColumn("z", F.when(F.col("sd") > 1e-9, (F.col("top") - F.col("mean")) / F.col("sd")).otherwise(0.0)).drop("sd").fillna(0)
+    reason = F.when(F.col("top") >= MIN_TOP, "strong-top-score").when((F.col("n") >= MIN_CANDIDATES) & (F.col("z") >= MIN_Z), "stands-out")
+    return s.withColumn("reason", reason.when(F.col("n").between(1, MIN_CANDIDATES - 1), "too-few-candidates").otherwise("flat-and-low"))
+
+
+def gated(leg: DataFrame) -> DataFrame:
+    """The leg, or nothing of it where its scores are flat and low."""
+    verdict = relevance(leg).where(F.col("reason").isin("strong-top-score", "stands-out")).select(F.lit(True).alias("_kept"))
+    return leg.crossJoin(F.broadcast(verdict)).drop("_kept")  # one row or none

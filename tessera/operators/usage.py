@@ -14,13 +14,18 @@ def behavioural_drift(calls: DataFrame, split: str, least: int = 5) -> DataFrame
     before = F.col("ts") < F.lit(split).cast("timestamp_ntz")
     c = calls.groupBy("agent", "tool").agg(F.sum(F.when(before, 1).otherwise(0)).alias("a"), F.sum(F.when(before, 0).otherwise(1)).alias("b"))
     agents = c.groupBy("agent").agg(F.sum("a").alias("n_a"), F.sum("b").alias("n_b")).where((F.col("n_a") >= least) & (F.col("n_b") >= least))
-    tools = F.broadcast(calls.select("tool").distinct())  # the vocabulary of tools is fixed by the product
-    grid = agents.crossJoin(tools).join(c, ["agent", "tool"], "left").fillna(0, ["a", "b"])
-    size = F.broadcast(tools.agg(F.count("*").alias("size")))
-    grid = grid.crossJoin(size).withColumn("p", (F.col("a") + 1) / (F.col("n_a") + F.col("size"))).withColumn("q", (F.col("b") + 1) / (F.col("n_b") + F.col("size")))
-    m = (F.col("p") + F.col("q")) / 2
-    part = 0.5 * F.col("p") * F.log(F.col("p") / m) + 0.5 * F.col("q") * F.log(F.col("q") / m)
-    return grid.groupBy("agent").agg((F.sum(part) / F.log(F.lit(2.0))).alias("drift"))
+    size = F.broadcast(c.select("tool").distinct().agg(F.count("*").alias("size")))  # one row
+
+    def part(a, b):
+        p, q = (a + 1) / (F.col("n_a") + F.col("size")), (b + 1) / (F.col("n_b") + F.col("size"))
+        m = (p + q) / 2
+        return 0.5 * p * F.log(p / m) + 0.5 * q * F.log(q / m)
+
+    # the tools that an agent never called all give the same part
+    seen = c.join(agents, "agent").crossJoin(size)
+    sums = seen.groupBy("agent", "n_a", "n_b", "size").agg(F.sum(part(F.col("a"), F.col("b"))).alias("seen"), F.count("*").alias("n"))
+    drift = F.col("seen") + (F.col("size") - F.col("n")) * part(F.lit(0), F.lit(0))
+    return sums.select("agent", (drift / F.log(F.lit(2.0))).alias("drift"))
 
 
 def semantic_drift(changes: DataFrame) -> DataFrame:
@@ -49,12 +54,3 @@ def paired(calls: DataFrame, start: str, stop: str) -> DataFrame:
     c = c.withColumn("_tool", F.lag("tool").over(w)).withColumn("_ts", F.lag("ts").over(w)).withColumn("start_id", F.lag("event_id").over(w))
     us = F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.col("_ts").cast("timestamp"))
     return c.where((F.col("tool") == stop) & (F.col("_tool") == start)).select("event_id", "start_id", us.alias("us"))
-
-
-def quality(records: DataFrame) -> DataFrame:
-    """id and its quality out of 75: completeness, freshness over 180 days, usefulness. (Consistency needs pairs and is apart.)"""
-    filled = lambda c: F.when(c, 5).otherwise(0)
-    complete = filled(F.length("value") > 20) + filled(F.col("evidence").isNotNull()) + filled(F.length("key") > 3) + filled(F.col("path").isNotNull()) + filled(F.col("accesses") > 0)
-    fresh = F.floor(F.greatest(F.lit(0.0), 25 * (1 - scores.days_since(F.col("updated_on")) / 180)) + 0.5)
-    useful = F.floor(F.col("confidence") * 15 + F.least(F.length("value") / 20, F.lit(10.0)) + 0.5)
-    return records.select("id", "project_id", (complete + fresh + useful).cast("double").alias("quality"))

@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Record types, states, and evidence levels with their weights.
-TYPES = ["convention", "decision", "architecture", "fact", "process", "constraint", "preference", "pattern", "anti_pattern", "entity", "context"]
+TYPES = ["convention", "decision", "architecture", "entity", "lesson", "preference", "pattern", "execution", "operational", "environment", "anti_pattern"]
 STATUSES = ["live", "live", "live", "live", "pending", "archived"]
-EVIDENCE = {"measured": 1.0, "declared": 0.95, "observed": 0.9, "inferred": 0.75, "guessed": 0.5}
+EVIDENCE = {"verified": 1.0, "declared": 0.95, "observed": 0.9, "inferred": 0.75, "disputed": 0.5}
 
 #: The clock of all queries.
 AS_OF = "2025-09-01"
@@ -33,6 +33,10 @@ COLUMNS = {
     "evidence": f"CASE WHEN doc_id % 7 = 0 THEN NULL ELSE {choice('doc_id', list(EVIDENCE))} END",
     "agent": "'agent' || CAST(doc_id % 7 AS VARCHAR(9))",
     "path": "'src/' || coalesce(lang, 'xx') || '/mod' || CAST(doc_id % 20 AS VARCHAR(9)) || '.ts'",
+    "tags": "CASE WHEN doc_id % 6 <> 0 THEN split('t' || CAST(doc_id % 5 AS VARCHAR(9)) || ',s' || CAST(doc_id % 3 AS VARCHAR(9)), ',') END",
+    "conditions": "CASE WHEN doc_id % 3 = 0 THEN split('on ci' || CAST(doc_id % 4 AS VARCHAR(9)) || ',local', ',') END",
+    "phases": "CASE WHEN doc_id % 4 <> 1 THEN split('plan,phase' || CAST(doc_id % 3 AS VARCHAR(9)), ',') END",
+    "examples": "CASE WHEN doc_id % 8 = 0 THEN split('one,two', ',') END",
     "confidence": "CAST((doc_id * 37) % 101 AS DOUBLE) / 100",
     "accesses": "(doc_id * 13) % 60",
     "created_on": "DATE '2024-01-01' + CAST((doc_id * 7) % 400 AS INT)",
