@@ -41,3 +41,20 @@ def orphans(records: DataFrame, edges: DataFrame) -> DataFrame:
     """Records with no edge in or out."""
     out = records.select("id").join(edges.select(F.col("src").alias("id")), "id", "left_anti")
     return out.join(edges.select(F.col("dst").alias("id")), "id", "left_anti")
+
+
+def on_cycles(edges: DataFrame) -> DataFrame:
+    """Records that lead back to themselves."""
+    return closure(edges).where("src = dst").select(F.col("src").alias("id"))
+
+
+def chains(edges: DataFrame, longest: int) -> DataFrame:
+    """n, path of all simple chains from records that nothing leads to, of at most `longest` records. Their number can grow as a power of it, so it is the caller's bound."""
+    starts = edges.join(edges.select(F.col("dst").alias("src")), "src", "left_anti")
+    front = cut(starts.select(F.array("src", "dst").alias("path")), "chains")
+    out = front
+    for _ in range(longest - 2):
+        step = front.withColumn("src", F.element_at("path", -1)).join(edges, "src").where(~F.array_contains("path", F.col("dst")))
+        front = cut(step.select(F.array_append("path", F.col("dst")).alias("path")), "chains")
+        out = out.unionByName(front)
+    return out.select(F.size("path").alias("n"), "path")

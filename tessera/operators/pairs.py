@@ -5,24 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions import text
-
-
-def shared_sets(records: DataFrame, column: str, sets, by: str = "type") -> DataFrame:
-    """a, b, shared, size_a, size_b of records of one type that share an element: an equi join on elements, never all pairs."""
-    own = records.select("id", by, sets(F.col(column)).alias("s")).withColumn("n", F.size("s"))
-    each = own.select("id", by, "n", F.explode("s").alias("e"))
-    other = each.select(F.col("id").alias("b"), F.col(by).alias("_by"), F.col("n").alias("size_b"), F.col("e").alias("_e"))
-    on = (F.col("e") == F.col("_e")) & (F.col(by) == F.col("_by")) & (F.col("id") < F.col("b"))
-    return each.join(other, on).groupBy(F.col("id").alias("a"), "b", F.col("n").alias("size_a"), "size_b").agg(F.count("*").alias("shared"))
-
-
-def near_duplicates(records: DataFrame, least: float = 0.7) -> DataFrame:
-    """Pairs of one type whose keys' word sets have a Jaccard similarity of at least `least`."""
-    p = shared_sets(records, "key", text.word_set)
-    j = F.col("shared") / (F.col("size_a") + F.col("size_b") - F.col("shared"))
-    return p.withColumn("jaccard", j).where(F.col("jaccard") >= least).select("a", "b", "jaccard")
-
 
 def stale_references(references: DataFrame, records: DataFrame) -> DataFrame:
     """References to records that are missing or not live."""

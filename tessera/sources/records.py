@@ -36,6 +36,7 @@ COLUMNS = {
     "tags": "CASE WHEN doc_id % 6 <> 0 THEN split('t' || CAST(doc_id % 5 AS VARCHAR(9)) || ',s' || CAST(doc_id % 3 AS VARCHAR(9)), ',') END",
     "conditions": "CASE WHEN doc_id % 3 = 0 THEN split('on ci' || CAST(doc_id % 4 AS VARCHAR(9)) || ',local', ',') END",
     "phases": "CASE WHEN doc_id % 4 <> 1 THEN split('plan,phase' || CAST(doc_id % 3 AS VARCHAR(9)), ',') END",
+    "n_refs": "CASE WHEN doc_id % 4 < 3 THEN 1 ELSE 0 END + CASE WHEN doc_id % 5 = 0 THEN 1 ELSE 0 END",
     "examples": "CASE WHEN doc_id % 8 = 0 THEN split('one,two', ',') END",
     "confidence": "CAST((doc_id * 37) % 101 AS DOUBLE) / 100",
     "accesses": "(doc_id * 13) % 60",
