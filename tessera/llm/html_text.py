@@ -17,6 +17,7 @@ are ignored.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -57,8 +58,15 @@ class Node:
 def tree(page: str) -> Node:
     root = Node("html", {})
     open_ = [root]
+    n_open = Counter()  # by tag, so that nobody looks for what isn't open
+
+    def close_from(k: int) -> None:
+        n_open.subtract(n.tag for n in open_[k:])
+        del open_[k:]
 
     def end(tags: tuple[str, ...], bounds: tuple[str, ...]) -> None:
+        if not any(n_open[t] for t in tags):
+            return
         found = 0
         for k in range(len(open_) - 1, 0, -1):
             if open_[k].tag in tags:
@@ -66,7 +74,7 @@ def tree(page: str) -> Node:
             elif open_[k].tag in bounds:
                 break
         if found:
-            del open_[found:]
+            close_from(found)
 
     at = 0
     while at < len(page):
@@ -80,9 +88,9 @@ def tree(page: str) -> Node:
         if not tag:
             continue
         if closes:
-            for k in range(len(open_) - 1, 0, -1):
+            for k in range(len(open_) - 1, 0, -1) if n_open[tag] else ():
                 if open_[k].tag == tag:
-                    del open_[k:]
+                    close_from(k)
                     break
                 if open_[k].tag == "table" and tag not in BLOCK:
                     break
@@ -102,6 +110,7 @@ def tree(page: str) -> Node:
             at = close.end() if close else len(page)
         elif tag not in VOID and not rest.endswith("/") or tag in BLOCK and tag not in VOID:
             open_.append(node)
+            n_open[tag] += 1
     return root
 
 

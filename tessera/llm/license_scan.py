@@ -92,7 +92,7 @@ def scan(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, min_dice:
     """doc_id, unit (line, sentence or block), unit_no from 0, license, template_no, dice for all units that reach a template."""
     known = [(name, k, template_bigrams(t)) for name, texts in sorted(templates.items()) for k, t in enumerate(texts)]
     known = [x for x in known if x[2]]
-    reach = (2 - min_dice) / min_dice
+    reach = (2 - min_dice) / min_dice + 1e-9
     low, high = min(len(x[2]) for x in known) / reach, max(len(x[2]) for x in known) * reach
     hints = sorted(set().union(*[anchors(x[2], min_dice) for x in known]))
     hinted = f"(?<![\\p{{L}}\\p{{N}}])(?:{'|'.join(hints)})(?![\\p{{L}}\\p{{N}}])"

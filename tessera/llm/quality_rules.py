@@ -7,7 +7,7 @@ back to its documents.
 
 Defined results: a null or empty text has no words, lines or symbols and fails
 the base rules; a null source is no host, so only the base rules judge it; a
-host that is the only one gets the weakest prior; repeated rows are judged row
+host that is the only one gets the strongest prior; repeated rows are judged row
 by row; an empty table gives an empty table; columns beyond doc_id, text and
 source are ignored by score() and kept by keep().
 """
@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, run_hash, words
+from .common import cut, run_hash, small, words
 
 WINDOW = 8
 MIN_WORDS = 20
@@ -29,12 +29,12 @@ PRIOR_WEIGHT = (2.0, 1000.0)
 
 
 def measure(docs: DataFrame) -> DataFrame:
-    """doc_id, source and the five counts of every document."""
-    d = docs.select("doc_id", "source", F.coalesce("text", F.lit("")).alias("_t"))
+    """doc_id, source, mark (a hash of the text) and the five counts of every document."""
+    d = docs.select("doc_id", "source", F.coalesce("text", F.lit("")).alias("_t")).withColumn("mark", F.xxhash64("_t"))
     d = d.withColumn("_w", words(F.col("_t"))).withColumn("n_words", F.size("_w").cast("long"))
     lines = F.filter(F.split("_t", "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
     d = d.select(
-        "doc_id", "source", "n_words", "_w",
+        "doc_id", "source", "mark", "n_words", "_w",
         F.length(F.array_join("_w", "")).cast("long").alias("word_chars"),
         F.regexp_count("_t", F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
         lines.alias("_l"),
@@ -43,7 +43,7 @@ def measure(docs: DataFrame) -> DataFrame:
     # hashes with their places, sorted, only where some window occurs twice
     placed = F.sort_array(F.transform("_h", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
     d = d.select(
-        "doc_id", "source", "n_words", "word_chars", "n_symbols",
+        "doc_id", "source", "mark", "n_words", "word_chars", "n_symbols",
         (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
         F.when(F.size(F.array_distinct("_h")) < F.size("_h"), placed).alias("_s"),
     )
@@ -68,12 +68,12 @@ def host_verdicts(measured: DataFrame, max_rate: float = MAX_HOST_RATE) -> DataF
     """source, n_docs, n_failed, the shrunk rate and host_bad for every host. Rows are summed on the map side, so a hot host costs one row a task."""
     hosts = measured.where(F.col("source").isNotNull()).groupBy("source").agg(F.count("*").alias("n_docs"), F.sum(F.col("base_failed").cast("long")).alias("n_failed"))
     rate = F.col("n_failed") / F.col("n_docs")
-    m, v = hosts.agg(F.avg(rate), F.var_pop(rate)).first()  # two numbers
+    m, v, each = hosts.agg(F.avg(rate), F.var_pop(rate), F.avg(1 / F.col("n_docs"))).first()  # three numbers
     low, high = PRIOR_WEIGHT
-    weight = high if m is not None and not v else low
-    if v:
-        weight = min(high, max(low, m * (1 - m) / v - 1))
     m = m or 0.0
+    # what of the variance the hosts differ by, beyond what so few documents each would give by chance
+    between = (v or 0.0) - m * (1 - m) * (each or 0.0)
+    weight = min(high, max(low, m * (1 - m) / between - 1)) if between > 0 else high
     shrunk = (F.col("n_failed") + F.lit(m * weight)) / (F.col("n_docs") + F.lit(weight))
     return hosts.withColumn("host_rate", shrunk).withColumn("host_bad", F.col("host_rate") > max_rate)
 
@@ -82,14 +82,18 @@ def score(docs: DataFrame) -> DataFrame:
     """Counts, base_failed, host_rate and kept of every row of docs."""
     measured = cut(measure(docs), "quality")
     hosts = host_verdicts(measured).select("source", "host_rate", "host_bad")
-    out = measured.join(hosts, "source", "left")
+    out = measured.drop("mark").join(hosts, "source", "left")
     return out.withColumn("kept", ~F.col("base_failed") & ~F.coalesce("host_bad", F.lit(False))).drop("host_bad")
 
 
 def keep(docs: DataFrame) -> DataFrame:
     """The rows of docs that the rules keep, with docs' own columns."""
-    kept = score(docs).where("kept").select(F.col("doc_id").alias("_kept_id"))
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept_id"]), "left_semi")
+    measured = cut(measure(docs), "quality")
+    # base rules judge a text, so its hash tells which rows to drop; the texts themselves needn't move
+    failed = cut(measured.where("base_failed").select(F.col("mark").alias("_failed")).distinct(), "failed")
+    bad = host_verdicts(measured).where("host_bad").select(F.col("source").alias("_bad"))
+    out = docs.join(small(failed), F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("_failed"), "left_anti")
+    return out.join(small(bad), out["source"] == F.col("_bad"), "left_anti")
 
 
 def op9_quality_rules(spark, sf_dir):
@@ -118,8 +122,8 @@ m AS (
   FROM d LEFT JOIN cov ON d.rid = cov.rid),
 b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m),
 h AS (SELECT source, count(*) AS n, sum(base_failed::INT) AS f FROM b WHERE source IS NOT NULL GROUP BY source),
-p AS (SELECT avg(f / n) AS mu, var_pop(f / n) AS v FROM h),
-q AS (SELECT mu, CASE WHEN v = 0 THEN 1000.0 ELSE least(1000.0, greatest(2.0, mu * (1 - mu) / v - 1)) END AS k FROM p)
+p AS (SELECT avg(f / n) AS mu, var_pop(f / n) - avg(f / n) * (1 - avg(f / n)) * avg(1 / n) AS v FROM h),
+q AS (SELECT mu, CASE WHEN v > 0 THEN least(1000.0, greatest(2.0, mu * (1 - mu) / v - 1)) ELSE 1000.0 END AS k FROM p)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND NOT coalesce((f + mu * k) / (n + k) > 0.5, false) AS kept
 FROM b LEFT JOIN h ON b.source = h.source CROSS JOIN q

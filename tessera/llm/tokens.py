@@ -13,7 +13,7 @@ from .hashing import run_hashes
 TOKENIZER = "byte_bpe_50k.json"
 END = 0
 #: Entries that a worker's memo holds before it starts afresh, and characters of texts encoded at once.
-MEMO, CHUNK = 1_200_000, 1 << 21
+MEMO, CHUNK = 500_000, 1 << 20
 TAIL = ".,;:!?"
 
 

@@ -206,3 +206,32 @@ def test_pipeline(spark):
     rows = corpus_pipeline.STAGES[-1][1](spark, kept, SF).collect()
     assert {r["doc_id"] for r in rows} == {r["doc_id"] for r in kept.select("doc_id").collect()}
     assert max(r["offset"] + r["length"] for r in rows) <= packing.SIZE
+
+
+def test_deep_pages_are_quick():
+    import time
+
+    began = time.time()
+    assert visible_text("<div>" * 100_000 + "x<p>y").split() == ["x", "y"]
+    assert visible_text("<p>a" + "</b>" * 100_000).split() == ["a"]
+    assert time.time() - began < 20
+
+
+def test_pipeline_with_odd_rows(spark, tmp_path):
+    """Nulls, empties, repeats and clashing columns through all stages, against the stages' rules by hand."""
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
+    clean = {k: " ".join(word() for _ in range(60)) for k in range(1, 60)}
+    item = " ".join(word() for _ in range(30))
+    toxic = {k: " ".join([*(word() for _ in range(30)), r.choice(["vile", "rotten"]), *(word() for _ in range(30))]) for k in range(100, 220)}
+    copies = {300 + k: clean[k] + " end" for k in range(1, 10)}
+    leaks = {400 + k: f"{word()} {item} {word()}" for k in range(4)}
+    odd = [(500, None), (501, ""), (502, "short"), (503, clean[11]), (503, clean[11])]
+    rows = [(k, t, "en", f"h{k % 5}", len(t or "")) for k, t in [*clean.items(), *toxic.items(), *copies.items(), *leaks.items(), *odd]]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(k, 1, int(k in toxic)) for k, *_ in rows if k < 300], "doc_id long, quality int, toxic int").distinct().write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {x["doc_id"] for x in out} == set(clean)
+    assert max(x["offset"] + x["length"] for x in out) <= packing.SIZE

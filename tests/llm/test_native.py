@@ -129,4 +129,17 @@ def test_notices_within_lines(spark, tmp_path):
     got, want = both(spark, "op5_license_scan", sf, "/*.parquet")
     assert got == want
     got = {(r["doc_id"], r["unit"], r["license"]) for r in QUERIES["op5_license_scan"](spark, sf).collect()}
-    assert got == {(1, "sentence", "mit"), (2, "line", "mit"), (3, "block", "isc")}
+    assert got == {(1, "sentence", "mit"), (2, "line", "mit"), (2, "block", "mit"), (3, "block", "isc")}
+
+
+def test_stages_judge_rows(spark):
+    good = " ".join(f"w{k}" for k in range(40))
+    item = " ".join(LONG[:20])
+    rows = [(1, good, "a", "x"), (1, "too short", "a", "y"), (None, "short", "a", "z"), (None, good + " more", None, "q"), (2, item, "a", "p"), (2, good + " other", "a", "r"), (None, item, "a", "s"), (3, None, "a", "t")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, mark string")
+    assert quality_rules.keep(docs).columns == docs.columns
+    assert sorted(r["mark"] for r in quality_rules.keep(docs).collect()) == ["p", "q", "r", "s", "x"]
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    got = decontaminate.clean(docs, items)
+    assert got.columns == docs.columns and sorted(r["mark"] for r in got.collect()) == ["q", "r", "t", "x", "y", "z"]
+    assert quality_rules.keep(docs.limit(0)).count() == 0 and decontaminate.clean(docs.limit(0), items).count() == 0
