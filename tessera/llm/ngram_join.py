@@ -415,7 +415,7 @@ def labelled(docs: DataFrame, size: int, percent: int, one_document: bool) -> Da
     left = cut(left.groupBy("main", "node").agg(F.first("n").alias("n"), F.first("stray").alias("stray")), "mixed")
     if not left.isEmpty():
         labels = merge(links.unionByName(verified(blocks(left), docs, reps, size, percent)))
-    return rows.join(labels, "node", "left").select("doc_id", "mark", "n_shingles", F.coalesce("label", "node").alias("label"))
+    return rows.join(small(labels), "node", "left").select("doc_id", "mark", "n_shingles", F.coalesce("label", "node").alias("label"))
 
 
 def components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
@@ -424,7 +424,7 @@ def components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> Dat
     linked = rows.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
     lowest = linked.groupBy("label").agg(F.min("doc_id").alias("lowest"))
     # a doc_id with an empty and another text is one document all the same
-    by_id = linked.join(lowest, "label").groupBy(F.col("doc_id").alias("_id")).agg(F.min("lowest").alias("component_id"))
+    by_id = linked.join(small(lowest), "label").groupBy(F.col("doc_id").alias("_id")).agg(F.min("lowest").alias("component_id"))
     out = rows.join(by_id, rows["doc_id"] == by_id["_id"], "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
@@ -433,7 +433,7 @@ def keep(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame
     """docs with one row of each component: that of the smallest doc_id, then hash of text, then the smallest row. Rows without words or doc_id stay."""
     rows = cut(labelled(docs, size, percent, one_document=False).where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()), "labelled")
     best = rows.groupBy("label").agg(F.min(F.struct("doc_id", "mark")).alias("best"))
-    judged = rows.join(best, "label").groupBy("doc_id", "mark").agg(F.count("*").alias("rows"), F.first(F.struct("doc_id", "mark") == F.col("best")).alias("stays"))
+    judged = rows.join(small(cut(best, "best").select("label", "best.doc_id", "best.mark").withColumnsRenamed({"doc_id": "_id", "mark": "_mark"})), "label").groupBy("doc_id", "mark").agg(F.count("*").alias("rows"), F.first((F.col("doc_id") == F.col("_id")) & (F.col("mark") == F.col("_mark"))).alias("stays"))
     named = judged.select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), "rows", "stays")
     touched = cut(named.where("rows > 1 or not stays"), "touched")
     docs_ = docs.withColumn("_of", mark(F.col("text")))
