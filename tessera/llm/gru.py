@@ -16,7 +16,7 @@ WINDOW, STRIDE = 24, 8
 WORD_DIM, CHAR_DIM, HIDDEN, ATTENTION = 8, 8, 8, 8
 TRIGRAMS = 4096
 #: Windows that run at once, and bytes of texts.
-BATCH, CHUNK = 2048, 1 << 21
+BATCH, CHUNK = 2048, 1 << 20
 EPOCHS, RATE, STEP = 4, 0.01, 64
 #: Epochs before which the model picks each text's highest window anew, and last epochs whose steps' parameters are averaged.
 RESCORED, AVERAGED = (1, 2, 3), 2

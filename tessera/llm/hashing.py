@@ -12,7 +12,7 @@ MARK = np.isin(np.arange(256), np.frombuffer(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}
 MIX1, MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 #: Bytes hashed at once.
-SLAB = 1 << 20
+SLAB = 1 << 19
 
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
@@ -20,7 +20,7 @@ _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """P^0 .. P^(n-1) and their inverses, kept for the next call."""
     if len(_powers[0]) < n:
-        size = max(n, 1 << 20)
+        size = max(n, SLAB + 1)
         for k, p in enumerate((P, P_INVERSE)):
             steps = np.full(size, p, np.uint64)
             steps[0] = 1

@@ -45,11 +45,11 @@ SIZE, PERCENT = 5, 80
 #: N-grams of fewer documents are paired at once.
 KNOWN = 5
 #: N-grams of one group, bytes of sets in one block or trie, bytes of tries in one task's group.
-GROUP_GRAMS, BLOCK_BYTES, DEAL_BYTES = 1_000_000, 4 << 20, 16 << 20
+GROUP_GRAMS, BLOCK_BYTES, DEAL_BYTES = 1_000_000, 2 << 20, 8 << 20
 #: Bytes of texts in a chunk.
-CHUNK = 1 << 22
+CHUNK = 1 << 21
 #: Cells (probes times distinct n-grams) of a trie's table of who holds what.
-CELLS = 1 << 22
+CELLS = 1 << 21
 LIGHT = np.uint64(1 << 56)
 
 
