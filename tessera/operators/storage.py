@@ -8,6 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder of the cluster (spark.checkpoint.dir); where it is unset, as in tests, a folder of our own."""
     place = spark.conf.get("spark.checkpoint.dir", None)
@@ -18,8 +21,16 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table into the shared folder and read it back: later steps restart from there, not from the source."""
+    """Write df as a table into the shared folder and read it back: later steps restart from there, not from the source.
+
+    The write's shuffle files go when it has ended.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEAN_UP, None)
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEAN_UP, before) if before else spark.conf.unset(CLEAN_UP)
     return spark.read.schema(df.schema).parquet(path)
