@@ -1,21 +1,37 @@
-"""Quality by the perplexity of an interpolated modified Kneser-Ney model of characters.
-
-Trusted documents (label quality 1) train a model of ORDER characters. Its
-alphabet is the most frequent characters of the trusted texts, lower-cased, and
-one sign for all others, SIGNS in all. Counts of trusted n-grams, continuation
-counts, counts per context and the lower order's probabilities meet in joins
-that Spark shards by n-gram or context. What comes out has a probability for
-each n-gram seen and a weight for each context seen, at most SIGNS^ORDER rows
-whatever the corpus, and goes to all tasks. (Words would make the model grow
-with the corpus, and scoring would have to shuffle every word of it.) A
-document is kept if its perplexity is at most the QUANTILE of its language's
-trusted documents.
-
-Defined results: a null or empty text has a null perplexity and isn't kept; a
-null language is a language; one with fewer than MIN_TRUSTED trusted documents
-takes the quantile of all; without trusted documents every perplexity is null
-and no text is refused but the empty ones; repeated rows are scored row by row;
-an empty table gives an empty table; other columns are ignored.
+"""Quality by the perplexity of an interpolated modified Kneser-Ney model of word pairs.
+
+Trusted documents (label quality 1), but for the fifth of them held out, train
+the model: counts of word pairs, a start sign before and an end sign behind each
+text; continuation counts of words; what the discounts take from each context.
+All of them are Spark tables that grow with the trusted texts. With
+
+    p1(w)    = (c1(w) - D1) / T1 + taken1 / T1 / (V + 1)
+    p2(w|h)  = (n(h, w) - D2) / total(h) + weight(h) * p1(w)
+    weight(h) = taken(h) / total(h)
+
+the log of a text's probability is a sum over its words of log p1(w) + log
+weight(w) and over its pairs seen in training of log(1 + (n - D2) / (taken(h) *
+p1(w))). So each word and each pair has one value, and one join of the texts'
+keys with those values gives all sums. Texts go to that join in chunks: for each
+part of the key space a chunk's distinct keys, how often they occur, and in
+which of its texts. Parts are as many as the bytes of the texts ask for and are
+joined some at a time (SLICES), which bounds the disk in use. Keys with at least
+1/HOT of all training occurrences (so at most 2 * HOT keys) are sent to all
+tasks instead, and their hot groups to none. A word that is frequent in other
+texts alone still meets in one part, folded by chunk.
+
+A document is kept if its perplexity (over its words and the end sign) is at
+most the QUANTILE of its language's held-out trusted documents.
+
+Defined results: a null text and one without words have a null perplexity and
+aren't kept; a null language is a language; one with fewer than MIN_TRUSTED
+held-out trusted documents takes the quantile of all held-out ones, and of all
+trusted ones if there are none held out; without training documents every
+perplexity is null and no text is refused but those without words; repeated
+rows are scored row by row; an empty table gives an empty table; other columns
+are ignored. Words are told apart by 64-bit hashes. docs must come in the same
+order each time it is read, as a table of files does (chunks are numbered by
+partition and place).
 """
 
 from __future__ import annotations
@@ -24,176 +40,251 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, small, table
+from .hashing import Words
 
-ORDER, SIGNS = 4, 64
 QUANTILE, MIN_TRUSTED = 0.999, 20
-CHUNK = 1 << 21
-START = 0  # stands before a text; 1 is any character outside the alphabet
+HELD_OUT = 5  # one trusted document of so many sets thresholds
+HOT = 10_000
+CHUNK, CHUNK_ROWS = 1 << 22, 1 << 15  # characters and texts of a chunk
+PART = 16 << 20  # bytes of text for each part of the key space
+SLICES = 8
+START, END = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)
 
 
-def points(text: str) -> np.ndarray:
-    return np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-
-
-def runs(texts: list[str | None]):
+def runs(texts: list[str | None]) -> Iterator[list[str | None]]:
     run, size = [], 0
     for t in texts:
-        run.append(t or "")
-        size += len(run[-1])
-        if size >= CHUNK:
+        run.append(t)
+        size += len(t or "")
+        if size >= CHUNK or len(run) >= CHUNK_ROWS:
             yield run
             run, size = [], 0
     if run:
         yield run
 
 
-class Alphabet:
-    def __init__(self, letters: list[int]):
-        self.letters = np.array(sorted(letters), np.uint32)
-
-    def grams(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The ORDER-grams that end at each character of the texts, as numbers of base SIGNS, and each text's number of characters."""
-        pad = "\0" * (ORDER - 1)
-        p = points(pad + pad.join(texts)) if texts else np.zeros(0, np.uint32)
-        k = np.minimum(np.searchsorted(self.letters, p), max(0, len(self.letters) - 1))
-        sign = np.where(self.letters[k] == p, k + 2, 1) if len(self.letters) else np.ones(len(p), np.int64)
-        sizes = np.array([len(points(t)) for t in texts])
-        at = np.repeat(np.cumsum(sizes) - sizes + (ORDER - 1) * np.arange(1, len(texts) + 1), sizes) + np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        inside = np.zeros(len(p), bool)
-        inside[at] = True
-        sign[~inside] = START
-        code = np.zeros(len(at), np.int64)
-        for back in range(ORDER - 1, -1, -1):
-            code = code * SIGNS + sign[at - back]
-        return code, sizes
-
-
-def letters(texts: DataFrame) -> list[int]:
-    def part(batches):
-        for batch in batches:
-            for run in runs(batch.column(0).to_pylist()):
-                value, n = np.unique(points("".join(run)), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(value, pa.int64()), pa.array(n)], names=["letter", "n"])
+def pair_key(before: np.ndarray, word: np.ndarray) -> np.ndarray:
+    return ((before << np.uint64(21)) | (before >> np.uint64(43))) ^ word
 
-    counts = texts.mapInArrow(part, "letter long, n long").groupBy("letter").agg(F.sum("n").alias("n"))
-    return [r["letter"] for r in counts.where("letter <> 0").orderBy(F.desc("n"), "letter").limit(SIGNS - 2).collect()]
 
+def signed_pairs(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of all texts with words: each sign but the start, the sign before it, and the number of its text."""
+    n = np.diff(w.first)
+    has = np.flatnonzero(n)
+    at = w.first[1:][has]
+    word, doc = np.insert(w.hash, at, END), np.insert(w.doc, at, has)
+    before = np.empty_like(word)
+    before[1:] = word[:-1]
+    before[w.first[:-1][has] + np.arange(len(has))] = START
+    return before, word, doc
 
-def gram_counts(texts: DataFrame, alphabet: Alphabet) -> DataFrame:
-    def part(batches):
-        total = np.zeros(SIGNS**ORDER, np.int32)
+
+def pair_counts(texts: DataFrame) -> DataFrame:
+    """before, word and n of the pairs of texts."""
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for run in runs(batch.column(0).to_pylist()):
-                value, n = np.unique(alphabet.grams(run)[0], return_counts=True)
-                total[value] += n.astype(np.int32)
-        value = np.flatnonzero(total)
-        for k in range(0, len(value), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(value[k : k + 100_000]), pa.array(total[value[k : k + 100_000]].astype(np.int64))], names=["gram", "n"])
-
-    return texts.mapInArrow(part, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-
-
-def kneser_ney(counts: DataFrame, order: int = ORDER) -> tuple[DataFrame, DataFrame]:
-    """(order, gram, p) of the n-grams seen and (order, context, weight) of the contexts seen; grams of order k have k signs."""
-    levels = [counts]
-    for k in range(order - 1, 0, -1):  # the number of different signs before it
-        levels.append(levels[-1].groupBy(F.pmod("gram", F.lit(SIGNS**k)).alias("gram")).agg(F.count("*").alias("n")))
-    levels = levels[::-1]
-    lower, grams, contexts = None, None, None
-    for k, level in enumerate(levels, 1):
-        c = cut(level.withColumn("context", F.floor(F.col("gram") / SIGNS).cast("long")), f"counts-{k}")
-        n = [r or 0 for r in c.agg(*[F.sum((F.col("n") == i).cast("long")) for i in (1, 2, 3, 4)]).first()]
-        y = n[0] / (n[0] + 2 * n[1]) if n[0] else 0.0
-        # modified discounts, within their bounds where counts are too few to tell
-        d = [min(float(i), max(0.0, i - (i + 1) * y * n[i] / n[i - 1])) if n[i - 1] else 0.5 * i for i in (1, 2, 3)]
-        cost = F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])
-        by = c.groupBy("context").agg(F.sum("n").alias("total"), F.sum(cost).alias("taken"))
-        by = cut(by.select("context", "total", (F.col("taken") / F.col("total")).alias("weight")), f"contexts-{k}")
-        own = c.join(by, "context").select("gram", ((F.col("n") - cost) / F.col("total")).alias("own"), "weight")
-        if lower is None:
-            p = own.select("gram", (F.col("own") + F.col("weight") / SIGNS).alias("p"))
-        else:
-            below = lower.select(F.col("gram").alias("tail"), F.col("p").alias("below"))
-            p = own.withColumn("tail", F.pmod("gram", F.lit(SIGNS ** (k - 1)))).join(below, "tail").select("gram", (F.col("own") + F.col("weight") * F.col("below")).alias("p"))
-        lower = cut(p, f"grams-{k}")
-        tagged = lower.select(F.lit(k).alias("order"), "gram", "p")
-        of = by.select(F.lit(k).alias("order"), "context", "weight")
-        grams, contexts = (tagged, of) if grams is None else (grams.unionByName(tagged), contexts.unionByName(of))
-    return grams, contexts
+                before, word, _ = signed_pairs(Words(run))
+                _, first, n = np.unique(pair_key(before, word), return_index=True, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(before[first].view(np.int64)), pa.array(word[first].view(np.int64)), pa.array(n)], names=["before", "word", "n"])
+
+    return texts.mapInArrow(part, "before long, word long, n long").groupBy("before", "word").agg(F.sum("n").alias("n"))
+
+
+def discounts(counts: DataFrame) -> list[float]:
+    """The discounts of counts 1, 2 and more, within their bounds where counts are too few to tell."""
+    n = [r or 0 for r in counts.agg(*[F.sum((F.col("n") == i).cast("long")) for i in (1, 2, 3, 4)]).first()]
+    y = n[0] / (n[0] + 2 * n[1]) if n[0] else 0.0
+    return [min(float(i), max(0.0, i - (i + 1) * y * n[i] / n[i - 1])) if n[i - 1] else 0.5 * i for i in (1, 2, 3)]
+
+
+def discount(d: list[float]):
+    return F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])
 
 
 class Model:
-    """log2 of the probability of any gram, looked up from the highest order seen down."""
+    """values(): key, value, n of words and pairs; unknown: log2 p1 of an unseen word; edge: of the start's weight and the end."""
+
+    def __init__(self, texts: DataFrame):
+        self.pairs = cut(pair_counts(texts), "pairs")
+        self.d = discounts(self.pairs)
+        by = self.pairs.groupBy("before").agg(F.sum("n").alias("total"), F.greatest(F.sum(discount(self.d)), F.lit(1e-12)).alias("taken"))
+        self.contexts = cut(by, "contexts")
+        words = cut(self.pairs.groupBy("word").agg(F.count("*").alias("n")), "words")
+        d = discounts(words)
+        every, lost, kinds = words.agg(F.sum("n"), F.sum(discount(d)), F.count("*")).first()
+        self.trained = bool(every)
+        self.total = self.contexts.agg(F.sum("total")).first()[0] or 0
+        if not self.trained:
+            return
+        base = max(lost, 1e-12) / every / (kinds + 1)
+        self.unknown = float(np.log2(base))
+        self.words = cut(words.select("word", ((F.col("n") - discount(d)) / every + base).alias("p1")), "p1")
+        start, end = self.sign(START), self.sign(END)
+        weight = self.contexts.where(F.col("before") == start).select(F.log2(F.col("taken") / F.col("total"))).first()[0]
+        self.edge = weight + self.words.where(F.col("word") == end).select(F.log2(F.col("p1"))).first()[0]
+        # values of words are beyond that of an unseen word, which is 0 so
+        gain = F.coalesce(F.log2(F.col("p1")), F.lit(self.unknown)) - self.unknown + F.coalesce(F.log2(F.col("taken") / F.col("total")), F.lit(0.0))
+        one = self.words.join(self.contexts.withColumnRenamed("before", "word"), "word", "full")
+        self.singles = cut(one.select(F.col("word").alias("key"), gain.alias("value"), F.coalesce("total", F.lit(0)).alias("n")), "singles")
 
-    def __init__(self, grams, contexts, order: int = ORDER):
-        self.order, self.p, self.weight = order, [], []
-        for k in range(1, order + 1):
-            g, c = grams[grams["order"] == k].sort_values("gram"), contexts[contexts["order"] == k].sort_values("context")
-            self.p.append((g["gram"].to_numpy(np.int64), g["p"].to_numpy(np.float64)))
-            self.weight.append((c["context"].to_numpy(np.int64), c["weight"].to_numpy(np.float64)))
+    @staticmethod
+    def sign(x: np.uint64) -> int:
+        return int(np.array([x]).view(np.int64)[0])
+
+    def values(self, pairs: DataFrame) -> DataFrame:
+        """key, value and n of all words and of the given pairs."""
+        two = pairs.join(self.contexts, "before").join(self.words, "word")
+        gain = (F.col("n") - discount(self.d)) / (F.col("taken") * F.col("p1"))
+        return self.singles.unionByName(two.select(self.key().alias("key"), F.log2(1 + gain).alias("value"), "n"))
 
     @staticmethod
-    def find(pair, keys, default):
-        known, value = pair
-        if not len(known):
-            return np.full(len(keys), default), np.zeros(len(keys), bool)
-        k = np.minimum(np.searchsorted(known, keys), len(known) - 1)
-        hit = known[k] == keys
-        return np.where(hit, value[k], default), hit
-
-    def log2(self, codes: np.ndarray) -> np.ndarray:
-        p, _ = self.find(self.p[0], codes % SIGNS, self.weight[0][1][0] / SIGNS if len(self.weight[0][1]) else 1 / SIGNS)
-        for k in range(2, self.order + 1):
-            own, hit = self.find(self.p[k - 1], codes % SIGNS**k, 0.0)
-            weight, _ = self.find(self.weight[k - 1], codes % SIGNS**k // SIGNS, 1.0)
-            p = np.where(hit, own, weight * p)
-        return np.log2(p)
+    def key():
+        return F.shiftleft("before", 21).bitwiseOR(F.shiftrightunsigned("before", 43)).bitwiseXOR(F.col("word"))
+
+    def hot(self) -> tuple[np.ndarray, np.ndarray]:
+        """Keys with at least 1/HOT of all occurrences, at most 2 * HOT of them, and their values."""
+        least = max(2, self.total // HOT)
+        rows = self.values(self.pairs.where(F.col("n") >= least)).where(F.col("n") >= least).select("key", "value").collect()
+        keys, value = np.array([r[0] for r in rows], np.int64).view(np.uint64), np.array([r[1] for r in rows], np.float64)
+        order = np.argsort(keys)
+        return keys[order], value[order]
+
+
+def found(known: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each key its place among the ascending known ones, and whether it is there."""
+    if not len(known):
+        return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+    k = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+    return k, known[k] == keys
+
+
+def chunks(batches: Iterator[pa.RecordBatch], column: int):
+    """number, first row, batch and words of each chunk."""
+    number = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 32
+    for batch in batches:
+        row = 0
+        for run in runs(batch.column(column).to_pylist()):
+            yield number, row, batch, Words(run)
+            row, number = row + len(run), number + 1
+
+
+def heads(docs: DataFrame, sent, edge: float, unknown: float) -> DataFrame:
+    """chunk, place, doc_id, lang, n_signs and the bits of signs, hot keys and unseen words."""
+
+    def part(batches):
+        hot, value = sent.value
+        for number, row, batch, w in chunks(batches, 2):
+            size = len(w.first) - 1
+            n = np.diff(w.first)
+            bits = np.where(n > 0, edge + unknown * n, 0.0)
+            before, word, doc = signed_pairs(w)
+            for keys, of in ((w.hash, w.doc), (pair_key(before, word), doc)):
+                k, hit = found(hot, keys)
+                bits += np.bincount(of[hit], value[k[hit]], size) if hit.any() else 0.0
+            cols = [pa.array(np.full(size, number)), pa.array(np.arange(size, dtype=np.int32)), batch.column(0).slice(row, size), batch.column(1).slice(row, size), pa.array(n + (n > 0)), pa.array(bits)]
+            yield pa.RecordBatch.from_arrays(cols, names=["chunk", "place", "doc_id", "lang", "n_signs", "bits"])
+
+    return docs.mapInArrow(part, "chunk long, place int, doc_id long, lang string, n_signs long, bits double")
+
+
+def postings(docs: DataFrame, sent, parts: int, k: int, slices: int) -> DataFrame:
+    """For the parts that are k modulo slices: part, chunk, its distinct keys, the number of occurrences of each, and their texts' places."""
+
+    def part(batches):
+        hot, _ = sent.value
+        for number, _, _, w in chunks(batches, 2):
+            before, word, doc = signed_pairs(w)
+            keys, doc = np.concatenate([w.hash, pair_key(before, word)]), np.concatenate([w.doc, doc])
+            of = (keys % np.uint64(parts)).astype(np.int64)
+            mine = of % slices == k
+            keys, doc, of = keys[mine], doc[mine], of[mine]
+            cold = ~found(hot, keys)[1]
+            keys, doc, of = keys[cold], doc[cold].astype(np.uint16), of[cold]
+            order = np.lexsort((keys, of))
+            keys, doc, of = keys[order], doc[order], of[order]
+            new = np.flatnonzero(np.diff(keys, prepend=keys[:1] + np.uint64(1)))
+            times = np.diff(new, append=len(keys)).astype(np.uint32)
+            rows = []
+            for p in np.unique(of):
+                i, j = np.searchsorted(of, [p, p + 1])
+                a, b = np.searchsorted(new, [i, j])
+                rows.append((int(p), number, keys[new[a:b]].tobytes(), times[a:b].tobytes(), doc[i:j].tobytes()))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["part", "chunk", "keys", "times", "places"])
+
+    return docs.mapInArrow(part, "part int, chunk long, keys binary, times binary, places binary")
+
+
+def looked_up(texts: pa.Table, values: pa.Table) -> pa.Table:
+    """chunk, place and bits: the sums of one part's values over each text's occurrences."""
+    known = values.column("key").to_numpy().view(np.uint64)
+    order = np.argsort(known)
+    known, value = known[order], values.column("value").to_numpy()[order]
+    out = [(np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0))]
+    for batch in texts.to_batches():
+        for row in batch.select(["chunk", "keys", "times", "places"]).to_pylist():
+            k, hit = found(known, np.frombuffer(row["keys"], np.uint64))
+            times, place = np.frombuffer(row["times"], np.uint32), np.frombuffer(row["places"], np.uint16)
+            at = np.repeat(hit, times)
+            bits, seen = np.repeat(value[k[hit]] if hit.any() else np.zeros(0), times[hit]), place[at]
+            which = np.flatnonzero(np.bincount(seen)) if len(seen) else np.zeros(0, np.int64)
+            total = np.bincount(seen, bits)[which] if len(seen) else np.zeros(0)
+            out.append((np.full(len(which), row["chunk"]), which.astype(np.int32), total))
+    return pa.table({n: np.concatenate(c) for n, c in zip(("chunk", "place", "bits"), zip(*out, strict=True), strict=True)})
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
     return labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
 
 
+def held_out(doc_id):
+    return F.crc32(doc_id.cast("string").cast("binary")) % HELD_OUT == 0
+
+
+def perplexities(docs: DataFrame, model: Model) -> DataFrame:
+    """doc_id, lang, n_signs and perplexity of every row of docs (doc_id, lang, text)."""
+    if not model.trained:
+        none = heads(docs, docs.sparkSession.sparkContext.broadcast((np.zeros(0, np.uint64), np.zeros(0))), 0.0, 0.0)
+        return none.select("doc_id", "lang", "n_signs", F.lit(None).cast("double").alias("perplexity"))
+    sent = docs.sparkSession.sparkContext.broadcast(model.hot())
+    parts = 1 + (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // PART
+    slices = max(1, min(SLICES, parts // 6))
+    key_part = F.expr(f"cast(pmod(pmod(key, {parts}) + if(key < 0, {2**64 % parts}, 0), {parts}) as int)")  # of the key without a sign
+    sums = None
+    for k in range(slices):
+        mine = model.pairs.withColumn("key", Model.key()).where(key_part % slices == k).drop("key")
+        values = model.values(mine).select(key_part.alias("part"), "key", "value").where(F.col("part") % slices == k)
+        texts = postings(docs, sent, parts, k, slices)
+        found_ = cut(texts.groupBy("part").cogroup(values.groupBy("part")).applyInArrow(looked_up, "chunk long, place int, bits double"), f"bits-{k}")
+        sums = found_ if sums is None else sums.unionByName(found_)
+    sums = sums.groupBy("chunk", "place").agg(F.sum("bits").alias("more"))
+    out = cut(heads(docs, sent, model.edge, model.unknown), "heads").join(sums, ["chunk", "place"], "left")
+    bits = F.col("bits") + F.coalesce("more", F.lit(0.0))
+    return out.select("doc_id", "lang", "n_signs", F.when(F.col("n_signs") > 0, F.pow(F.lit(2.0), -bits / F.col("n_signs"))).alias("perplexity"))
+
+
 def score(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:
     """doc_id, lang, trusted, perplexity, threshold and kept of every row of docs."""
-    spark = docs.sparkSession
-    ids = cut(trusted_ids(labels), "trusted")
-    ids = small(ids)
-    texts = docs.where(F.col("text").isNotNull()).join(ids, "doc_id", "left_semi").select("text")
-    alphabet = Alphabet(letters(texts))
-    grams, contexts = kneser_ney(gram_counts(texts, alphabet))
-    model = Model(grams.toPandas(), contexts.toPandas())  # at most SIGNS^ORDER rows, and as many for each lower order
-    sent = spark.sparkContext.broadcast((alphabet, model))
-
-    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        alphabet, model = sent.value
-        for batch in batches:
-            bits, sizes = [], []
-            for run in runs(batch.column(2).to_pylist()):
-                codes, n = alphabet.grams(run)
-                distinct, back = np.unique(codes, return_inverse=True)
-                total = np.concatenate([[0.0], np.cumsum(model.log2(distinct)[back])])
-                ends = np.cumsum(n)
-                bits.append(total[ends] - total[ends - n])
-                sizes.append(n)
-            bits, sizes = np.concatenate(bits), np.concatenate(sizes)
-            value = np.exp2(-bits / np.maximum(1, sizes))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(value, mask=(sizes == 0) | (len(model.p[-1][0]) == 0)), pa.array(sizes)], names=["doc_id", "lang", "perplexity", "n_chars"])
-
-    scored = docs.select(F.col("doc_id").cast("long"), "lang", "text").mapInArrow(part, "doc_id long, lang string, perplexity double, n_chars long")
+    ids = small(cut(trusted_ids(labels), "trusted"))
+    model = Model(docs.where(F.col("text").isNotNull() & ~held_out(F.col("doc_id"))).join(ids, "doc_id", "left_semi").select("text"))
+    scored = perplexities(docs.select(F.col("doc_id").cast("long"), "lang", "text"), model)
     marked = ids.select(F.col("doc_id").alias("_trusted"))
     scored = scored.join(marked, scored["doc_id"] == marked["_trusted"], "left")
-    scored = cut(scored.select("doc_id", "lang", F.col("_trusted").isNotNull().alias("trusted"), "perplexity", "n_chars"), "perplexity")
+    scored = cut(scored.select("doc_id", "lang", F.col("_trusted").isNotNull().alias("trusted"), "perplexity", "n_signs"), "perplexity")
     trusted = scored.where("trusted and perplexity is not null")
+    held = trusted.where(held_out(F.col("doc_id")))
     at = F.percentile_approx("perplexity", quantile, 10_000)
-    every = trusted.agg(at).first()[0]
-    by = trusted.groupBy("lang").agg(at.alias("own"), F.count("*").alias("n")).where(F.col("n") >= MIN_TRUSTED).select(F.col("lang").alias("_lang"), "own")
+    every = held.agg(at).first()[0] or trusted.agg(at).first()[0]
+    by = held.groupBy("lang").agg(at.alias("own"), F.count("*").alias("n")).where(F.col("n") >= MIN_TRUSTED).select(F.col("lang").alias("_lang"), "own")
     out = scored.join(by, F.col("lang").eqNullSafe(F.col("_lang")), "left").withColumn("threshold", F.coalesce("own", F.lit(every).cast("double")))
-    kept = (F.col("n_chars") > 0) & F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True))
+    kept = (F.col("n_signs") > 0) & F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True))
     return out.select("doc_id", "lang", "trusted", "perplexity", "threshold", kept.alias("kept"))
 
 

@@ -2,6 +2,7 @@
 
 import math
 import random
+import zlib
 from collections import Counter
 from itertools import pairwise
 
@@ -94,46 +95,49 @@ def test_scores_against_a_plain_loop(monkeypatch):
         assert gru.scores(m, texts) == pytest.approx([plain_score(m, (t or "").split()) for t in texts], abs=1e-4)
 
 
-def kneser_ney(texts, alphabet, order):
-    """Interpolated modified Kneser-Ney by its definition."""
-    grams = Counter()
-    for t in texts:
-        grams.update(alphabet.grams([t])[0].tolist())
-    split = lambda g, k: tuple(g // perplexity.SIGNS**i % perplexity.SIGNS for i in range(k - 1, -1, -1))
-    levels = {order: Counter({split(g, order): n for g, n in grams.items()})}
-    for k in range(order - 1, 0, -1):
-        levels[k] = Counter(g[1:] for g in levels[k + 1])
-
-    def p(g):
-        if not g:
-            return 1 / perplexity.SIGNS
-        c = levels[len(g)]
+def kneser_ney(texts):
+    """The perplexity function of the interpolated modified Kneser-Ney model of word pairs, by its definition."""
+    signs = lambda t: list(pairwise(["<s>", *t.lower().split(), "</s>"]))
+    two = Counter(p for t in texts for p in signs(t))
+    one = Counter(w for _, w in two)
+
+    def taken(c):
         n = [sum(v == i for v in c.values()) for i in (1, 2, 3, 4)]
         y = n[0] / (n[0] + 2 * n[1]) if n[0] else 0
         d = [0] + [min(i, max(0, i - (i + 1) * y * n[i] / n[i - 1])) if n[i - 1] else 0.5 * i for i in (1, 2, 3)]
-        own = {x: v for x, v in c.items() if x[:-1] == g[:-1]}
-        total = sum(own.values())
-        if not total:
-            return p(g[1:])
-        return (max(0, c[g] - d[min(3, c[g])]) + sum(d[min(3, v)] for v in own.values()) * p(g[1:])) / total
-
-    return lambda code: p(split(code, order))
-
-
-def test_perplexity_against_the_definition(spark):
-    texts = ["the cat sat on the mat", "a cat and a hat", "the hat the cat sat on", "mat and hat"]
-    docs = spark.createDataFrame([(k, t, "en", 1.0) for k, t in enumerate(texts)] + [(7, "zzz qqq cat", None, 2.0), (8, None, "en", 0.0), (9, "", "en", 0.0)], "doc_id long, text string, lang string, perplexity double")
-    labels = spark.createDataFrame([(k, 1) for k in range(4)], "doc_id long, quality int")
-    got = {r["doc_id"]: r for r in perplexity.score(docs, labels).collect()}
-    letters = [k for k, _ in sorted(Counter(map(ord, "".join(texts))).items(), key=lambda x: (-x[1], x[0]))]
-    a = perplexity.Alphabet(letters[: perplexity.SIGNS - 2])
-    p = kneser_ney(texts, a, perplexity.ORDER)
-    for k, t in [*enumerate(texts), (7, "zzz qqq cat")]:
-        codes = a.grams([t])[0].tolist()
-        assert got[k]["perplexity"] == pytest.approx(math.exp(-sum(math.log(p(c)) for c in codes) / len(codes)))
-    assert got[8]["perplexity"] is None and not got[8]["kept"] and not got[9]["kept"] and got[0]["kept"] and not got[7]["kept"]
+        return lambda v: d[min(3, v)]
+
+    d1, d2 = taken(one), taken(two)
+    p1 = lambda w: (one[w] - d1(one[w]) + sum(map(d1, one.values())) / (len(one) + 1)) / sum(one.values())
+
+    def p2(h, w):
+        own = [v for (x, _), v in two.items() if x == h]
+        return (two[h, w] - d2(two[h, w]) + sum(map(d2, own)) * p1(w)) / sum(own) if own else p1(w)
+
+    return lambda t: math.exp(-sum(math.log(p2(*p)) for p in signs(t)) / len(signs(t)))
+
+
+def test_perplexity_against_the_definition(spark, monkeypatch):
+    r = random.Random(3)
+    texts = [" ".join(r.choice("the The cat sat on a mat hat and rat".split()) for _ in range(r.randint(1, 12))) for _ in range(40)]
+    new = ["zzz qqq cat", "Cat cat CAT", "unseen", "the cat " * 50]
+    docs = spark.createDataFrame([(k, t, "en", 1.0) for k, t in enumerate(texts)] + [(100 + k, t, None, 2.0) for k, t in enumerate(new)] + [(100, new[0], None, 2.0), (200, None, "en", 0.0), (201, " \n", "en", 0.0), (None, "the hat", "en", 0.0)], "doc_id long, text string, lang string, perplexity double")
+    labels = spark.createDataFrame([(k, 1) for k in range(40)] + [(None, 1), (100, 0)], "doc_id long, quality int")
+    held = {k for k in range(40) if zlib.crc32(str(k).encode()) % 5 == 0}
+    want = kneser_ney([t for k, t in enumerate(texts) if k not in held])
+    most = max(want(texts[k]) for k in held)
+    for hot, part, chunk in ((10_000, 1 << 24, 1 << 22), (20, 40, 30)):  # no slices and nearly none hot; many parts, slices, chunks and hot keys
+        for name, value in (("HOT", hot), ("PART", part), ("CHUNK", chunk)):
+            monkeypatch.setattr(perplexity, name, value)
+        rows = perplexity.score(docs, labels).collect()
+        assert len(rows) == docs.count() and sum(r["doc_id"] == 100 for r in rows) == 2
+        got = {r["doc_id"]: r for r in rows}
+        for k, t in [*enumerate(texts), *enumerate(new, 100), (None, "the hat")]:
+            assert got[k]["perplexity"] == pytest.approx(want(t))
+            assert got[k]["kept"] == (got[k]["perplexity"] <= got[k]["threshold"]) and got[k]["threshold"] == pytest.approx(most)
+        assert got[200]["perplexity"] is None and got[201]["perplexity"] is None and not got[200]["kept"] and not got[201]["kept"]
     assert perplexity.score(docs.limit(0), labels.limit(0)).count() == 0
-    assert all(r["kept"] == bool(r["doc_id"] < 8) for r in perplexity.score(docs, labels.limit(0)).collect())
+    assert all(r["kept"] == (r["doc_id"] not in (200, 201)) and r["perplexity"] is None for r in perplexity.score(docs, labels.limit(0)).collect())
 
 
 def test_url_parts_and_rules(spark):
