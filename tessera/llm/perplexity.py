@@ -14,8 +14,9 @@ weight(w) and over its pairs seen in training of log(1 + (n - D2) / (taken(h) *
 p1(w))). So each word and each pair has one value, and one join of the texts'
 keys with those values gives all sums. Texts go to that join in chunks: for each
 part of the key space a chunk's distinct keys, how often they occur, and in
-which of its texts. Parts are as many as the bytes of the texts ask for and are
-joined some at a time (SLICES), which bounds the disk in use. Keys with at least
+which of its texts. Pairs are counted and keys joined in SLICES of the key
+space, one after the other, which lessens the disk in use; a slice has as many
+parts as the bytes of the texts ask for. Keys with at least
 1/HOT of all training occurrences (so at most 2 * HOT keys) are sent to all
 tasks instead, and their hot groups to none. A word that is frequent in other
 texts alone still meets in one part, folded by chunk.
@@ -50,18 +51,18 @@ from .hashing import Words
 QUANTILE, MIN_TRUSTED = 0.999, 20
 HELD_OUT = 5  # one trusted document of so many sets thresholds
 HOT = 10_000
-CHUNK, CHUNK_ROWS = 1 << 22, 1 << 15  # characters and texts of a chunk
-PART = 16 << 20  # bytes of text for each part of the key space
-SLICES = 8
+CHUNK, CHUNK_ROWS = 1 << 23, 1 << 15  # characters and texts of a chunk
+SLICES = 8  # of the key space, one after the other
+PARTS, PART = 8, 16 << 20  # parts of a slice at least; bytes of text for each part of all slices beyond
 START, END = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)
 
 
-def runs(texts: list[str | None]) -> Iterator[list[str | None]]:
+def runs(texts: list[str | None], most: int) -> Iterator[list[str | None]]:
     run, size = [], 0
     for t in texts:
         run.append(t)
         size += len(t or "")
-        if size >= CHUNK or len(run) >= CHUNK_ROWS:
+        if size >= most or len(run) >= CHUNK_ROWS:
             yield run
             run, size = [], 0
     if run:
@@ -84,17 +85,28 @@ def signed_pairs(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return before, word, doc
 
 
-def pair_counts(texts: DataFrame) -> DataFrame:
-    """before, word and n of the pairs of texts."""
+def slice_of(x: np.ndarray, slices: int) -> np.ndarray:
+    return ((x >> np.uint64(32)) % np.uint64(slices)).astype(np.int64)
+
+
+def slice_column(name: str):
+    return F.shiftrightunsigned(name, 32) % SLICES
+
+
+def pair_counts(texts: DataFrame, k: int) -> DataFrame:
+    """before, word and n of the pairs of texts whose first sign is of slice k."""
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for run in runs(batch.column(0).to_pylist()):
+            for run in runs(batch.column(0).to_pylist(), CHUNK):
                 before, word, _ = signed_pairs(Words(run))
+                mine = slice_of(before, SLICES) == k
+                before, word = before[mine], word[mine]
                 _, first, n = np.unique(pair_key(before, word), return_index=True, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(before[first].view(np.int64)), pa.array(word[first].view(np.int64)), pa.array(n)], names=["before", "word", "n"])
 
-    return texts.mapInArrow(part, "before long, word long, n long").groupBy("before", "word").agg(F.sum("n").alias("n"))
+    counts = texts.mapInArrow(part, "before long, word long, n long").groupBy("before", "word").agg(F.sum("n").alias("n"))
+    return counts.sortWithinPartitions("before")  # a smaller file
 
 
 def discounts(counts: DataFrame) -> list[float]:
@@ -109,49 +121,52 @@ def discount(d: list[float]):
 
 
 class Model:
-    """values(): key, value, n of words and pairs; unknown: log2 p1 of an unseen word; edge: of the start's weight and the end."""
+    """pairs: the counts of each slice; signs: word, n (signs before it), total and taken (as a context); unknown: log2 p1 of an unseen word; edge: of the start's weight and the end."""
 
     def __init__(self, texts: DataFrame):
-        self.pairs = cut(pair_counts(texts), "pairs")
-        self.d = discounts(self.pairs)
-        by = self.pairs.groupBy("before").agg(F.sum("n").alias("total"), F.greatest(F.sum(discount(self.d)), F.lit(1e-12)).alias("taken"))
-        self.contexts = cut(by, "contexts")
-        words = cut(self.pairs.groupBy("word").agg(F.count("*").alias("n")), "words")
-        d = discounts(words)
-        every, lost, kinds = words.agg(F.sum("n"), F.sum(discount(d)), F.count("*")).first()
-        self.trained = bool(every)
-        self.total = self.contexts.agg(F.sum("total")).first()[0] or 0
+        self.pairs = [cut(pair_counts(texts, k), f"pairs-{k}") for k in range(SLICES)]
+        pairs = self.every()
+        self.d = discounts(pairs)
+        contexts = pairs.groupBy(F.col("before").alias("word")).agg(F.sum("n").alias("total"), F.greatest(F.sum(discount(self.d)), F.lit(1e-12)).alias("taken"))
+        self.signs = cut(pairs.groupBy("word").agg(F.count("*").alias("n")).join(contexts, "word", "full"), "signs")
+        words = self.signs.where("n is not null")
+        d1 = discounts(words)
+        all1, taken1, kinds, self.total = words.agg(F.sum("n"), F.sum(discount(d1)), F.count("*")).crossJoin(self.signs.agg(F.sum("total"))).first()
+        self.trained = bool(all1)
         if not self.trained:
             return
-        base = max(lost, 1e-12) / every / (kinds + 1)
+        base = max(taken1, 1e-12) / all1 / (kinds + 1)
         self.unknown = float(np.log2(base))
-        self.words = cut(words.select("word", ((F.col("n") - discount(d)) / every + base).alias("p1")), "p1")
-        start, end = self.sign(START), self.sign(END)
-        weight = self.contexts.where(F.col("before") == start).select(F.log2(F.col("taken") / F.col("total"))).first()[0]
-        self.edge = weight + self.words.where(F.col("word") == end).select(F.log2(F.col("p1"))).first()[0]
-        # values of words are beyond that of an unseen word, which is 0 so
-        gain = F.coalesce(F.log2(F.col("p1")), F.lit(self.unknown)) - self.unknown + F.coalesce(F.log2(F.col("taken") / F.col("total")), F.lit(0.0))
-        one = self.words.join(self.contexts.withColumnRenamed("before", "word"), "word", "full")
-        self.singles = cut(one.select(F.col("word").alias("key"), gain.alias("value"), F.coalesce("total", F.lit(0)).alias("n")), "singles")
-
-    @staticmethod
-    def sign(x: np.uint64) -> int:
-        return int(np.array([x]).view(np.int64)[0])
-
-    def values(self, pairs: DataFrame) -> DataFrame:
-        """key, value and n of all words and of the given pairs."""
-        two = pairs.join(self.contexts, "before").join(self.words, "word")
+        self.p1, self.weight = (F.col("n") - discount(d1)) / all1 + base, F.col("taken") / F.col("total")
+        self.edge = self.one(START, F.log2(self.weight)) + self.one(END, F.log2(self.p1))
+
+    def every(self) -> DataFrame:
+        out = self.pairs[0]
+        for p in self.pairs[1:]:
+            out = out.unionByName(p)
+        return out
+
+    def one(self, sign: np.uint64, column) -> float:
+        return self.signs.where(F.col("word") == int(np.array([sign]).view(np.int64)[0])).select(column).first()[0]
+
+    def values(self, pairs: DataFrame, signs: DataFrame) -> DataFrame:
+        """key, value and n of the given signs (values are beyond that of an unseen word, which is 0 so) and of pairs that begin with one."""
+        value = F.when(F.col("n").isNull(), 0.0).otherwise(F.log2(self.p1) - self.unknown) + F.coalesce(F.log2(self.weight), F.lit(0.0))
+        single = signs.select(F.col("word").alias("key"), value.alias("value"), F.coalesce("total", F.lit(0)).alias("n"))
+        contexts = signs.where("total is not null").select(F.col("word").alias("before"), "taken")
+        words = self.signs.where("n is not null").select("word", self.p1.alias("p1"))
+        two = pairs.join(contexts, "before").join(words, "word")
         gain = (F.col("n") - discount(self.d)) / (F.col("taken") * F.col("p1"))
-        return self.singles.unionByName(two.select(self.key().alias("key"), F.log2(1 + gain).alias("value"), "n"))
+        key = F.shiftleft("before", 21).bitwiseOR(F.shiftrightunsigned("before", 43)).bitwiseXOR(F.col("word"))
+        return single.unionByName(two.select(key.alias("key"), F.log2(1 + gain).alias("value"), "n"))
 
-    @staticmethod
-    def key():
-        return F.shiftleft("before", 21).bitwiseOR(F.shiftrightunsigned("before", 43)).bitwiseXOR(F.col("word"))
+    def sliced(self, k: int) -> DataFrame:
+        return self.values(self.pairs[k], self.signs.where(slice_column("word") == k)).select("key", "value")
 
     def hot(self) -> tuple[np.ndarray, np.ndarray]:
         """Keys with at least 1/HOT of all occurrences, at most 2 * HOT of them, and their values."""
         least = max(2, self.total // HOT)
-        rows = self.values(self.pairs.where(F.col("n") >= least)).where(F.col("n") >= least).select("key", "value").collect()
+        rows = self.values(self.every().where(F.col("n") >= least), self.signs.where(F.col("total") >= least)).where(F.col("n") >= least).select("key", "value").collect()
         keys, value = np.array([r[0] for r in rows], np.int64).view(np.uint64), np.array([r[1] for r in rows], np.float64)
         order = np.argsort(keys)
         return keys[order], value[order]
@@ -165,12 +180,12 @@ def found(known: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return k, known[k] == keys
 
 
-def chunks(batches: Iterator[pa.RecordBatch], column: int):
+def chunks(batches: Iterator[pa.RecordBatch], column: int, most: int):
     """number, first row, batch and words of each chunk."""
     number = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 32
     for batch in batches:
         row = 0
-        for run in runs(batch.column(column).to_pylist()):
+        for run in runs(batch.column(column).to_pylist(), most):
             yield number, row, batch, Words(run)
             row, number = row + len(run), number + 1
 
@@ -180,7 +195,7 @@ def heads(docs: DataFrame, sent, edge: float, unknown: float) -> DataFrame:
 
     def part(batches):
         hot, value = sent.value
-        for number, row, batch, w in chunks(batches, 2):
+        for number, row, batch, w in chunks(batches, 2, CHUNK):
             size = len(w.first) - 1
             n = np.diff(w.first)
             bits = np.where(n > 0, edge + unknown * n, 0.0)
@@ -194,19 +209,19 @@ def heads(docs: DataFrame, sent, edge: float, unknown: float) -> DataFrame:
     return docs.mapInArrow(part, "chunk long, place int, doc_id long, lang string, n_signs long, bits double")
 
 
-def postings(docs: DataFrame, sent, parts: int, k: int, slices: int) -> DataFrame:
-    """For the parts that are k modulo slices: part, chunk, its distinct keys, the number of occurrences of each, and their texts' places."""
+def postings(docs: DataFrame, sent, parts: int, k: int) -> DataFrame:
+    """Of slice k (of words, and of pairs by their first): part, chunk, its distinct keys, the number of occurrences of each, and their texts' places."""
 
     def part(batches):
         hot, _ = sent.value
-        for number, _, _, w in chunks(batches, 2):
+        for number, _, _, w in chunks(batches, 2, CHUNK):
             before, word, doc = signed_pairs(w)
             keys, doc = np.concatenate([w.hash, pair_key(before, word)]), np.concatenate([w.doc, doc])
-            of = (keys % np.uint64(parts)).astype(np.int64)
-            mine = of % slices == k
-            keys, doc, of = keys[mine], doc[mine], of[mine]
+            mine = np.concatenate([slice_of(w.hash, SLICES), slice_of(before, SLICES)]) == k
+            keys, doc = keys[mine], doc[mine]
             cold = ~found(hot, keys)[1]
-            keys, doc, of = keys[cold], doc[cold].astype(np.uint16), of[cold]
+            keys, doc = keys[cold], doc[cold].astype(np.uint16)
+            of = (keys % np.uint64(parts)).astype(np.int64)
             order = np.lexsort((keys, of))
             keys, doc, of = keys[order], doc[order], of[order]
             new = np.flatnonzero(np.diff(keys, prepend=keys[:1] + np.uint64(1)))
@@ -254,16 +269,14 @@ def perplexities(docs: DataFrame, model: Model) -> DataFrame:
         none = heads(docs, docs.sparkSession.sparkContext.broadcast((np.zeros(0, np.uint64), np.zeros(0))), 0.0, 0.0)
         return none.select("doc_id", "lang", "n_signs", F.lit(None).cast("double").alias("perplexity"))
     sent = docs.sparkSession.sparkContext.broadcast(model.hot())
-    parts = 1 + (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // PART
-    slices = max(1, min(SLICES, parts // 6))
-    key_part = F.expr(f"cast(pmod(pmod(key, {parts}) + if(key < 0, {2**64 % parts}, 0), {parts}) as int)")  # of the key without a sign
+    parts = max(PARTS, (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // PART // SLICES)
+    part = F.expr(f"cast(pmod(pmod(key, {parts}) + if(key < 0, {2**64 % parts}, 0), {parts}) as int)")  # of the key without a sign
     sums = None
-    for k in range(slices):
-        mine = model.pairs.withColumn("key", Model.key()).where(key_part % slices == k).drop("key")
-        values = model.values(mine).select(key_part.alias("part"), "key", "value").where(F.col("part") % slices == k)
-        texts = postings(docs, sent, parts, k, slices)
-        found_ = cut(texts.groupBy("part").cogroup(values.groupBy("part")).applyInArrow(looked_up, "chunk long, place int, bits double"), f"bits-{k}")
-        sums = found_ if sums is None else sums.unionByName(found_)
+    for k in range(SLICES):
+        values = model.sliced(k).withColumn("part", part)
+        each = postings(docs, sent, parts, k).groupBy("part").cogroup(values.groupBy("part")).applyInArrow(looked_up, "chunk long, place int, bits double")
+        own = cut(each.groupBy("chunk", "place").agg(F.sum("bits").alias("bits")), f"bits-{k}")
+        sums = own if sums is None else sums.unionByName(own)
     sums = sums.groupBy("chunk", "place").agg(F.sum("bits").alias("more"))
     out = cut(heads(docs, sent, model.edge, model.unknown), "heads").join(sums, ["chunk", "place"], "left")
     bits = F.col("bits") + F.coalesce("more", F.lit(0.0))

@@ -126,8 +126,8 @@ def test_perplexity_against_the_definition(spark, monkeypatch):
     held = {k for k in range(40) if zlib.crc32(str(k).encode()) % 5 == 0}
     want = kneser_ney([t for k, t in enumerate(texts) if k not in held])
     most = max(want(texts[k]) for k in held)
-    for hot, part, chunk in ((10_000, 1 << 24, 1 << 22), (20, 40, 30)):  # no slices and nearly none hot; many parts, slices, chunks and hot keys
-        for name, value in (("HOT", hot), ("PART", part), ("CHUNK", chunk)):
+    for hot, part, chunk, slices in ((10_000, 1 << 24, 1 << 22, 1), (20, 40, 30, 3)):  # one slice and nearly none hot; many parts, chunks and hot keys
+        for name, value in (("HOT", hot), ("PART", part), ("CHUNK", chunk), ("SLICES", slices)):
             monkeypatch.setattr(perplexity, name, value)
         rows = perplexity.score(docs, labels).collect()
         assert len(rows) == docs.count() and sum(r["doc_id"] == 100 for r in rows) == 2
