@@ -22,6 +22,15 @@ def open_shared(path: str, mode: str):
     return files.open_output_stream(inner)
 
 
+def forget(cut_table: DataFrame) -> None:
+    """Remove a cut table's files; nothing may read it any more, retries included."""
+    from pyarrow import fs
+
+    for folder in {f.rpartition("/")[0] for f in cut_table.inputFiles()}:
+        files, inner = fs.FileSystem.from_uri(folder)
+        files.delete_dir(inner)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -14,9 +14,11 @@ weight(w) and over its pairs seen in training of log(1 + (n - D2) / (taken(h) *
 p1(w))). So each word and each pair has one value, and one join of the texts'
 keys with those values gives all sums. Texts go to that join in chunks: for each
 part of the key space a chunk's distinct keys, how often they occur, and in
-which of its texts. Pairs are counted and keys joined in SLICES of the key
+which of its texts. Pairs are counted and keys joined in slices of the key
 space, one after the other, which lessens the disk in use; a slice has as many
-parts as the bytes of the texts ask for. Keys with at least
+parts as the bytes of the texts ask for. In a part keys are told apart by the 40
+bits below those that name it (a part's keys are bounded, so about one unseen
+key in a million is taken for a seen one). Keys with at least
 1/HOT of all training occurrences (so at most 2 * HOT keys) are sent to all
 tasks instead, and their hot groups to none. A word that is frequent in other
 texts alone still meets in one part, folded by chunk.
@@ -37,6 +39,7 @@ partition and place).
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,15 +48,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, small, table
+from .common import cut, forget, small, table
 from .hashing import Words
 
 QUANTILE, MIN_TRUSTED = 0.999, 20
 HELD_OUT = 5  # one trusted document of so many sets thresholds
 HOT = 10_000
 CHUNK, CHUNK_ROWS = 1 << 23, 1 << 15  # characters and texts of a chunk
-SLICES = 8  # of the key space, one after the other
+SLICES, COUNTED = 6, 3  # of the key space, one after the other: in the join and in the counting
 PARTS, PART = 8, 16 << 20  # parts of a slice at least; bytes of text for each part of all slices beyond
+NEW = np.uint16(1 << 15)  # set in the first place of each key; places are below
 START, END = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)
 
 
@@ -93,16 +97,24 @@ def slice_column(name: str):
     return F.shiftrightunsigned(name, 32) % SLICES
 
 
-def pair_counts(texts: DataFrame, k: int) -> DataFrame:
+def starts(keys: np.ndarray) -> np.ndarray:
+    """Of sorted keys, which differ from the one before."""
+    return np.diff(keys, prepend=keys[:1] + np.uint64(1)) != 0
+
+
+def pair_counts(texts: DataFrame, k: int, slices: int) -> DataFrame:
     """before, word and n of the pairs of texts whose first sign is of slice k."""
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for run in runs(batch.column(0).to_pylist(), CHUNK):
                 before, word, _ = signed_pairs(Words(run))
-                mine = slice_of(before, SLICES) == k
+                mine = slice_of(before, slices) == k
                 before, word = before[mine], word[mine]
-                _, first, n = np.unique(pair_key(before, word), return_index=True, return_counts=True)
+                keys = pair_key(before, word)
+                order = np.argsort(keys)
+                new = np.flatnonzero(starts(keys[order]))
+                first, n = order[new], np.diff(new, append=len(keys))
                 yield pa.RecordBatch.from_arrays([pa.array(before[first].view(np.int64)), pa.array(word[first].view(np.int64)), pa.array(n)], names=["before", "word", "n"])
 
     counts = texts.mapInArrow(part, "before long, word long, n long").groupBy("before", "word").agg(F.sum("n").alias("n"))
@@ -124,7 +136,8 @@ class Model:
     """pairs: the counts of each slice; signs: word, n (signs before it), total and taken (as a context); unknown: log2 p1 of an unseen word; edge: of the start's weight and the end."""
 
     def __init__(self, texts: DataFrame):
-        self.pairs = [cut(pair_counts(texts, k), f"pairs-{k}") for k in range(SLICES)]
+        slices = math.gcd(SLICES, COUNTED)  # slice k of the join lies in slice k % slices of these
+        self.pairs = [cut(pair_counts(texts, k, slices), f"pairs-{k}") for k in range(slices)]
         pairs = self.every()
         self.d = discounts(pairs)
         contexts = pairs.groupBy(F.col("before").alias("word")).agg(F.sum("n").alias("total"), F.greatest(F.sum(discount(self.d)), F.lit(1e-12)).alias("taken"))
@@ -161,7 +174,8 @@ class Model:
         return single.unionByName(two.select(key.alias("key"), F.log2(1 + gain).alias("value"), "n"))
 
     def sliced(self, k: int) -> DataFrame:
-        return self.values(self.pairs[k], self.signs.where(slice_column("word") == k)).select("key", "value")
+        pairs = self.pairs[k % len(self.pairs)].where(slice_column("before") == k)
+        return self.values(pairs, self.signs.where(slice_column("word") == k)).select("key", "value")
 
     def hot(self) -> tuple[np.ndarray, np.ndarray]:
         """Keys with at least 1/HOT of all occurrences, at most 2 * HOT of them, and their values."""
@@ -209,32 +223,40 @@ def heads(docs: DataFrame, sent, edge: float, unknown: float) -> DataFrame:
     return docs.mapInArrow(part, "chunk long, place int, doc_id long, lang string, n_signs long, bits double")
 
 
-def postings(docs: DataFrame, sent, parts: int, k: int) -> DataFrame:
-    """Of slice k (of words, and of pairs by their first): part, chunk, its distinct keys, the number of occurrences of each, and their texts' places."""
+def packed(keys: np.ndarray, bits: int) -> bytes:
+    """The 40 bits of each key below its first ones, which name its part."""
+    return ((keys << np.uint64(bits)) >> np.uint64(24)).view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 5, 8), np.uint8)
+    out[:, :5] = np.frombuffer(data, np.uint8).reshape(-1, 5)
+    return out.view(np.uint64)[:, 0]
+
+
+def postings(docs: DataFrame, sent, bits: int, k: int) -> DataFrame:
+    """Of slice k (of words, and of pairs by their first): part, chunk, its distinct keys, and their texts' places, key by key."""
 
     def part(batches):
         hot, _ = sent.value
+        borders = np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)
         for number, _, _, w in chunks(batches, 2, CHUNK):
             before, word, doc = signed_pairs(w)
-            keys, doc = np.concatenate([w.hash, pair_key(before, word)]), np.concatenate([w.doc, doc])
-            mine = np.concatenate([slice_of(w.hash, SLICES), slice_of(before, SLICES)]) == k
-            keys, doc = keys[mine], doc[mine]
+            one, two = slice_of(w.hash, SLICES) == k, slice_of(before, SLICES) == k
+            keys = np.concatenate([w.hash[one], pair_key(before[two], word[two])])
+            order = np.argsort(keys)
+            keys, place = keys[order], np.concatenate([w.doc[one], doc[two]])[order].astype(np.uint16)
             cold = ~found(hot, keys)[1]
-            keys, doc = keys[cold], doc[cold].astype(np.uint16)
-            of = (keys % np.uint64(parts)).astype(np.int64)
-            order = np.lexsort((keys, of))
-            keys, doc, of = keys[order], doc[order], of[order]
-            new = np.flatnonzero(np.diff(keys, prepend=keys[:1] + np.uint64(1)))
-            times = np.diff(new, append=len(keys)).astype(np.uint32)
-            rows = []
-            for p in np.unique(of):
-                i, j = np.searchsorted(of, [p, p + 1])
-                a, b = np.searchsorted(new, [i, j])
-                rows.append((int(p), number, keys[new[a:b]].tobytes(), times[a:b].tobytes(), doc[i:j].tobytes()))
+            keys, place = keys[cold], place[cold]
+            new = starts(keys)
+            place |= new * NEW
+            i, own = np.append(np.searchsorted(keys, borders), len(keys)), keys[new]
+            j = np.append(np.searchsorted(own, borders), len(own))
+            rows = [(p, number, packed(own[j[p] : j[p + 1]], bits), place[i[p] : i[p + 1]].tobytes()) for p in range(1 << bits) if i[p] < i[p + 1]]
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["part", "chunk", "keys", "times", "places"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["part", "chunk", "keys", "places"])
 
-    return docs.mapInArrow(part, "part int, chunk long, keys binary, times binary, places binary")
+    return docs.mapInArrow(part, "part int, chunk long, keys binary, places binary")
 
 
 def looked_up(texts: pa.Table, values: pa.Table) -> pa.Table:
@@ -244,14 +266,14 @@ def looked_up(texts: pa.Table, values: pa.Table) -> pa.Table:
     known, value = known[order], values.column("value").to_numpy()[order]
     out = [(np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0))]
     for batch in texts.to_batches():
-        for row in batch.select(["chunk", "keys", "times", "places"]).to_pylist():
-            k, hit = found(known, np.frombuffer(row["keys"], np.uint64))
-            times, place = np.frombuffer(row["times"], np.uint32), np.frombuffer(row["places"], np.uint16)
-            at = np.repeat(hit, times)
-            bits, seen = np.repeat(value[k[hit]] if hit.any() else np.zeros(0), times[hit]), place[at]
-            which = np.flatnonzero(np.bincount(seen)) if len(seen) else np.zeros(0, np.int64)
-            total = np.bincount(seen, bits)[which] if len(seen) else np.zeros(0)
-            out.append((np.full(len(which), row["chunk"]), which.astype(np.int32), total))
+        for row in batch.select(["chunk", "keys", "places"]).to_pylist():
+            k, hit = found(known, unpacked(row["keys"]))
+            if not hit.any():
+                continue
+            own, place = np.where(hit, value[k], 0.0), np.frombuffer(row["places"], np.uint16)
+            total = np.bincount(place & ~NEW, own[np.cumsum(place >= NEW) - 1])
+            which = np.flatnonzero(total)
+            out.append((np.full(len(which), row["chunk"]), which.astype(np.int32), total[which]))
     return pa.table({n: np.concatenate(c) for n, c in zip(("chunk", "place", "bits"), zip(*out, strict=True), strict=True)})
 
 
@@ -270,12 +292,14 @@ def perplexities(docs: DataFrame, model: Model) -> DataFrame:
         return none.select("doc_id", "lang", "n_signs", F.lit(None).cast("double").alias("perplexity"))
     sent = docs.sparkSession.sparkContext.broadcast(model.hot())
     parts = max(PARTS, (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // PART // SLICES)
-    part = F.expr(f"cast(pmod(pmod(key, {parts}) + if(key < 0, {2**64 % parts}, 0), {parts}) as int)")  # of the key without a sign
+    bits = math.ceil(math.log2(parts))
+    part, key = F.shiftrightunsigned("key", 64 - bits).cast("int"), F.shiftrightunsigned(F.shiftleft("key", bits), 24)
     sums = None
     for k in range(SLICES):
-        values = model.sliced(k).withColumn("part", part)
-        each = postings(docs, sent, parts, k).groupBy("part").cogroup(values.groupBy("part")).applyInArrow(looked_up, "chunk long, place int, bits double")
+        values = cut(model.sliced(k).select(part.alias("part"), key.alias("key"), "value"), f"values-{k}")
+        each = postings(docs, sent, bits, k).groupBy("part").cogroup(values.groupBy("part")).applyInArrow(looked_up, "chunk long, place int, bits double")
         own = cut(each.groupBy("chunk", "place").agg(F.sum("bits").alias("bits")), f"bits-{k}")
+        forget(values)
         sums = own if sums is None else sums.unionByName(own)
     sums = sums.groupBy("chunk", "place").agg(F.sum("bits").alias("more"))
     out = cut(heads(docs, sent, model.edge, model.unknown), "heads").join(sums, ["chunk", "place"], "left")
