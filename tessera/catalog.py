@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions import scores, text
-from tessera.operators import graph, pairs, recall, scan, sinks, usage
+from tessera.operators import graph, ordering, pairs, recall, scan, sinks, usage
 from tessera.sources.records import AS_OF, CALLS_SQL, EDGES_SQL, MEMORIES_SQL, TYPES, calls, edges, memories, references, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -331,13 +331,13 @@ on_calls(
 )
 on_memories(
     "exported",
-    f"{M} SELECT project_id, type, md5(string_agg('- ' || key, chr(10) ORDER BY key, id)) AS hash FROM memories GROUP BY project_id, type",
-    lambda m: sinks.export_text(m).select("project_id", "type", F.md5("body").alias("hash")),
+    f"{M} SELECT project_id, type, row_number() OVER (PARTITION BY project_id, type ORDER BY key, id) AS place, '- ' || key AS line FROM memories",
+    sinks.export_lines,
 )
 on_memories(
     "tiers",
     f"{M} SELECT id, type, n <= greatest(3, ceil(0.2::DOUBLE * c)) AS top FROM (SELECT id, type, row_number() OVER (PARTITION BY type ORDER BY confidence DESC, id) AS n, count(*) OVER (PARTITION BY type) AS c FROM memories)",
-    lambda m: m.select("id", "type", F.row_number().over(W.partitionBy("type").orderBy(F.desc("confidence"), "id")).alias("n"), F.count("*").over(W.partitionBy("type")).alias("c")).select("id", "type", (F.col("n") <= F.greatest(F.lit(3), F.ceil(0.2 * F.col("c")))).alias("top")),
+    lambda m: ordering.numbered(m.select("id", "type", "confidence"), ["type"], [F.desc("confidence"), "id"]).select("id", "type", (F.col("place") <= F.greatest(F.lit(3), F.ceil(0.2 * F.col("size")))).alias("top")),
 )
 on_memories(
     "context_union",

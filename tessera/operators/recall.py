@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import scores, text
 
+from .ordering import numbered
 from .storage import cut
 
 K = 60
@@ -70,10 +71,8 @@ def hybrid(records: DataFrame, vectors: DataFrame, query: str, embedding: list[f
 
 def within_budget(ranked: DataFrame, by: str, order: list, budget: int, keep_first: bool = False) -> DataFrame:
     """Rows of each group up to the first that would go over the budget of tokens."""
-    w = W.partitionBy(by).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    out = ranked.withColumn("running", F.sum("tokens").over(w))
-    first = F.row_number().over(W.partitionBy(by).orderBy(*order)) == 1
-    return out.withColumn("_first", first).where((F.col("running") <= budget) | (F.lit(keep_first) & F.col("_first"))).drop("_first")
+    out = numbered(ranked, [by], order, "tokens")
+    return out.where((F.col("running") <= budget) | (F.lit(keep_first) & (F.col("place") == 1))).drop("place", "size")
 
 
 def tfidf(records: DataFrame, query: list[str]) -> DataFrame:

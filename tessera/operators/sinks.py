@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .ordering import numbered
+
 
 def upsert(base: DataFrame, delta: DataFrame, keys: list[str], keep: list[str], seq: str) -> DataFrame:
     """The latest row of each key by seq; the columns `keep` stay those of its first row. Both have the same columns."""
@@ -29,8 +31,13 @@ def versions(changes: DataFrame, by: str, order: list[str], values: list[str]) -
     return changes.withColumn("_same", same).where("not _same").drop("_same").withColumn("version", F.row_number().over(w))
 
 
-def export_text(records: DataFrame) -> DataFrame:
-    """A document of lines for each project and type, by key and id."""
-    line = F.concat(F.lit("- "), F.col("key"))
-    lines = records.groupBy("project_id", "type").agg(F.array_sort(F.collect_list(F.struct("key", "id", line.alias("line")))).alias("l"))
-    return lines.select("project_id", "type", F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("body"))
+def export_lines(records: DataFrame) -> DataFrame:
+    """The lines of a document for each project and type: project_id, type, place (from 1, by key and id) and line."""
+    lines = records.select("project_id", "type", "key", "id", F.concat(F.lit("- "), F.col("key")).alias("line"))
+    return numbered(lines, ["project_id", "type"], ["key", "id"]).select("project_id", "type", "place", "line")
+
+
+def write_lines(lines: DataFrame, path: str) -> None:
+    """A folder of text files for each project and type, whose lines in the order of the files' names are the document."""
+    ordered = lines.repartitionByRange("project_id", "type", "place").sortWithinPartitions("project_id", "type", "place")
+    ordered.select("project_id", "type", "line").write.partitionBy("project_id", "type").text(path)
