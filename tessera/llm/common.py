@@ -19,7 +19,7 @@ def open_shared(path: str, mode: str):
     if mode == "r":
         return files.open_input_file(inner)
     files.create_dir(inner.rpartition("/")[0], recursive=True)
-    return files.open_output_stream(inner)
+    return files.open_output_stream(inner, compression=None)
 
 
 def forget(cut_table: DataFrame) -> None:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, html_text, license_scan, ngram_join, packing, perplexity, quality_rules, token_files, toxicity, url_filter
+from . import decontaminate, divergence, filter_audit, html_text, license_scan, ngram_join, packing, perplexity, quality_rules, token_files, toxicity, url_filter, warc
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -15,10 +15,16 @@ QUERIES = {
     "op8_html_text": html_text.op8_html_text,
     "op9_quality_rules": quality_rules.op9_quality_rules,
     "op10_decontaminate": decontaminate.op10_decontaminate,
+    "op11_source_divergence": divergence.op11_source_divergence,
+    "op12_warc": warc.op12_warc,
+    "op13_filter_audit": filter_audit.op13_filter_audit,
 }
 
 ORACLES = {
     "op5_license_scan": license_scan.sql(),
     "op9_quality_rules": quality_rules.SQL,
     "op10_decontaminate": decontaminate.SQL,
+    "op11_source_divergence": divergence.SQL,
+    "op12_warc": warc.SQL,
+    "op13_filter_audit": filter_audit.SQL,
 }
