@@ -52,6 +52,14 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if total <= MAX_BROADCAST_BYTES else df
 
 
+def free(df: DataFrame, name: str) -> str:
+    """name, with underscores before it until df has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def words(text):
     """Words of a text column, split at SPACE; null has none."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")

@@ -41,12 +41,58 @@ ENDS = {
 }
 NOT_IN_HEAD = BLOCK - {"html"}
 
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
+OPENS = re.compile(r"<(?:!--|[!?]|(/?)[a-zA-Z])")
+NAME = re.compile(r"[^\s/>]++")
+STOP = re.compile(r"[>\"']")
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 SPACES = re.compile(r"[ \t\n\r\f]+")
 NONE = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
 
 
+class Markup:
+    """Tags, comments and declarations of a page, found in time linear in its length.
+
+    A tag ends at the first > outside of quotes, or where a quote never closes at
+    the first > at all. A search that ran into an unclosed quote remembers where
+    its quotes opened, as another that opens one there would end alike.
+    """
+
+    def __init__(self, page: str):
+        self.page, self.last, self.lost = page, page.rfind(">"), set()
+
+    def ending(self, at: int) -> int:
+        """The > of a tag whose attributes begin at `at`; there is one."""
+        k, opened = at, []
+        while q := STOP.search(self.page, k):
+            p = q.start()
+            if self.page[p] == ">":
+                return p
+            if p in self.lost:
+                break
+            opened.append(p)
+            close = self.page.find(self.page[p], p + 1)
+            if close < 0:
+                break
+            k = close + 1
+        self.lost.update(opened)
+        return self.page.find(">", at)
+
+    def after(self, at: int) -> tuple[int, int, bool, str, str] | None:
+        """Start, end, whether it is an end tag, name and attributes of the next; comments and declarations have no name."""
+        while m := OPENS.search(self.page, at):
+            start = m.start()
+            if m[1] is None:
+                close = "-->" if m[0] == "<!--" else ">"
+                end = self.page.find(close, m.end())
+                return start, end + len(close) if end >= 0 else len(self.page), False, "", ""
+            if start < self.last:
+                name = NAME.match(self.page, m.end() - 1)
+                end = self.ending(name.end())
+                return start, end + 1, bool(m[1]), name[0].lower(), self.page[name.end() : end]
+            at = m.end()
+        return None
+
+
 class Node:
     __slots__ = ("tag", "parts", "hidden", "attributes")
 
@@ -76,15 +122,12 @@ def tree(page: str) -> Node:
         if found:
             close_from(found)
 
-    at = 0
+    markup, at = Markup(page), 0
     while at < len(page):
-        m = TAG.search(page, at)
-        if not m or m.start() > at:
-            open_[-1].parts.append(unescape(page[at : m.start() if m else len(page)]))
-        if not m:
-            break
-        at = m.end()
-        closes, tag, rest = m[1] if m[2] else m[4], (m[2] or m[5] or "").lower(), m[3] or m[6] or ""
+        start, end_, closes, tag, rest = markup.after(at) or (len(page), len(page), False, "", "")
+        if start > at:
+            open_[-1].parts.append(unescape(page[at:start]))
+        at = end_
         if not tag:
             continue
         if closes:
@@ -105,9 +148,10 @@ def tree(page: str) -> Node:
         node = Node(tag, {a[1].lower(): unescape(a[2] or a[3] or a[4] or "") for a in ATTRIBUTE.finditer(rest)} if rest.strip() else {})
         open_[-1].parts.append(node)
         if tag in RAW:
-            close = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(page, at)
-            node.parts.append(unescape(page[at : close.start() if close else len(page)]))
-            at = close.end() if close else len(page)
+            close = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(page, at)
+            close = close.start() if close and close.start() < markup.last else len(page)
+            node.parts.append(unescape(page[at:close]))
+            at = page.find(">", close) + 1 or len(page)
         elif tag not in VOID and not rest.endswith("/") or tag in BLOCK and tag not in VOID:
             open_.append(node)
             n_open[tag] += 1

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, small, table
+from .common import cut, free, small, table
 from .hashing import Words, mixed, shingle_sets
 
 SIZE, PERCENT = 5, 80
@@ -434,13 +434,14 @@ def keep(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame
     rows = cut(labelled(docs, size, percent, one_document=False).where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()), "labelled")
     best = rows.groupBy("label").agg(F.min(F.struct("doc_id", "mark")).alias("best"))
     judged = rows.join(small(cut(best, "best").select("label", "best.doc_id", "best.mark").withColumnsRenamed({"doc_id": "_id", "mark": "_mark"})), "label").groupBy("doc_id", "mark").agg(F.count("*").alias("rows"), F.first((F.col("doc_id") == F.col("_id")) & (F.col("mark") == F.col("_mark"))).alias("stays"))
-    named = judged.select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), "rows", "stays")
-    touched = cut(named.where("rows > 1 or not stays"), "touched")
-    docs_ = docs.withColumn("_of", mark(F.col("text")))
-    on = (docs_["doc_id"] == F.col("_id")) & (docs_["_of"] == F.col("_mark"))
-    plain = docs_.join(small(touched.select("_id", "_mark")), on, "left_anti").drop("_of")
-    again = docs_.join(small(touched.where("stays").select("_id", "_mark")), on, "left_semi")
-    again = again.groupBy("doc_id", "_of").agg(F.min(F.struct(*[docs[c] for c in docs.columns])).alias("r")).select("r.*")
+    touched = cut(judged.where("rows > 1 or not stays").select("doc_id", "mark", "stays"), "touched")
+    of = free(docs, "mark")
+    marked = docs.withColumn(of, mark(F.col("text")))
+    same = lambda t: (marked["doc_id"] == t["doc_id"]) & (marked[of] == t["mark"])
+    gone, repeated = small(touched.select("doc_id", "mark")), small(touched.where("stays").select("doc_id", "mark"))
+    plain = marked.join(gone, same(gone), "left_anti").drop(of)
+    again = marked.join(repeated, same(repeated), "left_semi")
+    again = again.groupBy("doc_id", of).agg(F.min(F.struct(*docs.columns)).alias("r")).select("r.*")
     return plain.unionByName(again)
 
 

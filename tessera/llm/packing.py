@@ -95,24 +95,24 @@ def fillings(counts: dict[int, int], lengths: list[int], room: int, slack: int,
     found: list[tuple[int, dict[int, int]]] = []
     steps = 0
 
-    def go(room: int, most: int, has: dict[int, int]) -> bool:
-        """True to stop: a perfect filling and first, or no steps left."""
+    def go(room: int, below: int, more: bool, has: dict[int, int]) -> bool:
+        """True to stop: a perfect filling and first, or no steps left. below: only lengths of smaller places follow; more: another piece of the last length fits."""
         nonlocal steps
         steps += 1
-        at = bisect_left(lengths, min(most, room) + 1) - 1
-        fits = False
+        at = min(bisect_left(lengths, room + 1), below) - 1
         while at >= 0:
             n = lengths[at]
-            if counts[n] > has.get(n, 0):
-                fits = True
-                if go(room - n, n, has | {n: has.get(n, 0) + 1}) or steps > FILLING_STEPS:
+            most = min(counts[n], room // n)
+            for m in range(most, 0, -1):  # so the depth is bounded by different lengths, not by pieces
+                more = True
+                if go(room - m * n, at, m < most, has | {n: m}) or steps > FILLING_STEPS:
                     return True
             at -= 1
-        if not fits and room <= slack:  # nothing more fits below `most`
+        if not more and room <= slack:
             found.append((room, has))
         return first and room == 0
 
-    go(room, room, {})
+    go(room, len(lengths), False, {})
     # the best fit, piece after piece, is a filling too
     has, left = {}, room
     while (at := bisect_left(lengths, left + 1) - 1) >= 0:

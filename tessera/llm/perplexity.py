@@ -14,7 +14,9 @@ weight(w) and over its pairs seen in training of log(1 + (n - D2) / (taken(h) *
 p1(w))). So each word and each pair has one value, and one join of the texts'
 keys with those values gives all sums. Texts go to that join in chunks: for each
 part of the key space a chunk's distinct keys, how often they occur, and in
-which of its texts. Pairs are counted and keys joined in slices of the key
+which of its texts. Sums come back by the hash of a text, so that a chunk may
+hold other texts each time the documents are read; copies of a text add up and
+their sum is divided by their number. Pairs are counted and keys joined in slices of the key
 space, one after the other, which lessens the disk in use; a slice has as many
 parts as the bytes of the texts ask for. In a part keys are told apart by the 40
 bits below those that name it (a part's keys are bounded, so about one unseen
@@ -32,9 +34,8 @@ held-out trusted documents takes the quantile of all held-out ones, and of all
 trusted ones if there are none held out; without training documents every
 perplexity is null and no text is refused but those without words; repeated
 rows are scored row by row; an empty table gives an empty table; other columns
-are ignored. Words are told apart by 64-bit hashes. docs must come in the same
-order each time it is read, as a table of files does (chunks are numbered by
-partition and place).
+are ignored. Words and texts are told apart by 64-bit hashes. docs may come in
+any order and partitioning each time it is read.
 """
 
 from __future__ import annotations
@@ -44,7 +45,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -195,21 +195,20 @@ def found(known: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def chunks(batches: Iterator[pa.RecordBatch], column: int, most: int):
-    """number, first row, batch and words of each chunk."""
-    number = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 32
+    """first row, batch and words of each chunk."""
     for batch in batches:
         row = 0
         for run in runs(batch.column(column).to_pylist(), most):
-            yield number, row, batch, Words(run)
-            row, number = row + len(run), number + 1
+            yield row, batch, Words(run)
+            row += len(run)
 
 
 def heads(docs: DataFrame, sent, edge: float, unknown: float) -> DataFrame:
-    """chunk, place, doc_id, lang, n_signs and the bits of signs, hot keys and unseen words."""
+    """mark, doc_id, lang, n_signs and the bits of signs, hot keys and unseen words."""
 
     def part(batches):
         hot, value = sent.value
-        for number, row, batch, w in chunks(batches, 2, CHUNK):
+        for row, batch, w in chunks(batches, 2, CHUNK):
             size = len(w.first) - 1
             n = np.diff(w.first)
             bits = np.where(n > 0, edge + unknown * n, 0.0)
@@ -217,10 +216,10 @@ def heads(docs: DataFrame, sent, edge: float, unknown: float) -> DataFrame:
             for keys, of in ((w.hash, w.doc), (pair_key(before, word), doc)):
                 k, hit = found(hot, keys)
                 bits += np.bincount(of[hit], value[k[hit]], size) if hit.any() else 0.0
-            cols = [pa.array(np.full(size, number)), pa.array(np.arange(size, dtype=np.int32)), batch.column(0).slice(row, size), batch.column(1).slice(row, size), pa.array(n + (n > 0)), pa.array(bits)]
-            yield pa.RecordBatch.from_arrays(cols, names=["chunk", "place", "doc_id", "lang", "n_signs", "bits"])
+            cols = [*(batch.column(c).slice(row, size) for c in (3, 0, 1)), pa.array(n + (n > 0)), pa.array(bits)]
+            yield pa.RecordBatch.from_arrays(cols, names=["mark", "doc_id", "lang", "n_signs", "bits"])
 
-    return docs.mapInArrow(part, "chunk long, place int, doc_id long, lang string, n_signs long, bits double")
+    return docs.mapInArrow(part, "mark long, doc_id long, lang string, n_signs long, bits double")
 
 
 def packed(keys: np.ndarray, bits: int) -> bytes:
@@ -234,13 +233,27 @@ def unpacked(data: bytes) -> np.ndarray:
     return out.view(np.uint64)[:, 0]
 
 
+def compact(places: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The texts that places name, of `size` in all, and the places as numbers among them (NEW stays)."""
+    bare = places & ~NEW
+    if len(bare) * 8 < size:
+        texts, number = np.unique(bare, return_inverse=True)
+    else:
+        used = np.zeros(size, bool)
+        used[bare] = True
+        texts, number = np.flatnonzero(used), (np.cumsum(used) - 1)[bare]
+    return texts, number.astype(np.uint16) | (places & NEW)
+
+
 def postings(docs: DataFrame, sent, bits: int, k: int) -> DataFrame:
-    """Of slice k (of words, and of pairs by their first): part, chunk, its distinct keys, and their texts' places, key by key."""
+    """Of slice k (of words, and of pairs by their first), a row for a chunk and part: its distinct keys, key by key the places of their texts, and the marks of the texts."""
 
     def part(batches):
         hot, _ = sent.value
         borders = np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)
-        for number, _, _, w in chunks(batches, 2, CHUNK):
+        for row, batch, w in chunks(batches, 2, CHUNK):
+            size = len(w.first) - 1
+            marks = batch.column(3).slice(row, size).to_numpy()
             before, word, doc = signed_pairs(w)
             one, two = slice_of(w.hash, SLICES) == k, slice_of(before, SLICES) == k
             keys = np.concatenate([w.hash[one], pair_key(before[two], word[two])])
@@ -252,29 +265,33 @@ def postings(docs: DataFrame, sent, bits: int, k: int) -> DataFrame:
             place |= new * NEW
             i, own = np.append(np.searchsorted(keys, borders), len(keys)), keys[new]
             j = np.append(np.searchsorted(own, borders), len(own))
-            rows = [(p, number, packed(own[j[p] : j[p + 1]], bits), place[i[p] : i[p + 1]].tobytes()) for p in range(1 << bits) if i[p] < i[p + 1]]
+            rows = []
+            for p in range(1 << bits):
+                if i[p] < i[p + 1]:
+                    texts, places = compact(place[i[p] : i[p + 1]], size)
+                    rows.append((p, packed(own[j[p] : j[p + 1]], bits), places.tobytes(), marks[texts].tobytes()))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["part", "chunk", "keys", "places"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["part", "keys", "places", "marks"])
 
-    return docs.mapInArrow(part, "part int, chunk long, keys binary, places binary")
+    return docs.mapInArrow(part, "part int, keys binary, places binary, marks binary")
 
 
 def looked_up(texts: pa.Table, values: pa.Table) -> pa.Table:
-    """chunk, place and bits: the sums of one part's values over each text's occurrences."""
+    """mark and bits: the sums of one part's values over each text's occurrences."""
     known = values.column("key").to_numpy().view(np.uint64)
     order = np.argsort(known)
     known, value = known[order], values.column("value").to_numpy()[order]
-    out = [(np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0))]
+    out = [(np.zeros(0, np.int64), np.zeros(0))]
     for batch in texts.to_batches():
-        for row in batch.select(["chunk", "keys", "places"]).to_pylist():
+        for row in batch.select(["keys", "places", "marks"]).to_pylist():
             k, hit = found(known, unpacked(row["keys"]))
             if not hit.any():
                 continue
             own, place = np.where(hit, value[k], 0.0), np.frombuffer(row["places"], np.uint16)
             total = np.bincount(place & ~NEW, own[np.cumsum(place >= NEW) - 1])
             which = np.flatnonzero(total)
-            out.append((np.full(len(which), row["chunk"]), which.astype(np.int32), total[which]))
-    return pa.table({n: np.concatenate(c) for n, c in zip(("chunk", "place", "bits"), zip(*out, strict=True), strict=True)})
+            out.append((np.frombuffer(row["marks"], np.int64)[which], total[which]))
+    return pa.table({n: np.concatenate(c) for n, c in zip(("mark", "bits"), zip(*out, strict=True), strict=True)})
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
@@ -287,6 +304,7 @@ def held_out(doc_id):
 
 def perplexities(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang, n_signs and perplexity of every row of docs (doc_id, lang, text)."""
+    docs = docs.select("doc_id", "lang", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("mark"))
     if not model.trained:
         none = heads(docs, docs.sparkSession.sparkContext.broadcast((np.zeros(0, np.uint64), np.zeros(0))), 0.0, 0.0)
         return none.select("doc_id", "lang", "n_signs", F.lit(None).cast("double").alias("perplexity"))
@@ -297,12 +315,14 @@ def perplexities(docs: DataFrame, model: Model) -> DataFrame:
     sums = None
     for k in range(SLICES):
         values = cut(model.sliced(k).select(part.alias("part"), key.alias("key"), "value"), f"values-{k}")
-        each = postings(docs, sent, bits, k).groupBy("part").cogroup(values.groupBy("part")).applyInArrow(looked_up, "chunk long, place int, bits double")
-        own = cut(each.groupBy("chunk", "place").agg(F.sum("bits").alias("bits")), f"bits-{k}")
+        each = postings(docs, sent, bits, k).groupBy("part").cogroup(values.groupBy("part")).applyInArrow(looked_up, "mark long, bits double")
+        own = cut(each.groupBy("mark").agg(F.sum("bits").alias("bits")), f"bits-{k}")
         forget(values)
         sums = own if sums is None else sums.unionByName(own)
-    sums = sums.groupBy("chunk", "place").agg(F.sum("bits").alias("more"))
-    out = cut(heads(docs, sent, model.edge, model.unknown), "heads").join(sums, ["chunk", "place"], "left")
+    head = cut(heads(docs, sent, model.edge, model.unknown), "heads")
+    copies = head.groupBy("mark").agg(F.count("*").alias("copies"))
+    sums = sums.groupBy("mark").agg(F.sum("bits").alias("more")).join(copies, "mark").select("mark", (F.col("more") / F.col("copies")).alias("more"))
+    out = head.join(sums, "mark", "left")
     bits = F.col("bits") + F.coalesce("more", F.lit(0.0))
     return out.select("doc_id", "lang", "n_signs", F.when(F.col("n_signs") > 0, F.pow(F.lit(2.0), -bits / F.col("n_signs"))).alias("perplexity"))
 

@@ -90,10 +90,10 @@ def keep(docs: DataFrame) -> DataFrame:
     """The rows of docs that the rules keep, with docs' own columns."""
     measured = cut(measure(docs), "quality")
     # base rules judge a text, so its hash tells which rows to drop; the texts themselves needn't move
-    failed = cut(measured.where("base_failed").select(F.col("mark").alias("_failed")).distinct(), "failed")
-    bad = host_verdicts(measured).where("host_bad").select(F.col("source").alias("_bad"))
-    out = docs.join(small(failed), F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("_failed"), "left_anti")
-    return out.join(small(bad), out["source"] == F.col("_bad"), "left_anti")
+    failed = small(cut(measured.where("base_failed").select("mark").distinct(), "failed"))
+    bad = small(host_verdicts(measured).where("host_bad").select(F.col("source").alias("host")))
+    out = docs.join(failed, F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == failed["mark"], "left_anti")
+    return out.join(bad, docs["source"] == bad["host"], "left_anti")
 
 
 def op9_quality_rules(spark, sf_dir):

@@ -1,6 +1,7 @@
 """The operators with SQL against DuckDB, on the smallest tables and on rows of odd shape."""
 
 import math
+import os
 import random
 import re
 from collections import Counter
@@ -35,8 +36,9 @@ def both(spark, name, sf_dir, parts=""):
     df = QUERIES[name](spark, sf_dir)
     cols = sorted(df.columns)
     con = duckdb.connect()
-    for t in ("documents", "benchmark"):
-        con.execute(f"create view {t} as select * from read_parquet('{sf_dir}/{t}.parquet{parts}')")
+    for t in ("documents", "benchmark", "pages", "labels"):
+        if os.path.exists(f"{sf_dir}/{t}.parquet"):
+            con.execute(f"create view {t} as select * from read_parquet('{sf_dir}/{t}.parquet{parts}')")
     rel = con.execute(ORACLES[name])
     names = [d[0] for d in rel.description]
     want = sorted(([plain(r[names.index(c)]) for c in cols] for r in rel.fetchall()), key=repr)
