@@ -55,11 +55,25 @@ r6 = lambda c: F.round(c, 6)
 # --- recall ---------------------------------------------------------------------------------------------------------
 
 VECTOR_SQL = "[" + ", ".join(map(str, VECTOR)) + "]::DOUBLE[]"
-SIM_SQL = "len(list_intersect({g}, h))::DOUBLE / len(list_distinct(list_concat({g}, h)))"
-#: t: all live records; tl, vl: both legs with their thresholds.
+#: Ordered trigrams with repeats of a lower-cased text.
+ORDERED_TRIGRAMS = TRIGRAMS.removeprefix("list_distinct(").removesuffix(")")
+#: t: all live records that resemble the words, as wholes or by an extent; tl, vl: both legs with their thresholds.
+#: An extent runs from one of the words' trigrams (s) to another that is new to it (h). In x every start looks NEAR places
+#: ahead; it goes on to the end of the text (far) where the foreign trigrams so far don't rule out a better extent.
+NEAR = 300
 LEGS = f"""
-t AS (SELECT id, greatest({SIM_SQL.format(g="g")}, CASE WHEN {SIM_SQL.format(g="k")} > 0.15 THEN {SIM_SQL.format(g="k")} ELSE 0 END) AS sim
-      FROM (SELECT id, {TRIGRAMS.format("key")} AS g, {TRIGRAMS.format("value")} AS k, {TRIGRAMS.format(f"'{WORDS}'")} AS h FROM memories WHERE status = 'live')),
+h AS MATERIALIZED (SELECT unnest({TRIGRAMS.format(f"'{WORDS}'")}) AS g), u AS (SELECT count(*)::DOUBLE AS u FROM h),
+o AS (SELECT id, f, unnest(w) AS g, unnest(range(1, len(w) + 1)) AS p FROM (SELECT id, 'key' AS f, {ORDERED_TRIGRAMS.format("key")} AS w FROM memories WHERE status = 'live' UNION ALL SELECT id, 'value', {ORDERED_TRIGRAMS.format("value")} FROM memories WHERE status = 'live')),
+y AS MATERIALIZED (SELECT id, f, p, g IN (SELECT g FROM h) AS q, coalesce(lag(p) OVER (PARTITION BY id, f, g ORDER BY p), 0) AS prev FROM o),
+a AS (SELECT id, f, max(p) AS len, count(*) FILTER (WHERE q AND prev = 0) / (u + count(*) FILTER (WHERE prev = 0 AND NOT q)) AS whole FROM y, u GROUP BY id, f, u),
+x AS MATERIALIZED (SELECT s.id, s.f, s.p, e.q, sum(e.q::INT) OVER w AS c, sum((NOT e.q)::INT) OVER w AS d
+      FROM y s JOIN y e ON s.id = e.id AND s.f = e.f AND e.p BETWEEN s.p AND s.p + {NEAR} AND e.prev < s.p WHERE s.q WINDOW w AS (PARTITION BY s.id, s.f, s.p ORDER BY e.p)),
+n AS (SELECT id, f, max(c / (u + d)) AS near FROM x, u WHERE q GROUP BY id, f),
+open_ AS (SELECT x.id, x.f, x.p, max(c) AS c, max(d) AS d FROM x JOIN a USING (id, f) JOIN n USING (id, f), u WHERE x.p + {NEAR} < len GROUP BY x.id, x.f, x.p, u, near, whole HAVING u / (u + max(d)) > greatest(near, whole)),
+far AS (SELECT z.id, z.f, q, z.c + sum(e.q::INT) OVER w AS c, z.d + sum((NOT e.q)::INT) OVER w AS d
+      FROM open_ z JOIN y e ON z.id = e.id AND z.f = e.f AND e.p > z.p + {NEAR} AND e.prev < z.p WINDOW w AS (PARTITION BY z.id, z.f, z.p ORDER BY e.p)),
+best AS (SELECT id, f, max(b) AS b FROM (SELECT id, f, near AS b FROM n UNION ALL SELECT id, f, whole FROM a UNION ALL SELECT id, f, c / (u + d) FROM far, u WHERE q) GROUP BY id, f),
+t AS MATERIALIZED (SELECT id, max(b) AS sim FROM best JOIN a USING (id, f) GROUP BY id HAVING max(whole) > 0.15 OR max(b) > 0.4),
 v AS (SELECT vec_id AS id, {COS} AS sim FROM (SELECT vec_id, embedding::DOUBLE[] AS e, {VECTOR_SQL} AS q FROM embeddings)),
 tl AS (SELECT id, sim, rank() OVER (ORDER BY sim DESC) AS r, row_number() OVER (ORDER BY sim DESC, id) AS n FROM t WHERE sim > 0.15),
 vl AS (SELECT id, sim, rank() OVER (ORDER BY sim DESC) AS r, row_number() OVER (ORDER BY sim DESC, id) AS n FROM v WHERE sim > 0.3 AND id IN (SELECT id FROM memories WHERE status = 'live'))"""

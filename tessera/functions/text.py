@@ -53,14 +53,6 @@ def trigrams_of(text: str) -> list[str]:
     return sorted({f"  {w} "[k : k + 3] for w in words for k in range(len(w) + 1)})
 
 
-def resemblance(text: Column, query: str, least: float) -> Column:
-    """Trigram similarity with the query; 0 at once where so many words begin differently that it can't be over `least`."""
-    wanted = trigrams_of(query)
-    words = F.filter(F.split(F.lower(text), "[^\\p{L}\\p{N}]+"), lambda w: w != "")
-    begins = F.size(F.array_distinct(F.transform(words, lambda w: F.substring(w, 1, 2))))  # each is a trigram of its own
-    return F.when(begins * least > len(wanted), 0.0).otherwise(jaccard(trigrams(text), F.array(*[F.lit(g) for g in wanted])))
-
-
 def jaccard(a: Column, b: Column) -> Column:
     """Of two sets; 1 for two empty ones."""
     union = F.size(F.array_union(a, b))

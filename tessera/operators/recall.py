@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions import scores, text
+from tessera.functions.trigrams import resemblances
 
 from .ordering import numbered
 from .storage import cut
@@ -16,10 +20,32 @@ from .storage import cut
 K = 60
 
 
-def trigram_leg(records: DataFrame, query: str, least: float = 0.15) -> DataFrame:
-    """id, sim of live records whose key or value resembles the query. The live filter stands below the rank."""
-    sim = F.greatest(*[text.resemblance(F.col(c), query, least) for c in ("key", "value")])
-    return records.where("status = 'live'").select("id", sim.alias("sim")).where(F.col("sim") > least)
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores where its source has fewer splits than that; else as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def trigram_leg(records: DataFrame, query: str, least: float = 0.15, least_word: float = 0.4) -> DataFrame:
+    """id, sim of live records whose key or value resembles the query as a whole, or some extent of it does. The live filter stands below the rank."""
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            whole, best = (np.maximum(*x) for x in zip(*(resemblances(batch.column(k).to_pylist(), query) for k in (1, 2)), strict=True))
+            found = (whole > least) | (best > least_word)
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(found)), pa.array(best[found])], names=["id", "sim"])
+
+    live = records.where("status = 'live'").select(F.col("id").cast("long").alias("id"), F.lower("key").alias("key"), F.lower("value").alias("value"))
+    return spread(live).mapInArrow(part, "id long, sim double")
+
+
+#: So many rows of ids are sent to all tasks.
+MAX_SENT = 1_000_000
+
+
+def sent(df: DataFrame) -> DataFrame:
+    """df, to be broadcast if it has few rows; ties can make candidates many."""
+    return F.broadcast(df) if df.limit(MAX_SENT + 1).count() <= MAX_SENT else df
 
 
 def vector_leg(vectors: DataFrame, query: list[float], least: float = 0.3, records: DataFrame | None = None) -> DataFrame:
@@ -31,10 +57,10 @@ def vector_leg(vectors: DataFrame, query: list[float], least: float = 0.3, recor
 
 
 def ranks(leg: DataFrame, candidates: DataFrame, ties_share: bool) -> DataFrame:
-    """id, place of the candidates (few) in a leg, counted over all of it without a sort of it."""
+    """id, place of the candidates in a leg, counted over all of it without a sort of it. Their different similarities are few, ties or not."""
     key = F.struct("sim") if ties_share else F.struct("sim", (-F.col("id")).alias("n"))
     leg = leg.withColumn("_k", key)
-    own = leg.join(F.broadcast(candidates), "id", "left_semi")
+    own = leg.join(candidates, "id", "left_semi")
     marks = F.broadcast(own.agg(F.sort_array(F.collect_set("_k")).alias("_marks")))  # one row, of few candidates
     before = leg.crossJoin(marks).select(F.size(F.filter("_marks", lambda m: m < F.col("_k"))).alias("_below")).groupBy("_below").agg(F.count("*").alias("_n"))
     nth = own.crossJoin(marks).select("id", (F.array_position("_marks", F.col("_k")) - 1).alias("_nth"))
@@ -56,7 +82,7 @@ def fuse(legs: list[DataFrame], limit: int, ties_share: bool = True) -> DataFram
         last = leg.orderBy(F.desc("sim")).limit(most).agg(F.min("sim").alias("_last"))
         first = leg.join(F.broadcast(last), F.col("sim") >= F.col("_last")).select("id")
         best.append(first if ties_share else leg.orderBy(F.desc("sim"), "id").limit(most).select("id"))
-    candidates = cut(reduce(DataFrame.unionByName, best).distinct(), "candidates")
+    candidates = sent(cut(reduce(DataFrame.unionByName, best).distinct(), "candidates"))
     placed = reduce(DataFrame.unionByName, [ranks(leg, candidates, ties_share) for leg in legs])
     return placed.groupBy("id").agg(F.sum(1 / (K + F.col("place"))).alias("score")).orderBy(F.desc(F.round("score", 12)), "id").limit(limit)
 
