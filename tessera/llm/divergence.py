@@ -36,6 +36,7 @@ from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -46,8 +47,8 @@ TOP_TERMS = 200
 UNIT = 1_000_000_000
 #: Kept terms of at most so many bytes (8 more for each) go to every task; more are dealt to shards of about so many.
 VOCABULARY_BYTES = 16 << 20
-#: Counts that a task holds before it hands them on.
-HELD = 400_000
+#: Terms of texts, numbers of kept terms, and counts of them, that a task holds before it hands them on.
+HELD, RAW, COUNTS = 400_000, 1 << 22, 1 << 22
 #: Bytes of a piece on its way to a shard; tasks that share a shard.
 PIECE, COPIES = 1 << 16, 4
 #: Sources of a block; pairs of postings evaluated at once.
@@ -67,26 +68,64 @@ def plain(docs: DataFrame) -> DataFrame:
     return docs.select(empty("lang"), empty("source"), empty("text").cast("binary").alias("text"))
 
 
-def flushed(counts: dict[tuple, Counter], names: list[str]) -> Iterator[pa.RecordBatch]:
-    """A batch for the counts of each key, which are then forgotten."""
-    for key, own in counts.items():
+def flushed(counts: dict[str, Counter]) -> Iterator[pa.RecordBatch]:
+    """A batch for the terms of each language, which are then forgotten."""
+    for lang, own in counts.items():
         if own:
-            terms, n = list(own.keys()), np.fromiter(own.values(), np.int64, len(own))
-            yield pa.RecordBatch.from_arrays([*(pa.array([k] * len(n), pa.string()) for k in key), pa.array(terms, pa.binary() if isinstance(terms[0], bytes) else pa.int32()), pa.array(n)], names=names)
+            yield pa.RecordBatch.from_arrays([pa.repeat(lang, len(own)), pa.array(own.keys(), pa.binary()), pa.array(own.values(), pa.int64())], names=["lang", "term", "n"])
     counts.clear()
 
 
+class Tally:
+    """How often each number comes for each key (lang, source). names: the numbers' terms of a language."""
+
+    def __init__(self, names):
+        self.names, self.raw, self.n_raw = names, {}, 0
+        self.own: dict[tuple, tuple[np.ndarray, np.ndarray]] = {}
+
+    def add(self, key: tuple[str, str], numbers: Iterator[int]) -> None:
+        numbers = np.fromiter(numbers, np.int32)
+        if len(numbers):
+            self.raw.setdefault(key, []).append(numbers)
+            self.n_raw += len(numbers)
+            if self.n_raw >= RAW:
+                self.fold()
+
+    def fold(self) -> None:
+        for key, parts in self.raw.items():
+            number, n = np.unique(np.concatenate(parts), return_counts=True)
+            if key in self.own:
+                number, of = np.unique(np.concatenate([self.own[key][0], number]), return_inverse=True)
+                total = np.zeros(len(number), np.int64)
+                np.add.at(total, of, np.concatenate([self.own[key][1], n]))
+                n = total
+            self.own[key] = number, n
+        self.raw, self.n_raw = {}, 0
+
+    def full(self) -> bool:
+        return sum(len(n) for _, n in self.own.values()) >= COUNTS
+
+    def batches(self) -> Iterator[pa.RecordBatch]:
+        """lang, source, term, n of all so far, which are then forgotten."""
+        self.fold()
+        for (lang, source), (number, n) in self.own.items():
+            for k in range(0, len(n), HELD):
+                own, many = self.names(lang).take(pa.array(number[k : k + HELD])), n[k : k + HELD]
+                yield pa.RecordBatch.from_arrays([pa.repeat(lang, len(many)), pa.repeat(source, len(many)), own, pa.array(many)], names=["lang", "source", "term", "n"])
+        self.own = {}
+
+
 def document_frequencies(docs: DataFrame) -> DataFrame:
     """lang, term (binary) and n, the number of documents of the language that hold it."""
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[tuple, Counter] = {}
+        counts: dict[str, Counter] = {}
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                counts.setdefault((lang,), Counter()).update(set(text.as_buffer().to_pybytes().translate(TERM_BYTES).split()))
+                counts.setdefault(lang, Counter()).update(set(text.as_buffer().to_pybytes().translate(TERM_BYTES).split()))
             if sum(map(len, counts.values())) > HELD:
-                yield from flushed(counts, ["lang", "term", "n"])
-        yield from flushed(counts, ["lang", "term", "n"])
+                yield from flushed(counts)
+        yield from flushed(counts)
 
     return docs.select("lang", "text").mapInArrow(part, "lang string, term binary, n long").groupBy("lang", "term").agg(F.sum("n").alias("n"))
 
@@ -112,30 +151,21 @@ def occurrences(a, text: bytes) -> Iterator[int]:
 
 def recount_whole(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """lang, source, term and n for a vocabulary that every task can hold."""
-    rows = vocabulary.toArrow()  # of at most VOCABULARY_BYTES
-    by_lang: dict[str, list[bytes]] = {}
-    for lang, term in zip(rows["lang"].to_pylist(), rows["term"].to_pylist(), strict=True):
-        by_lang.setdefault(lang, []).append(term)
+    rows = vocabulary.toArrow().sort_by([("n", "descending")])  # of at most VOCABULARY_BYTES; frequent terms stand together in memory
+    by_lang = {lang: rows.filter(pc.equal(rows["lang"], lang))["term"].combine_chunks() for lang in rows["lang"].unique().to_pylist()}
     sent = docs.sparkSession.sparkContext.broadcast(by_lang)
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automata, counts, n = {}, {}, 0
-
-        def hand_on():
-            for (lang, source), own in counts.items():
-                terms = sent.value[lang]
-                yield from flushed({(lang, source): Counter({terms[k]: c for k, c in own.items()})}, ["lang", "source", "term", "n"])
-            counts.clear()
-
+        automata, tally = {}, Tally(lambda lang: sent.value[lang])
         for batch in batches:
             for lang, source, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 if lang not in automata:
-                    automata[lang] = automaton(sent.value[lang]) if sent.value.get(lang) else None
+                    automata[lang] = automaton(sent.value[lang].to_pylist()) if lang in sent.value else None
                 if automata[lang]:
-                    counts.setdefault((lang, source), Counter()).update(occurrences(automata[lang], padded(text.as_buffer().to_pybytes())))
-            if sum(map(len, counts.values())) > HELD:
-                yield from hand_on()
-        yield from hand_on()
+                    tally.add((lang, source), occurrences(automata[lang], padded(text.as_buffer().to_pybytes())))
+            if tally.full():
+                yield from tally.batches()
+        yield from tally.batches()
 
     return docs.mapInArrow(part, "lang string, source string, term binary, n long")
 
@@ -171,26 +201,24 @@ def recount_sharded(docs: DataFrame, vocabulary: DataFrame, n_shards: int) -> Da
         yield from hand_on()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, terms, a, counts = None, [], None, {}
-
-        def hand_on():
-            for (lang, source), own in counts.items():
-                yield from flushed({(lang, source): Counter({terms[k]: c for k, c in own.items()})}, ["lang", "source", "term", "n"])
-            counts.clear()
-
+        now, terms, a, tally = None, [], None, None
         for batch in batches:
             for lang, shard, copy, kind, source, piece in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if (lang, shard, copy) != now:
-                    yield from hand_on()
-                    now, terms, a = (lang, shard, copy), [], None
+                    if tally:
+                        yield from tally.batches()
+                    now, terms, a, tally = (lang, shard, copy), [], None, None
                 if kind == 0:  # kept terms come first
                     terms.append(piece)
                 elif terms:
-                    a = a or automaton(terms)
-                    counts.setdefault((lang, source), Counter()).update(occurrences(a, piece))
-            if sum(map(len, counts.values())) > HELD:
-                yield from hand_on()
-        yield from hand_on()
+                    if not tally:
+                        own = pa.array(terms, pa.binary())
+                        a, tally = automaton(terms), Tally(lambda lang, own=own: own)
+                    tally.add((lang, source), occurrences(a, piece))
+            if tally and tally.full():
+                yield from tally.batches()
+        if tally:
+            yield from tally.batches()
 
     row = "lang string, shard int, copy int, kind int, source string, piece binary"
     shard = F.pmod(F.crc32("term"), F.lit(n_shards)).cast("int")
@@ -296,7 +324,7 @@ def shared_terms(placed: DataFrame) -> DataFrame:
 def audit(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP_TERMS, vocabulary_bytes: int = VOCABULARY_BYTES) -> DataFrame:
     """lang, source, part, item, value, rank: the distance of each source to each other of its language (part pair), and the terms that it overuses most (part term)."""
     d = plain(docs)
-    vocabulary = cut(document_frequencies(d).where(F.col("n") >= min_docs).select("lang", "term"), "vocabulary")
+    vocabulary = cut(document_frequencies(d).where(F.col("n") >= min_docs), "vocabulary")
     found = cut(postings(d, vocabulary, vocabulary_bytes), "postings")
 
     # a row a group: its total, its language's number of kept terms, and its share z of a term that it lacks

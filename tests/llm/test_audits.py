@@ -69,12 +69,15 @@ def test_divergence_by_shards(spark, monkeypatch):
     cols = ["lang", "source", "part", "item", "value", "rank"]
     want = plain(divergence.audit(docs).collect(), cols)
     found = divergence.plain(docs)
-    kept = divergence.document_frequencies(found).where("n >= 3").select("lang", "term")
+    kept = divergence.document_frequencies(found).where("n >= 3")
     one = plain(divergence.recount_whole(found, kept).groupBy("lang", "source", "term").sum("n").collect(), ["lang", "source", "term", "sum(n)"])
     many = plain(divergence.recount_sharded(found, kept, 7).groupBy("lang", "source", "term").sum("n").collect(), ["lang", "source", "term", "sum(n)"])
     assert one == many and one
     monkeypatch.setattr(divergence, "BLOCK", 2)
     monkeypatch.setattr(divergence, "PAIRS", 3)
+    monkeypatch.setattr(divergence, "RAW", 40)
+    monkeypatch.setattr(divergence, "COUNTS", 60)
+    monkeypatch.setattr(divergence, "HELD", 25)
     assert plain(divergence.audit(docs, vocabulary_bytes=100).collect(), cols) == want
 
 
