@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tessera.catalog import AGE, E, M, ME, RATES, TRIGRAMS, WORD_SET, query, r6
 from tessera.functions import tokens
 from tessera.operators import graph, quality, search
-from tessera.sources.records import edges, memories
+from tessera.sources.records import ROUND_EDGES_SQL, edges, memories, round_edges
 
 
 def marked(markers: list[str]) -> str:
@@ -114,9 +114,39 @@ def risk_report(spark, sf_dir):
     return quality.risk_report(m, edges(m)).withColumn("risk", r6("risk"))
 
 
-@query(f"{E.replace('WITH ', 'WITH RECURSIVE ', 1)}, c AS (SELECT src, dst FROM edges UNION SELECT c.src, e.dst FROM c JOIN edges e ON e.src = c.dst) SELECT DISTINCT src AS id FROM c WHERE src = dst")
+RE = f"{E.replace('WITH ', 'WITH RECURSIVE ', 1)}, {ROUND_EDGES_SQL}"
+ROUND_CLOSURE = f"{RE}, c AS (SELECT src, dst FROM round_edges UNION SELECT c.src, e.dst FROM c JOIN round_edges e ON e.src = c.dst)"
+
+
+@query(f"{ROUND_CLOSURE} SELECT DISTINCT src AS id FROM c WHERE src = dst")
 def cyclic_records(spark, sf_dir):
-    return graph.on_cycles(edges(memories(spark, sf_dir)))
+    return graph.on_cycles(round_edges(memories(spark, sf_dir)))
+
+
+# The twin walks all simple paths of up to five edges between records of one component; no shortest cycle there is longer.
+@query(f"""{ROUND_CLOSURE}, k AS (SELECT e.src, e.dst FROM round_edges e JOIN c ON c.src = e.dst AND c.dst = e.src),
+p AS (SELECT src AS s, dst AS t, [src, dst] AS path FROM k UNION ALL SELECT s, dst, list_append(path, dst) FROM p JOIN k ON src = t WHERE t <> s AND (dst = s OR NOT list_contains(path, dst)) AND len(path) < 6),
+b AS (SELECT s, path[:-2] AS path FROM (SELECT *, row_number() OVER (PARTITION BY s ORDER BY len(path), path) AS r FROM p WHERE t = s) WHERE r = 1)
+SELECT DISTINCT len(path) AS n, array_to_string(list_concat(path[list_position(path, list_min(path)):], path[:list_position(path, list_min(path)) - 1]), '>') AS cycle FROM b""")
+def reference_cycles(spark, sf_dir):
+    return graph.cycles(round_edges(memories(spark, sf_dir))).select("n", F.array_join(F.col("cycle").cast("array<string>"), ">").alias("cycle"))
+
+
+@query(f"""{ROUND_CLOSURE}, u AS (SELECT DISTINCT dst AS id, src AS via FROM c WHERE src <> dst), d AS (SELECT dst AS id, count(*) AS degree FROM round_edges GROUP BY dst)
+SELECT u.id, count(*) AS dependents, (max(d.degree) + sum(coalesce(v.degree, 0)))::BIGINT AS impact FROM u JOIN d ON d.id = u.id LEFT JOIN d v ON v.id = u.via GROUP BY u.id""")
+def impact_through_cycles(spark, sf_dir):
+    return graph.impact(round_edges(memories(spark, sf_dir)))
+
+
+NAME = "regexp_replace({}key, '[^a-zA-Z0-9_]', '_', 'g')"
+
+
+@query(f"""{ROUND_CLOSURE} SELECT 0 AS part, id AS a, 0::BIGINT AS b, '  ' || {NAME.format('')} || '["' || key || ' [' || type || ']"]' AS line FROM memories
+UNION ALL SELECT 1, src, dst, '  ' || {NAME.format('s.')} || ' --> ' || {NAME.format('t.')} FROM round_edges JOIN memories s ON s.id = src JOIN memories t ON t.id = dst
+UNION ALL SELECT 2, id, 0, '  style ' || {NAME.format('')} || ' fill:#ff6b6b,stroke:#cc0000' FROM memories WHERE id IN (SELECT src FROM c WHERE src = dst)""")
+def graph_document(spark, sf_dir):
+    m = memories(spark, sf_dir)
+    return graph.mermaid(m, round_edges(m))
 
 
 @query(f"""{E.replace('WITH ', 'WITH RECURSIVE ', 1)}, p AS (SELECT [src, dst] AS path FROM edges WHERE src NOT IN (SELECT dst FROM edges) UNION ALL SELECT list_append(path, dst) FROM p JOIN edges ON src = path[-1] WHERE NOT list_contains(path, dst) AND len(path) < 6)

@@ -47,6 +47,9 @@ COLUMNS = {
 #: The same as common table expressions, for oracles.
 MEMORIES_SQL = "memories AS (SELECT " + ", ".join(f"{sql} AS {name}" for name, sql in COLUMNS.items()) + " FROM documents)"
 EDGES_SQL = "edges AS (SELECT DISTINCT r.src, r.dst FROM (SELECT id AS src, id * 3 + 1 AS dst FROM memories WHERE id % 4 < 3 UNION ALL SELECT id, id + 7 FROM memories WHERE id % 5 = 0) r JOIN memories t ON t.id = r.dst WHERE r.src <> r.dst)"
+#: Further references that run in circles of two, three and five records, and two circles that share a record.
+ROUND = [f"CASE id % 50 WHEN 0 THEN 1 WHEN 1 THEN 1 WHEN 2 THEN -2 WHEN 10 THEN 3 WHEN 13 THEN -3 {' '.join(f'WHEN {k} THEN 1' for k in range(45, 49))} WHEN 49 THEN -4 END", "CASE id % 100 WHEN 20 THEN 1 WHEN 21 THEN -1 WHEN 22 THEN -1 END", "CASE id % 100 WHEN 21 THEN 1 END"]
+ROUND_EDGES_SQL = "round_edges AS (SELECT src, dst FROM edges UNION SELECT r.src, r.dst FROM (" + " UNION ALL ".join(f"SELECT id AS src, id + {x} AS dst FROM memories" for x in ROUND) + ") r JOIN memories t ON t.id = r.dst)"
 CALLS_SQL = "calls AS (SELECT event_id, ts, 'agent' || CAST(user_id % 25 AS VARCHAR) AS agent, user_id, event_type AS tool, value FROM events)"
 
 
@@ -66,6 +69,13 @@ def edges(records: DataFrame) -> DataFrame:
     return references(records).where("src <> dst").join(known, "dst", "left_semi").select("src", "dst").distinct()
 
 
+def round_edges(records: DataFrame) -> DataFrame:
+    """edges() and the references that run in circles."""
+    more = F.array_compact(F.array(*[F.expr(f"id + {x}") for x in ROUND]))
+    known = records.select(F.col("id").alias("dst"))
+    return edges(records).unionByName(records.select(F.col("id").alias("src"), F.explode(more).alias("dst")).join(known, "dst", "left_semi").select("src", "dst")).distinct()
+
+
 def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     agent = F.concat(F.lit("agent"), (F.col("user_id") % 25).cast("string"))
     return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "ts", agent.alias("agent"), "user_id", F.col("event_type").alias("tool"), "value")
