@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.catalog import AGE, C, COS, M, ME, SPLIT, VECTOR, VECTOR_SQL, query, r6
 from tessera.functions import classify, dates
-from tessera.operators import metrics, team, usage
+from tessera.operators import metrics, overlap, team, usage
 from tessera.sources.records import AS_OF, EDGES_SQL, calls, edges, memories, vectors
 
 # --- sessions and agents --------------------------------------------------------------------------------------------
@@ -363,3 +363,49 @@ def relative_dates(spark, sf_dir):
     n = (F.col("id") % 9 + 1).cast("string")
     t = F.when(F.col("id") % 3 == 0, "seen Yesterday").when(F.col("id") % 3 == 1, F.concat(n, F.lit(" weeks ago"))).otherwise(F.concat(F.lit("some "), n, F.lit(" days ago,")))
     return memories(spark, sf_dir).select("id", dates.relative(t, F.lit(AS_OF).cast("date")).cast("date").cast("string").alias("day"))
+
+
+WORDS_SQL = "array_to_string(list_filter(regexp_split_to_array({}, '[\\t\\n\\v\\f\\r \\x{{00a0}}\\x{{1680}}\\x{{2000}}-\\x{{200a}}\\x{{2028}}\\x{{2029}}\\x{{202f}}\\x{{205f}}\\x{{3000}}\\x{{feff}}]+'), lambda w: w <> ''), ' ')"
+
+
+# The left side ends every second text with a word of its own, the right begins every third with one; where both did, both stay.
+@query(f"""{M} SELECT id, md5(CASE WHEN value = '' AND id % 6 = 0 THEN 'zzright' WHEN id % 6 = 0 THEN concat_ws(' ', 'zzright', nullif({WORDS_SQL.format("value")}, ''), 'zzleft') WHEN id % 2 = 0 AND value <> '' THEN value || ' zzleft' WHEN id % 3 = 0 THEN 'zzright ' || value ELSE value END) AS hash,
+CASE WHEN tags IS NOT NULL OR id % 4 = 0 THEN array_to_string(list_concat(coalesce(tags, []), CASE WHEN id % 4 = 0 THEN ['new'] ELSE [] END), ',') END AS tags,
+CASE WHEN id % 5 = 0 AND type NOT IN ('lesson', 'pattern') THEN 'partial' ELSE 'clean' END AS strategy FROM memories""")
+def three_way_texts(spark, sf_dir):
+    m = memories(spark, sf_dir)
+    left = m.withColumn("value", F.expr("CASE WHEN id % 2 = 0 AND value <> '' THEN concat(value, ' zzleft') ELSE value END")).withColumn("type", F.expr("CASE WHEN id % 5 = 0 THEN 'lesson' ELSE type END"))
+    right = m.withColumn("value", F.expr("CASE WHEN id % 3 = 0 THEN concat('zzright ', value) ELSE value END")).withColumn("type", F.expr("CASE WHEN id % 5 = 0 THEN 'pattern' ELSE type END"))
+    right = right.withColumn("tags", F.expr("CASE WHEN id % 4 = 0 THEN array('new') ELSE tags END"))
+    out = team.three_way(m, left, right, ["type"], ["value"], ["tags"])
+    return out.select("id", F.md5("value").alias("hash"), F.array_join("tags", ",").alias("tags"), "strategy")
+
+
+# A record in 5 has an excerpt of it and one with a similar key beside it.
+EXCERPTS_SQL = f"{M}, more AS (SELECT id, project_id, key, value, confidence FROM memories WHERE status = 'live' UNION ALL SELECT id + 1000000, project_id, substring(key, 1, 16) || ' v2', substring(value, 30, 30 + id % 90), 0 FROM memories WHERE id % 5 = 0)"
+
+
+def with_excerpts(m):
+    own = m.where("status = 'live'").select("id", "project_id", "key", "value", "confidence")
+    return own.unionByName(m.where("id % 5 = 0").selectExpr("id + 1000000 AS id", "project_id", "concat(substring(key, 1, 16), ' v2') AS key", "substring(value, 30, CAST(30 + id % 90 AS INT)) AS value", "0D AS confidence"))
+
+
+@query(f"""{EXCERPTS_SQL}, k AS (SELECT project_id, lower(key) AS k, count(*) AS n FROM more WHERE key <> '' GROUP BY ALL),
+p AS (SELECT a.project_id, a.k AS a, b.k AS b, a.n AS n_a, b.n AS n_b FROM k a JOIN k b ON a.project_id = b.project_id AND a.k < b.k),
+s AS (SELECT *, list_max(list_transform(flatten(list_transform(range(1, length(a) + 1), lambda i: list_transform(range(1, length(a) + 2 - i), lambda n: substring(a, i, n)))), lambda x: CASE WHEN contains(b, x) THEN length(x) ELSE 0 END)) AS shared FROM p)
+SELECT project_id, a, b, shared::BIGINT AS shared, n_a, n_b FROM s WHERE 100 * shared > 60 * least(length(a), length(b))""")
+def overlapping_keys(spark, sf_dir):
+    return overlap.overlapping_keys(with_excerpts(memories(spark, sf_dir)))
+
+
+@query(f"""{M}, g AS (SELECT project_id, type, path, lower(key) AS k, count(*) AS n FROM memories GROUP BY ALL)
+SELECT a.project_id, a.type, a.path, (sum(DISTINCT t.n))::BIGINT AS n_records, sum(a.n * b.n)::BIGINT AS n_pairs FROM g a JOIN g b ON a.project_id = b.project_id AND a.type = b.type AND a.path = b.path AND a.k < b.k
+JOIN (SELECT project_id, type, path, sum(n) AS n FROM g GROUP BY ALL) t ON t.project_id = a.project_id AND t.type = a.type AND t.path = a.path GROUP BY ALL""")
+def shared_files(spark, sf_dir):
+    return overlap.shared_files(memories(spark, sf_dir))
+
+
+@query(f"""{EXCERPTS_SQL}, n AS (SELECT id, project_id, row_number() OVER (PARTITION BY project_id ORDER BY confidence DESC, id) AS r, regexp_replace(lower(regexp_replace(value, '[ \t\n\v\f\r]+', ' ', 'g')), '^ | $', '', 'g') AS t FROM more)
+SELECT id, of FROM (SELECT a.id, b.id AS of, row_number() OVER (PARTITION BY a.id ORDER BY b.r) AS k FROM n a JOIN n b ON a.project_id = b.project_id AND b.r < a.r AND (a.t = b.t OR length(a.t) >= 40 AND contains(b.t, a.t)) WHERE a.t <> '') WHERE k = 1""")
+def contained_values(spark, sf_dir):
+    return overlap.contained(with_excerpts(memories(spark, sf_dir)), [-F.col("confidence"), F.col("id").alias("n")])

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-from tessera.functions import text
+from tessera.functions import sequences, text
 
 
 def chunk_recall(chunks: DataFrame, records: DataFrame, query: list[float], limit: int, least: float = 0.3) -> DataFrame:
@@ -74,12 +76,21 @@ def pulled(local: DataFrame, remote: DataFrame, keys: list[str]) -> DataFrame:
     return taken.unionByName(dirty.select(*remote.columns)).unionByName(kept.select(*remote.columns))
 
 
-def three_way(base: DataFrame, left: DataFrame, right: DataFrame, scalars: list[str]) -> DataFrame:
-    """id, merged columns, conflicts: for each scalar column the side that changed; where both did, the left one and its name among the conflicts; the higher confidence.
+@F.pandas_udf(StringType())
+def merged_text(left: pd.Series, right: pd.Series) -> pd.Series:
+    return pd.Series([sequences.merged(a, b) for a, b in zip(left, right, strict=True)], dtype=object)
 
-    Rows that one side lacks take the other's values. A side's null is no value.
+
+def three_way(base: DataFrame, left: DataFrame, right: DataFrame, scalars: list[str], texts: list[str] = (), arrays: list[str] = ()) -> DataFrame:
+    """id, merged columns, conflicts, strategy: for each scalar column the side that changed; where both did, the left one and its name among the conflicts; the higher confidence.
+
+    A text that one side changed is that side's, one that both changed holds the
+    words of both in order (an absent text is empty). An array holds the left's
+    elements, then the right's others. Rows that one side lacks take the other's
+    values. A side's null is no value. strategy: partial if there are conflicts.
     """
-    side = lambda df, n: df.select("id", *[F.col(c).alias(f"{c}_{n}") for c in [*scalars, "confidence"]])
+    every = [*scalars, *texts, *arrays, "confidence"]
+    side = lambda df, n: df.select("id", *[F.col(c).alias(f"{c}_{n}") for c in every])
     out = side(left, "l").join(side(right, "r"), "id", "full").join(side(base, "b"), "id", "left")
     merged, clash = [], []
     for c in scalars:
@@ -87,8 +98,19 @@ def three_way(base: DataFrame, left: DataFrame, right: DataFrame, scalars: list[
         left_same, right_same = le.isNull() | le.eqNullSafe(b), r.isNull() | r.eqNullSafe(b)
         merged.append(F.when(le.eqNullSafe(r) | right_same, F.coalesce(le, r)).when(left_same, r).otherwise(le).alias(c))
         clash.append(F.when(~le.eqNullSafe(r) & ~left_same & ~right_same, F.lit(c)))
+    for c in texts:
+        le, r, b = (F.coalesce(f"{c}_{n}", F.lit("")) for n in "lrb")
+        one = F.when((le == r) | (r == b), le).when(le == b, r)
+        both = F.when(one.isNull(), F.lit(True))  # only what both sides changed goes to be aligned
+        text = F.coalesce(one, merged_text(F.when(both, le), F.when(both, r)))
+        merged.append(F.when(F.coalesce(f"{c}_l", f"{c}_r").isNotNull(), text).alias(c))
+    for c in arrays:
+        none = F.array().cast("array<string>")
+        union = F.array_union(F.coalesce(f"{c}_l", none), F.coalesce(f"{c}_r", none))
+        merged.append(F.when(F.coalesce(f"{c}_l", f"{c}_r").isNotNull(), union).alias(c))
     confidence = F.greatest(F.coalesce("confidence_l", "confidence_b", F.lit(1.0)), F.coalesce("confidence_r", "confidence_b", F.lit(1.0)))
-    return out.select("id", *merged, confidence.alias("confidence"), F.array_compact(F.array(*clash)).alias("conflicts"))
+    conflicts = F.array_compact(F.array(*clash)) if clash else F.array().cast("array<string>")
+    return out.select("id", *merged, confidence.alias("confidence"), conflicts.alias("conflicts")).withColumn("strategy", F.when(F.size("conflicts") > 0, "partial").otherwise("clean"))
 
 
 def field_diff(old: DataFrame, new: DataFrame, fields: list[str]) -> DataFrame:
