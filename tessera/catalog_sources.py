@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.catalog import C, M, query
+from tessera.operators import sync
 from tessera.sources import hooks, imports
 from tessera.sources.records import calls, memories
+from tessera.streaming import limits
 
 # --- hook payloads, made of calls: four kinds and an unknown one, with nested secrets -------------------------------------
 
@@ -83,3 +85,46 @@ def diff_hunks(spark, sf_dir):
 def changed_files(spark, sf_dir):
     stat = F.expr("' ' || path || ' | 4 ++--' || chr(10) || '   b ' || type || '.ts   |  Bin' || chr(10) || ' 2 files changed' || chr(10)")
     return imports.changed_files(memories(spark, sf_dir).select(F.col("id").cast("string").alias("doc"), stat.alias("text")).withColumnRenamed("doc", "path")).select("path", "value")
+
+# --- limits, misses, deltas -----------------------------------------------------------------------------------------------
+
+WEEK_MS = 7 * 86_400_000
+
+
+# The twin decides the n-th request of every user at once, for n from 1 on.
+@query(f"""{C.replace("WITH ", "WITH RECURSIVE ", 1)}, q AS (SELECT user_id, event_id, epoch_us(ts) // 1000 AS ms, 1 + event_id % 40 AS texts, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000, event_id) AS n FROM calls),
+r AS (SELECT DISTINCT user_id, 0::BIGINT AS n, []::STRUCT(ms BIGINT, texts BIGINT)[] AS granted, NULL::BIGINT AS event_id, false AS allowed, 0::BIGINT AS retry FROM q
+  UNION ALL SELECT user_id, n, CASE WHEN ok THEN list_append(live, {{'ms': ms, 'texts': texts}}) ELSE live END, event_id, ok, CASE WHEN ok THEN 0 WHEN len(live) = 0 THEN 1 ELSE greatest(1, ceil((live[1].ms + {WEEK_MS} - ms) / 1000.0))::BIGINT END
+  FROM (SELECT *, len(live) < 3 AND coalesce(list_sum(list_transform(live, lambda g: g.texts)), 0) + texts <= 60 AS ok FROM (SELECT r.user_id, q.n, q.event_id, q.ms, q.texts, list_filter(granted, lambda g: g.ms > q.ms - {WEEK_MS}) AS live FROM r JOIN q ON q.user_id = r.user_id AND q.n = r.n + 1)))
+SELECT user_id::VARCHAR AS identity, event_id AS id, allowed, retry AS retry_after FROM r WHERE n > 0""")
+def rate_decisions(spark, sf_dir):
+    asked = calls(spark, sf_dir).select(F.col("user_id").alias("identity"), F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("ts"), (1 + F.col("event_id") % 40).alias("texts"))
+    return limits.decisions(asked, WEEK_MS, 3, 60)
+
+
+@query(f"""{C}, l AS (SELECT agent AS project_id, ts AS moment, CASE WHEN event_id % 97 = 0 THEN 'clear' WHEN event_id % 3 = 0 THEN 'miss' ELSE 'hit' END AS kind, tool AS query FROM calls),
+m AS (SELECT project_id, max(moment) FILTER (WHERE kind = 'clear') AS cleared FROM l GROUP BY project_id)
+SELECT project_id, query, count(*) AS n, max(epoch_us(moment)) AS last FROM l JOIN m USING (project_id) WHERE kind = 'miss' AND (cleared IS NULL OR moment > cleared) GROUP BY project_id, query""")
+def open_misses(spark, sf_dir):
+    log = calls(spark, sf_dir).select(F.col("agent").alias("project_id"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), F.expr("CASE WHEN event_id % 97 = 0 THEN 'clear' WHEN event_id % 3 = 0 THEN 'miss' ELSE 'hit' END").alias("kind"), F.col("tool").alias("query"))
+    return limits.open_misses(log)
+
+
+MARK = "2025-01-20"
+
+
+# The local copy lacks a record in 50 that changed since, has one in 17 with an edit of its own, and one that the remote has lost.
+@query(f"""{M}, l AS (SELECT id, id % 17 = 0 AS dirty, CASE WHEN id % 17 = 0 THEN 'mine' ELSE 'old' END AS value FROM memories WHERE NOT (updated_on > DATE '{MARK}' AND id % 50 = 0) UNION ALL SELECT -1, false, 'lost'),
+t AS (SELECT id FROM memories WHERE updated_on > DATE '{MARK}'), h AS (SELECT count(*) AS held FROM t JOIN l USING (id) WHERE dirty)
+SELECT id, value, 'delta' AS mode, CASE WHEN held > 0 THEN '{MARK}' ELSE 'now' END AS mark, held FROM (SELECT id, 'remote' AS value FROM t WHERE id NOT IN (SELECT id FROM l WHERE dirty) UNION ALL SELECT id, value FROM l WHERE dirty OR id NOT IN (SELECT id FROM t)), h""")
+def delta_pull(spark, sf_dir):
+    remote = memories(spark, sf_dir).select("id", "updated_on", F.lit("remote").alias("value"))
+    local = remote.where(f"NOT (updated_on > DATE '{MARK}' AND id % 50 = 0)").unionByName(remote.limit(1).select(F.lit(-1).cast("long").alias("id"), "updated_on", "value"))
+    local = local.select("id", "updated_on", F.expr("CASE WHEN id = -1 THEN 'lost' WHEN id % 17 = 0 THEN 'mine' ELSE 'old' END").alias("value"), F.expr("id % 17 = 0").alias("dirty"))
+    p = sync.pull(remote, local, MARK, "now")
+    return p.rows.select("id", "value", F.lit(p.mode).alias("mode"), F.lit(p.mark).alias("mark"), F.lit(p.held.count()).alias("held"))
+
+
+@query(f"{C} SELECT event_id AS id, tool FROM calls WHERE event_id > 100 ORDER BY event_id LIMIT 500")
+def unsynced_events(spark, sf_dir):
+    return sync.unsynced(calls(spark, sf_dir).select(F.col("event_id").alias("id"), "tool"), 100)
