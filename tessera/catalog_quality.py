@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tessera.catalog import AGE, E, M, ME, RATES, TRIGRAMS, WORD_SET, query, r6
 from tessera.functions import tokens
 from tessera.operators import graph, quality, search
-from tessera.sources.records import ROUND_EDGES_SQL, edges, memories, round_edges
+from tessera.sources.records import MEMORIES_SQL, ROUND_EDGES_SQL, edges, memories, round_edges
 
 
 def marked(markers: list[str]) -> str:
@@ -17,6 +17,17 @@ def marked(markers: list[str]) -> str:
 SPACED = "list_distinct(list_filter(string_split_regex(lower(value), '[ \\t\\n\\r\\f]+'), lambda w: length(w) > 2))"
 
 
+# A record in 22 is advice for something, and has a copy beside it that advises against.
+OPPOSED = "id % 22 = 0"
+OPPOSED_SQL = f"""WITH {MEMORIES_SQL.replace("memories AS", "base AS", 1)}, memories AS (SELECT * REPLACE (CASE WHEN {OPPOSED} THEN value || ' you must always do it' ELSE value END AS value) FROM base
+UNION ALL SELECT * REPLACE (id + 2000000 AS id, value || ' never do it' AS value) FROM base WHERE {OPPOSED})"""
+
+
+def opposed(m):
+    more = m.where(OPPOSED).withColumns({"id": F.col("id") + 2_000_000, "value": F.concat("value", F.lit(" never do it"))})
+    return m.withColumn("value", F.when(F.expr(OPPOSED), F.concat("value", F.lit(" you must always do it"))).otherwise(F.col("value"))).unionByName(more)
+
+
 def polar(positive: list[str], negative: list[str], where: str = "true") -> str:
     """c: pairs of opposite guidance and their overlap, by comparing all records that share a word."""
     return f"""
@@ -43,13 +54,13 @@ def similar_keys(spark, sf_dir):
     return quality.similar_keys(memories(spark, sf_dir)).select("a", "b", r6("similarity").alias("similarity"))
 
 
-@query(f"{M}, {polar(POSITIVE, NEGATIVE)} SELECT a, b, round(overlap, 6) AS overlap FROM c WHERE overlap >= 0.25 - 1e-12")
+@query(f"{OPPOSED_SQL}, {polar(POSITIVE, NEGATIVE)} SELECT a, b, round(overlap, 6) AS overlap FROM c WHERE overlap >= 0.25 - 1e-12")
 def contradictions(spark, sf_dir):
-    return quality.contradictions(memories(spark, sf_dir)).select("a", "b", r6("overlap").alias("overlap"))
+    return quality.contradictions(opposed(memories(spark, sf_dir))).select("a", "b", r6("overlap").alias("overlap"))
 
 
 def quality_sql(where: str = "true") -> str:
-    return f"""{M}, {polar(quality.CONSISTENT_POSITIVE, quality.CONSISTENT_NEGATIVE, where)},
+    return f"""{OPPOSED_SQL}, {polar(quality.CONSISTENT_POSITIVE, quality.CONSISTENT_NEGATIVE, where)},
 bad AS (SELECT a AS id FROM c WHERE overlap > 0.3 + 1e-12 UNION SELECT b FROM c WHERE overlap > 0.3 + 1e-12),
 q AS (SELECT id, project_id, status,
  5 * ((coalesce(len(conditions), 0) > 0)::INT + (coalesce(len(examples), 0) > 0)::INT + (coalesce(len(tags), 0) > 0)::INT + (n_refs > 0)::INT + 1) AS completeness,
@@ -61,7 +72,7 @@ t AS (SELECT *, completeness + freshness + consistency + usefulness AS total FRO
 
 @query(f"{quality_sql()} SELECT id, completeness, freshness, consistency, usefulness, total FROM t")
 def quality_scores(spark, sf_dir):
-    return quality.quality(memories(spark, sf_dir)).select("id", "completeness", "freshness", "consistency", "usefulness", "total")
+    return quality.quality(opposed(memories(spark, sf_dir))).select("id", "completeness", "freshness", "consistency", "usefulness", "total")
 
 
 LIVE = "status = 'live'"
@@ -70,13 +81,13 @@ LIVE = "status = 'live'"
 @query(f"""{quality_sql(LIVE)} SELECT project_id, count(*) AS n, floor(avg(total) + 0.5) AS health, count(*) FILTER (WHERE total >= 80) AS excellent, count(*) FILTER (WHERE total >= 60 AND total < 80) AS good,
 count(*) FILTER (WHERE total >= 40 AND total < 60) AS fair, count(*) FILTER (WHERE total < 40) AS poor, array_to_string(list_slice(list(id ORDER BY total, id), 1, 5), ',') AS worst FROM t GROUP BY project_id""")
 def project_health(spark, sf_dir):
-    h = quality.health(quality.quality(memories(spark, sf_dir).where(LIVE)))
+    h = quality.health(quality.quality(opposed(memories(spark, sf_dir)).where(LIVE)))
     return h.withColumn("worst", F.array_join(F.col("worst").cast("array<string>"), ","))
 
 
 @query(f"{quality_sql()} SELECT t.id, total FROM t JOIN memories m USING (id) WHERE {AGE} >= 60 AND date_diff('day', created_on, DATE '2025-09-01') >= 60 AND total <= 45 AND m.status = 'live'")
 def auto_archive(spark, sf_dir):
-    m = memories(spark, sf_dir)
+    m = opposed(memories(spark, sf_dir))
     return quality.archivable(m, quality.quality(m), at_most=45)
 
 

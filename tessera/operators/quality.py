@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -9,6 +13,7 @@ from pyspark.sql import functions as F
 from tessera.functions import scores, text
 
 from . import graph
+from .recall import spread
 from .storage import cut
 
 # The types that a brief needs, and those whose values should read as orders.
@@ -17,27 +22,52 @@ IMPERATIVE_TYPES = ["convention", "anti_pattern", "lesson"]
 IMPERATIVE = "(?<![A-Za-z0-9_])(ALWAYS|NEVER|MUST|DO NOT|STOP|AVOID|REQUIRE|ENSURE|USE)(?![A-Za-z0-9_])"
 
 
-def sharing(sets: DataFrame, least: float, of_union: bool) -> DataFrame:
-    """a, b, similarity of rows (id, by, s) of equal `by` whose sets s have a similarity of at least `least`.
+#: So many of the most frequent elements are sent to all tasks with their counts; the order of others is that of their hashes.
+FREQUENT = 200_000
+
+
+def prefixes(sets: DataFrame, least: float, more: list[str]) -> DataFrame:
+    """h, id, place, size and `more` of the first size - ceil(least * size) + 1 elements of each set h of hashes, the rarest first."""
+    counts = sets.select(F.explode("h").alias("h")).groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
+    often = counts.orderBy(F.desc("n"), "h").limit(FREQUENT).toArrow().sort_by("h")
+    sent = sets.sparkSession.sparkContext.broadcast((often["h"].to_numpy(), often["n"].to_numpy()))
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, n = sent.value
+        for batch in batches:
+            h, size = batch.column(1).flatten().to_numpy(), batch.column(1).value_lengths().to_numpy().astype(np.int64)
+            row, first = np.repeat(np.arange(len(size)), size), np.cumsum(size) - size
+            k = np.minimum(np.searchsorted(known, h), max(0, len(known) - 1))
+            order = np.lexsort((h, np.where(known[k] == h, n[k], 1) if len(known) else h, row))
+            place = np.arange(len(h)) - first[row]  # rows stay in order
+            taken = place < (size - np.ceil(least * size - 1e-9).astype(np.int64) + 1)[row]
+            of = pa.array(row[taken])
+            yield pa.RecordBatch.from_arrays([pa.array(h[order][taken]), batch.column(0).take(of), pa.array(place[taken]), pa.array(size[row][taken]), *(c.take(of) for c in batch.columns[2:])], names=["h", "id", "place", "size", *more])
+
+    kinds = "".join(f", {c} {sets.schema[c].dataType.simpleString()}" for c in more)
+    return sets.select("id", "h", *more).mapInArrow(part, f"h long, id long, place long, size long{kinds}")
+
+
+def sharing(sets: DataFrame, least: float, of_union: bool, more: list[str] = (), on: str = "true") -> DataFrame:
+    """a, b, similarity of rows (id, by, s) of equal `by` whose sets s have a similarity of at least `least`; on: a condition on columns `more` of both, x and y.
 
     The similarity is the overlap over the union, or over the larger set. Either
     way a pair shares at least a share `least` of each set, so it shares an element
     among the first size - ceil(least * size) + 1 of both in one order of elements;
     that order puts the rarest first, so a frequent element seldom pairs anything.
+    At the first element that two sets share, no more of them is common than what
+    stands from there on in either; other pairs are left at once. Sets are compared
+    as 64-bit hashes of their elements with `by`.
     """
-    sets = cut(sets.where(F.size("s") > 0), "sets")
-    each = sets.select("id", "by", F.explode("s").alias("e"))
-    often = each.groupBy("by", "e").agg(F.count("*").alias("n")).where("n > 1")  # what one row has alone joins nothing
-    n = F.size("s")
-    first = n - F.ceil(F.lit(least) * n - 1e-9) + 1
-    ordered = each.join(often, ["by", "e"], "left").groupBy("id").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(1)).alias("n"), "e"))).alias("o"))
-    prefix = sets.join(ordered, "id").select("id", "by", n.alias("size"), F.explode(F.slice("o", F.lit(1), first.cast("int"))).alias("x")).where("x.n > 1")
-    prefix = prefix.select("id", "by", "size", F.col("x.e").alias("e"))
+    hashed = F.array_distinct(F.transform("s", lambda w: F.xxhash64("by", w)))
+    sets = cut(spread(sets).select(F.col("id").cast("long").alias("id"), hashed.alias("h"), *more).where(F.size("h") > 0), "sets")
+    prefix = cut(prefixes(sets, least, list(more)), "prefixes")
     x, y = prefix.alias("x"), prefix.alias("y")
-    on = (F.col("x.by") == F.col("y.by")) & (F.col("x.e") == F.col("y.e")) & (F.col("x.id") < F.col("y.id"))
     fits = F.least("x.size", "y.size") >= F.lit(least) * F.greatest("x.size", "y.size") - 1e-9
-    pairs = x.join(y, on & fits).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-    sa, sb = sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), sets.select(F.col("id").alias("b"), F.col("s").alias("sb"))
+    need = F.lit(least / (1 + least)) * (F.col("x.size") + F.col("y.size")) if of_union else F.lit(least) * F.greatest("x.size", "y.size")
+    rest = F.least(F.col("x.size") - F.col("x.place"), F.col("y.size") - F.col("y.place")) >= need - 1e-9
+    pairs = x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.id") < F.col("y.id")) & fits & rest & F.expr(on)).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    sa, sb = sets.select(F.col("id").alias("a"), F.col("h").alias("sa")), sets.select(F.col("id").alias("b"), F.col("h").alias("sb"))
     shared = F.size(F.array_intersect("sa", "sb"))
     whole = F.size("sa") + F.size("sb") - shared if of_union else F.greatest(F.size("sa"), F.size("sb"))
     return pairs.join(sa, "a").join(sb, "b").select("a", "b", (shared / whole).alias("similarity")).where(F.col("similarity") >= least - 1e-12)
@@ -45,7 +75,8 @@ def sharing(sets: DataFrame, least: float, of_union: bool) -> DataFrame:
 
 def near_duplicates(records: DataFrame, least: float = 0.7) -> DataFrame:
     """Pairs of live records of one type whose words of key and value have a Jaccard similarity of at least `least`."""
-    sets = records.where("status = 'live'").select("id", F.col("type").alias("by"), text.word_set(F.concat_ws(" ", "key", "value")).alias("s"))
+    live = spread(records.where("status = 'live'").select("id", "type", "key", "value"))  # texts are split behind this
+    sets = live.select("id", F.col("type").alias("by"), text.word_set(F.concat_ws(" ", "key", "value")).alias("s"))
     return sharing(sets, least, of_union=True)
 
 
@@ -58,11 +89,11 @@ def similar_keys(records: DataFrame, more_than: float = 0.5, limit: int = 20) ->
 def contradictions(records: DataFrame, least: float = 0.25, positive: list[str] | None = None, negative: list[str] | None = None) -> DataFrame:
     """Pairs of one type that share words (a share `least` of the larger set) while one speaks for and the other against."""
     spaced = F.array_distinct(F.filter(F.split(F.lower("value"), "[ \\t\\n\\r\\f]+"), lambda w: F.length(w) > 2))
-    r = records.select("id", F.col("type").alias("by"), spaced.alias("s"), text.has_any(F.col("value"), positive or text.POSITIVE).alias("pos"), text.has_any(F.col("value"), negative or text.NEGATIVE).alias("neg"))
-    r = cut(r.where("pos or neg"), "polar")  # a record without markers contradicts nothing
-    sides = lambda k: r.select(F.col("id").alias(k), F.col("pos").alias(f"pos_{k}"), F.col("neg").alias(f"neg_{k}"))
-    pairs = sharing(r.select("id", "by", "s"), least, of_union=False).join(sides("a"), "a").join(sides("b"), "b")
-    return pairs.where("(pos_a and neg_b) or (neg_a and pos_b)").select("a", "b", F.col("similarity").alias("overlap"))
+    r = spread(records.select("id", "type", "value"))
+    r = r.select("id", F.col("type").alias("by"), "value", text.has_any(F.col("value"), positive or text.POSITIVE).alias("pos"), text.has_any(F.col("value"), negative or text.NEGATIVE).alias("neg"))
+    r = cut(r.where("pos or neg"), "polar").withColumn("s", spaced)  # a record without markers contradicts nothing
+    pairs = sharing(r, least, of_union=False, more=["pos", "neg"], on="(x.pos and y.neg) or (x.neg and y.pos)")
+    return pairs.select("a", "b", F.col("similarity").alias("overlap"))
 
 
 # The markers of the consistency score, fewer than those of contradictions().
