@@ -350,19 +350,20 @@ def offset_page(spark, sf_dir):
     return memories(spark, sf_dir).select("id", "evidence").orderBy(F.desc_nulls_last("evidence"), "id").offset(50).limit(50).select("id")
 
 
+# No record's own value names a date.
 @query(f"""{M}, d AS (SELECT id, CASE id % 4 WHEN 0 THEN 'due 2024-03-' || lpad((id % 28 + 1)::VARCHAR, 2, '0') || ' end' WHEN 1 THEN 'on March ' || (id % 28 + 1) || ', 2024' WHEN 2 THEN 'by 3/' || (id % 28 + 1) || '/2024.' ELSE 'none' END AS t FROM memories)
 SELECT id, CASE WHEN id % 4 < 3 THEN CAST(make_date(2024, 3, (id % 28 + 1)::INT) AS VARCHAR) END AS day FROM d""")
 def absolute_dates(spark, sf_dir):
     n = (F.col("id") % 28 + 1).cast("string")
     t = F.when(F.col("id") % 4 == 0, F.concat(F.lit("due 2024-03-"), F.lpad(n, 2, "0"), F.lit(" end"))).when(F.col("id") % 4 == 1, F.concat(F.lit("on March "), n, F.lit(", 2024"))).when(F.col("id") % 4 == 2, F.concat(F.lit("by 3/"), n, F.lit("/2024."))).otherwise("none")
-    return memories(spark, sf_dir).select("id", F.to_date(dates.absolute(t)).cast("string").alias("day"))
+    return memories(spark, sf_dir).select("id", F.to_date(dates.absolute(F.concat_ws(" ", "value", t))).cast("string").alias("day"))
 
 
 @query(f"{M} SELECT id, CAST(DATE '2025-09-01' - (CASE id % 3 WHEN 0 THEN 1 WHEN 1 THEN 7 * (id % 9 + 1) ELSE id % 9 + 1 END)::INT AS VARCHAR) AS day FROM memories")
 def relative_dates(spark, sf_dir):
     n = (F.col("id") % 9 + 1).cast("string")
     t = F.when(F.col("id") % 3 == 0, "seen Yesterday").when(F.col("id") % 3 == 1, F.concat(n, F.lit(" weeks ago"))).otherwise(F.concat(F.lit("some "), n, F.lit(" days ago,")))
-    return memories(spark, sf_dir).select("id", dates.relative(t, F.lit(AS_OF).cast("date")).cast("date").cast("string").alias("day"))
+    return memories(spark, sf_dir).select("id", dates.relative(F.concat_ws(" ", "value", t), F.lit(AS_OF).cast("date")).cast("date").cast("string").alias("day"))
 
 
 WORDS_SQL = "array_to_string(list_filter(regexp_split_to_array({}, '[\\t\\n\\v\\f\\r \\x{{00a0}}\\x{{1680}}\\x{{2000}}-\\x{{200a}}\\x{{2028}}\\x{{2029}}\\x{{202f}}\\x{{205f}}\\x{{3000}}\\x{{feff}}]+'), lambda w: w <> ''), ' ')"

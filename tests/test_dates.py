@@ -16,6 +16,18 @@ ABSOLUTE = {
     "1/2/2020 or june 9 2021": dt.datetime(2021, 6, 9),
     "12/31/2020": dt.datetime(2020, 12, 31),
     "31/12/2020": None,
+    "2024-03-05  10:20": dt.datetime(2024, 3, 5),
+    "2024-03-05 10:20:305": dt.datetime(2024, 3, 5, 10, 20),
+    "2024-03-05T10:20:30Z": dt.datetime(2024, 3, 5, 10, 20),
+    "2024-03-05T10:20Z": None,
+    "x2024-03-05, 2024-03-056 and 2023-01-02": dt.datetime(2023, 1, 2),
+    "(2024-03-05)": dt.datetime(2024, 3, 5),
+    "MARCH\u00a021ST,\n2019": dt.datetime(2019, 3, 21),
+    "march 5 , 2019": None,
+    "march 5,2019": None,
+    "marching 5, 2019": None,
+    "00/05/2019": None,
+    "1/2/20201": None,
     "nothing": None,
     "": None,
     None: None,
@@ -31,6 +43,13 @@ RELATIVE = {
     "next tuesday": dt.date(2026, 4, 7),
     "last monday": dt.date(2026, 3, 30),
     "next sunday": dt.date(2026, 4, 5),
+    "last  friday, not yesterdays": dt.date(2026, 3, 27),
+    "12 Months\nago": dt.date(2025, 3, 31),
+    "13 months ago": dt.date(2025, 2, 28),
+    "1234567 days ago or last monday": None,
+    "99999999999999999999 days ago": None,
+    "x3 days ago, last monday": dt.date(2026, 3, 30),
+    "3 days agos": None,
     "last year": None,
     None: None,
 }
