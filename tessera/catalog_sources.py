@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.catalog import C, M, query
-from tessera.operators import sync
+from tessera.catalog import AGE, C, COS, M, VECTOR, VECTOR_SQL, query, r6
+from tessera.catalog_quality import OPPOSED_SQL, opposed
+from tessera.functions import dates
+from tessera.operators import quality, recall, sync
 from tessera.sources import hooks, imports
-from tessera.sources.records import calls, memories
+from tessera.sources.records import calls, memories, vectors
 from tessera.streaming import limits
 
 # --- hook payloads, made of calls: four kinds and an unknown one, with nested secrets -------------------------------------
@@ -128,3 +131,66 @@ def delta_pull(spark, sf_dir):
 @query(f"{C} SELECT event_id AS id, tool FROM calls WHERE event_id > 100 ORDER BY event_id LIMIT 500")
 def unsynced_events(spark, sf_dir):
     return sync.unsynced(calls(spark, sf_dir).select(F.col("event_id").alias("id"), "tool"), 100)
+
+# --- queries that ask for a time, and conventions -------------------------------------------------------------------------
+
+#: What is asked, and whether it asks for a time.
+ASKED = [("when did it fail", True), ("what may cause this", False), ("what broke before March", True), ("before the refactor", False), ("on march 3", True), ("notes of 2024-03-01", True), ("3 years ago", True), ("last  friday", True), ("how long  ago", True), ("whenever it fails", False), ("the 3rd May", True), ("3/4/24", True), ("august", False), ("what dates", False)]
+
+
+# Of what asks for a time, values hold only `when` and dates.
+@query(f"{M} SELECT id, ({[b for _, b in ASKED]})[id % {len(ASKED)} + 1] OR regexp_matches(lower(value), '\\bwhen\\b|\\b[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}\\b|\\b[0-9]{{1,2}}/[0-9]{{1,2}}/[0-9]{{2,4}}\\b') AS temporal FROM memories")
+def temporal_queries(spark, sf_dir):
+    asked = F.get(F.array(*[F.lit(t) for t, _ in ASKED]), (F.col("id") % len(ASKED)).cast("int"))
+    return memories(spark, sf_dir).select("id", dates.temporal(F.concat_ws(" # ", "type", asked, "value")).alias("temporal"))
+
+
+DATED = {"referenced": "CASE WHEN id % 4 = 0 THEN DATE '2024-03-01' + CAST(id % 300 AS INT) END", "relative": "CASE WHEN id % 4 < 2 THEN DATE '2024-05-01' + CAST(id % 200 AS INT) END", "text": "CAST(id * 17 % 10 AS DOUBLE) / 10"}
+SCORED_SQL = f"""{M}, s AS (SELECT m.id, confidence, updated_on, created_on, {", ".join(f"{sql.replace('id', 'm.id')} AS {c}" for c, sql in DATED.items())}, greatest(0.0::DOUBLE, {COS}) AS semantic
+FROM memories m JOIN (SELECT vec_id, embedding::DOUBLE[] AS e, {VECTOR_SQL} AS q FROM embeddings) ON vec_id = m.id WHERE status = 'live'),
+b AS (SELECT *, (0.6::DOUBLE * semantic + 0.4::DOUBLE * text) * (1 + (confidence - 0.5::DOUBLE) * 0.3::DOUBLE) AS base, CASE WHEN {AGE} < 30 THEN 1.15::DOUBLE ELSE 1 END AS fresh FROM s)"""
+RANKED = "SELECT id, round({}, 6) AS score FROM b ORDER BY round({}, 10) DESC, updated_on DESC, id LIMIT 40"
+NEAR_TO = "1 / (1 + abs(date_diff('day', {}, DATE '{}'))::DOUBLE)"
+
+
+def scored(spark, sf_dir) -> DataFrame:
+    m = memories(spark, sf_dir).where("status = 'live'").select("id", "confidence", "updated_on", "created_on", *[F.expr(sql).alias(c) for c, sql in DATED.items()])
+    near = recall.vector_leg(vectors(spark, sf_dir), VECTOR, -2.0).select("id", F.greatest("sim", F.lit(0.0)).alias("semantic"))
+    return m.join(near, "id")
+
+
+def ranking(name: str, asked: str, factor: str) -> None:
+    def ranked_by(spark, sf_dir):
+        return recall.ranked(scored(spark, sf_dir), asked, limit=40).select("id", r6("score").alias("score"))
+
+    ranked_by.__name__ = name
+    query(f"{SCORED_SQL} {RANKED.format(f'base * {factor}', f'base * {factor}')}")(ranked_by)
+
+
+ranking("ranked_recall", "the build of may", "fresh")
+ranking("ranked_by_target_date", "what happened on July 9, 2024?", f"fresh * (1 + 0.5::DOUBLE * {NEAR_TO.format('coalesce(referenced, relative, created_on)', '2024-07-09')})")
+ranking("ranked_by_recency", "when did it happen", f"(1 + 0.5::DOUBLE * {NEAR_TO.format('coalesce(referenced, relative, created_on)', '2025-09-01')})")
+
+
+@query(f"""{SCORED_SQL}, p AS (SELECT *, row_number() OVER (ORDER BY round(base, 10) DESC, id) - 1 AS place FROM b QUALIFY place < 50)
+SELECT id, place, round(score, 6) AS score FROM (SELECT id, place, 1 / (1 + place)::DOUBLE * (1 + 0.5::DOUBLE * coalesce({NEAR_TO.format("coalesce(referenced, relative)", "2024-07-09")}, 0)) AS score FROM p)""")
+def temporal_reorder(spark, sf_dir):
+    """The 50 best of a recall, put in order once more."""
+    s = scored(spark, sf_dir).withColumn("base", (0.6 * F.col("semantic") + 0.4 * F.col("text")) * (1 + (F.col("confidence") - 0.5) * 0.3))
+    best = s.orderBy(F.desc(F.round("base", 10)), "id").limit(50)
+    pool = best.withColumn("place", F.row_number().over(W.orderBy(F.desc(F.round("base", 10)), "id")).cast("long") - 1)
+    return recall.reordered(pool, "what happened on July 9, 2024?").select("id", "place", r6("score").alias("score"))
+
+
+MARKED = "({})".format(" OR ".join("contains(lower(value), '{}')".format(w) for w in quality.text.POSITIVE)), "({})".format(" OR ".join("contains(lower(value), '{}')".format(w) for w in quality.AGAINST))
+
+
+@query(f"""{OPPOSED_SQL}, r AS (SELECT id, project_id, type, key, {MARKED[0]} AS pos, {MARKED[1]} AS neg, list_distinct(list_filter(regexp_split_to_array(regexp_replace(lower(value), '[^a-z0-9\\s]', ' ', 'g'), '\\s+'), lambda w: length(w) > 1)) AS s FROM memories),
+e AS (SELECT *, len(s) AS n, unnest(s) AS w FROM r),
+p AS (SELECT x.id, y.id AS c, count(*) / (any_value(x.n) + any_value(y.n) - count(*))::DOUBLE AS overlap, any_value((x.pos AND y.neg) OR (x.neg AND y.pos)) AS against, any_value(x.key <> y.key) AS other
+  FROM e x JOIN e y ON x.w = y.w AND x.project_id = y.project_id AND x.id <> y.id AND y.type = 'convention' GROUP BY x.id, y.id),
+f AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY c) AS k FROM p WHERE (overlap >= 0.3 - 1e-12 AND against) OR (overlap > 0.4 + 1e-12 AND other))
+SELECT r.id, CASE WHEN c IS NULL THEN 'compliant' WHEN against THEN 'violation' ELSE 'warning' END AS status, c AS convention, round(overlap, 6) AS overlap FROM r LEFT JOIN f ON f.id = r.id AND k = 1""")
+def convention_checks(spark, sf_dir):
+    m = opposed(memories(spark, sf_dir))
+    return quality.convention_checks(m, m).withColumn("overlap", r6("overlap"))

@@ -51,6 +51,16 @@ class Tokens:
         """read at the first place that fits; null if none does."""
         return let(F.get(F.filter(F.sequence(F.lit(0), F.size(self.p)), fits), F.lit(0)), lambda i: F.when(i.isNotNull(), read(i)))
 
+    def any(self, fits: Callable[[Column], Column]) -> Column:
+        return F.exists(F.sequence(F.lit(0), F.size(self.p)), fits)
+
+    def phrase(self, i: Column, *words: str) -> Column:
+        """The words from token i on, with white space between."""
+        out = self.at(i, 0) == words[0]
+        for k, w in enumerate(words[1:], 1):
+            out = out & self.space(i, 2 * k - 1) & (self.at(i, 2 * k) == w)
+        return out
+
 
 def tokens(text: Column, use: Callable[[Tokens], Column]) -> Column:
     found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"[A-Za-z0-9_]+|[{SPACE}]+|[^A-Za-z0-9_{SPACE}]"), F.lit(0))
@@ -130,6 +140,39 @@ def relative(text: Column, anchor: Column) -> Column:
     return F.when(low.rlike("yesterday|tomorrow|ago|last|next"), tokens(low, meant))
 
 
+# What asks for a time by itself, and what does only beside the name of a month.
+ASKING = ["when", "what date", "what day", "how long ago", "last time", "this time", "yesterday", "tomorrow"]
+BESIDE_MONTH = ["before", "after", "ago"]
+
+
+def temporal(text: Column) -> Column:
+    """Whether a query asks when something was: it says so, or names a weekday, a date, a month with a day or year, or a time ago; or a month beside before, after or ago. False for null."""
+
+    def asks(t: Tokens) -> Column:
+        day = lambda i, k: t.at(i, k).rlike(f"^[0-9]{{1,2}}(?:{'|'.join(ORDINALS)})?\\z")
+        month = lambda i, k: t.at(i, k).isin(*MONTHS)
+        dashed = lambda i: t.digits(i, 0, 4, 4) & (t.at(i, 1) == "-") & t.digits(i, 2, 2, 2) & (t.at(i, 3) == "-") & t.digits(i, 4, 2, 2)
+        parted = lambda i: t.digits(i, 0, 1, 2) & (t.at(i, 1) == "/") & t.digits(i, 2, 1, 2) & (t.at(i, 3) == "/") & t.digits(i, 4, 2, 4)
+        dated = lambda i: t.space(i, 1) & ((month(i, 0) & (day(i, 2) | t.digits(i, 2, 4, 4))) | (day(i, 0) & month(i, 2)))
+        ago = lambda i: t.at(i, 0).rlike("^[0-9]+\\z") & t.space(i, 1) & t.at(i, 2).isin(*UNITS, "year", "years") & t.space(i, 3) & (t.at(i, 4) == "ago")
+
+        def one(i: Column) -> Column:
+            out = t.at(i, 0).isin(*WEEKDAYS) | dashed(i) | parted(i) | dated(i) | ago(i)
+            for words in ASKING:
+                out = out | t.phrase(i, *words.split(" "))
+            return F.coalesce(out, F.lit(False))
+
+        has = lambda names: F.arrays_overlap(t.p, F.array(*map(F.lit, names)))
+        return F.when(t.any(one) | (has(MONTHS) & has(BESIDE_MONTH)), True).otherwise(False)
+
+    return tokens(F.lower(text), asks)
+
+
+def target(query: Column, anchor: Column) -> Column:
+    """The instant that a query names, if any."""
+    return F.coalesce(absolute(query), relative(query, anchor).cast("timestamp_ntz"))
+
+
 def of_record(key: Column, value: Column, anchor: Column) -> tuple[Column, Column]:
     """The absolute and the relative date of a record: its key's, else its value's."""
     return F.coalesce(absolute(key), absolute(value)), F.coalesce(relative(key, anchor), relative(value, anchor))

@@ -18,8 +18,16 @@ def evidence_weight(level: Column) -> Column:
     return F.coalesce(F.element_at(known, level), F.lit(1.0))
 
 
-def composite(semantic: Column, text: Column, confidence: Column, age: Column) -> Column:
-    return (0.6 * semantic + 0.4 * text) * (1 + (confidence - 0.5) * 0.3) * F.when(age < 30, 1.15).otherwise(1.0)
+def composite(semantic: Column, text: Column, confidence: Column, age: Column, fresh_counts: Column | None = None) -> Column:
+    """A blend of both scores, weighed by confidence; records updated within 30 days get a share more (where fresh_counts is not false)."""
+    fresh = age < 30 if fresh_counts is None else (age < 30) & fresh_counts
+    return (0.6 * semantic + 0.4 * text) * (1 + (confidence - 0.5) * 0.3) * F.when(fresh, 1.15).otherwise(1.0)
+
+
+def proximity(at: Column, to: Column) -> Column:
+    """1 / (1 + days between two instants); 0 for none."""
+    days = F.abs(F.unix_micros(at.cast("timestamp")) - F.unix_micros(to.cast("timestamp"))) / 86_400_000_000
+    return F.coalesce(1 / (1 + days), F.lit(0.0))
 
 
 def usage(age: Column, accesses: Column, most: Column, confidence: Column) -> Column:

@@ -100,6 +100,35 @@ def contradictions(records: DataFrame, least: float = 0.25, positive: list[str]
 CONSISTENT_POSITIVE, CONSISTENT_NEGATIVE = ["always", "must", "should", "required", "use"], ["never", "avoid", "must not", "do not", "dont"]
 
 
+# Shares of common words from which guidance is of one subject, and over which it repeats; one marker more against.
+SAME_SUBJECT, REPEATED = 0.3, 0.4
+AGAINST = [*text.NEGATIVE, "disallowed"]
+
+
+def convention_checks(candidates: DataFrame, conventions: DataFrame) -> DataFrame:
+    """id, status, convention, overlap of every candidate, against its project's conventions in the order of their ids.
+
+    The first convention of the same subject that says for what the candidate says
+    against (or the other way round) makes a violation, or the first whose words it
+    repeats under another key a warning, whichever comes first; else it is
+    compliant. Both meet in one join of word sets, of which only those of different
+    sides are compared.
+    """
+    words = F.filter(F.split(F.regexp_replace(F.lower("value"), "[^a-z0-9\\s]", " "), "\\s+"), lambda w: F.length(w) > 1)
+    row = lambda df, side: df.select((2 * F.col("id") + side).alias("id"), F.col("project_id").alias("by"), "key", "value", F.lit(side).alias("side"))
+    rows = spread(row(candidates, 0).unionByName(row(conventions.where("type = 'convention'"), 1)))
+    rows = rows.withColumns({"pos": text.has_any(F.col("value"), text.POSITIVE), "neg": text.has_any(F.col("value"), AGAINST), "s": words})
+    rows = cut(rows.select("id", "by", "key", "pos", "neg", "side", "s"), "guidance")
+    pairs = sharing(rows.select("id", "by", "s", "side"), SAME_SUBJECT, of_union=True, more=["side"], on="x.side <> y.side")
+    pairs = pairs.select(F.when(F.col("a") % 2 == 0, F.col("a")).otherwise(F.col("b")).alias("new"), F.when(F.col("a") % 2 == 0, F.col("b")).otherwise(F.col("a")).alias("old"), "similarity").where("floor(new / 2) <> floor(old / 2)")
+    of = lambda k: rows.select(F.col("id").alias(k), F.col("key").alias(f"{k}_key"), F.col("pos").alias(f"{k}_pos"), F.col("neg").alias(f"{k}_neg"))
+    met = pairs.join(of("new"), "new").join(of("old"), "old")
+    status = F.when(F.expr("(old_pos and new_neg) or (old_neg and new_pos)"), "violation").when((F.col("similarity") > REPEATED + 1e-12) & (F.col("old_key") != F.col("new_key")), "warning")
+    first = met.withColumn("status", status).where("status is not null").groupBy("new").agg(F.min_by(F.struct("status", "old", "similarity"), "old").alias("f"))
+    first = first.select(F.floor(F.col("new") / 2).alias("id"), "f.status", F.floor(F.col("f.old") / 2).alias("convention"), F.col("f.similarity").alias("overlap"))
+    return candidates.select("id").join(first, "id", "left").select("id", F.coalesce("status", F.lit("compliant")).alias("status"), "convention", "overlap")
+
+
 def rounded(x: Column) -> Column:
     return F.floor(x + 0.5)
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.functions import scores, text
+from tessera.functions import dates, scores, text
 from tessera.functions.trigrams import resemblances
 
 from .ordering import numbered
@@ -132,3 +132,33 @@ def gated(leg: DataFrame) -> DataFrame:
     """The leg, or nothing of it where its scores are flat and low."""
     verdict = relevance(leg).where(F.col("reason").isin("strong-top-score", "stands-out")).select(F.lit(True).alias("_kept"))
     return leg.crossJoin(F.broadcast(verdict)).drop("_kept")  # one row or none
+
+
+# Fixed value: how much nearness in time adds to a score at most.
+TEMPORAL_WEIGHT = 0.5
+
+
+def ranked(scored: DataFrame, query: str | None, as_of: str = scores.AS_OF, limit: int | None = None) -> DataFrame:
+    """id, score of scored records (id, semantic, text, confidence, updated_on, created_on, referenced, relative), the best of each id, in order.
+
+    A query that asks for a time adds up to half for nearness of the record's date
+    (that it names, else means, else was made on) to the query's date, or to now if
+    it names none; then being fresh counts no more besides.
+    """
+    asks, now = dates.temporal(F.lit(query)), F.lit(as_of).cast("date")
+    to = dates.target(F.lit(query), now)
+    base = scores.composite(F.col("semantic"), F.col("text"), F.col("confidence"), scores.days_since(F.col("updated_on"), as_of), ~(asks & to.isNull()))
+    near = scores.proximity(F.coalesce("referenced", "relative", "created_on"), F.coalesce(to, now.cast("timestamp_ntz")))
+    s = scored.select("id", "updated_on", (base * F.when(asks, 1 + TEMPORAL_WEIGHT * near).otherwise(1.0)).alias("score"))
+    s = s.groupBy("id").agg(F.max("score").alias("score"), F.max("updated_on").alias("updated_on"))
+    out = s.orderBy(F.desc(F.round("score", 10)), F.desc("updated_on"), "id").select("id", "score")
+    return out if limit is None else out.limit(limit)
+
+
+def reordered(pool: DataFrame, query: str, as_of: str = scores.AS_OF) -> DataFrame:
+    """id, place, score of a pool (id, place from 0, referenced, relative), the few best of a recall, in the order for a query that asks for a time; for others in their own. Records without a date of their own get nothing more."""
+    asks, now = dates.temporal(F.lit(query)), F.lit(as_of).cast("date")
+    to = F.coalesce(dates.target(F.lit(query), now), now.cast("timestamp_ntz"))
+    own = F.coalesce("referenced", "relative")
+    score = 1 / (1 + F.col("place")) * F.when(asks, 1 + TEMPORAL_WEIGHT * scores.proximity(own, to)).otherwise(1.0)
+    return pool.select("id", "place", score.alias("score")).orderBy(F.desc(F.round("score", 10)), "place")
