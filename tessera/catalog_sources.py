@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -9,8 +11,10 @@ from pyspark.sql import functions as F
 from tessera.catalog import AGE, C, COS, M, VECTOR, VECTOR_SQL, query, r6
 from tessera.catalog_quality import OPPOSED_SQL, opposed
 from tessera.functions import dates
+from tessera.operators import guides as guides_
 from tessera.operators import quality, recall, sync
-from tessera.sources import hooks, imports
+from tessera.operators.storage import shared_dir
+from tessera.sources import archive, hooks, imports
 from tessera.sources.records import calls, memories, vectors
 from tessera.streaming import limits
 
@@ -194,3 +198,49 @@ SELECT r.id, CASE WHEN c IS NULL THEN 'compliant' WHEN against THEN 'violation'
 def convention_checks(spark, sf_dir):
     m = opposed(memories(spark, sf_dir))
     return quality.convention_checks(m, m).withColumn("overlap", r6("overlap"))
+
+# --- guides and archives --------------------------------------------------------------------------------------------------
+
+
+def bare_sql(x: str) -> str:
+    return f"regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower({x}), '[*`_]', '', 'g'), '(?m)^\\s*[->]\\s*', '', 'g'), '\\s+', ' ', 'g'), '^ | $', '', 'g')"
+
+
+def says_sql(x: str, words: list[str]) -> str:
+    each = "|".join(words).replace("'", "''")
+    return f"regexp_matches({x}, '(^|[^A-Za-z0-9_])({each})([^A-Za-z0-9_]|$)')"
+
+
+#: A project's guide: three of six sections, made of its first and last record's values.
+GUIDE_PARTS = {guides_.COMMANDS: ("## Commands", "'- **' || v1 || '**'"), guides_.STRUCTURE: ("## project STRUCTURE and more", "'Do not use ' || substring(v2, 1, 300) || '. End'"), guides_.BOUNDARIES: ("## Boundaries", "v2 || '. avoid ' || v1")}
+GUIDE_TEXT = "'# Guide' || " + " || ".join(f"chr(10) || '{title}' || chr(10) || {body}" for title, body in GUIDE_PARTS.values())
+BODIES = " UNION ALL ".join(f"SELECT project_id, '{s}' AS section, {bare_sql(('' if s != guides_.STRUCTURE else chr(39) + ' and more' + chr(39) + ' || ') + f'chr(10) || {body}')} AS body FROM g" for s, (_, body) in GUIDE_PARTS.items())
+
+
+@query(f"""{M}, g AS (SELECT project_id, arg_min(value, id) AS v1, arg_max(value, id) AS v2 FROM memories GROUP BY project_id), b AS ({BODIES}),
+r AS (SELECT id, project_id, key, type, {bare_sql("value")} AS said, {says_sql("lower(key)", guides_.GIT_WORDS)} AS git, {says_sql("lower(key)", guides_.TEST_WORDS)} AS test, {says_sql("lower(value)", guides_.TEST_VALUE_WORDS)} AS tv FROM memories),
+s AS (SELECT id, project_id, said, unnest(CASE WHEN type IN ('anti_pattern', 'lesson', 'preference') THEN ['Boundaries'] WHEN len(a) > 0 THEN a ELSE ['Project structure'] END) AS section FROM (SELECT *, list_filter([CASE WHEN git THEN 'Git workflow' END, CASE WHEN test THEN 'Testing' END, CASE type WHEN 'architecture' THEN 'Project structure' WHEN 'convention' THEN 'Code style' END,
+  CASE WHEN type IN ('execution', 'pattern') THEN CASE WHEN NOT test AND tv THEN 'Testing' WHEN NOT git THEN 'Commands' END END], lambda x: x IS NOT NULL) AS a FROM r)),
+m AS (SELECT s.*, body, list_filter(string_split(said, ' '), lambda w: length(w) > 3) AS w, list_slice(list_filter(string_split(said, ' '), lambda w: length(w) > 4 AND NOT list_contains({guides_.NO_SUBJECT}, w)), 1, 4) AS k FROM s LEFT JOIN b USING (project_id, section)),
+f AS (SELECT *, CASE WHEN NOT {says_sql("said", guides_.DENYING)} THEN substring(list_filter(string_split(body, '.'), lambda x: {says_sql("x", guides_.GUIDE_DENYING)} AND len(list_filter(k, lambda q: contains(x, q))) > 0)[1], 1, 120) END AS fragment FROM m),
+o AS (SELECT *, CASE WHEN body IS NULL THEN 'missing' WHEN fragment IS NOT NULL THEN 'contradicting' WHEN NOT (contains(body, said) OR (len(w) > 0 AND len(list_filter(w, lambda q: contains(body, q))) / len(w)::DOUBLE >= 0.7)) THEN 'stale' END AS kind FROM f)
+SELECT project_id, section, kind, id, fragment FROM o WHERE kind IS NOT NULL""")
+def guide_drift(spark, sf_dir):
+    m = memories(spark, sf_dir)
+    ends = m.groupBy("project_id").agg(F.min_by("value", "id").alias("v1"), F.max_by("value", "id").alias("v2"))
+    return guides_.drift(m.withColumn("tags", F.lit(None).cast("array<string>")), ends.select("project_id", F.expr(GUIDE_TEXT).alias("text")))
+
+
+# Copies of three runs, one of which expires; a third of the second's is restored before the last.
+@query(f"""{M}, c AS (SELECT project_id, key, id, 'old' AS reason, 1 AS run FROM memories WHERE id % 2 = 0 UNION ALL SELECT project_id, key, id, 'unused', 2 FROM memories WHERE id % 3 = 0 UNION ALL SELECT project_id, key, id, 'again', 3 FROM memories WHERE id % 15 = 0),
+k AS (SELECT DISTINCT project_id, key FROM memories WHERE id % 9 = 0)
+SELECT project_id, key, reason, id FROM (SELECT *, row_number() OVER (PARTITION BY project_id, key ORDER BY run DESC, id DESC) AS n FROM c WHERE run > 1 AND NOT (run = 2 AND EXISTS (SELECT 1 FROM k WHERE k.project_id = c.project_id AND k.key = c.key))) WHERE n = 1""")
+def archived(spark, sf_dir):
+    m = memories(spark, sf_dir).select("project_id", "key", F.format_string("%012d", "id").alias("id"))
+    a = archive.Archive(spark, f"{shared_dir(spark).rstrip('/')}/archive-{uuid.uuid4().hex}", 30)
+    a.add(m.where("CAST(id AS LONG) % 2 = 0"), "old", "2024-01-01 10:00:00")
+    a.add(m.where("CAST(id AS LONG) % 3 = 0"), "unused", "2024-03-01 10:00:00")
+    a.restore(m.where("CAST(id AS LONG) % 9 = 0"), "2024-03-02 10:00:00")
+    a.add(m.where("CAST(id AS LONG) % 15 = 0"), "again", "2024-03-03 10:00:00")
+    a.purge("2024-02-15")
+    return a.newest().select("project_id", "key", "reason", F.get_json_object("record", "$.id").cast("long").alias("id"))
