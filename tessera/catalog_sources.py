@@ -14,7 +14,7 @@ from tessera.functions import dates
 from tessera.operators import guides as guides_
 from tessera.operators import quality, recall, sync
 from tessera.operators.storage import shared_dir
-from tessera.sources import archive, hooks, imports
+from tessera.sources import archive, code, hooks, imports
 from tessera.sources.records import calls, memories, vectors
 from tessera.streaming import limits
 
@@ -244,3 +244,25 @@ def archived(spark, sf_dir):
     a.add(m.where("CAST(id AS LONG) % 15 = 0"), "again", "2024-03-03 10:00:00")
     a.purge("2024-02-15")
     return a.newest().select("project_id", "key", "reason", F.get_json_object("record", "$.id").cast("long").alias("id"))
+
+# --- source trees: a file for each record, which imports others by relative names -------------------------------------------
+
+FILE = "'src/pkg' || CAST({0} % 7 AS VARCHAR(9)) || '/m' || CAST({0} AS VARCHAR(20)) || CASE {0} % 3 WHEN 0 THEN '.ts' WHEN 1 THEN '.js' ELSE '/index.ts' END"
+CODE = "'import a from ''../pkg' || CAST((id + 1) % 7 AS VARCHAR(9)) || '/m' || CAST(id + 1 AS VARCHAR(20)) || '''' || chr(10) || 'import b from ''./m' || CAST(id + 7 AS VARCHAR(20)) || '''' || chr(10) || 'import c from ''../m' || CAST(id + 7 AS VARCHAR(20)) || '''' || chr(10) || 'import ''@scope/x''' || chr(10) || 'export function f() {}' || chr(10) || 'export { p as q, r }' || chr(10) || value"
+CODE_SPARK = CODE.replace("''''", '"\'"').replace("'import a from ''../pkg'", '"import a from \'../pkg"').replace("'import b from ''./m'", '"import b from \'./m"').replace("'import c from ''../m'", '"import c from \'../m"').replace("'import ''@scope/x'''", '"import \'@scope/x\'"')
+
+
+def tree(spark, sf_dir) -> DataFrame:
+    return memories(spark, sf_dir).select(F.expr(FILE.format("id")).alias("file"), F.expr(CODE_SPARK).alias("text")).withColumnRenamed("file", "path")
+
+
+# An import of a name that is a folder means the folder.
+@query(f"""{M}, t AS (SELECT id, CASE id % 3 WHEN 2 THEN regexp_replace({FILE.format("id")}, '/index.ts$', '') ELSE {FILE.format("id")} END AS p FROM memories)
+SELECT {FILE.format("m.id")} AS path, t.p AS to, count(*) AS n FROM memories m JOIN t ON (m.id % 3 < 2 AND t.id IN (m.id + 1, m.id + 7)) OR (m.id % 3 = 2 AND t.id = m.id + 7) GROUP BY ALL""")
+def file_dependencies(spark, sf_dir):
+    return code.dependencies(tree(spark, sf_dir))
+
+
+@query(f"""{M} SELECT 'src/pkg' || id % 7 AS name, count(*) AS n_files, sum(7 + length(value) - length(replace(value, chr(10), '')))::BIGINT AS n_lines, (3 * count(*))::BIGINT AS n_exports FROM memories GROUP BY 1 HAVING count(*) >= 2""")
+def module_boundaries(spark, sf_dir):
+    return code.boundaries(code.modules(tree(spark, sf_dir)))
