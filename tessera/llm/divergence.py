@@ -30,7 +30,7 @@ columns are ignored.
 
 from __future__ import annotations
 
-from collections import Counter
+import uuid
 from collections.abc import Iterator
 from operator import itemgetter
 
@@ -47,8 +47,8 @@ TOP_TERMS = 200
 UNIT = 1_000_000_000
 #: Kept terms of at most so many bytes (8 more for each) go to every task; more are dealt to shards of about so many.
 VOCABULARY_BYTES = 16 << 20
-#: Terms of texts, numbers of kept terms, and counts of them, that a task holds before it hands them on.
-HELD, RAW, COUNTS = 400_000, 1 << 22, 1 << 22
+#: Bytes of texts whose terms are told apart at once; rows of a batch; numbers of kept terms, and counts of them, that a task holds before it hands them on.
+SLAB, HELD, RAW, COUNTS = 16 << 20, 400_000, 1 << 21, 1 << 21
 #: Bytes of a piece on its way to a shard; tasks that share a shard.
 PIECE, COPIES = 1 << 16, 4
 #: Sources of a block; pairs of postings evaluated at once.
@@ -68,12 +68,40 @@ def plain(docs: DataFrame) -> DataFrame:
     return docs.select(empty("lang"), empty("source"), empty("text").cast("binary").alias("text"))
 
 
-def flushed(counts: dict[str, Counter]) -> Iterator[pa.RecordBatch]:
-    """A batch for the terms of each language, which are then forgotten."""
-    for lang, own in counts.items():
-        if own:
-            yield pa.RecordBatch.from_arrays([pa.repeat(lang, len(own)), pa.array(own.keys(), pa.binary()), pa.array(own.values(), pa.int64())], names=["lang", "term", "n"])
-    counts.clear()
+def terms_of(texts: list[bytes]) -> tuple[pa.BinaryArray, np.ndarray]:
+    """All terms of some texts, one after the other, and the number of each one's text."""
+    raw = np.frombuffer(b" ".join(texts), np.uint8)
+    raw = np.frombuffer(TERM_BYTES, np.uint8)[raw]
+    own = raw != 32
+    edge = np.flatnonzero(np.diff(own, prepend=False, append=False))
+    start, end = edge[0::2], edge[1::2]
+    offsets = np.concatenate([[0], np.cumsum(end - start)]).astype(np.int32)
+    after = np.cumsum([len(t) + 1 for t in texts])
+    return pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(raw[own])]), np.searchsorted(after, start, "right")
+
+
+def slabs(texts: Iterator[bytes]) -> Iterator[list[bytes]]:
+    """texts in runs of about SLAB bytes."""
+    run, size = [], 0
+    for t in texts:
+        run.append(t)
+        size += len(t)
+        if size >= SLAB:
+            yield run
+            run, size = [], 0
+    if run:
+        yield run
+
+
+def counted(texts: list[bytes]) -> tuple[pa.BinaryArray, np.ndarray]:
+    """The different terms of some texts, and how many of the texts hold each."""
+    words, of = terms_of(texts)
+    words = words.dictionary_encode()
+    kinds = len(words.dictionary)
+    # once for each text: all texts' (text, term) pairs sorted as numbers
+    pairs = np.sort(of * np.int64(kinds) + words.indices.to_numpy())
+    once = pairs[np.diff(pairs, prepend=-1) != 0]
+    return words.dictionary, np.bincount(once % max(1, kinds), minlength=kinds)
 
 
 class Tally:
@@ -119,13 +147,12 @@ def document_frequencies(docs: DataFrame) -> DataFrame:
     """lang, term (binary) and n, the number of documents of the language that hold it."""
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[str, Counter] = {}
         for batch in batches:
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                counts.setdefault(lang, Counter()).update(set(text.as_buffer().to_pybytes().translate(TERM_BYTES).split()))
-            if sum(map(len, counts.values())) > HELD:
-                yield from flushed(counts)
-        yield from flushed(counts)
+            for lang in batch.column(0).unique():
+                texts = batch.column(1).filter(pc.equal(batch.column(0), lang))
+                for some in slabs(t.as_buffer() for t in texts):
+                    terms, n = counted(some)
+                    yield pa.RecordBatch.from_arrays([pa.repeat(lang, len(n)), terms, pa.array(n)], names=["lang", "term", "n"])
 
     return docs.select("lang", "text").mapInArrow(part, "lang string, term binary, n long").groupBy("lang", "term").agg(F.sum("n").alias("n"))
 
@@ -143,6 +170,19 @@ def automaton(terms: list[bytes]):
 
 second = itemgetter(1)
 
+#: This worker's automata of one vocabulary, by language, kept for the next task.
+_built: dict[str, dict] = {}
+
+
+def built(vocabulary: str, lang: str, terms) -> object:
+    """The automaton of a language's terms (an Arrow array, or None) in a vocabulary of that name."""
+    if vocabulary not in _built:
+        _built.clear()
+    known = _built.setdefault(vocabulary, {})
+    if lang not in known:
+        known[lang] = automaton(terms.to_pylist()) if terms is not None else None
+    return known[lang]
+
 
 def occurrences(a, text: bytes) -> Iterator[int]:
     """The numbers of the automaton's terms in a padded text, one for each occurrence."""
@@ -153,16 +193,15 @@ def recount_whole(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """lang, source, term and n for a vocabulary that every task can hold."""
     rows = vocabulary.toArrow().sort_by([("n", "descending")])  # of at most VOCABULARY_BYTES; frequent terms stand together in memory
     by_lang = {lang: rows.filter(pc.equal(rows["lang"], lang))["term"].combine_chunks() for lang in rows["lang"].unique().to_pylist()}
-    sent = docs.sparkSession.sparkContext.broadcast(by_lang)
+    sent, name = docs.sparkSession.sparkContext.broadcast(by_lang), uuid.uuid4().hex
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automata, tally = {}, Tally(lambda lang: sent.value[lang])
+        tally = Tally(lambda lang: sent.value[lang])
         for batch in batches:
             for lang, source, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                if lang not in automata:
-                    automata[lang] = automaton(sent.value[lang].to_pylist()) if lang in sent.value else None
-                if automata[lang]:
-                    tally.add((lang, source), occurrences(automata[lang], padded(text.as_buffer().to_pybytes())))
+                a = built(name, lang, sent.value.get(lang))
+                if a:
+                    tally.add((lang, source), occurrences(a, padded(text.as_buffer().to_pybytes())))
             if tally.full():
                 yield from tally.batches()
         yield from tally.batches()

@@ -76,6 +76,7 @@ def test_divergence_by_shards(spark, monkeypatch):
     monkeypatch.setattr(divergence, "BLOCK", 2)
     monkeypatch.setattr(divergence, "PAIRS", 3)
     monkeypatch.setattr(divergence, "RAW", 40)
+    monkeypatch.setattr(divergence, "SLAB", 300)
     monkeypatch.setattr(divergence, "COUNTS", 60)
     monkeypatch.setattr(divergence, "HELD", 25)
     assert plain(divergence.audit(docs, vocabulary_bytes=100).collect(), cols) == want
