@@ -181,13 +181,13 @@ def tokens_sql(value: str) -> str:
     return f"flatten(list_transform({raw}, lambda w: CASE WHEN list_contains({LISTED(tokens.TECHNICAL)}, w) THEN [lower(w)] ELSE {stems} END))"
 
 
-CODE = "key || ' handleAuthRequest HTTPServer user_ids JSON ' || left(value, 300)"
+CODE = "key || ' handleAuthRequest HTTPServer user_ids JSON ' || value"
 
 
-@query(f"{M} SELECT id, array_to_string({tokens_sql(CODE)}, ' ') AS tokens FROM memories")
+@query(f"{M} SELECT id, md5(array_to_string({tokens_sql(CODE)}, ' ')) AS tokens FROM memories")
 def code_tokens(spark, sf_dir):
-    code = F.concat("key", F.lit(" handleAuthRequest HTTPServer user_ids JSON "), F.left("value", F.lit(300)))
-    return memories(spark, sf_dir).select("id", F.array_join(tokens.tokenize(code), " ").alias("tokens"))
+    code = F.concat("key", F.lit(" handleAuthRequest HTTPServer user_ids JSON "), F.col("value"))
+    return memories(spark, sf_dir).select("id", F.md5(F.array_join(tokens.tokenize(code), " ")).alias("tokens"))
 
 
 PHRASE = "the thation"

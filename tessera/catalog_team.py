@@ -137,14 +137,22 @@ def pre_check(spark, sf_dir):
 
 def sections(spark, sf_dir):
     m = memories(spark, sf_dir).where("status = 'live'")
-    s = m.groupBy("project_id", F.col("type").alias("name")).agg(F.ceil(F.sum(F.least(F.length("value"), F.lit(400))) / 4).alias("tokens"))
+    s = m.groupBy("project_id", F.col("type").alias("name")).agg(F.ceil(F.sum(F.length("value")) / 4).alias("tokens"))
     return s.withColumn("place", F.array_position(F.array(*map(F.lit, team.PRIORITY)), F.col("name")))
 
 
-@query()
+BRIEF = 8000
+
+
+# The twin goes from place to place, for all projects at once.
+@query(f"""{M.replace("WITH ", "WITH RECURSIVE ", 1)}, s AS (SELECT project_id, type AS name, ceil(sum(length(value)) / 4.0)::BIGINT AS tokens, coalesce(list_position({team.PRIORITY}, type), 0) AS place FROM memories WHERE status = 'live' GROUP BY project_id, type),
+k AS (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY place, name) AS n FROM s),
+r AS (SELECT DISTINCT project_id, 0::BIGINT AS n, 0::BIGINT AS used, []::VARCHAR[] AS names FROM s
+  UNION ALL SELECT r.project_id, k.n, CASE WHEN used + tokens <= {BRIEF} THEN used + tokens ELSE used END, CASE WHEN used + tokens <= {BRIEF} THEN list_append(names, name) ELSE names END FROM r JOIN k ON k.project_id = r.project_id AND k.n = r.n + 1)
+SELECT project_id, used, array_to_string(names, ',') AS names FROM (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY n DESC) AS last FROM r) WHERE last = 1""")
 def project_brief(spark, sf_dir):
     """Sections by priority that fit the budget; a large one is passed over."""
-    return team.packed_brief(sections(spark, sf_dir), "project_id", 1500)
+    return team.packed_brief(sections(spark, sf_dir), "project_id", BRIEF)
 
 
 @query(f"{M}, s AS (SELECT id, confidence * 0.5 AS score, updated_on FROM memories UNION ALL SELECT id, confidence AS score, created_on FROM memories WHERE id % 2 = 0), b AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, updated_on DESC) AS n FROM s) SELECT id, round(score, 6) AS score FROM b WHERE n = 1 ORDER BY round(score, 9) DESC, updated_on DESC, id LIMIT 50")
@@ -213,15 +221,17 @@ def field_changes(spark, sf_dir):
 
 
 def import_sql(value: str, tags: str, action: str) -> str:
-    return f"""{M}, b AS (SELECT id AS key, left(value, 40) AS v, tags AS t FROM memories WHERE id % 2 = 0), n AS (SELECT id AS key, left(value, 20 + (id % 50)) AS value, [agent] AS tags FROM memories WHERE id % 3 = 0)
+    return f"""{M}, b AS (SELECT id AS key, value AS v, tags AS t FROM memories WHERE id % 2 = 0), n AS (SELECT id AS key, CASE WHEN id % 9 = 0 AND id % 2 = 1 THEN 'first' ELSE value || CASE WHEN id % 4 = 0 THEN ' more' ELSE '' END END AS value, CASE WHEN id % 9 = 0 AND id % 2 = 1 THEN ['x'] ELSE [agent] END AS tags FROM memories WHERE id % 3 = 0)
 SELECT key, md5({value}) AS value, array_to_string({tags}, ',') AS tags, CASE WHEN v IS NULL THEN 'new' ELSE '{action}' END AS action FROM n LEFT JOIN b USING (key)"""
 
 
 def import_tables(spark, sf_dir):
     m = memories(spark, sf_dir)
-    base = m.where("id % 2 = 0").select(F.col("id").alias("key"), F.left("value", F.lit(40)).alias("value"), "tags")
-    rows = m.where("id % 3 = 0").select(F.col("id").alias("key"), F.expr("left(value, 20 + (id % 50))").alias("value"), F.array("agent").alias("tags"), F.lit(0).alias("position"))
-    return base, rows
+    base = m.where("id % 2 = 0").select(F.col("id").alias("key"), "value", "tags")
+    rows = m.where("id % 3 = 0").select(F.col("id").alias("key"), F.expr("concat(value, CASE WHEN id % 4 = 0 THEN ' more' ELSE '' END)").alias("value"), F.array("agent").alias("tags"), F.expr("id % 2").alias("position"))
+    # a key in three comes twice: before its other row if it is odd, else behind it
+    again = m.where("id % 9 = 0").select(F.col("id").alias("key"), F.lit("first").alias("value"), F.array(F.lit("x")).alias("tags"), F.expr("1 - id % 2").alias("position"))
+    return base, rows.unionByName(again)
 
 
 def imported(spark, sf_dir, strategy):
@@ -299,10 +309,10 @@ def merged_arrays(spark, sf_dir):
 OBSERVED_SQL = "CASE WHEN length(b) < 15 THEN NULL " + " ".join("WHEN regexp_matches(b, '\\b({})\\b') THEN '{}'".format(w.replace("'", "''"), n) for n, w in classify.OBSERVED) + " END"
 
 
-@query(f"{M} SELECT id, {OBSERVED_SQL} AS kind FROM (SELECT id, trim(lower(left(value, 200) || CASE id % 7 WHEN 0 THEN ' we decided this' WHEN 1 THEN ' a new module' WHEN 2 THEN ' the bug' ELSE '' END)) AS b FROM memories)")
+@query(f"{M} SELECT id, {OBSERVED_SQL} AS kind FROM (SELECT id, trim(lower(value || CASE id % 7 WHEN 0 THEN ' we decided this' WHEN 1 THEN ' a new module' WHEN 2 THEN ' the bug' ELSE '' END)) AS b FROM memories)")
 def observed_types(spark, sf_dir):
     end = F.when(F.col("id") % 7 == 0, " we decided this").when(F.col("id") % 7 == 1, " a new module").when(F.col("id") % 7 == 2, " the bug").otherwise("")
-    return memories(spark, sf_dir).select("id", classify.observation(F.concat(F.left("value", F.lit(200)), end)).alias("kind"))
+    return memories(spark, sf_dir).select("id", classify.observation(F.concat("value", end)).alias("kind"))
 
 
 HEADED_SQL = "CASE " + " ".join("WHEN " + " OR ".join("contains(h, '{}')".format(p.replace("'", "''")) for p in parts) + f" THEN '{n}'" for n, parts in classify.HEADED) + " ELSE 'preference' END"

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import tokens
+from tessera.functions.dates import let
 
 
 def query_tokens(records: DataFrame, query: str) -> list[str]:
@@ -16,15 +19,17 @@ def query_tokens(records: DataFrame, query: str) -> list[str]:
 def phrase(records: DataFrame, query: str) -> DataFrame:
     """id, score of records whose value holds the query's tokens one after another: matches per token, times the phrase's length."""
     wanted = query_tokens(records, query)
-    w, k = F.col("w"), len(wanted)
-    each = records.select("id", tokens.tokenize(F.col("value")).alias("w"))
-    first = each.where((F.size(w) >= k) & F.arrays_overlap(w, F.array(F.lit(wanted[0])))) if k else each.where(F.lit(False))
-    same = [F.get(w, F.col("_i") + j) == F.lit(t) for j, t in enumerate(wanted)]
-    places = first.select("id", "w", F.size(w).alias("n"), F.explode(F.sequence(F.lit(0), F.size(w) - max(k, 1))).alias("_i"))
-    hit = same[0] if same else F.lit(False)
-    for s in same[1:]:
-        hit = hit & s
-    return places.where(hit).groupBy("id", "n").agg(F.count("*").alias("matches")).select("id", (F.col("matches") / F.col("n") * k).alias("score"))
+    k = len(wanted)
+
+    def counted(w: Column) -> Column:
+        here = lambda i: reduce(Column.__and__, [F.get(w, i + j) == t for j, t in enumerate(wanted)])
+        places = F.filter(F.sequence(F.lit(0), F.greatest(F.size(w) - k, F.lit(0))), here)
+        return F.struct(F.size(places).alias("matches"), F.size(w).alias("n"))
+
+    if not k:
+        return records.select("id", F.lit(0.0).alias("score")).limit(0)
+    found = records.select("id", let(tokens.tokenize(F.col("value")), counted).alias("c")).where("c.matches > 0")
+    return found.select("id", (F.col("c.matches") / F.col("c.n") * k).alias("score"))
 
 
 def token_hits(records: DataFrame, query: str, limit: int) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -12,9 +13,12 @@ CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster (spark.checkpoint.dir); where it is unset, as in tests, a folder of our own."""
+    """The shared folder of the cluster (spark.checkpoint.dir); where it is unset and all runs on this machine, as in tests, a folder of our own."""
     place = spark.conf.get("spark.checkpoint.dir", None)
     if not place:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
         place = tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.checkpoint.dir", place)
     return place

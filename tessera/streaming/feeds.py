@@ -21,10 +21,10 @@ def sessions(calls: DataFrame, gap: str = "30 minutes", delay: str = "1 hour") -
     return s.select("agent", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n_calls", "n_errors", "total")
 
 
-def paired(calls: DataFrame, start: str, stop: str, forget_ms: int = 3_600_000) -> DataFrame:
+def paired(calls: DataFrame, start: str, stop: str, forget_ms: int = 3_600_000, delay: str = "1 minute") -> DataFrame:
     """event_id, start_id, us: each stop with the call just before it (of these two tools, by one user) if that was a start.
 
-    A user's state is one start. It is forgotten when the watermark is forget_ms past it. Calls of a trigger are put in
+    Calls later than `delay` behind the newest of earlier triggers (but the last) are dropped. A user's state is one start. It is forgotten when the watermark is forget_ms past it. Calls of a trigger are put in
     order of time; a call that comes in a later trigger than a younger one is taken as the younger.
     """
 
@@ -48,7 +48,7 @@ def paired(calls: DataFrame, start: str, stop: str, forget_ms: int = 3_600_000)
             state.remove()
         yield pd.DataFrame(rows, columns=["event_id", "start_id", "us"])
 
-    c = calls.withWatermark("ts", "0 seconds").where(F.col("tool").isin(start, stop)).withColumn("us", F.unix_micros("ts"))
+    c = calls.withWatermark("ts", delay).where(F.col("tool").isin(start, stop)).withColumn("us", F.unix_micros("ts"))
     schema, state = "event_id long, start_id long, us long", "start_id long, us long"
     return c.groupBy("user_id").applyInPandasWithState(pair, schema, state, "append", "EventTimeTimeout")
 

@@ -64,6 +64,18 @@ def test_paired_equals_batch(spark, stream):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.select("event_id", "start_id", "us").collect()))
 
 
+def test_late_calls_of_pairs(spark, tmp_path):
+    """A call within the delay still pairs in a later trigger; one beyond it is dropped, once the mark of a trigger before the last is past it."""
+    parts = [[at(1, 100, 1, "view"), at(2, 100, 2, "view")], [at(4, 95, 2, "view")], [at(3, 60, 1, "purchase"), at(5, 101, 1, "purchase"), at(6, 102, 2, "purchase")], [at(7, 20, 1, "view")], [at(8, 103, 1, "purchase")]]
+    for k, rows in enumerate(parts):
+        spark.createDataFrame(rows, SCHEMA).coalesce(1).write.parquet(f"{tmp_path}/in/part={k}")
+    calls = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{tmp_path}/in")
+    q = feeds.paired(calls, "view", "purchase", delay="10 minutes").writeStream.option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).format("parquet").option("path", f"{tmp_path}/out").start()
+    assert q.awaitTermination(120)
+    # 3 and 7 come too late; 4 comes late, but is taken as the younger of its user's two views
+    assert sorted((r["event_id"], r["start_id"]) for r in spark.read.parquet(f"{tmp_path}/out").collect()) == [(5, 1), (6, 4)]
+
+
 def test_replayable(spark, stream):
     calls, run, folder = stream
     run(calls, feeds.replayable(f"{folder}/out"))
