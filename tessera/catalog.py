@@ -204,10 +204,18 @@ on_memories(
     f"{PLANTED_SQL} SELECT id, len({FOUND_SQL['secrets']}) = 0 AS accepted FROM p",
     lambda m: scan.gate(planted(m)).select("id", "accepted"),
 )
-REDACTED_SQL = "value"
+REDACTED_SQL, COUNTED_SQL = "value", "0"
 for _name, _p in PATTERNS_SQL.items():
+    COUNTED_SQL = f"{COUNTED_SQL} + len(regexp_extract_all({REDACTED_SQL}, '{_p}'))"
     REDACTED_SQL = f"regexp_replace({REDACTED_SQL}, '{_p}', '[REDACTED:{_name}]', 'g')"
-on_memories("redacted", f"{PLANTED_SQL} SELECT id, md5({REDACTED_SQL}) AS hash FROM p", lambda m: planted(m).select("id", F.md5(text.redacted(F.col("value"))).alias("hash")))
+
+
+@query(f"{PLANTED_SQL} SELECT id, md5({REDACTED_SQL}) AS hash, ({COUNTED_SQL})::INT AS n FROM p")
+def redacted(spark, sf_dir):
+    out = planted(memories(spark, sf_dir)).select("id", text.redactions(F.col("value")).alias("r"))
+    return out.select("id", F.md5("r.text").alias("hash"), "r.n")
+
+
 on_memories(
     "slugs",
     f"{M} SELECT id, substring(regexp_replace(regexp_replace(lower(key), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 50) AS slug FROM memories",
@@ -270,13 +278,18 @@ def relevance_verdict(spark, sf_dir):
     return s.select("n", r6("top").alias("top"), r6("mean").alias("mean"), r6("z").alias("z"), "reason")
 
 
-@query("SELECT label, count(*) AS n, round(avg(embedding[1]::DOUBLE), 6) AS first, round(avg(embedding[64]::DOUBLE), 6) AS last FROM embeddings GROUP BY label")
+@query("""WITH e AS (SELECT label, unnest(embedding)::DOUBLE AS x, unnest(range(0, len(embedding))) AS place FROM embeddings), m AS (SELECT label, place, count(*) AS n, avg(x) AS x FROM e GROUP BY label, place)
+SELECT label, n, place::INT AS place, round(x / sqrt(sum(x * x) OVER (PARTITION BY label)), 6) AS x FROM m""")
 def pooled_vectors(spark, sf_dir):
-    """Mean-pooled vectors, by place; the twin holds the first and last places."""
-    each = vectors(spark, sf_dir).select("vec_id", "label", F.posexplode("embedding").alias("pos", "x"))
-    mean = each.groupBy("label", "pos").agg(F.avg(F.col("x").cast("double")).alias("x"), F.count("*").alias("n"))
-    pooled = mean.groupBy("label").agg(F.max("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda s: s["x"]).alias("v"))
-    return pooled.select("label", "n", r6(F.get("v", F.lit(0))).alias("first"), r6(F.get("v", F.lit(63))).alias("last"))
+    """A row a place of the mean vectors, of length 1."""
+    return recall.pooled(vectors(spark, sf_dir), "label").withColumn("x", r6("x"))
+
+
+@query(f"{M} SELECT b.id, CASE WHEN m.id IS NULL THEN 'new' WHEN m.value IS NOT DISTINCT FROM b.value THEN 'same' ELSE 'replaced' END AS action FROM (SELECT id, CASE WHEN id % 3 = 0 THEN value || '!' WHEN id % 7 = 0 THEN NULL ELSE value END AS value FROM memories) b LEFT JOIN (SELECT id, CASE WHEN id % 14 = 0 THEN NULL ELSE value END AS value FROM memories WHERE id % 5 <> 0) m ON m.id = b.id")
+def branch_merge_forced(spark, sf_dir):
+    m = memories(spark, sf_dir).select("id", "value")
+    branch = m.withColumn("value", F.when(F.col("id") % 3 == 0, F.concat("value", F.lit("!"))).when(F.col("id") % 7 != 0, F.col("value")))
+    return pairs.merge_branch(m.where("id % 5 <> 0").withColumn("value", F.when(F.col("id") % 14 != 0, F.col("value"))), branch, force=True)
 
 
 # --- calls: drift, trends, pairs ------------------------------------------------------------------------------------

@@ -89,10 +89,21 @@ def sensitive(text: Column, names=SENSITIVE) -> Column:
     return F.array_compact(F.array(*[F.when(text.rlike(sensitive_pattern(n)), F.lit(n)) for n in names]))
 
 
-def redacted(text: Column) -> Column:
+def redactions(text: Column) -> Column:
+    """A struct of the text without what the patterns find, one after the other, and the number n of places."""
+    out = F.struct(text.alias("text"), F.lit(0).alias("n"))
     for name in SENSITIVE:
-        text = F.regexp_replace(text, sensitive_pattern(name), f"[REDACTED:{name}]")
-    return text
+        out = F.get(F.transform(F.array(out), _without(name)), F.lit(0))  # each step works the one before it out once
+    return out
+
+
+def _without(name: str):
+    p = sensitive_pattern(name)
+    return lambda s: F.struct(F.regexp_replace(s["text"], p, f"[REDACTED:{name}]").alias("text"), (s["n"] + F.regexp_count(s["text"], F.lit(p))).alias("n"))
+
+
+def redacted(text: Column) -> Column:
+    return redactions(text)["text"]
 
 
 def has_any(text: Column, markers: list[str]) -> Column:

@@ -11,8 +11,9 @@ def stale_references(references: DataFrame, records: DataFrame) -> DataFrame:
     return references.join(records.where("status = 'live'").select(F.col("id").alias("dst")), "dst", "left_anti").select("src", "dst")
 
 
-def merge_branch(main: DataFrame, branch: DataFrame) -> DataFrame:
-    """id and what merging does with it: new, same or conflict."""
-    m = main.select("id", F.col("value").alias("_main"))
-    action = F.when(F.col("_main").isNull(), "new").when(F.col("_main") == F.col("value"), "same").otherwise("conflict")
+def merge_branch(main: DataFrame, branch: DataFrame, force: bool = False) -> DataFrame:
+    """id and what merging does with it: new (main has no such record), same, or conflict; with force the branch's value replaces the other. Null values are values."""
+    m = main.select("id", F.col("value").alias("_main"), F.lit(True).alias("_known"))
+    differs = "replaced" if force else "conflict"
+    action = F.when(F.col("_known").isNull(), "new").when(F.col("_main").eqNullSafe(F.col("value")), "same").otherwise(differs)
     return branch.join(m, "id", "left").select("id", action.alias("action"))

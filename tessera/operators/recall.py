@@ -134,6 +134,14 @@ def gated(leg: DataFrame) -> DataFrame:
     return leg.crossJoin(F.broadcast(verdict)).drop("_kept")  # one row or none
 
 
+def pooled(vectors: DataFrame, by: str) -> DataFrame:
+    """by, n, place, x: the mean vector of each group, scaled to length 1, a row a place; a mean of zeros stays. Sums by place don't gather a group's vectors."""
+    each = vectors.select(by, F.posexplode("embedding").alias("place", "x"))
+    mean = each.groupBy(by, "place").agg(F.count("*").alias("n"), F.avg(F.col("x").cast("double")).alias("x"))
+    length = mean.groupBy(by).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("_length"))
+    return mean.join(length, by).select(by, "n", "place", F.coalesce(F.try_divide(F.col("x"), F.col("_length")), F.col("x")).alias("x"))
+
+
 # Fixed value: how much nearness in time adds to a score at most.
 TEMPORAL_WEIGHT = 0.5
 
