@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from tessera.catalog import AGE, C, COS, M, VECTOR, VECTOR_SQL, query, r6
 from tessera.catalog_quality import OPPOSED_SQL, opposed
-from tessera.functions import dates
+from tessera.functions import classify, dates
 from tessera.operators import guides as guides_
-from tessera.operators import quality, recall, sync
+from tessera.operators import conflicts, quality, recall, sync
 from tessera.operators.storage import shared_dir
 from tessera.sources import archive, code, hooks, imports
 from tessera.sources.records import calls, memories, vectors
@@ -266,3 +266,54 @@ def file_dependencies(spark, sf_dir):
 @query(f"""{M} SELECT 'src/pkg' || id % 7 AS name, count(*) AS n_files, sum(7 + length(value) - length(replace(value, chr(10), '')))::BIGINT AS n_lines, (3 * count(*))::BIGINT AS n_exports FROM memories GROUP BY 1 HAVING count(*) >= 2""")
 def module_boundaries(spark, sf_dir):
     return code.boundaries(code.modules(tree(spark, sf_dir)))
+
+# --- unified scores, summaries, conflicts ----------------------------------------------------------------------------------
+
+
+@query(f"""{M}, v AS (SELECT vec_id AS id, {COS} AS semantic FROM (SELECT vec_id, embedding::DOUBLE[] AS e, {VECTOR_SQL} AS q FROM embeddings)),
+n AS (SELECT v.id, semantic FROM v JOIN memories m ON m.id = v.id WHERE semantic > 0.3 AND status = 'live'), t AS (SELECT id FROM memories WHERE status = 'live' AND (contains(lower(key), 'thation') OR contains(lower(value), 'thation')) ORDER BY updated_on DESC, id LIMIT 50)
+SELECT coalesce(n.id, t.id) AS id, round(coalesce(semantic, 0), 6) AS semantic, CASE WHEN t.id IS NULL THEN 0.0::DOUBLE ELSE 1 END AS text FROM n FULL JOIN t ON n.id = t.id""")
+def unified_scores(spark, sf_dir):
+    return recall.scored_query(memories(spark, sf_dir), vectors(spark, sf_dir), "Thation", VECTOR, 25).select("id", r6("semantic").alias("semantic"), "text")
+
+
+SUMMARY_SQL = "CASE " + " ".join("WHEN regexp_matches(lower(s), '\\b({})\\b') THEN '{}'".format("|".join(w.replace("_", " ") for w in words.split()), "{" + str(k) + "}") for k, (_, _, words) in enumerate(classify.SUMMARY)) + " END"
+SUMMARY_TYPE, SUMMARY_BEGIN = (SUMMARY_SQL.format(*[row[k] for row in classify.SUMMARY]) for k in (0, 1))
+SPOKEN = "value || '. We decided on ' || agent || '. Never skip ' || type || ' checks' || chr(10) || ' the layout of ' || type || ' ' || chr(10) || 'Tiny. Watch out for x1.  New in ' || id"
+
+
+@query(f"""{M}, s AS (SELECT id, unnest(list_filter(list_transform(string_split(replace(regexp_replace({SPOKEN}, '\\.\\s+([A-Z])', '.' || chr(1) || '\\1', 'g'), chr(10), chr(1)), chr(1)), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: length(x) > 10)) AS s FROM memories),
+k AS (SELECT id, s, {SUMMARY_TYPE} AS type, {SUMMARY_BEGIN} AS begin FROM s)
+SELECT id, concat_ws('-', begin, regexp_replace(regexp_replace(lower(substring(s, 1, 50)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')) AS key, md5(s) AS hash, type FROM k WHERE type IS NOT NULL""")
+def summary_records(spark, sf_dir):
+    each = memories(spark, sf_dir).select("id", F.inline(classify.summary_records(F.expr(SPOKEN))))
+    return each.select("id", "key", F.md5("value").alias("hash"), "type")
+
+
+#: A conflict between a record and the next but one, for a record in three; a record in nine is in two. Some are settled, some lack a side.
+CONFLICT = {"conflict_id": "id", "a": "id", "b": "CASE WHEN id % 9 = 0 THEN id + 3 WHEN id % 30 = 3 THEN id + 1000000 ELSE id + 2 END", "reason": "type", "resolved": "id % 12 = 0", "created_on": "created_on", "base": "CASE WHEN id % 2 = 0 THEN 'base' END"}
+CONFLICTS_SQL = f"{M}, r AS (SELECT *, id % 25 AS updated_by FROM memories), conflicts AS (SELECT {', '.join(f'{x} AS {c}' for c, x in CONFLICT.items())} FROM memories WHERE id % 3 = 0)"
+
+
+def clashes(m: DataFrame) -> DataFrame:
+    return m.where("id % 3 = 0").selectExpr(*[f"{x} AS {c}" for c, x in CONFLICT.items()])
+
+
+@query(f"""{CONFLICTS_SQL}, u AS (SELECT DISTINCT n_nationkey AS user_id, CASE WHEN n_nationkey % 3 = 0 THEN n_name END AS full_name, CASE WHEN n_nationkey % 3 = 1 THEN lower(n_name) || '@x.org' END AS email FROM nation)
+SELECT conflict_id, a, b, reason, c.created_on::VARCHAR AS created_on, x.key AS a_key, md5(x.value) AS a_value, coalesce(ux.full_name, string_split(ux.email, '@')[1], 'Unknown') AS a_updated_by, y.key AS b_key, md5(y.value) AS b_value, coalesce(uy.full_name, string_split(uy.email, '@')[1], 'Unknown') AS b_updated_by
+FROM conflicts c JOIN r x ON x.id = c.a JOIN r y ON y.id = c.b LEFT JOIN u ux ON ux.user_id = x.updated_by LEFT JOIN u uy ON uy.user_id = y.updated_by WHERE NOT resolved""")
+def open_conflicts(spark, sf_dir):
+    m = memories(spark, sf_dir).withColumn("updated_by", F.col("id") % 25)
+    users = spark.read.parquet(f"{sf_dir}/nation.parquet").selectExpr("n_nationkey AS user_id", "CASE WHEN n_nationkey % 3 = 0 THEN n_name END AS full_name", "CASE WHEN n_nationkey % 3 = 1 THEN concat(lower(n_name), '@x.org') END AS email")
+    out = conflicts.open_conflicts(clashes(m), m, users)
+    return out.select("conflict_id", "a", "b", "reason", F.col("created_on").cast("string").alias("created_on"), "a_key", F.md5("a_value").alias("a_value"), "a_updated_by", "b_key", F.md5("b_value").alias("b_value"), "b_updated_by")
+
+
+@query(f"""{CONFLICTS_SQL}, o AS (SELECT * FROM conflicts WHERE NOT resolved), e AS (SELECT a AS id, created_on, conflict_id FROM o UNION ALL SELECT b, created_on, conflict_id FROM o),
+f AS (SELECT id, conflict_id FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY created_on, conflict_id) AS n FROM e) WHERE n = 1),
+p AS (SELECT o.conflict_id, x.id AS xi, y.id AS yi, x.value AS xv, y.value AS yv, x.updated_on >= y.updated_on AS first FROM o JOIN f g ON g.id = o.a AND g.conflict_id = o.conflict_id JOIN f h ON h.id = o.b AND h.conflict_id = o.conflict_id LEFT JOIN r x ON x.id = o.a LEFT JOIN r y ON y.id = o.b)
+SELECT conflict_id, CASE WHEN xi IS NOT NULL AND yi IS NOT NULL THEN CASE WHEN first THEN xi ELSE yi END END AS kept, CASE WHEN xi IS NOT NULL AND yi IS NOT NULL THEN CASE WHEN first THEN yi ELSE xi END END AS removed,
+CASE WHEN xi IS NOT NULL AND yi IS NOT NULL THEN md5(CASE WHEN first THEN xv ELSE yv END) END AS value, CASE WHEN xi IS NULL OR yi IS NULL THEN 'gone' ELSE 'settled' END AS outcome FROM p""")
+def settled_conflicts(spark, sf_dir):
+    m = memories(spark, sf_dir)
+    return conflicts.settled(clashes(m), m, "keep_newer").withColumn("value", F.md5("value"))

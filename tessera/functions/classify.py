@@ -59,3 +59,25 @@ def json_depth(text: Column) -> Column:
     marks = F.split(F.regexp_replace(bare, r"[^\[\]{}]", ""), "")
     step = lambda s, c: F.struct((s["now"] + F.when(c.isin("[", "{"), 1).when(c.isin("]", "}"), -1).otherwise(0)).alias("now"), F.greatest(s["most"], s["now"] + F.when(c.isin("[", "{"), 1).otherwise(0)).alias("most"))
     return F.aggregate(marks, F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")), step)["most"]
+
+
+# What the sentences of a session's summary become, and the words that tell, tried in this order.
+SUMMARY = [
+    ("decision", "decision", "decided chose went_with picked selected opted"), ("convention", "convention", "convention pattern always never must naming style"), ("architecture", "arch", "architecture module structure layer boundary directory layout"),
+    ("lesson", "lesson", "learned gotcha watch_out careful bug issue mistake avoid"), ("entity", "entity", "created added new built implemented introduced"),
+]
+SHORTEST_SENTENCE, KEY_CHARACTERS = 10, 50
+
+
+def summary_records(summary: Column) -> Column:
+    """An array of (key, value, type): the lines and sentences of a summary that some rule fits; a sentence ends where a capital follows."""
+    parts = F.transform(F.split(summary, "\\n|(?<=\\.)\\s+(?=[A-Z])"), lambda x: F.regexp_replace(x, "^\\s+|\\s+$", ""))
+
+    def read(x: Column) -> Column:
+        fits = [(F.lower(x).rlike(f"(?<![a-z0-9_])(?:{'|'.join(w.replace('_', ' ') for w in words.split())})(?![a-z0-9_])"), name, begin) for name, begin, words in SUMMARY]
+        kind = F.coalesce(*[F.when(fit, name) for fit, name, _ in fits])
+        begin = F.coalesce(*[F.when(fit, begin) for fit, _, begin in fits])
+        slug = F.regexp_replace(F.regexp_replace(F.lower(F.substring(x, 1, KEY_CHARACTERS)), "[^a-z0-9]+", "-"), "^-+|-+$", "")
+        return F.struct(F.concat_ws("-", begin, slug).alias("key"), x.alias("value"), kind.alias("type"))
+
+    return F.filter(F.transform(F.filter(parts, lambda x: F.length(x) > SHORTEST_SENTENCE), read), lambda r: r["type"].isNotNull())

@@ -134,6 +134,15 @@ def gated(leg: DataFrame) -> DataFrame:
     return leg.crossJoin(F.broadcast(verdict)).drop("_kept")  # one row or none
 
 
+def scored_query(records: DataFrame, vectors: DataFrame, query: str, embedding: list[float], limit: int = 5, least: float = 0.3) -> DataFrame:
+    """id, semantic, text of live records: all whose vector is closer than `least`, and the newest 2 * limit that hold the query in key or value, with 1 for that."""
+    near = vector_leg(vectors, embedding, least, records).select("id", F.col("sim").alias("semantic"))
+    low = F.lit(query.lower())
+    holding = records.where((F.col("status") == "live") & (F.contains(F.lower("key"), low) | F.contains(F.lower("value"), low)))
+    newest = holding.select("id", "updated_on").orderBy(F.desc("updated_on"), "id").limit(2 * limit).select("id", F.lit(1.0).alias("text"))
+    return near.join(F.broadcast(newest), "id", "left").unionByName(newest.join(near, "id", "left_anti").withColumn("semantic", F.lit(0.0))).fillna(0.0, ["text"])
+
+
 def pooled(vectors: DataFrame, by: str) -> DataFrame:
     """by, n, place, x: the mean vector of each group, scaled to length 1, a row a place; a mean of zeros stays. Sums by place don't gather a group's vectors."""
     each = vectors.select(by, F.posexplode("embedding").alias("place", "x"))
