@@ -22,6 +22,27 @@ def open_shared(path: str, mode: str):
     return files.open_output_stream(inner, compression=None)
 
 
+def giving_back(part):
+    """part, a function of batches for mapInArrow, whose worker hands memory that it no longer uses back to the system at the end of each task; else the allocator keeps it, and it adds up over stages."""
+
+    def run(batches):
+        try:
+            yield from part(batches)
+        finally:
+            import ctypes
+            import gc
+
+            import pyarrow as pa
+
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only some C libraries have it
+            if trim:
+                trim(0)
+
+    return run
+
+
 def forget(cut_table: DataFrame) -> None:
     """Remove a cut table's files; nothing may read it any more, retries included."""
     from pyarrow import fs

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, free, small, table
+from .common import cut, free, giving_back, small, table
 from .hashing import Words, mixed, shingle_sets
 
 SIZE, PERCENT = 5, 80
@@ -102,7 +102,7 @@ def chunked(docs: DataFrame, size: int) -> DataFrame:
     from pyspark import TaskContext
 
     kinds = "c long, n_grams long, ids binary, known binary, marks binary, sizes binary, nodes binary, blob binary"
-    return docs.select(F.col("doc_id").cast("long"), mark(F.col("text")), "text").mapInArrow(part, kinds)
+    return docs.select(F.col("doc_id").cast("long"), mark(F.col("text")), "text").mapInArrow(giving_back(part), kinds)
 
 
 def mark(text):
@@ -119,7 +119,7 @@ def rows_of(chunks: DataFrame) -> DataFrame:
                 ids, known, marks, sizes, nodes = (np.frombuffer(batch.column(i)[k].as_py(), t) for i, t in enumerate(("<i8", np.uint8, "<i8", "<i8", "<i8")))
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64(), mask=known == 0), pa.array(marks), pa.array(sizes), pa.array(nodes)], names=["doc_id", "mark", "n_shingles", "node"])
 
-    return chunks.select("ids", "known", "marks", "sizes", "nodes").mapInArrow(part, "doc_id long, mark long, n_shingles long, node long")
+    return chunks.select("ids", "known", "marks", "sizes", "nodes").mapInArrow(giving_back(part), "doc_id long, mark long, n_shingles long, node long")
 
 
 def dealt(grams: np.ndarray, n_groups: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -151,7 +151,7 @@ def classes(chunks: DataFrame, size: int, n_groups: int) -> DataFrame:
         at = np.concatenate([[0], np.cumsum(df["n"].map(len))])
         return pd.DataFrame({"c": df["c"], "g": df["g"], "classes": [kind[i:j].tobytes() for i, j in zip(at[:-1], at[1:], strict=True)]})
 
-    sent = chunks.select("c", "blob").mapInArrow(deal, "g long, c long, low binary, n binary")
+    sent = chunks.select("c", "blob").mapInArrow(giving_back(deal), "g long, c long, low binary, n binary")
     return sent.groupBy("g").applyInPandas(count, "c long, g long, classes binary")
 
 
@@ -219,7 +219,7 @@ def light_pairs(firsts: DataFrame, percent: int, n_groups: int) -> DataFrame:
         a, b = np.unique(np.concatenate(found, axis=1), axis=1)
         return pd.DataFrame({"a": a, "b": b})
 
-    sent = firsts.select("node", "n", "keys").mapInArrow(deal, "g long, key binary, node binary, of binary")
+    sent = firsts.select("node", "n", "keys").mapInArrow(giving_back(deal), "g long, key binary, node binary, of binary")
     return sent.groupBy("g").applyInPandas(pair, "a long, b long").distinct()
 
 
@@ -233,7 +233,7 @@ def heavy_places(firsts: DataFrame) -> DataFrame:
             key, row = key[key >= LIGHT], row[key >= LIGHT]
             yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *[batch.column(i).take(pa.array(row)) for i in range(3)]], names=["key", "node", "n", "rare"])
 
-    return firsts.select("node", "n", "rare", "keys").mapInArrow(part, "key long, node long, n long, rare double")
+    return firsts.select("node", "n", "rare", "keys").mapInArrow(giving_back(part), "key long, node long, n long, rare double")
 
 
 class Trie:
@@ -322,7 +322,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
 
     named = docs.select(F.col("doc_id").cast("long").alias("_id"), mark(F.col("text")).alias("_mark"), "text")
     some = named.join(small(wanted), (F.col("_id") == F.col("doc_id")) & (F.col("_mark") == F.col("mark")), "left_semi").select("text")
-    return some.mapInArrow(part, "node long, keys binary")
+    return some.mapInArrow(giving_back(part), "node long, keys binary")
 
 
 def verified(tries: DataFrame, docs: DataFrame, reps: DataFrame, size: int, percent: int) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, giving_back, table
 from .tokens import encoder
 
 SIZE = 2048
@@ -259,7 +259,7 @@ def pieces(docs: DataFrame, size: int = SIZE, tokenizer: str | None = None) -> D
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(part, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(giving_back(part), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def place(pieces: DataFrame, size: int = SIZE) -> DataFrame:

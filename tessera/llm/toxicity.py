@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import gru
-from .common import table
+from .common import giving_back, table
 
 FOLDS = 5
 MAX_TRAIN, TRAIN_CHARS = 2000, 50_000
@@ -64,7 +64,7 @@ def score(docs: DataFrame, model: dict[str, np.ndarray] | None) -> DataFrame:
             s = gru.scores(m, texts) if m is not None else np.zeros(len(texts))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s)], names=["doc_id", "score"])
 
-    out = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(part, "doc_id long, score double")
+    out = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(giving_back(part), "doc_id long, score double")
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= LIMIT).cast("int").alias("predicted"))
 
 
@@ -78,7 +78,7 @@ def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
             s = gru.scores(m, batch.column(columns.index("text")).to_pylist()) if m is not None else np.zeros(batch.num_rows)
             yield batch.filter(pa.array(s < LIMIT))
 
-    return docs.mapInArrow(part, docs.schema)
+    return docs.mapInArrow(giving_back(part), docs.schema)
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
