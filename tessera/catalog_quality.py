@@ -146,7 +146,7 @@ def reference_cycles(spark, sf_dir):
 @query(f"""{ROUND_CLOSURE}, u AS (SELECT DISTINCT dst AS id, src AS via FROM c WHERE src <> dst), d AS (SELECT dst AS id, count(*) AS degree FROM round_edges GROUP BY dst)
 SELECT u.id, count(*) AS dependents, (max(d.degree) + sum(coalesce(v.degree, 0)))::BIGINT AS impact FROM u JOIN d ON d.id = u.id LEFT JOIN d v ON v.id = u.via GROUP BY u.id""")
 def impact_through_cycles(spark, sf_dir):
-    return graph.impact(round_edges(memories(spark, sf_dir)))
+    return graph.impact(round_edges(memories(spark, sf_dir)), condense=True)
 
 
 NAME = "regexp_replace({}key, '[^a-zA-Z0-9_]', '_', 'g')"

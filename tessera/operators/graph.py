@@ -61,41 +61,50 @@ def strong(edges: DataFrame) -> DataFrame:
     return found.join(smallest, "root").select("id", "component")
 
 
-#: Sources that share a row of reach().
-WORD = 64
+#: Sources that share a row of reach(), and steps along edges between two writes of its state.
+WORD, HOPS = 64, 4
+#: Rows that reach() may have at worst before strong components are looked for first.
+MAX_REACH = 20_000_000
 
 
 def reach(edges: DataFrame, blocks: int = 1) -> DataFrame:
     """id, w, bits: bit k of bits says that the record w * 64 + k leads to id, along a path of any length.
 
     A row holds 64 sources, so there are far fewer rows than pairs; each round
-    only passes on bits that are new. blocks: the sources go in so many parts, one
-    after the other, which bounds a round's rows.
+    only passes on bits that are new, a few steps far. blocks: the sources go in so
+    many parts, one after the other, which bounds a round's rows.
     """
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("src", F.lit(WORD)).cast("int"))
     begin = edges.select(F.col("dst").alias("id"), F.shiftright("src", 6).alias("w"), bit.alias("bits"))
+    none = F.lit(0).cast("long")
     out = None
     for block in range(blocks):
         own = begin.where(F.pmod("w", F.lit(blocks)) == block).groupBy("id", "w").agg(F.bit_or("bits").alias("bits"))
         state = cut(own.withColumn("new", F.col("bits")), "reach")
-        while not state.where("new <> 0").isEmpty():
-            moved = state.where("new <> 0").join(edges, F.col("id") == F.col("src")).select(F.col("dst").alias("id"), "w", F.lit(0).cast("long").alias("bits"), "new")
-            both = state.select("id", "w", "bits", F.lit(0).cast("long").alias("new")).unionByName(moved).groupBy("id", "w").agg(F.bit_or("bits").alias("bits"), F.bit_or("new").alias("new"))
+        while not (front := state.where("new <> 0").select("id", "w", "new")).isEmpty():
+            both = state.select("id", "w", "bits", none.alias("new"))
+            for _ in range(HOPS):
+                front = front.join(edges, F.col("id") == F.col("src")).groupBy(F.col("dst").alias("id"), "w").agg(F.bit_or("new").alias("new"))
+                both = both.unionByName(front.select("id", "w", none.alias("bits"), "new"))
+            both = both.groupBy("id", "w").agg(F.bit_or("bits").alias("bits"), F.bit_or("new").alias("new"))
             state = cut(both.select("id", "w", F.col("bits").bitwiseOR(F.col("new")).alias("bits"), F.col("new").bitwiseAND(F.bitwise_not("bits")).alias("new")), "reach")
         out = state if out is None else out.unionByName(state)
     return out.select("id", "w", "bits")
 
 
-def impact(edges: DataFrame, blocks: int = 1) -> DataFrame:
+def impact(edges: DataFrame, blocks: int = 1, condense: bool | None = None) -> DataFrame:
     """id, dependents (different records that lead to it) and impact (the in-degrees of it and them summed).
 
-    Strong components are one record each while reach is worked out: all their
-    members have the same records before them.
+    With condense, strong components are one record each while reach is worked
+    out, as all their members have the same records before them; unless said, that
+    is done where the records are many enough for their pairs to matter.
     """
     edges = cut(edges.where("src <> dst").select("src", "dst").distinct(), "edges")
     degree = cut(edges.groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("degree")), "degrees")
-    parts = cut(strong(edges), "components")
-    if parts.isEmpty():
+    if condense is None:
+        condense = degree.count() ** 2 / WORD > MAX_REACH
+    parts = cut(strong(edges), "components") if condense else None
+    if parts is None or parts.isEmpty():
         nodes, condensed = degree.select("id", F.col("id").alias("c"), "degree"), edges
     else:
         of = lambda end: parts.select(F.col("id").alias(end), F.col("component").alias(f"{end}_c"))
@@ -105,11 +114,13 @@ def impact(edges: DataFrame, blocks: int = 1) -> DataFrame:
     # a component has members in nodes only if something leads to them, and so all of them are there
     sums = cut(nodes.groupBy("c").agg(F.count("*").alias("n"), F.sum("degree").alias("all_degree")), "sums")
     weights = sums.groupBy(F.shiftright("c", 6).alias("w")).agg(F.map_from_entries(F.collect_list(F.struct(F.pmod("c", F.lit(WORD)).cast("int"), F.struct("n", "all_degree")))).alias("by_bit"))
-    seen = reach(condensed, blocks)
+    # a record on a cycle leads to itself, but isn't one of its dependents
+    own = F.when(F.shiftright("id", 6) == F.col("w"), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("id", F.lit(WORD)).cast("int"))).otherwise(F.lit(0).cast("long"))
+    seen = reach(condensed, blocks).withColumn("bits", F.col("bits").bitwiseAND(F.bitwise_not(own)))
     bits = F.filter(F.sequence(F.lit(0), F.lit(WORD - 1)), lambda k: F.call_function("getbit", F.col("bits"), k) == 1)
-    met = seen.join(weights, "w", "left")
+    met = seen.where("bits <> 0").withColumn("set", bits).join(weights, "w", "left")
     of_bit = lambda k, name, other: F.coalesce(F.try_element_at("by_bit", k)[name], F.lit(other))
-    total = lambda name, other: F.aggregate(bits, F.lit(0).cast("long"), lambda a, k: a + of_bit(k, name, other))
+    total = lambda name, other: F.aggregate("set", F.lit(0).cast("long"), lambda a, k: a + of_bit(k, name, other))
     before = met.select(F.col("id").alias("c"), total("n", 1).alias("before"), total("all_degree", 0).alias("more")).groupBy("c").agg(F.sum("before").alias("before"), F.sum("more").alias("more"))
     out = nodes.join(sums, "c").join(before, "c", "left").fillna(0, ["before", "more"])
     return out.select("id", (F.col("before") + F.col("n") - 1).alias("dependents"), (F.col("all_degree") + F.col("more")).alias("impact"))

@@ -60,7 +60,7 @@ def sharing(sets: DataFrame, least: float, of_union: bool, more: list[str] = (),
     as 64-bit hashes of their elements with `by`.
     """
     hashed = F.array_distinct(F.transform("s", lambda w: F.xxhash64("by", w)))
-    sets = cut(spread(sets).select(F.col("id").cast("long").alias("id"), hashed.alias("h"), *more).where(F.size("h") > 0), "sets")
+    sets = cut(sets.select(F.col("id").cast("long").alias("id"), hashed.alias("h"), *more).where(F.size("h") > 0), "sets")
     prefix = cut(prefixes(sets, least, list(more)), "prefixes")
     x, y = prefix.alias("x"), prefix.alias("y")
     fits = F.least("x.size", "y.size") >= F.lit(least) * F.greatest("x.size", "y.size") - 1e-9
@@ -82,7 +82,8 @@ def near_duplicates(records: DataFrame, least: float = 0.7) -> DataFrame:
 
 def similar_keys(records: DataFrame, more_than: float = 0.5, limit: int = 20) -> DataFrame:
     """The pairs of a project whose keys resemble each other most by trigrams."""
-    pairs = sharing(records.select("id", F.col("project_id").alias("by"), text.trigrams(F.col("key")).alias("s")), more_than, of_union=True)
+    keys = spread(records.select("id", F.col("project_id").alias("by"), "key"))
+    pairs = sharing(keys.select("id", "by", text.trigrams(F.col("key")).alias("s")), more_than, of_union=True)
     return pairs.where(F.col("similarity") > more_than + 1e-12).orderBy(F.desc("similarity"), "a", "b").limit(limit)
 
 

@@ -53,8 +53,8 @@ def test_against_plain_search(spark, seed):
     degree = {x: sum(b == x != a for a, b in edges) for x in nodes}
     up = {x: {a for a, b in pairs if b == x != a} for x in nodes if degree[x]}
     want = {x: (len(u), degree[x] + sum(degree[y] for y in u)) for x, u in up.items()}
-    for blocks in (1, 2) if seed == 1 else (1,):
-        assert {x["id"]: (x["dependents"], x["impact"]) for x in graph.impact(df, blocks).collect()} == want
+    for blocks, condense in ((1, True), (2, False)) if seed == 1 else ((1, False),):
+        assert {x["id"]: (x["dependents"], x["impact"]) for x in graph.impact(df, blocks, condense).collect()} == want
     for x in graph.cycles(df).collect():
         c = x["cycle"]
         assert len(c) == x["n"] == len(set(c)) and c[0] == min(c) and all(e in edges for e in zip(c, c[1:] + c[:1], strict=True))
