@@ -28,7 +28,8 @@ def unleaked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.sequences(docs)
+    # other stages have used the workers' memory before, so the memo of words is small here
+    return packing.sequences(docs, memo=100_000)
 
 
 STAGES = [("quality_rules", rules), ("toxicity", clean), ("ngram_join", distinct), ("decontaminate", unleaked), ("pack", packed)]

@@ -30,7 +30,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import cut, giving_back, table
-from .tokens import encoder
+from .tokens import MEMO, encoder
 
 SIZE = 2048
 #: Steps of one enumeration of fillings, and decisions after the first way down.
@@ -242,14 +242,14 @@ def slots(plan: Plan) -> list[tuple[int, int, int, int, int, int]]:
     return out
 
 
-def pieces(docs: DataFrame, size: int = SIZE, tokenizer: str | None = None) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 of every document's pieces; all but the first have `size` ids."""
+def pieces(docs: DataFrame, size: int = SIZE, tokenizer: str | None = None, memo: int = MEMO) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32 of every document's pieces; all but the first have `size` ids. memo: entries of the encoder's memo; a smaller one than MEMO is dropped at the end of each task."""
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer).encode_all
+        own = encoder(tokenizer, memo)
         for batch in batches:
             rows = []
-            for doc_id, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1).to_pylist()), strict=True):
+            for doc_id, ids in zip(batch.column(0).to_pylist(), own.encode_all(batch.column(1).to_pylist()), strict=True):
                 ids = memoryview(ids.tobytes())
                 n = len(ids) // 4
                 start, end = 0, (n - 1) % size + 1
@@ -258,6 +258,8 @@ def pieces(docs: DataFrame, size: int = SIZE, tokenizer: str | None = None) -> D
                     start, end = end, end + size
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+        if memo < MEMO:
+            own.clear()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(giving_back(part), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
@@ -281,8 +283,8 @@ def place(pieces: DataFrame, size: int = SIZE) -> DataFrame:
     return placed.select("doc_id", "piece", "start", "length", "ids_crc32", sequence.cast("long").alias("sequence_id"), offset.cast("long").alias("offset"))
 
 
-def sequences(docs: DataFrame, size: int = SIZE, tokenizer: str | None = None) -> DataFrame:
-    return place(cut(pieces(docs, size, tokenizer), "pieces"), size)
+def sequences(docs: DataFrame, size: int = SIZE, tokenizer: str | None = None, memo: int = MEMO) -> DataFrame:
+    return place(cut(pieces(docs, size, tokenizer, memo), "pieces"), size)
 
 
 def op2_pack(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -35,10 +35,11 @@ class Encoder:
     spaces or with a special token go to the tokenizer whole.
     """
 
-    def __init__(self, file: str):
+    def __init__(self, file: str, memo: int = MEMO):
         import public_tokenizers
         from tokenizers import Tokenizer
 
+        self.memo = memo
         self.tokenizer = Tokenizer.from_file(file)
         self.model = self.tokenizer.model
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
@@ -95,7 +96,7 @@ class Encoder:
         start, end = np.concatenate([[0], space + 1]), np.concatenate([space, [len(b)]])
         hashes = run_hashes(b, start, end)
         distinct, first, back = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.slots) + len(distinct) > MEMO:
+        if len(self.slots) + len(distinct) > self.memo:
             self.clear()
         keys = distinct.tolist()
         new = [k for k, h in enumerate(keys) if h not in self.slots]
@@ -136,14 +137,14 @@ class Encoder:
         return next(self.encode_all([text])).tobytes()
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, int], Encoder] = {}
 
 
-def encoder(file: str | None = None) -> Encoder:
-    """This worker's encoder for a tokenizer file; without one, that of TOKENIZER."""
+def encoder(file: str | None = None, memo: int = MEMO) -> Encoder:
+    """This worker's encoder for a tokenizer file, with a memo of so many entries at most; without a file, that of TOKENIZER."""
     import public_tokenizers
 
-    file = file or public_tokenizers.path(TOKENIZER)
-    if file not in _encoders:
-        _encoders[file] = Encoder(file)
-    return _encoders[file]
+    key = file or public_tokenizers.path(TOKENIZER), memo
+    if key not in _encoders:
+        _encoders[key] = Encoder(*key)
+    return _encoders[key]

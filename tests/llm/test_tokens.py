@@ -35,9 +35,8 @@ def test_memo_equals_the_tokenizer_for_any_text(text):
 @pytest.mark.parametrize("chunk", [1, 20, 1 << 21])
 def test_batches_equal_the_tokenizer(chunk, monkeypatch):
     monkeypatch.setattr(tokens, "CHUNK", chunk)
-    monkeypatch.setattr(tokens, "MEMO", 3)
     texts = TEXTS + ["Ab, ab. Ab", " ab", "ab\ncd ef"] + TEXTS
-    assert [x.tolist() for x in encoder().encode_all(texts)] == [ids(t).tolist() for t in texts]
+    assert [x.tolist() for x in encoder(memo=3).encode_all(texts)] == [ids(t).tolist() for t in texts]
     assert list(encoder().encode_all([])) == []
 
 
