@@ -93,3 +93,31 @@ def test_perplexity_of_documents_read_in_any_order(spark, monkeypatch):
         assert got[k].perplexity == pytest.approx(x.perplexity, rel=1e-9) and got[k].kept == x.kept
         if k >= 200:
             assert x.perplexity == pytest.approx(want[(k - 200) % 3].perplexity, rel=1e-9)
+
+
+def test_whole_texts_go_to_python_in_bounded_batches(spark):
+    import pyarrow as pa
+
+    from tessera.operators import storage
+
+    def part(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes]), pa.array([b.num_rows])], names=["bytes", "rows"])
+
+    docs = spark.range(0, 40, 1, 1).selectExpr("repeat(concat(id % 10, 'x'), 500000) AS text")
+    before = spark.conf.get(storage.BATCH, None)
+    rows = storage.cut(docs.mapInArrow(part, "bytes long, rows long"), "batches").collect()
+    assert sum(r["rows"] for r in rows) == 40 and max(r["bytes"] for r in rows) < 2 * storage.BATCH_BYTES
+    assert spark.conf.get(storage.BATCH, None) == before
+
+
+def test_slices_of_a_batch_are_whole_and_bounded(monkeypatch):
+    import pyarrow as pa
+
+    from tessera.llm import common
+
+    monkeypatch.setattr(common, "SLICE", 100)
+    b = pa.RecordBatch.from_arrays([pa.array(range(50)), pa.array(["x" * 20] * 50)], names=["doc_id", "text"])
+    some = list(common.slices(b))
+    assert pa.Table.from_batches(some) == pa.Table.from_batches([b]) and max(s.num_rows for s in some) <= 4
+    assert list(common.slices(b.slice(0, 0))) == []
