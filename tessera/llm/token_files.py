@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, open_shared, shared_dir, table
+from .common import cut, giving_back, open_shared, shared_dir, table
 from .tokens import encoder
 
 MAGIC = b"PFORIDS1"
@@ -210,7 +210,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str | None = None) -> DataFra
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=["task", "part", "path", "n_docs", "n_ids"])
 
     ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
-    manifest = cut(ordered.mapInArrow(part, "task long, part long, path string, n_docs long, n_ids long"), "token-files")
+    manifest = cut(ordered.mapInArrow(giving_back(part), "task long, part long, path string, n_docs long, n_ids long"), "token-files")
     before = W.orderBy("task", "part")  # a row for each file
     manifest = manifest.withColumn("start", F.coalesce(F.sum("n_ids").over(before.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     return manifest.withColumn("shard", F.row_number().over(before) - 1)
@@ -229,7 +229,7 @@ def read(manifest: DataFrame) -> DataFrame:
 
     files = manifest.select("path", "start")
     files = files.repartition(max(1, files.count()), "path")  # files are bounded, so a task for each
-    return files.mapInArrow(part, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return files.mapInArrow(giving_back(part), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -125,3 +125,11 @@ def test_bin_completion_against_all_packings(seed):
     assert used == counts
     bins = sum(b for b, _ in plan)
     assert packing.lower_bound(counts, 20) <= fewest(lengths, 20) == bins
+
+
+def test_tasks_of_token_files_hand_memory_back(spark, tmp_path, monkeypatch):
+    given = []
+    monkeypatch.setattr(token_files, "giving_back", lambda part: given.append(part) or part)
+    docs = spark.createDataFrame(ROWS, "doc_id long, text string, start string")
+    assert token_files.read(token_files.write(docs, f"file://{tmp_path}/ids")).count() == len(ROWS)
+    assert len(given) == 2
