@@ -40,19 +40,19 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, small, table
+from .common import cut, giving_back, small, table
 
 MIN_DOCS = 3
 TOP_TERMS = 200
 UNIT = 1_000_000_000
 #: Kept terms of at most so many bytes (8 more for each) go to every task; more are dealt to shards of about so many.
 VOCABULARY_BYTES = 16 << 20
-#: Bytes of texts whose terms are told apart at once; rows of a batch; numbers of kept terms, and counts of them, that a task holds before it hands them on.
-SLAB, HELD, RAW, COUNTS = 16 << 20, 400_000, 1 << 21, 1 << 21
+#: Bytes of texts whose terms are told apart at once, and of texts that wait for that; rows of a batch; numbers of kept terms, and counts of them, that a task holds before it hands them on.
+SLAB, WAITING, HELD, RAW, COUNTS = 8 << 20, 24 << 20, 400_000, 1 << 20, 1 << 21
 #: Bytes of a piece on its way to a shard; tasks that share a shard.
 PIECE, COPIES = 1 << 16, 4
 #: Sources of a block; pairs of postings evaluated at once.
-BLOCK, PAIRS = 256, 1 << 20
+BLOCK, PAIRS = 256, 1 << 18
 
 #: A byte's form in terms: A-Z lower-cased, a-z and bytes of other characters as they are, all else a space.
 TERM_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -80,17 +80,18 @@ def terms_of(texts: list[bytes]) -> tuple[pa.BinaryArray, np.ndarray]:
     return pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(raw[own])]), np.searchsorted(after, start, "right")
 
 
-def slabs(texts: Iterator[bytes]) -> Iterator[list[bytes]]:
-    """texts in runs of about SLAB bytes."""
-    run, size = [], 0
-    for t in texts:
-        run.append(t)
-        size += len(t)
-        if size >= SLAB:
-            yield run
-            run, size = [], 0
-    if run:
-        yield run
+def slabs(rows: Iterator[tuple[str, bytes]]) -> Iterator[tuple[str, list[bytes]]]:
+    """Texts, each after its language, in runs of one language of about SLAB bytes; those that wait for more of theirs take WAITING bytes at most."""
+    runs, sizes, waiting = {}, {}, 0
+    for lang, t in rows:
+        runs.setdefault(lang, []).append(t)
+        sizes[lang] = sizes.get(lang, 0) + len(t) + 1
+        waiting += len(t) + 1
+        if sizes[lang] >= SLAB or waiting >= WAITING:
+            most = max(sizes, key=sizes.get)
+            waiting -= sizes.pop(most)
+            yield most, runs.pop(most)
+    yield from runs.items()
 
 
 def counted(texts: list[bytes]) -> tuple[pa.BinaryArray, np.ndarray]:
@@ -147,14 +148,13 @@ def document_frequencies(docs: DataFrame) -> DataFrame:
     """lang, term (binary) and n, the number of documents of the language that hold it."""
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lang in batch.column(0).unique():
-                texts = batch.column(1).filter(pc.equal(batch.column(0), lang))
-                for some in slabs(t.as_buffer() for t in texts):
-                    terms, n = counted(some)
-                    yield pa.RecordBatch.from_arrays([pa.repeat(lang, len(n)), terms, pa.array(n)], names=["lang", "term", "n"])
+        _built.clear()  # the automata of an earlier vocabulary
+        rows = ((lang, text.as_py()) for batch in batches for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True))
+        for lang, some in slabs(rows):
+            terms, n = counted(some)
+            yield pa.RecordBatch.from_arrays([pa.repeat(lang, len(n)), terms, pa.array(n)], names=["lang", "term", "n"])
 
-    return docs.select("lang", "text").mapInArrow(part, "lang string, term binary, n long").groupBy("lang", "term").agg(F.sum("n").alias("n"))
+    return docs.select("lang", "text").mapInArrow(giving_back(part), "lang string, term binary, n long").groupBy("lang", "term").agg(F.sum("n").alias("n"))
 
 
 def automaton(terms: list[bytes]):
@@ -170,7 +170,7 @@ def automaton(terms: list[bytes]):
 
 second = itemgetter(1)
 
-#: This worker's automata of one vocabulary, by language, kept for the next task.
+#: This worker's automata of one vocabulary, by language, kept for the next task that counts with them; other tasks drop them.
 _built: dict[str, dict] = {}
 
 
@@ -206,7 +206,7 @@ def recount_whole(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
                 yield from tally.batches()
         yield from tally.batches()
 
-    return docs.mapInArrow(part, "lang string, source string, term binary, n long")
+    return docs.mapInArrow(giving_back(part), "lang string, source string, term binary, n long")
 
 
 def recount_sharded(docs: DataFrame, vocabulary: DataFrame, n_shards: int) -> DataFrame:
@@ -262,8 +262,8 @@ def recount_sharded(docs: DataFrame, vocabulary: DataFrame, n_shards: int) -> Da
     row = "lang string, shard int, copy int, kind int, source string, piece binary"
     shard = F.pmod(F.crc32("term"), F.lit(n_shards)).cast("int")
     kept = vocabulary.select("lang", shard.alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(COPIES - 1))).alias("copy"), F.lit(0).alias("kind"), F.lit(None).cast("string").alias("source"), F.col("term").alias("piece"))
-    met = docs.mapInArrow(deal, row).unionByName(kept).repartition("lang", "shard", "copy").sortWithinPartitions("lang", "shard", "copy", "kind")
-    return met.mapInArrow(count, "lang string, source string, term binary, n long")
+    met = docs.mapInArrow(giving_back(deal), row).unionByName(kept).repartition("lang", "shard", "copy").sortWithinPartitions("lang", "shard", "copy", "kind")
+    return met.mapInArrow(giving_back(count), "lang string, source string, term binary, n long")
 
 
 def postings(docs: DataFrame, vocabulary: DataFrame, most: int = VOCABULARY_BYTES) -> DataFrame:
@@ -294,6 +294,7 @@ def shared_terms(placed: DataFrame) -> DataFrame:
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, sums, tail = None, None, None
+        _built.clear()
 
         def hand_on():
             if sums is not None:
@@ -357,7 +358,7 @@ def shared_terms(placed: DataFrame) -> DataFrame:
     own = F.floor(F.col("s") / BLOCK).cast("int")
     each = placed.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks)))).select("lang", F.least("b", own).alias("b1"), F.greatest("b", own).alias("b2"), "term", "s", "p", "z")
     dealt = each.repartition("lang", "b1", "b2", "term").sortWithinPartitions("lang", "b1", "b2", "term")
-    return dealt.mapInArrow(part, "lang string, s long, t long, value long")
+    return dealt.mapInArrow(giving_back(part), "lang string, s long, t long, value long")
 
 
 def audit(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP_TERMS, vocabulary_bytes: int = VOCABULARY_BYTES) -> DataFrame:

@@ -169,3 +169,32 @@ def test_filter_audit_of_other_filters(spark):
     r = out["p", "yxz", 2]
     assert (r.kept, r.removed, r.redundant, r.unique_fails, r.good_lost, r.toxic_lost, r.shapley) == (1, 1, 1, 1, 0, 1, 6 + 3)
     assert [out["q", "xyz", k].kept for k in (1, 2, 3)] == [1, 1, 0] and out["q", "zxy", 1].shapley == 6
+
+
+def test_texts_wait_for_their_language_within_bounds(monkeypatch):
+    monkeypatch.setattr(divergence, "SLAB", 40)
+    monkeypatch.setattr(divergence, "WAITING", 70)
+    rows = [(f"l{k % 5}", b"x" * (k % 13)) for k in range(200)] + [("l1", b"y" * 500)]
+    runs = list(divergence.slabs(iter(rows)))
+    assert sorted((lang, t) for lang, run in runs for t in run) == sorted(rows)
+    assert max(sum(len(t) + 1 for t in run[:-1]) for _, run in runs) < 40
+    assert len(runs) < len(rows) / 3
+
+
+def test_other_tasks_drop_the_automata_of_a_vocabulary(spark):
+    class Docs:
+        """Takes the tasks' functions of batches."""
+
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, part, schema):
+            self.part = part
+            return self
+
+        groupBy = agg = select
+
+    docs = Docs()
+    divergence.document_frequencies(docs)
+    divergence._built["earlier"] = {"en": divergence.automaton([b"term"])}
+    assert list(docs.part(iter([]))) == [] and not divergence._built
