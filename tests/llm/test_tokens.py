@@ -40,6 +40,54 @@ def test_batches_equal_the_tokenizer(chunk, monkeypatch):
     assert list(encoder().encode_all([])) == []
 
 
+class Counted:
+    """A model that counts its calls."""
+
+    def __init__(self, model):
+        self.model, self.calls = model, 0
+
+    def tokenize(self, letters):
+        self.calls += 1
+        return self.model.tokenize(letters)
+
+
+def test_new_words_go_to_the_model_together():
+    own = tokens.Encoder(public_tokenizers.path(TOKENIZER))
+    own.model = Counted(own.model)
+    r = random.Random(4)
+    texts = [" ".join("".join(r.choices("abcdefgé", k=9)) + r.choice(["", ",", ".\nBut"]) for _ in range(1000))]
+    assert [x.tolist() for x in own.encode_all(texts)] == [ids(texts[0]).tolist()]
+    assert own.model.calls < 100
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.text(alphabet="\n\t\x1c\xa0 '\"sab,.!é漢Ⅷ×—🙂1", max_size=30), max_size=20))
+def test_odd_words_of_a_batch_equal_the_tokenizer(texts):
+    own = encoder(memo=50)
+    for apart in (True, False):
+        own.clear()
+        own.apart = apart
+        assert [x.tolist() for x in own.encode_all(texts)] == [[*own.tokenizer.encode(t, add_special_tokens=False).ids, 0] for t in texts]
+
+
+def test_words_go_together_only_where_no_token_reaches_over_their_ends():
+    own = tokens.Encoder(public_tokenizers.path(TOKENIZER))
+    space, line = tokens.SPACE, tokens.LINE
+    letters = dict.fromkeys(tokens.LETTERS, 0)
+    assert own.apart and own.keeps_apart(letters)
+    for token in (f"a{space}", f"{space}a{space}b", f"{line}a", f"a{line}", f"{space}a{line}", f"{line}Ã"):
+        assert not own.keeps_apart(letters | {token: 1})
+    for token in (f"{space}ab", f"{space}{space}", f"{line}{line}", f"{line}Âł", f"{space}Âł{space}Âł", f"{space}.{line}"):
+        assert own.keeps_apart(letters | {token: 1})
+
+
+def test_the_memo_is_bounded_by_its_ids_too():
+    own = tokens.Encoder(public_tokenizers.path(TOKENIZER), memo=100)
+    for k in range(30):
+        own.encode(f"x {k}" + "-=" * 500)
+    assert own.used <= 100 * tokens.MEMO_IDS + 2000 and len(own.keys) < 30
+
+
 @pytest.mark.parametrize("high", [1, 2, 300, 50257, 2**32 - 1])
 def test_blocks_come_back(high):
     r = np.random.default_rng(high)
