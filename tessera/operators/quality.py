@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -14,6 +10,7 @@ from tessera.functions import scores, text
 
 from . import graph
 from .recall import spread
+from .setjoin import hashed, sharing
 from .storage import cut
 
 # The types that a brief needs, and those whose values should read as orders.
@@ -22,68 +19,17 @@ IMPERATIVE_TYPES = ["convention", "anti_pattern", "lesson"]
 IMPERATIVE = "(?<![A-Za-z0-9_])(ALWAYS|NEVER|MUST|DO NOT|STOP|AVOID|REQUIRE|ENSURE|USE)(?![A-Za-z0-9_])"
 
 
-#: So many of the most frequent elements are sent to all tasks with their counts; the order of others is that of their hashes.
-FREQUENT = 200_000
-
-
-def prefixes(sets: DataFrame, least: float, more: list[str]) -> DataFrame:
-    """h, id, place, size and `more` of the first size - ceil(least * size) + 1 elements of each set h of hashes, the rarest first."""
-    counts = sets.select(F.explode("h").alias("h")).groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
-    often = counts.orderBy(F.desc("n"), "h").limit(FREQUENT).toArrow().sort_by("h")
-    sent = sets.sparkSession.sparkContext.broadcast((often["h"].to_numpy(), often["n"].to_numpy()))
-
-    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, n = sent.value
-        for batch in batches:
-            h, size = batch.column(1).flatten().to_numpy(), batch.column(1).value_lengths().to_numpy().astype(np.int64)
-            row, first = np.repeat(np.arange(len(size)), size), np.cumsum(size) - size
-            k = np.minimum(np.searchsorted(known, h), max(0, len(known) - 1))
-            order = np.lexsort((h, np.where(known[k] == h, n[k], 1) if len(known) else h, row))
-            place = np.arange(len(h)) - first[row]  # rows stay in order
-            taken = place < (size - np.ceil(least * size - 1e-9).astype(np.int64) + 1)[row]
-            of = pa.array(row[taken])
-            yield pa.RecordBatch.from_arrays([pa.array(h[order][taken]), batch.column(0).take(of), pa.array(place[taken]), pa.array(size[row][taken]), *(c.take(of) for c in batch.columns[2:])], names=["h", "id", "place", "size", *more])
-
-    kinds = "".join(f", {c} {sets.schema[c].dataType.simpleString()}" for c in more)
-    return sets.select("id", "h", *more).mapInArrow(part, f"h long, id long, place long, size long{kinds}")
-
-
-def sharing(sets: DataFrame, least: float, of_union: bool, more: list[str] = (), on: str = "true") -> DataFrame:
-    """a, b, similarity of rows (id, by, s) of equal `by` whose sets s have a similarity of at least `least`; on: a condition on columns `more` of both, x and y.
-
-    The similarity is the overlap over the union, or over the larger set. Either
-    way a pair shares at least a share `least` of each set, so it shares an element
-    among the first size - ceil(least * size) + 1 of both in one order of elements;
-    that order puts the rarest first, so a frequent element seldom pairs anything.
-    At the first element that two sets share, no more of them is common than what
-    stands from there on in either; other pairs are left at once. Sets are compared
-    as 64-bit hashes of their elements with `by`.
-    """
-    hashed = F.array_distinct(F.transform("s", lambda w: F.xxhash64("by", w)))
-    sets = cut(sets.select(F.col("id").cast("long").alias("id"), hashed.alias("h"), *more).where(F.size("h") > 0), "sets")
-    prefix = cut(prefixes(sets, least, list(more)), "prefixes")
-    x, y = prefix.alias("x"), prefix.alias("y")
-    fits = F.least("x.size", "y.size") >= F.lit(least) * F.greatest("x.size", "y.size") - 1e-9
-    need = F.lit(least / (1 + least)) * (F.col("x.size") + F.col("y.size")) if of_union else F.lit(least) * F.greatest("x.size", "y.size")
-    rest = F.least(F.col("x.size") - F.col("x.place"), F.col("y.size") - F.col("y.place")) >= need - 1e-9
-    pairs = x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.id") < F.col("y.id")) & fits & rest & F.expr(on)).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-    sa, sb = sets.select(F.col("id").alias("a"), F.col("h").alias("sa")), sets.select(F.col("id").alias("b"), F.col("h").alias("sb"))
-    shared = F.size(F.array_intersect("sa", "sb"))
-    whole = F.size("sa") + F.size("sb") - shared if of_union else F.greatest(F.size("sa"), F.size("sb"))
-    return pairs.join(sa, "a").join(sb, "b").select("a", "b", (shared / whole).alias("similarity")).where(F.col("similarity") >= least - 1e-12)
-
-
 def near_duplicates(records: DataFrame, least: float = 0.7) -> DataFrame:
     """Pairs of live records of one type whose words of key and value have a Jaccard similarity of at least `least`."""
     live = spread(records.where("status = 'live'").select("id", "type", "key", "value"))  # texts are split behind this
     sets = live.select("id", F.col("type").alias("by"), text.word_set(F.concat_ws(" ", "key", "value")).alias("s"))
-    return sharing(sets, least, of_union=True)
+    return sharing(hashed(sets), least, of_union=True)
 
 
 def similar_keys(records: DataFrame, more_than: float = 0.5, limit: int = 20) -> DataFrame:
     """The pairs of a project whose keys resemble each other most by trigrams."""
     keys = spread(records.select("id", F.col("project_id").alias("by"), "key"))
-    pairs = sharing(keys.select("id", "by", text.trigrams(F.col("key")).alias("s")), more_than, of_union=True)
+    pairs = sharing(hashed(keys.select("id", "by", text.trigrams(F.col("key")).alias("s"))), more_than, of_union=True)
     return pairs.where(F.col("similarity") > more_than + 1e-12).orderBy(F.desc("similarity"), "a", "b").limit(limit)
 
 
@@ -91,10 +37,10 @@ def contradictions(records: DataFrame, least: float = 0.25, positive: list[str]
     """Pairs of one type that share words (a share `least` of the larger set) while one speaks for and the other against."""
     spaced = F.array_distinct(F.filter(F.split(F.lower("value"), "[ \\t\\n\\r\\f]+"), lambda w: F.length(w) > 2))
     r = spread(records.select("id", "type", "value"))
-    r = r.select("id", F.col("type").alias("by"), "value", text.has_any(F.col("value"), positive or text.POSITIVE).alias("pos"), text.has_any(F.col("value"), negative or text.NEGATIVE).alias("neg"))
-    r = cut(r.where("pos or neg"), "polar").withColumn("s", spaced)  # a record without markers contradicts nothing
-    pairs = sharing(r, least, of_union=False, more=["pos", "neg"], on="(x.pos and y.neg) or (x.neg and y.pos)")
-    return pairs.select("a", "b", F.col("similarity").alias("overlap"))
+    r = r.select("id", F.col("type").alias("by"), text.has_any(F.col("value"), positive or text.POSITIVE).alias("left"), text.has_any(F.col("value"), negative or text.NEGATIVE).alias("right"), spaced.alias("s"))
+    pairs = sharing(hashed(r.where(F.col("left") | F.col("right"))), least, of_union=False)  # a record without markers contradicts nothing
+    # two records that speak for and against come both ways
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.col("similarity").alias("overlap")).distinct()
 
 
 # The markers of the consistency score, fewer than those of contradictions().
@@ -112,21 +58,19 @@ def convention_checks(candidates: DataFrame, conventions: DataFrame) -> DataFram
     The first convention of the same subject that says for what the candidate says
     against (or the other way round) makes a violation, or the first whose words it
     repeats under another key a warning, whichever comes first; else it is
-    compliant. Both meet in one join of word sets, of which only those of different
-    sides are compared.
+    compliant. Candidates are on the left of the join of word sets, conventions on
+    the right.
     """
     words = F.filter(F.split(F.regexp_replace(F.lower("value"), "[^a-z0-9\\s]", " "), "\\s+"), lambda w: F.length(w) > 1)
-    row = lambda df, side: df.select((2 * F.col("id") + side).alias("id"), F.col("project_id").alias("by"), "key", "value", F.lit(side).alias("side"))
-    rows = spread(row(candidates, 0).unionByName(row(conventions.where("type = 'convention'"), 1)))
-    rows = rows.withColumns({"pos": text.has_any(F.col("value"), text.POSITIVE), "neg": text.has_any(F.col("value"), AGAINST), "s": words})
-    rows = cut(rows.select("id", "by", "key", "pos", "neg", "side", "s"), "guidance")
-    pairs = sharing(rows.select("id", "by", "s", "side"), SAME_SUBJECT, of_union=True, more=["side"], on="x.side <> y.side")
-    pairs = pairs.select(F.when(F.col("a") % 2 == 0, F.col("a")).otherwise(F.col("b")).alias("new"), F.when(F.col("a") % 2 == 0, F.col("b")).otherwise(F.col("a")).alias("old"), "similarity").where("floor(new / 2) <> floor(old / 2)")
-    of = lambda k: rows.select(F.col("id").alias(k), F.col("key").alias(f"{k}_key"), F.col("pos").alias(f"{k}_pos"), F.col("neg").alias(f"{k}_neg"))
-    met = pairs.join(of("new"), "new").join(of("old"), "old")
+    row = lambda df, side: df.select("id", F.col("project_id").alias("by"), "key", "value", F.lit(side == "left").alias("left"), F.lit(side == "right").alias("right"))
+    rows = spread(row(candidates, "left").unionByName(row(conventions.where("type = 'convention'"), "right")))
+    rows = hashed(rows.select("id", "by", "key", "left", "right", text.has_any(F.col("value"), text.POSITIVE).alias("pos"), text.has_any(F.col("value"), AGAINST).alias("neg"), words.alias("s")))
+    pairs = sharing(rows.drop("key", "pos", "neg"), SAME_SUBJECT, of_union=True).select(F.col("a").alias("new"), F.col("b").alias("old"), "similarity")
+    of = lambda k, side: rows.where(F.col(side)).select(F.col("id").alias(k), F.col("key").alias(f"{k}_key"), F.col("pos").alias(f"{k}_pos"), F.col("neg").alias(f"{k}_neg"))
+    met = pairs.join(of("new", "left"), "new").join(of("old", "right"), "old")
     status = F.when(F.expr("(old_pos and new_neg) or (old_neg and new_pos)"), "violation").when((F.col("similarity") > REPEATED + 1e-12) & (F.col("old_key") != F.col("new_key")), "warning")
     first = met.withColumn("status", status).where("status is not null").groupBy("new").agg(F.min_by(F.struct("status", "old", "similarity"), "old").alias("f"))
-    first = first.select(F.floor(F.col("new") / 2).alias("id"), "f.status", F.floor(F.col("f.old") / 2).alias("convention"), F.col("f.similarity").alias("overlap"))
+    first = first.select(F.col("new").alias("id"), "f.status", F.col("f.old").alias("convention"), F.col("f.similarity").alias("overlap"))
     return candidates.select("id").join(first, "id", "left").select("id", F.coalesce("status", F.lit("compliant")).alias("status"), "convention", "overlap")
 
 
