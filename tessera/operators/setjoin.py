@@ -17,6 +17,8 @@ from .storage import cut
 BLOCK, ROW = 3_000_000, 8
 #: Counters of pairs, and matches of elements, that a worker goes through at once.
 COUNTERS, MATCHES = 1_000_000, 1_000_000
+#: Share of a set that pairs of one size must have in common among the rare elements, to be compared as a whole.
+SHARED = 0.1
 
 
 def hashed(rows: DataFrame) -> DataFrame:
@@ -68,8 +70,13 @@ def sharing(sets: DataFrame, least: float, of_union: bool, block: int = BLOCK) -
             sides.append(batch.column("side").to_numpy())
             sizes.append(batch.column("h").value_lengths().to_numpy())
             h.append(batch.column("h").flatten().to_numpy())
-        ids, sides, sizes, h = (np.concatenate(c) for c in (ids, sides, sizes, h))
-        for i, j, similarity in alike(h, sizes, sides, least, of_union):
+        batch = None
+        ids, sides, sizes = (np.concatenate(c) for c in (ids, sides, sizes))
+        h = np.concatenate(h)
+        pa.default_memory_pool().release_unused()
+        e, most = ranked(h, sizes)
+        del h
+        for i, j, similarity in alike(e, most, sizes, sides, least, of_union):
             a, b = ids[i], ids[j]
             if not two:
                 a, b = np.minimum(a, b), np.maximum(a, b)
@@ -93,35 +100,40 @@ def runs(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
         k = end
 
 
-def ranked(h: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, int]:
-    """The elements h of each row as numbers in ascending order, the rarest lowest; how many numbers there are."""
+def ranked(h: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, int]:
+    """The elements h of rows of such sizes as numbers, the rarest lowest, ascending in each row; how many numbers there are."""
     order = np.argsort(h)
     of = h[order]
-    of = np.cumsum(np.concatenate([[False], of[1:] != of[:-1]]), dtype=np.int32)
+    new = of[1:] != of[:-1]
+    of = np.zeros(len(h), np.int32)
+    np.cumsum(new, out=of[1:])
     n = np.bincount(of)
     rank = np.empty(len(n), np.int32)
     rank[np.argsort(n, kind="stable")] = np.arange(len(n), dtype=np.int32)
     key = np.empty(len(h), np.int64)
     key[order] = rank[of]
-    key |= row << 32
+    del order, of, new
+    key += np.repeat(np.arange(len(size)) << 32, size)
     key.sort()
-    return (key & 0xFFFFFFFF).astype(np.int32), len(n)
+    key &= 0xFFFFFFFF
+    return key.astype(np.int32), len(rank)
 
 
-def alike(h: np.ndarray, size: np.ndarray, side: np.ndarray, least: float, of_union: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def alike(e: np.ndarray, most: int, size: np.ndarray, side: np.ndarray, least: float, of_union: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """i, j, similarity of pairs of rows with at least such a similarity: i on side 0 and j on side 1; rows of side 2 are on both, each pair comes once.
 
-    The elements of a row are in ascending order of how many rows have them. Alike
-    sets share one among the first size - ceil(least * size) + 1 of both, so only these
-    are matched and counted. What else a pair shares stands behind the end of that
-    prefix which ends first, so the rest of that row bounds it. Pairs that may have
-    the similarity are compared as a whole.
+    e and `most` are what ranked() gives. Alike sets share one among the first
+    size - ceil(least * size) + 1 elements of both, so only such a prefix is matched
+    and counted, or a longer one where sets of one size need not share SHARED of it.
+    What else a pair shares stands behind the end of that prefix which ends first, so
+    the rest of that row bounds it. Pairs that may have the similarity are compared
+    as a whole.
     """
     size = size.astype(np.int64)
     start = np.cumsum(size) - size
-    row = np.repeat(np.arange(len(size)), size)
-    e, most = ranked(h, row)
-    prefix = size - np.ceil(least * size - 1e-9).astype(np.int64) + 1
+    row = np.repeat(np.arange(len(size), dtype=np.int32), size)
+    rest = max(0, min(least, (2 * least / (1 + least) if of_union else least) - SHARED))
+    prefix = np.minimum(size, size - np.ceil(rest * size - 1e-9).astype(np.int64) + 1)
     rest, end = size - prefix, e[start + prefix - 1]
     taken = np.arange(len(e)) - start[row] < prefix[row]
     xs, ys = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
@@ -132,8 +144,8 @@ def alike(h: np.ndarray, size: np.ndarray, side: np.ndarray, least: float, of_un
     in_y = taken & (side != 0)[row]
     by_element = np.argsort(e[in_y], kind="stable")
     y_of = place[row[in_y]][by_element].astype(np.int32)
-    n = np.bincount(e[in_y], minlength=most)
-    first = np.cumsum(n) - n
+    n = np.bincount(e[in_y], minlength=most).astype(np.int32)
+    first = np.cumsum(n, dtype=np.int32) - n
     in_x = taken & (side != 1)[row] & (n[e] > 0)
     ex, x_of = e[in_x], row[in_x]
     at = np.searchsorted(x_of, np.concatenate([xs, [len(size)]]))

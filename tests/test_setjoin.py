@@ -43,7 +43,7 @@ def test_pairs_of_a_block(monkeypatch, least, of_union, few):
     sets = [s for s in sets if s]
     h, size = np.concatenate(sets).astype(np.int64), np.array([len(s) for s in sets])
     for side in (np.full(len(sets), 2), np.arange(len(sets)) % 2):
-        got = sorted((i, j, s) for part in setjoin.alike(h, size, side, least, of_union) for i, j, s in zip(*part, strict=True))
+        got = sorted((i, j, s) for part in setjoin.alike(*setjoin.ranked(h, size), size, side, least, of_union) for i, j, s in zip(*part, strict=True))
         want = [(i, j, similarity(s, t, of_union)) for i, s in enumerate(sets) for j, t in enumerate(sets) if (i < j if side[0] == 2 else side[i] == 0 and side[j] == 1)]
         assert got == [x for x in want if x[2] >= least - 1e-12] and len(got) > 20
 
@@ -55,6 +55,7 @@ def shuffled(spark):
 
 QUERIES = {
     "near_duplicates": quality.near_duplicates,
+    "contradictions": quality.contradictions,
 }
 
 
