@@ -56,6 +56,7 @@ def shuffled(spark):
 QUERIES = {
     "near_duplicates": quality.near_duplicates,
     "contradictions": quality.contradictions,
+    "convention_checks": lambda m: quality.convention_checks(m, m),
 }
 
 
