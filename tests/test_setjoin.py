@@ -57,6 +57,7 @@ QUERIES = {
     "near_duplicates": quality.near_duplicates,
     "contradictions": quality.contradictions,
     "convention_checks": lambda m: quality.convention_checks(m, m),
+    "project_health": lambda m: quality.health(quality.quality(m)),
 }
 
 
