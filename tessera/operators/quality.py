@@ -26,10 +26,14 @@ def near_duplicates(records: DataFrame, least: float = 0.7) -> DataFrame:
     return sharing(hashed(sets), least, of_union=True)
 
 
+#: Elements of a block of keys, whose sets are small: less than other sets have, as a project's pairs are many and spread over more tasks so.
+KEYS = 1_000_000
+
+
 def similar_keys(records: DataFrame, more_than: float = 0.5, limit: int = 20) -> DataFrame:
     """The pairs of a project whose keys resemble each other most by trigrams."""
     keys = spread(records.select("id", F.col("project_id").alias("by"), "key"))
-    pairs = sharing(hashed(keys.select("id", "by", text.trigrams(F.col("key")).alias("s"))), more_than, of_union=True)
+    pairs = sharing(hashed(keys.select("id", "by", text.trigrams(F.col("key")).alias("s"))), more_than, of_union=True, block=KEYS)
     return pairs.where(F.col("similarity") > more_than + 1e-12).orderBy(F.desc("similarity"), "a", "b").limit(limit)
 
 

@@ -55,6 +55,7 @@ def shuffled(spark):
 
 QUERIES = {
     "near_duplicates": quality.near_duplicates,
+    "similar_keys": quality.similar_keys,
     "contradictions": quality.contradictions,
     "convention_checks": lambda m: quality.convention_checks(m, m),
     "project_health": lambda m: quality.health(quality.quality(m)),
