@@ -58,6 +58,7 @@ QUERIES = {
     "similar_keys": quality.similar_keys,
     "contradictions": quality.contradictions,
     "convention_checks": lambda m: quality.convention_checks(m, m),
+    "quality_scores": quality.quality,
     "project_health": lambda m: quality.health(quality.quality(m)),
 }
 
