@@ -60,6 +60,7 @@ QUERIES = {
     "convention_checks": lambda m: quality.convention_checks(m, m),
     "quality_scores": quality.quality,
     "project_health": lambda m: quality.health(quality.quality(m)),
+    "auto_archive": lambda m: quality.archivable(m, quality.quality(m)),
 }
 
 
